@@ -25,13 +25,19 @@ from .common import SPACE, let, table, written
 #: Production parameters: base rule, EM rounds, least posterior of a kept document.
 LEAST_WORDS, MOST_REPEATED, ROUNDS, LEAST_POSTERIOR = 50, 0.5, 50, 0.5
 
-#: Each rule: SQL for bad, SQL for good; else it abstains.
+#: A rule is made to spare good documents: EM may not explain more than this share of them by false alarms.
+MOST_FALSE_ALARMS = 0.01
+
+#: Each rule: SQL for bad, SQL for good (or none); else it abstains.
 RULES = {
-    "symbols": ("n_symbols > 0.1 * n_words", "n_symbols < 0.02 * n_words"),
-    "repeats": ("n_repeat_words > 0.3 * n_words", "n_repeat_words < 0.15 * n_words"),
-    "lines": ("n_dup_lines > 0.3 * n_lines", "n_dup_lines < 0.15 * n_lines"),
-    "capitals": ("n_capitals > 0.4 * word_chars", "n_capitals < 0.15 * word_chars"),
-    "word_length": ("word_chars < 3 * n_words OR word_chars > 10 * n_words", "word_chars > 4 * n_words AND word_chars < 7 * n_words"),
+    "symbols": ("n_symbols > 0.1 * n_words", None),
+    "repeats": ("n_repeat_words > 0.4 * n_words", None),
+    "lines": ("n_dup_lines > 0.4 * n_lines", None),
+    "capitals": ("n_capitals > 0.4 * word_chars", None),
+    "word_length": (
+        "word_chars < 2 * n_words OR word_chars > 12 * n_words",
+        "word_chars > 4 * n_words AND word_chars < 7 * n_words",
+    ),
     "variety": ("n_distinct < 0.1 * least(n_words, 1000)", "n_distinct > 0.3 * least(n_words, 1000)"),
 }
 
@@ -90,38 +96,44 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumn("base_failed", failed).drop("_words", "_lines")
 
 
-def votes(rules: dict[str, tuple[str, str]]) -> Column:
+def votes(rules: dict[str, tuple[str, str | None]]) -> Column:
     """All rules' votes as one number, base 3."""
-    vote = [F.when(F.expr(bad), 2).when(F.expr(good), 1).otherwise(0) for bad, good in rules.values()]
+    vote = [F.when(F.expr(bad), 2).when(F.expr(good or "false"), 1).otherwise(0) for bad, good in rules.values()]
     return sum((v * 3**i for i, v in enumerate(vote)), F.lit(0)).cast("int")
 
 
 def posteriors(counts: dict[int, int], n_rules: int, rounds: int = ROUNDS) -> dict[int, float]:
     """EM over counted vote patterns: the posterior probability of good for each pattern.
 
-    Rules are independent given the kind. It starts from the votes themselves: a bad vote makes a document likely bad.
-    A pattern without votes has the prior. Counts are smoothed by one vote, so no rule becomes certain.
+    The hidden kinds are good and one kind of junk for each rule, as unlike kinds of junk (tables of symbols, repeated
+    words) set off different rules. Given the kind, rules vote or abstain independently. It starts from the votes: a bad
+    vote makes a document likely junk of that rule's kind. Among good documents a rule's share of bad votes is at most
+    MOST_FALSE_ALARMS, else a common kind of junk would pass as good. Counts are smoothed by one vote.
     """
     patterns = {p: [p // 3**i % 3 for i in range(n_rules)] for p in sorted(counts)}
-    good = {p: 0.1 if 2 in v else 0.9 for p, v in patterns.items()}
+    kinds = range(n_rules + 1)  # 0 is good
+    share = {}
+    for p, v in patterns.items():
+        bad = [i + 1 for i, x in enumerate(v) if x == 2]
+        share[p] = [0.1 if bad else 0.9] + [(0.9 / len(bad) if k in bad else 0.0) if bad else 0.1 / n_rules for k in kinds[1:]]
     total = sum(counts.values())
     for _ in range(rounds if total else 0):
-        prior = (sum(counts[p] * good[p] for p in patterns) + 1) / (total + 2)
-        rate = [[[1.0] * 3 for _ in range(2)] for _ in range(n_rules)]
+        prior = [(sum(counts[p] * share[p][k] for p in patterns) + 1) / (total + len(kinds)) for k in kinds]
+        rate = [[[1.0] * 3 for _ in range(n_rules)] for _ in kinds]
         for p, v in patterns.items():
-            for i, x in enumerate(v):
-                rate[i][0][x] += counts[p] * (1 - good[p])
-                rate[i][1][x] += counts[p] * good[p]
-        odds = math.log(prior / (1 - prior))
+            for k in kinds:
+                for i, x in enumerate(v):
+                    rate[k][i][x] += counts[p] * share[p][k]
+        rate = [[[x / sum(rule) for x in rule] for rule in kind] for kind in rate]
+        for rule in rate[0]:
+            rule[2] = min(rule[2], MOST_FALSE_ALARMS)
         for p, v in patterns.items():
-            z = odds + sum(
-                math.log(rate[i][1][x] / sum(rate[i][1])) - math.log(rate[i][0][x] / sum(rate[i][0])) for i, x in enumerate(v) if x
-            )
-            good[p] = 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
-    return good
+            weight = [prior[k] * math.prod(rate[k][i][x] for i, x in enumerate(v)) for k in kinds]
+            share[p] = [w / sum(weight) for w in weight]
+    return {p: share[p][0] for p in patterns}
 
 
-def judged(features: DataFrame, rules: dict[str, tuple[str, str]] = RULES, least: float = LEAST_POSTERIOR) -> DataFrame:
+def judged(features: DataFrame, rules: dict[str, tuple[str, str | None]] = RULES, least: float = LEAST_POSTERIOR) -> DataFrame:
     """Measured documents with `posterior` and `kept`. `features` is read twice: it should be a written table."""
     voted = features.withColumn("_votes", votes(rules))
     counts = {r["_votes"]: r["count"] for r in voted.groupBy("_votes").count().collect()}  # at most 3 ** len(rules) rows
