@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, url_filter
+from . import binary_ids, bpe, exact_dedup, packing, quality, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
+    "op4_bpe_tree": bpe.query,
     "op5_exact_dedup": exact_dedup.query,
+    "op6_packing": packing.query,
+    "op8_binary_ids": binary_ids.query,
     "op10_quality_rules": quality.query,
 }
 
