@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_path, fresh_path, shared_dir, written
+
+__all__ = ["SPACE", "VOCABULARY", "drop_path", "fresh_path", "let", "shared_dir", "table", "tokenizer_path", "written"]
+
 #: White space between words, as a character class without brackets (fixed value).
 SPACE = r"\x20\x09-\x0D"
 
@@ -21,38 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without; it gets one that is removed at exit."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="gleanwise-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, removed when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a table in the shared folder: computed once, and read again after the loss of an executor."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once for each row, however often `body` uses it."""
     return F.transform(F.array(value), body)[0]
