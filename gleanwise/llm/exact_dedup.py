@@ -55,26 +55,29 @@ def recipes(digested: DataFrame) -> DataFrame:
     """`digested` with `recipe`, the ordered list of chunk identifiers (short hash, ordinal among its digests)."""
     chunks = digested.select(F.explode("_chunks").alias("c")).select("c.h", "c.d")
     first = chunks.groupBy("h").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-    clash = first.where("low <> high").select("h")
-    told = chunks.distinct().join(clash, "h").groupBy("h").agg(F.sort_array(F.collect_set("d")).alias("ds"))
-    told = told.select("h", F.posexplode("ds").alias("ordinal", "d")).where("ordinal > 0")
-    own = digested.select("_row", F.explode("_chunks").alias("c")).select("_row", "c.*").distinct().join(told, ["h", "d"])
-    own = own.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("h", "d"), "ordinal"))).alias("_told"))
-    identifier = lambda c: F.struct(c["h"].alias("h"), F.coalesce(F.element_at("_told", c), F.lit(0)).alias("ordinal"))
-    return (
-        digested.join(own, "_row", "left")
-        .withColumn("recipe", F.transform("_chunks", identifier))
-        .drop("_chunks", "_told", "_row")
-    )
+    clash = written(first.where("low <> high").select("h"), "clash")
+    if clash.isEmpty():  # each short hash stands for one digest
+        ordinal = lambda c: F.lit(0)
+        out = digested
+    else:
+        told = chunks.distinct().join(clash, "h").groupBy("h").agg(F.sort_array(F.collect_set("d")).alias("ds"))
+        told = told.select("h", F.posexplode("ds").alias("ordinal", "d")).where("ordinal > 0")
+        own = digested.select("_row", F.explode("_chunks").alias("c")).select("_row", "c.*").distinct().join(told, ["h", "d"])
+        own = own.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("h", "d"), "ordinal"))).alias("_told"))
+        ordinal = lambda c: F.coalesce(F.element_at("_told", c), F.lit(0))
+        out = digested.join(own, "_row", "left")
+    identifier = lambda c: F.struct(c["h"].alias("h"), ordinal(c).alias("ordinal"))
+    return out.withColumn("recipe", F.transform("_chunks", identifier)).drop("_chunks", "_told", "_row")
 
 
 def groups_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, keep_id, group_size, kept, text_sha256."""
     narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     digested = written(with_digests(narrow).withColumn("_row", F.monotonically_increasing_id()), "dedup")
-    rows = recipes(digested)
+    rows = recipes(digested).withColumn("_key", F.xxhash64("recipe"))
     groups = rows.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, "recipe").select(
+    # The join also has the recipe's hash as a key: both sides are then dealt anew, so AQE can split a large group's rows.
+    return rows.join(groups.withColumn("_key", F.xxhash64("recipe")), ["_key", "recipe"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
