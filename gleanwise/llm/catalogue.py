@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import binary_ids, bpe, exact_dedup, packing, quality, url_filter
+from . import binary_ids, bpe, exact_dedup, html_extract, ngram_join, packing, quality, sharding, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
+    "op2_html_extraction": html_extract.query,
+    "op3_kd_sharding": sharding.query,
     "op4_bpe_tree": bpe.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_packing": packing.query,
     "op8_binary_ids": binary_ids.query,
+    "op9_ngram_join": ngram_join.query,
     "op10_quality_rules": quality.query,
 }
 
