@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_ids, bpe, exact_dedup, html_extract, ngram_join, packing, quality, sharding, url_filter
+from . import binary_ids, bpe, edit_counts, exact_dedup, html_extract, ngram_join, packing, quality, sharding, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_bpe_tree": bpe.query,
     "op5_exact_dedup": exact_dedup.query,
     "op6_packing": packing.query,
+    "op7_edit_counts": edit_counts.query,
     "op8_binary_ids": binary_ids.query,
     "op9_ngram_join": ngram_join.query,
     "op10_quality_rules": quality.query,
