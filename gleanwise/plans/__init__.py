@@ -1 +1,6 @@
 """The query catalogue: each key with its Spark plan and its SQL."""
+
+from . import observations  # noqa: F401
+from .catalogue import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
