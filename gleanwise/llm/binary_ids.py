@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_path, table, tokenizer_path, written
-from .tokens import encoder
+from .tokens import encoder, small
 
 #: Longest code, tokens in a block, tokens in a file at most (a document stays in one file), tokens coded together.
 MOST_BITS, BLOCK_TOKENS, FILE_TOKENS, TOGETHER = 20, 512, 8_000_000, 256 * 1024
@@ -221,8 +221,8 @@ def token_table(docs: DataFrame, path: str, end_id: int | None, doc_id: str = "d
         own = encoder(path)
         kind = "<u2" if max(own.tokenizer.get_vocab_size(), end_id or 0) < 1 << 16 else "<u4"
         end = own.pack([end_id]) if end_id is not None else b""
-        for batch in batches:
-            ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in own.encode_all(batch.column(1).to_pylist())]
+        for batch in small(batches):
+            ids = [np.frombuffer(own.encode(x.as_py()) + end, "<u4").astype(kind).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([int(kind[2])] * len(ids), pa.int32())], ["doc_id", "ids", "width"])
 
     rows = docs.select(F.col(doc_id).cast("bigint"), F.col(text))
@@ -234,12 +234,12 @@ def id_counts(tokens: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids, width in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                n = np.bincount(np.frombuffer(ids.as_buffer(), f"<u{width}"))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                total[: len(n)] += n
+        for batch in small(batches, 512):
+            widths = batch.column(1).to_pylist()  # one width throughout the table
+            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{widths[0]}")) if widths else total[:0]
+            if len(n) > len(total):
+                total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
+            total[: len(n)] += n
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 

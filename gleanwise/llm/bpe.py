@@ -35,14 +35,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import table, tokenizer_path
-from .tokens import Encoder, words_of
+from .tokens import Encoder, small, words_of
 
 #: Texts longer than this are halved; so are pre-tokens of more symbols than LONG_SYMBOLS in a word longer than LONG_WORD.
 LEAF_CHARS, LONG_WORD, LONG_SYMBOLS = 32_768, 1024, 512
 
-#: So many short texts are encoded before their results leave the worker.
-TOGETHER = 256
-
 
 def may_cut(text: str, at: int) -> bool:
     """Whether no normal form spans this place: what follows neither combines with what precedes nor ends a surrogate."""
@@ -218,10 +215,8 @@ def encoded(
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tree_encoder(path, leaf)
-        for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                some = batch.slice(at, TOGETHER)
-                yield seen(own, some.column(0).to_pylist(), list(own.base.encode_all(some.column(1).to_pylist())))
+        for batch in small(batches):
+            yield seen(own, batch.column(0).to_pylist(), [own.base.encode(x.as_py()) for x in batch.column(1)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tree_encoder(path, leaf)

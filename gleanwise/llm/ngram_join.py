@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components, spread_join
 from .common import table, written
+from .tokens import small
 
 #: Words in a shingle, least similarity, chance to find a pair at that similarity, MinHash values at most.
 WORDS, LEAST, RECALL, MOST_VALUES = 5, 0.8, 0.9999, 192
@@ -112,7 +113,7 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
     """doc_id, node (digest of the set; null without words), shingles, bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             nodes, sizes, hashes = [], [], []
             for text in batch.column(1):
                 own = shingle_set(text.as_py(), words)
@@ -131,7 +132,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """node and its set as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             own = [shingle_set(x.as_py(), words) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in own], pa.binary()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "set"])
 

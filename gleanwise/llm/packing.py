@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table, tokenizer_path, written
-from .tokens import encoder
+from .tokens import encoder, small
 
 #: Tokens in a window, the id that ends a document, pieces in a block of ranks.
 WINDOW, END_ID, BLOCK_ROWS = 4096, 2, 4096
@@ -39,10 +39,10 @@ def pieces_of(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         end = own.pack([end_id])
-        for batch in batches:
+        for batch in small(batches):
             docs, starts, lengths, totals, ids = [], [], [], [], []
-            for doc, found in zip(batch.column(0).to_pylist(), own.encode_all(batch.column(1).to_pylist()), strict=True):
-                found += end
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = own.encode(text.as_py()) + end
                 n = len(found) // 4
                 for start in range(0, n, window):
                     ids.append(found[4 * start : 4 * (start + window)])

@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -29,64 +28,86 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
+#: Signs that split off from letters before them as one pre-token, and a plain word: Latin letters of the first 256
+#: characters, then such signs (fixed values).
+_SIGNS = """.,!?;:*#$%&|"()"""
+_PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([" + re.escape(_SIGNS) + "]*)")
+
+
+#: A text of nothing but Latin letters, digits, white space and signs: its lower case has the same ids and fewer words.
+_SIMPLE = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\s!-/:-@\[-`{-~]*", re.ASCII)
+
+
+class _Words(dict):
+    """Words with their ids; a new word is looked up as it is asked for.
+
+    When half of `keep` words are in, they become the older half, and words that are asked for again move on from it.
+    """
+
+    def __init__(self, encoder: Encoder):
+        super().__init__()
+        self.encoder, self.older = encoder, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.encoder.new_word(word)
+        if len(word) <= LONG_WORD:
+            if 2 * len(self) >= self.encoder.keep:
+                self.older = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
-    """One tokenizer file and the words seen so far, at most `keep` of them."""
+    """One tokenizer file and the words seen so far, at most `keep` of them (about 200 bytes each)."""
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenize = self.tokenizer.model.tokenize
         self.keep = keep
-        self.seen: dict[str, bytes] = {}
+        self.seen = _Words(self)
+        self.number = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        letters = [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
+        self.symbols = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters if c == c.lower()}
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of new words; those of usual length are kept."""
-        new = list(words)
-        found = dict(zip(new, (self.pack(e.ids) for e in self.tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        if len(self.seen) + len(found) > self.keep:
-            self.seen.clear()
-        self.seen.update((w, b) for w, b in found.items() if len(w) <= LONG_WORD)
-        return found
+        return b"".join([self.number[i] for i in ids])
+
+    def new_word(self, word: str) -> bytes:
+        """Most new words are a plain word in other letters or before other signs: the letters are one pre-token, which
+        the vocabulary's model takes in lower case and as symbols, and the signs another."""
+        plain = _PLAIN.fullmatch(word) if len(word) <= LONG_WORD else None
+        if not plain:
+            return self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        letters, signs = plain[1].lower(), plain[2]
+        if letters != word:
+            return self.seen[letters] + self.seen[signs] if signs else self.seen[letters]
+        number = self.number
+        return b"".join([number[t.id] for t in self.tokenize(letters if letters.isascii() else letters.translate(self.symbols))])
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        seen = self.seen
-        try:
-            return list(map(seen.__getitem__, words))
-        except KeyError:
-            new = self.learn({w for w in words if w not in seen})
-            seen = self.seen
-            both = {w: seen.get(w) for w in words} | new
-            if None in both.values():  # the table was emptied meanwhile
-                both |= self.learn({w for w, b in both.items() if b is None})
-            return list(map(both.__getitem__, words))
+        return list(map(self.seen.__getitem__, words))
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(self.encode_words(words_of(text))) if text else b""
-
-    def encode_all(self, texts: Iterable[str | None], together: int = 200_000) -> Iterator[bytes]:
-        """Each text's ids; new words of some texts are looked up together."""
-        held: list[list[str]] = []
-        size = 0
-        for text in texts:
-            held.append(words_of(text) if text else [])
-            size += len(held[-1])
-            if size >= together:
-                yield from self._encode_held(held)
-                held, size = [], 0
-        yield from self._encode_held(held)
-
-    def _encode_held(self, held: list[list[str]]) -> Iterator[bytes]:
-        new = set().union(*held).difference(self.seen)
-        if new:
-            self.learn(new)
-        for words in held:
-            yield b"".join(self.encode_words(words))
+        if not text:
+            return b""
+        if "<|" not in text and _SIMPLE.fullmatch(text):  # "<|" may begin a special token
+            text = text.lower()
+        return b"".join(map(self.seen.__getitem__, words_of(text)))
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so a worker holds the results of few texts at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 @lru_cache(maxsize=2)
@@ -101,9 +122,9 @@ def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
+        for batch in small(batches):
             rest = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            found = pa.array(own.encode_all(batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.binary())
+            found = pa.array([own.encode(x.as_py()) for x in batch.column(batch.schema.get_field_index(text))], pa.binary())
             yield pa.RecordBatch.from_arrays([*rest, found], [*(f.name for f in kept), ids])
 
     return docs.select(*(f.name for f in kept), text).mapInArrow(run, schema)
