@@ -66,7 +66,7 @@ def domain_matches(d: Column, expected: Column) -> Column:
 
 def primary_source(d: Column) -> Column:
     """A disclosure or regulator domain, by name suffix."""
-    return domain_matches(F.trim(F.lit("."), F.lower(F.coalesce(d, F.lit("")))), F.array(*map(F.lit, PRIMARY_DOMAINS)))
+    return domain_matches(F.trim(F.lower(F.coalesce(d, F.lit(""))), F.lit(".")), F.array(*map(F.lit, PRIMARY_DOMAINS)))
 
 
 def parameter(url: Column, name: str) -> Column:
