@@ -136,12 +136,15 @@ def markers_together(text: Column, markers: Column, within: int = 1500) -> Colum
 
 
 def positions(text: Column, part: Column) -> Column:
-    """Places (from 0) where `part` stands in the text, overlapping ones too; none for an empty part."""
-    pieces = F.length(text) - F.length(part) + 1
-    return F.when(
-        (F.length(part) > 0) & (pieces > 0),
-        F.filter(F.sequence(F.lit(1), F.greatest(pieces, F.lit(1))), lambda i: F.call_function("substring", text, i, F.length(part)) == part),
-    ).otherwise(F.array().cast("array<int>"))
+    """Places (from 0) where `part` stands in the text, overlapping ones too; none for an empty part.
+
+    The text is split before each place, so the places are the running sums of the pieces' lengths.
+    """
+    pieces = F.transform(F.split(text, F.concat(F.lit(r"(?=\Q"), part, F.lit(r"\E)")), -1), lambda x: F.length(x))
+    start = F.struct(F.lit(0).alias("at"), F.when(text.startswith(part), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")).alias("out"))
+    step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["out"], s["at"] + n).alias("out"))
+    found = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step)["out"]
+    return F.when((F.length(part) > 0) & (text != ""), found).otherwise(F.array().cast("array<int>"))
 
 
 def near_each_other(text: Column, a: Column, b: Column, window: int) -> Column:
@@ -168,3 +171,47 @@ def glyphs_repaired(text: Column) -> Column:
     parts = F.split(text, "/uni(?=[0-9A-Fa-f]{4})")
     mend = lambda x: F.concat(F.decode(F.unhex(F.substring(x, 1, 4)), "UTF-16BE"), F.call_function("substring", x, F.lit(5)))
     return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), mend), ""))
+
+
+def dates_near(text: Column, markers: Column, window: int = 300, most: int = 41) -> Column:
+    """The sorted dates (YYYY-MM-DD, not validated) that begin at most `window` characters from a marker.
+
+    Dates stand as day, month in words and year, or in ISO form. Of all markers together, the first gives up to `most`
+    places, the others one each once these are used up.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+    spots = F.aggregate(
+        F.transform(F.filter(markers, lambda m: m != ""), lambda m: positions(low, F.lower(m))),
+        F.array().cast("array<int>"),
+        lambda out, at: F.concat(out, F.slice(at, 1, F.greatest(F.lit(most) - F.size(out), F.lit(1)))),
+    )
+
+    def near(pattern: str, read) -> Column:
+        # Matches and the pieces between them alternate, so running lengths give the places of the matches.
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def step(s: Column, i: Column) -> Column:
+            at, own = s["at"] + F.get(gaps, i), F.get(found, i)
+            close = F.exists(spots, lambda p: F.abs(p - at) <= window)
+            return F.struct((at + F.length(own)).alias("at"), F.when(close, F.array_append(s["out"], read(own))).otherwise(s["out"]).alias("out"))
+
+        empty = F.array().cast("array<int>")
+        steps = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(empty)
+        return F.aggregate(steps, start, step)["out"]
+
+    def in_words(own: Column) -> Column:
+        part = lambda i: F.regexp_extract(own, r"(?iU)^(\d{1,2})\s+(\w+)\s+(\d{4})$", i)
+        month = F.coalesce(*(F.when(F.lower(part(2)).startswith(m), F.lit(f"{k + 1:02d}")) for k, m in enumerate(MONTHS)))
+        return F.concat_ws("-", part(3), month, F.lpad(part(1), 2, "0"))
+
+    words = r"(?iuU)\b\d{1,2}\s+(?:январ|феврал|март|апрел|ма[йя]|июн|июл|август|сентябр|октябр|ноябр|декабр)\w*\s+\d{4}"
+    iso = r"(?U)\b\d{4}-\d{2}-\d{2}\b"
+    return F.array_sort(F.array_distinct(F.concat(near(words, in_words), near(iso, lambda own: own))))
+
+
+def vocabulary(text: Column, markers: Column) -> Column:
+    """The distinct words of four letters and more (hyphens count) that are in no marker."""
+    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"[\p{L}\p{N}_\-]{4,}"), F.lit(0))
+    return F.array_except(F.array_distinct(words(F.coalesce(text, F.lit("")))), F.flatten(F.transform(markers, words)))

@@ -1,6 +1,6 @@
 """The query catalogue: each key with its Spark plan and its SQL."""
 
-from . import observations, results, scalars  # noqa: F401
+from . import corpora, documents, observations, results, scalars, states  # noqa: F401
 from .catalogue import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -21,8 +21,13 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def probes(spark: SparkSession, folder: str) -> DataFrame:
     """One row for each probe of an engine: id, ts (seconds), engine, query, category, results, relevant, hit, latency, verdict."""
+    return probes_of(read(spark, folder, "events"))
+
+
+def probes_of(events: DataFrame) -> DataFrame:
+    """The probes of a table or stream of events."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
-    out = read(spark, folder, "events").select(
+    out = events.select(
         F.col("event_id").alias("id"),
         F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)").alias("ts"),
         F.concat(F.lit("e"), (F.col("user_id") % ENGINES).cast("string")).alias("engine"),
