@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import told
+from helpers import told
 
 from gleanwise.plans import QUERIES, SQL
 
