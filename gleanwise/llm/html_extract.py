@@ -266,8 +266,10 @@ class Wrapper:
         return {id(b) for a, b in self.matcher.pairs(self.seed, page) if a.tag == "#text" and a.text == b.text and self.constant(a)}
 
 
-def article_text(root: Element) -> int:
-    return hash(tuple(x.text for x in texts(root) if in_article(x)))
+def article_text(root: Element) -> tuple[str, ...]:
+    """The texts in article or main elements; without such elements, all."""
+    every = list(texts(root))
+    return tuple(x.text for x in every if in_article(x)) or tuple(x.text for x in every)
 
 
 def main_texts(root: Element, template: set[int]) -> list[str]:
