@@ -9,11 +9,16 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, BooleanType, StringType, StructField, StructType
 
 #: Resolutions that are tried for page images, best first (fixed values).
 DPI_LADDER = (300, 220, 160, 110, 72)
 
+#: Most bytes of a page.
+CEILING = 2 * 1024 * 1024
+
+_UNPACKED = StructType([StructField("body", BinaryType()), StructField("truncated", BooleanType()), StructField("ok", BooleanType())])
+
 #: The signature of a PNG file (fixed value).
 PNG = "89504E470D0A1A0A"
 
@@ -83,3 +88,25 @@ def decoded(body: pd.Series, content_type: pd.Series) -> pd.Series:
             return raw.decode("utf-8" if e.start >= 19990 else "cp1251", "replace")
 
     return pd.Series([one(b, c) for b, c in zip(body, content_type, strict=True)])
+
+
+@pandas_udf(_UNPACKED)
+def unpacked(body: pd.Series, encoding: pd.Series) -> pd.DataFrame:
+    """A response body without its gzip or deflate encoding, up to the ceiling. Not ok: broken bytes or another encoding."""
+    import zlib
+
+    def one(raw: bytes | None, kind: str | None) -> tuple[bytes | None, bool, bool]:
+        kind = (kind or "").strip().lower()
+        if raw is None or kind in ("", "identity"):
+            return raw, raw is not None and len(raw) > CEILING, True
+        if kind not in ("gzip", "x-gzip", "deflate"):
+            return None, False, False
+        for bits in (47, -15) if kind == "deflate" else (47,):
+            try:
+                out = zlib.decompressobj(bits).decompress(raw, CEILING + 1)
+                return out[:CEILING], len(out) > CEILING, True
+            except zlib.error:
+                continue
+        return None, False, False
+
+    return pd.DataFrame([one(b, e) for b, e in zip(body, encoding, strict=True)], columns=["body", "truncated", "ok"])

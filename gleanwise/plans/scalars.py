@@ -75,6 +75,14 @@ def url_policy(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "events").select(F.col("event_id").alias("id"), U.url_policy(_choice(F.col("event_id"), list(_POLICY))).alias("reason"))
 
 
+@query("SELECT event_id AS id, event_id % 3 = 1 AS blocked FROM events")
+def redirect_hops(spark: SparkSession, d: str) -> DataFrame:
+    """Whether any hop of a redirect chain leads where no page may be read."""
+    n = F.col("event_id")
+    hops = F.array(F.lit("https://example.org/"), F.when(n % 3 == 1, "http://169.254.169.254/latest").otherwise("https://example.org/b"), F.lit("http://8.8.8.8/"))
+    return V.read(spark, d, "events").select(n.alias("id"), F.exists(hops, lambda h: U.url_policy(h) != "").alias("blocked"))
+
+
 _ROBOTS = ["User-agent: *\nDisallow: /en", "User-agent: other\nDisallow: /\nUser-agent: ag-mod-search\nDisallow: /de/ # no", "", None, "User-agent: *\r\nDisallow:\r\nDisallow: /%66r/"]
 
 
