@@ -19,5 +19,7 @@ QUERIES = {
 
 SQL = {
     "op1_url_filters": url_filter.SQL,
+    "op2_html_extraction": html_extract.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
+    "op9_ngram_join": ngram_join.SQL,
 }

@@ -54,25 +54,53 @@ NOT_WORDS = re.compile(
     re.I,
 )
 
+NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|repl(?:y|ies)|respond|related|teasers?)(?:$|[\s_-])", re.I)
+
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 
+#: How surely an element is not the article: by role or comment words, by a frame's tag, by other words or as a form.
+SOFT, FRAME, HARD = 1, 2, 3
+
+#: Elements nested deeper count to their ancestor at this depth.
+MOST_DEPTH = 200
+
+
 class Element:
-    """A block element: its label, children in order (elements and texts), whether it can't be the article."""
+    """A block element: its label, children in order (elements and texts), how surely it is not the article."""
 
-    __slots__ = ("tag", "label", "children", "parent", "noise", "shape", "blocks", "size", "text")
+    __slots__ = ("tag", "label", "children", "parent", "kind", "shape", "size", "text", "closed", "has_article")
 
-    def __init__(self, tag: str, label: str, parent: Element | None, noise: bool):
-        self.tag, self.label, self.parent, self.noise = tag, label, parent, noise
+    def __init__(self, tag: str, label: str, parent: Element | None, kind: int):
+        self.tag, self.label, self.parent, self.kind = tag, label, parent, kind
         self.children: list[Element] = []
-        self.blocks: list[str] = []
         self.text = ""
+        self.closed = self.has_article = False
+
+    @property
+    def noise(self) -> bool:
+        """HARD noise is never the article; an UNCLOSED frame and a SOFT one are not noise if the article is within."""
+        return self.kind == HARD or self.kind and not (self.has_article and (self.kind == SOFT or not self.closed))
+
+
+def kind_of(tag: str, found: dict[str, str], open_tags: list[Element]) -> int:
+    """How surely an element with these attributes is not the article."""
+    if found.get("role", "").lower() in NOT_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
+        return HARD
+    named = f"{found.get('class', '')} {found.get('id', '')}".strip()
+    if named and tag not in ("html", "body", "main") and NOT_CONTENT.search(named):
+        return HARD
+    if tag == "header":
+        return 0 if any(x.tag in ("article", "main") for x in open_tags) else FRAME
+    if tag in NOT_TAGS:
+        return SOFT if tag == "form" else FRAME
+    return SOFT if named and tag not in ("html", "body", "main", "article") and NOT_WORDS.search(named) else 0
 
 
 def parsed(html: str) -> Element:
     """The page's tree. Text directly in an element becomes children of it that are labelled #text, one for each run between block elements."""
-    root = node = Element("#root", "#root", None, False)
+    root = node = Element("#root", "#root", None, 0)
     open_tags = [root]
     run: list[str] = []
 
@@ -81,7 +109,7 @@ def parsed(html: str) -> Element:
         if run:
             text = " ".join(unescape("".join(run)).split())
             if text:
-                leaf = Element("#text", "#text", node, False)
+                leaf = Element("#text", "#text", node, 0)
                 leaf.text = text
                 node.children.append(leaf)
             run = []
@@ -107,6 +135,7 @@ def parsed(html: str) -> Element:
             for depth in range(len(open_tags) - 1, 0, -1):
                 if open_tags[depth].tag == tag:
                     flush()
+                    open_tags[depth].closed = True
                     del open_tags[depth:]
                     node = open_tags[-1]
                     break
@@ -121,6 +150,8 @@ def parsed(html: str) -> Element:
         flush()
         if tag in VOID:
             continue
+        if open_tags[-1].tag == "head":  # anything but metadata begins the body
+            open_tags.pop()
         if tag in ENDS_P and open_tags[-1].tag == "p":
             open_tags.pop()
         if tag in SAME_ENDS:
@@ -132,16 +163,14 @@ def parsed(html: str) -> Element:
                     break
         node = open_tags[-1]
         found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
-        named = f"{found.get('class', '')} {found.get('id', '')}".strip()
-        noise = tag in NOT_TAGS or found.get("role", "").lower() in NOT_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true"
-        if named and tag not in ("html", "body", "article", "main"):
-            noise = noise or bool(NOT_WORDS.search(named))
-        elif named and tag == "article" and re.search(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies)|related|teaser)(?:$|[\s_-])", named, re.I):
-            noise = True
-        elif tag == "header":
-            noise = not any(x.tag in ("article", "main") for x in open_tags)
-        own = Element(tag, f"{tag}.{found.get('class', '')}", node, noise)
-        node.children.append(own)
+        own = Element(tag, f"{tag}.{found.get('class', '')}", node, kind_of(tag, found, open_tags))
+        if len(open_tags) > MOST_DEPTH:
+            own.children = node.children
+        else:
+            node.children.append(own)
+        if tag in ("article", "main") and not own.kind:
+            for up in open_tags:
+                up.has_article = True
         if not m[3].endswith("/"):
             open_tags.append(own)
             node = own
@@ -353,3 +382,13 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
+
+
+#: What the pages of these tables have as article, by their markup and character references.
+SQL = r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '') AS a FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(b|i|a)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS b FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS c FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(c, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""

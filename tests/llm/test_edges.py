@@ -417,12 +417,38 @@ def test_html_template_outside_articles():
     assert got == [f"Story number {i} tells of {i * 7} things. It goes on {i}." for i in range(12)] and wrapper is not None
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<head><title>t</title><p>no head end", "no head end"),
+        ("<head><title>t</title><body><article>a</article>", "a"),
+        ("<nav><li>menu<article>in unclosed nav</article>", "in unclosed nav"),
+        ("<form id=f><div class='with-sidebar'><article>a</article></div><div class=sidebar>s</div></form>", "a"),
+        ("<article>a</article><section class=comments><article>c</article></section><aside><article>r</article></aside>", "a"),
+        ("<article>a<div class='comment-list'>c</div><form>f</form></article><article class='comment'>c</article>", "a"),
+        ("<ARTICLE><P>A<P>b<BR>c</P><!-- x --><script>no</script></ARTICLE>", "A b c"),
+        ("<article>a &lt;b&gt; &amp;amp; &#233;&nbsp;f</article>", "a <b> &amp; é f"),
+        ("<article>x<ul><li>one<li>two</ul><table><tr><td>3<td>4</table></article>", "x one two 3 4"),
+        ("<div>" * 500 + "<article>deep" + "</div>" * 500, "deep"),
+        ("<article>un<b>fin", "unfin"),
+        ("<article><header><h1>H</h1></header>a</article><header>site</header>", "H a"),
+    ],
+)
+def test_html_markup(html, text):
+    assert html_extract.extract_block([html])[0] == [text]
+
+
+def test_html_deep_pages_align():
+    pages = ["<div>" * (900 + i) + f"<p>text {i} " + "<ul><li>" * 300 for i in range(3)]
+    assert html_extract.extract_block(pages)[0] == ["text 0", "text 1", "text 2"]
+
+
 def test_tree_matching_is_best():
     """The score with its shortcuts is that of the plain recursion."""
     r = random.Random(4)
 
     def tree(depth):
-        node = html_extract.Element("x", r.choice("ab"), None, False)
+        node = html_extract.Element("x", r.choice("ab"), None, 0)
         node.children = [tree(depth - 1) for _ in range(r.randint(0, 4))] if depth else []
         return node
 
