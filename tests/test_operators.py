@@ -275,3 +275,22 @@ def test_partition_count_does_not_matter(spark, folder):
             assert sorted(map(str, QUERIES[name](spark, folder).collect())) == one
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_wave_pick_is_the_walk(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(f"q{r.randint(0, 1)}", r.randint(0, 3), k, f"u{r.randint(0, 60)}", f"d{r.choice([0, 0, 0, 1, 2, 3, 4])}") for k in range(400)]
+    rows = [(q, n, k, f"{u}.{d}", d) for q, n, k, u, d in rows] + [("q0", 0, -1, "", "d1")]
+    df = spark.createDataFrame(rows, "question string, query int, rank int, url string, domain string")
+    want = []
+    for question in ("q0", "q1"):
+        seen, of_domain, taken = set(), {}, {}
+        for q, n, k, u, d in sorted((x for x in rows if x[0] == question), key=lambda x: (x[1], x[2], x[3])):
+            if u and taken.get(n, 0) < 4 and u not in seen and of_domain.get(d, 0) < 2:
+                seen.add(u)
+                of_domain[d] = of_domain.get(d, 0) + 1
+                taken[n] = taken.get(n, 0) + 1
+                want.append((q, n, k, u))
+    assert sorted((x["question"], x["query"], x["rank"], x["url"]) for x in corpus.wave_pick(df).collect()) == sorted(want)
