@@ -35,7 +35,7 @@ from .tokens import small
 WORDS, LEAST, RECALL, MOST_VALUES = 5, 0.8, 0.9999, 192
 
 #: Bounds of a block, and how many ids are broadcast at most (8 bytes each).
-BLOCK_CLASSES, BLOCK_SHINGLES, BROADCAST_IDS = 512, 1_000_000, 2_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES, BROADCAST_IDS = 128, 500_000, 2_000_000
 
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -246,3 +246,21 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle, then the groups: for tables of some thousand documents.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+groups AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+counted AS (SELECT a AS doc_id, count(*) AS n_links FROM edges GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM groups LEFT JOIN counted USING (doc_id)
+"""
