@@ -20,15 +20,15 @@ from ..sources.shared import fresh_path
 TRUST_LAST = 10
 
 
-def probe_stream(spark: SparkSession, folder: str) -> DataFrame:
+def probe_stream(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
     """The probes of `views.probes` as they arrive in the folder's events."""
-    return views.probes_of(event_stream(spark, folder))
+    return views.probes_of(event_stream(spark, folder, files))
 
 
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The folder's events as a file stream. The name is a pattern, as a source that is one file has no base folder."""
+def event_stream(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
+    """The folder's events as a file stream, up to `files` files in a batch. The name is a pattern, as a source that is one file has no base folder."""
     schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{folder}/event[s].parquet")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/event[s].parquet")
 
 
 def drained(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
@@ -63,17 +63,17 @@ def _last_of_batches(stream: DataFrame, key: str) -> DataFrame:
     return last.select(key, *(F.col(f"_x.{c}").alias(c) for c in columns))
 
 
-def health(spark: SparkSession, folder: str) -> DataFrame:
+def health(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
     """engine, probes, ok, hits over all probes so far, kept up to date batch by batch."""
-    told = probe_stream(spark, folder).groupBy("engine").agg(
+    told = probe_stream(spark, folder, files).groupBy("engine").agg(
         F.count(F.lit(1)).alias("probes"), F.count_if(F.col("verdict") == "ok").alias("ok"), F.count_if(F.col("hit") == 1).alias("hits")
     )
     return _last_of_batches(told, "engine")
 
 
-def trust(spark: SparkSession, folder: str, confirmed: tuple[str, ...]) -> DataFrame:
+def trust(spark: SparkSession, folder: str, confirmed: tuple[str, ...], files: int = 1000) -> DataFrame:
     """engine, judged, hits, trust over the last ten judged probes of confirmed references, whatever order files arrive in."""
-    judged = probe_stream(spark, folder).where(F.col("query").isin(*confirmed) & F.expr("hit IS NOT NULL AND results > 0 AND relevant > 0"))
+    judged = probe_stream(spark, folder, files).where(F.col("query").isin(*confirmed) & F.expr("hit IS NOT NULL AND results > 0 AND relevant > 0"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         ts, ids, hits = state.get if state.exists else ([], [], [])
