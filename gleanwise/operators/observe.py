@@ -191,8 +191,11 @@ def round_robin(engines: DataFrame, references: int, ticks: int) -> DataFrame:
 
 
 def bounded_keys(rows: DataFrame, key: str, most: int, other: str = "other") -> DataFrame:
-    """Calls by key, where keys that came up after `most` others count as `other`."""
+    """Calls by key, where keys that came up after `most` others count as `other`.
+
+    The first `most` keys are a top-k over the keys' first calls, so no task sorts all keys.
+    """
     first = rows.groupBy(key).agg(F.min(F.struct("ts", "id")).alias("_first"), F.count(F.lit(1)).alias("calls"))
-    first = first.withColumn("_place", F.row_number().over(Window.orderBy("_first")))
-    named = F.when(F.col("_place") <= most, F.col(key)).otherwise(other)
-    return first.groupBy(named.alias(key)).agg(F.sum("calls").alias("calls"))
+    named = first.orderBy("_first").limit(most).select(key, F.col(key).alias("_named"))
+    out = first.join(F.broadcast(named), key, "left")  # `most` rows
+    return out.groupBy(F.coalesce("_named", F.lit(other)).alias(key)).agg(F.sum("calls").alias("calls"))
