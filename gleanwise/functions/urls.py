@@ -32,8 +32,11 @@ RESULT_PATHS = ("/search", "/images/search", "/web", "/?q=", "/s")
 #: Parameters in which redirect links carry their target, in the order they are tried (fixed values).
 REDIRECT_PARAMETERS = ("url", "u", "target", "redirect", "to", "link")
 
-#: Names of internal hosts (fixed values).
-INTERNAL_NAMES = ("localhost", "searxng", "ag-mod-search")
+#: The name by which robots files address this reader.
+AGENT = "gleanwise"
+
+#: Names of hosts inside the perimeter; an operator adds the names of its own services.
+INTERNAL_NAMES = ("localhost", "searxng", AGENT)
 
 
 def authority(url: Column) -> Column:
@@ -137,7 +140,7 @@ def robots_verdict(rules: Column, page_path: Column) -> Column:
 
     def step(state: Column, line: Column) -> Column:
         field, value = F.lower(F.trim(F.regexp_extract(line, "^([^:]*):", 1))), F.trim(F.regexp_extract(line, "^[^:]*:(.*)$", 1))
-        ours = F.when(field == "user-agent", value.isin("*", "ag-mod-search")).otherwise(state["ours"])
+        ours = F.when(field == "user-agent", value.isin("*", AGENT)).otherwise(state["ours"])
         denies = (field == "disallow") & state["ours"] & (value != "")
         return F.struct(ours.alias("ours"), F.when(denies, F.array_append(state["denied"], decoded(value))).otherwise(state["denied"]).alias("denied"))
 

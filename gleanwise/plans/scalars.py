@@ -83,7 +83,7 @@ def redirect_hops(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "events").select(n.alias("id"), F.exists(hops, lambda h: U.url_policy(h) != "").alias("blocked"))
 
 
-_ROBOTS = ["User-agent: *\nDisallow: /en", "User-agent: other\nDisallow: /\nUser-agent: ag-mod-search\nDisallow: /de/ # no", "", None, "User-agent: *\r\nDisallow:\r\nDisallow: /%66r/"]
+_ROBOTS = ["User-agent: *\nDisallow: /en", "User-agent: other\nDisallow: /\nUser-agent: gleanwise\nDisallow: /de/ # no", "", None, "User-agent: *\r\nDisallow:\r\nDisallow: /%66r/"]
 
 
 @query(rf"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
