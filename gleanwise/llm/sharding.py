@@ -31,7 +31,7 @@ from .common import table, written
 SHARDS, ROW_BYTES, DIMENSIONS = 40, 16, ("n_chars", "source", "lang")
 
 #: Bits of a coordinate from the dimension and from the hash; bins in a pass; rows in a block of slots.
-PLACE_BITS, TIE_BITS, BINS, BLOCK_ROWS = 29, 33, 1024, 4096
+PLACE_BITS, TIE_BITS, BINS, BLOCK_ROWS = 26, 22, 4096, 4096
 
 
 def text_bytes(text: Column) -> Column:
@@ -75,32 +75,35 @@ class Tree:
         key = F.get(F.array(*keys), F.get(numbers(dims), node).cast("int"))
         return (F.get(numbers(left), node) + F.when(key >= F.get(numbers(cuts), node), 1).otherwise(0)).cast("int")
 
-    def node(self, keys: list[Column], start: Column | None = None) -> Column:
-        out = F.lit(0) if start is None else start
+    def sharded(self, rows: DataFrame, keys: list[Column]) -> DataFrame:
+        """`rows` with `shard`. Each level is a projection of its own, as it uses the node of the level before three times."""
+        out = rows.withColumn("_node", F.lit(0))
         for level in self.levels:
-            out = self.child(out, keys, level)
-        return out
+            out = out.withColumn("_node", self.child(F.col("_node"), keys, level))
+        return out.withColumn("shard", F.get(numbers(self.shards), F.col("_node")).cast("int")).drop("_node")
+
 
-    def shard(self, keys: list[Column]) -> Column:
-        return F.get(numbers(self.shards), self.node(keys)).cast("int")
+def flags(values: list[bool], node: Column) -> Column:
+    return F.get(F.array(*(F.lit(v) for v in values)), node)
 
 
 def grow(rows: DataFrame, tree: Tree, dims: int, shards: int) -> Tree:
-    """The tree for a written table with the coordinates k0, k1, ... and `size`."""
+    """The tree for a written table with the coordinates k0, k1, ... and `size`.
+
+    Each level's nodes are written, and what differs from pass to pass are array literals, so all passes of all levels
+    run the same few plans and their compiled code.
+    """
     keys = [F.col(f"k{i}") for i in range(dims)]
     leaves = [shards]
-    node: Column = F.lit(0)
+    at = rows.select("size", *keys, F.lit(0).alias("_node"))
     while any(n > 1 for n in leaves):
-        at = rows.withColumn("_node", node)
-        active = [i for i, n in enumerate(leaves) if n > 1]
         measures = [F.sum("size").alias("bytes")] + [f(k).alias(f"{n}{i}") for i, k in enumerate(keys) for n, f in (("low", F.min), ("high", F.max))]
-        told = {r["_node"]: r for r in at.where(F.col("_node").isin(active)).groupBy("_node").agg(*measures).collect()}
+        told = {r["_node"]: r for r in at.where(flags([n > 1 for n in leaves], F.col("_node"))).groupBy("_node").agg(*measures).collect()}
         dim, low, high, goal = ([-1] * len(leaves) for _ in range(4))
-        for i in active:
-            if r := told.get(i):  # an empty node splits anywhere
-                dim[i] = max(range(dims), key=lambda d: ((r[f"high{d}"] >> TIE_BITS) - (r[f"low{d}"] >> TIE_BITS), -d))
-                low[i], high[i] = r[f"low{dim[i]}"], r[f"high{dim[i]}"]
-                goal[i] = r["bytes"] * (leaves[i] // 2) // leaves[i]
+        for i, r in told.items():  # an empty node splits anywhere
+            dim[i] = max(range(dims), key=lambda d: ((r[f"high{d}"] >> TIE_BITS) - (r[f"low{d}"] >> TIE_BITS), -d))
+            low[i], high[i] = r[f"low{dim[i]}"], r[f"high{dim[i]}"]
+            goal[i] = r["bytes"] * (leaves[i] // 2) // leaves[i]
         cuts = medians(at, keys, dim, low, high, goal)
         left, after = [], []
         for n in leaves:
@@ -109,8 +112,9 @@ def grow(rows: DataFrame, tree: Tree, dims: int, shards: int) -> Tree:
         # A node that is done keeps all its rows on the left.
         level = ([max(d, 0) for d in dim], [c if n > 1 else 1 << 62 for c, n in zip(cuts, leaves, strict=True)], left)
         tree.levels.append(level)
-        node = Tree.child(node, keys, level)
         leaves = after
+        if any(n > 1 for n in leaves):
+            at = written(at.select("size", *keys, Tree.child(F.col("_node"), keys, level).alias("_node")), "nodes")
     tree.shards = list(range(len(leaves)))
     return tree
 
@@ -120,15 +124,15 @@ def medians(at: DataFrame, keys: list[Column], dim: list[int], low: list[int], h
     cuts, before = [0] * len(dim), [0] * len(dim)
     open_nodes = {i for i, d in enumerate(dim) if d >= 0}
     low, high = list(low), list(high)
+    node = F.col("_node")
     while open_nodes:
         width = [(h - x) // BINS + 1 for h, x in zip(high, low, strict=True)]
-        node = F.col("_node")
         key = F.get(F.array(*keys), F.get(numbers([max(d, 0) for d in dim]), node).cast("int"))
-        of = at.where(node.isin(sorted(open_nodes))).select("_node", "size", key.alias("_key"))
+        of = at.where(flags([i in open_nodes for i in range(len(dim))], node)).select("_node", "size", key.alias("_key"))
         of = of.where((F.col("_key") >= F.get(numbers(low), node)) & (F.col("_key") <= F.get(numbers(high), node)))
-        bins = of.groupBy("_node", F.expr("0").alias("_z"), F.floor((F.col("_key") - F.get(numbers(low), node)) / F.get(numbers(width), node)).alias("_bin"))
+        bins = of.groupBy("_node", F.floor((F.col("_key") - F.get(numbers(low), node)) / F.get(numbers(width), node)).alias("_bin"))
         bins = bins.agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
-        upto = Window.partitionBy("_node").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+        upto = Window.partitionBy("_node").orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)  # at most BINS rows
         bins = bins.withColumn("upto", F.sum("bytes").over(upto))
         need = F.get(numbers([g - b for g, b in zip(goal, before, strict=True)]), node)
         found = bins.where(F.col("upto") > need).groupBy("_node").agg(F.min(F.struct("_bin", "bytes", "rows", "upto")).alias("x"))
@@ -180,7 +184,7 @@ def assigned(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...]
     """One row for each row of `docs`: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     tree, rows = plan(docs, shards, dimensions, doc_id, text)
     keys = [F.col(c) for c in rows.columns if c[0] == "k"]
-    told = rows.select("doc_id", "size", "text_crc32", tree.shard(keys).alias("shard"))
+    told = tree.sharded(rows, keys).select("doc_id", "size", "text_crc32", "shard")
     out = slotted(told, rows.count(), shards, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
@@ -192,7 +196,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: t
     size, crc = text_bytes(F.col(text)), text_crc(F.col(text))
     metadata = [size.cast("double")] + [as_number(F.col(d), kinds[d]) for d in dimensions if d in kinds]
     keys = [k.cast("bigint") for k in tree.coordinates(metadata, F.xxhash64(F.col(doc_id), crc, size))]
-    docs.withColumn("shard", tree.shard(keys)).write.partitionBy("shard").parquet(path)
+    own = docs.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
+    own = tree.sharded(own, [F.col(f"_k{i}") for i in range(len(keys))]).drop(*(f"_k{i}" for i in range(len(keys))))
+    own.write.partitionBy("shard").parquet(path)
     return tree
 
 
