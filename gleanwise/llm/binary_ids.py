@@ -215,35 +215,42 @@ def read_file(path: str, decoding: np.ndarray) -> Iterator[tuple[int | None, np.
 
 
 def token_table(docs: DataFrame, path: str, end_id: int | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ids as little-endian bytes, of 16 bits if the vocabulary allows, as a written table."""
+    """doc_id and ids as little-endian bytes, of 16 bits if the vocabulary allows, as a written table.
+
+    Ids are counted as they are made: each task ends with a row without ids that has the counts of its ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        kind = "<u2" if max(own.tokenizer.get_vocab_size(), end_id or 0) < 1 << 16 else "<u4"
+        size = max(own.tokenizer.get_vocab_size(), (end_id or 0) + 1)
+        width = 2 if size <= 1 << 16 else 4
         end = own.pack([end_id]) if end_id is not None else b""
+        total = np.zeros(size, np.int64)
+        names = ["doc_id", "ids", "width", "counts"]
         for batch in small(batches):
-            ids = [np.frombuffer(own.encode(x.as_py()) + end, "<u4").astype(kind).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array([int(kind[2])] * len(ids), pa.int32())], ["doc_id", "ids", "width"])
+            ids = [np.frombuffer(own.encode(x.as_py()) + end, "<u4").astype(f"<u{width}") for x in batch.column(1)]
+            total += np.bincount(np.concatenate(ids), minlength=size)
+            n = len(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([width] * n, pa.int32()), pa.nulls(n, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([width], pa.int32()), pa.array([total.tobytes()], pa.binary())], names)
 
     rows = docs.select(F.col(doc_id).cast("bigint"), F.col(text))
-    return written(rows.mapInArrow(run, "doc_id bigint, ids binary, width int"), "ids")
+    return written(rows.mapInArrow(run, "doc_id bigint, ids binary, width int, counts binary"), "ids")
 
 
 def id_counts(tokens: DataFrame) -> np.ndarray:
-    """How often each id occurs in all documents; as long as the largest id, so bounded by the vocabulary."""
+    """How often each id occurs in all documents: the tasks' counts, summed by id; as long as the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for batch in small(batches, 512):
-            widths = batch.column(1).to_pylist()  # one width throughout the table
-            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), f"<u{widths[0]}")) if widths else total[:0]
-            if len(n) > len(total):
-                total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-            total[: len(n)] += n
+        for batch in batches:
+            for counts in batch.column(0):
+                n = np.frombuffer(counts.as_py(), np.int64)
+                total = total + n if len(total) else n
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total[ids], pa.int64())], ["id", "n"])
 
-    rows = tokens.select("ids", "width").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = tokens.where("counts IS NOT NULL").select("counts").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in rows), default=-1) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -258,7 +265,7 @@ def write(tokens: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:
     store.create_dir(name)
     put(f"{folder}/codebook.bin", [zlib.compress(lengths.tobytes())])
     parts = int(counts.sum()) // FILE_TOKENS + 1
-    ordered = tokens.withColumn("_tie", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
+    ordered = tokens.where("ids IS NOT NULL").drop("counts").withColumn("_tie", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, done = Writer(folder, TaskContext.get().partitionId(), lengths), []

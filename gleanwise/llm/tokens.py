@@ -83,14 +83,21 @@ class Encoder:
     def new_word(self, word: str) -> bytes:
         """Most new words are a plain word in other letters or before other signs: the letters are one pre-token, which
         the vocabulary's model takes in lower case and as symbols, and the signs another."""
-        plain = _PLAIN.fullmatch(word) if len(word) <= LONG_WORD else None
+        if word.isascii():
+            letters = word if word.isalpha() else word.rstrip(_SIGNS)
+            plain = letters.isalpha()
+        else:
+            found = _PLAIN.fullmatch(word) if len(word) <= LONG_WORD else None
+            plain, letters = found is not None, found and found[1]
         if not plain:
             return self.pack(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        letters, signs = plain[1].lower(), plain[2]
-        if letters != word:
-            return self.seen[letters] + self.seen[signs] if signs else self.seen[letters]
+        if len(letters) < len(word):
+            return self.seen[letters.lower()] + self.seen[word[len(letters) :]]
+        low = letters.lower()
+        if low != letters:
+            return self.seen[low]
         number = self.number
-        return b"".join([number[t.id] for t in self.tokenize(letters if letters.isascii() else letters.translate(self.symbols))])
+        return b"".join([number[t.id] for t in self.tokenize(low if low.isascii() else low.translate(self.symbols))])
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         return list(map(self.seen.__getitem__, words))
