@@ -24,6 +24,9 @@ from .common import SPACE, table, written
 #: Chunk sizes in characters.
 CHUNK_LEAST, CHUNK_MOST = 512, 8192
 
+#: Dropped rows are broadcast up to this number (about 100 bytes each).
+BROADCAST_DROPPED = 300_000
+
 #: Where a chunk may end: after a word with these last letters (about one word in eight).
 CHUNK_END = r"(?<=[aeioun][nrst]) "
 
@@ -96,6 +99,8 @@ def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     tied = rows.where("kept AND group_size > 1").groupBy("doc_id", "text_sha256").count().where("count > 1")
     keyed = docs.withColumn("_sha", F.sha2(normal_text(F.col(text)), 256))
     dropped = dropped.toDF("_id", "_of")
+    if dropped.count() <= BROADCAST_DROPPED:
+        dropped = F.broadcast(dropped)
     left = keyed.join(dropped, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_of")), "left_anti")
     if not tied.isEmpty():
         tied = tied.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_of"))
