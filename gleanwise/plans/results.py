@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import urls as U
 from ..operators import results as R
 from ..sources import views as V
 from .catalogue import query
