@@ -37,6 +37,9 @@ _PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([" + re.escape(_SIG
 #: A text of nothing but Latin letters, digits, white space and signs: its lower case has the same ids and fewer words.
 _SIMPLE = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff0-9\s!-/:-@\[-`{-~]*", re.ASCII)
 
+#: A run of signs other than the apostrophe: without apostrophes in the text, a pre-token of its own.
+_SIGN_RUN = re.compile(r"[!-&(-/:-@\[-`{-~]+")
+
 
 class _Words(dict):
     """Words with their ids; a new word is looked up as it is asked for.
@@ -107,6 +110,8 @@ class Encoder:
             return b""
         if "<|" not in text and _SIMPLE.fullmatch(text):  # "<|" may begin a special token
             text = text.lower()
+            if "'" not in text:
+                text = _SIGN_RUN.sub(r" \g<0>", text)  # fewer words: none differ by their signs alone
         return b"".join(map(self.seen.__getitem__, words_of(text)))
 
 
