@@ -50,11 +50,11 @@ SCOPE = frozenset("ul ol dl table select article section div nav aside main body
 NOT_TAGS = frozenset("head nav footer aside form button select dialog menu script style noscript template".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 NOT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|sidebar\w*|side|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|disqus|repl(?:y|ies)|respond|paginat\w*|pager|login|search|toolbar|skip|hidden)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|sidebar\w*|side|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|disqus|repl(?:y|ies)|respond|paginat\w*|pager|login|search|toolbar|skip|hidden)(?:$|[\s_-])",
     re.I,
 )
 
-NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|repl(?:y|ies)|respond|related|teasers?)(?:$|[\s_-])", re.I)
+NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:comments?|comment(?:list|box|area|section|form|thread|er)s?|disqus|repl(?:y|ies)|respond|related|teasers?)(?:$|[\s_-])", re.I)
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
