@@ -12,6 +12,12 @@ from ..functions import text as T
 from ..functions import urls as U
 
 
+def per_engine(answers: DataFrame, k: int) -> DataFrame:
+    """The first `k` rows of each engine's answer."""
+    place = F.row_number().over(Window.partitionBy("query", "engine").orderBy("rank", "url"))
+    return answers.withColumn("_k", place).where(F.col("_k") <= k).drop("_k")
+
+
 def sweep(answers: DataFrame, n: int, least_engines: int | None = None) -> DataFrame:
     """query, pos, engine, new_links, before, asked: engines are asked in order until `n` links are together.
 

@@ -34,6 +34,12 @@ def sweep_corroborate(spark: SparkSession, d: str) -> DataFrame:
     return R.sweep(V.responses(spark, d), N, least_engines=3)
 
 
+@query(f"WITH {RESPONSES.replace('rank <= 10', 'rank <= 4')}, {_SWEEP} SELECT *, before < {N} AS asked FROM steps")
+def sweep_per_engine(spark: SparkSession, d: str) -> DataFrame:
+    """The sweep where each engine is asked for four links."""
+    return R.sweep(R.per_engine(V.responses(spark, d), 4), N)
+
+
 _RESULTS = f"""
 got AS (SELECT r.* FROM responses r JOIN steps s ON s.query = r.query AND s.pos = r.pos WHERE before < {N}),
 merged AS (SELECT query, url, min(pos * 1000 + rank) AS came, string_agg(DISTINCT engine, ',' ORDER BY engine) AS via FROM got GROUP BY ALL),
