@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .observe import DEAD_ZONE
@@ -12,25 +15,30 @@ LEDGER = "ts bigint, provider string, model string, `in` bigint, `out` bigint, c
 
 
 def paced(requests: DataFrame, key: str, interval: int, tie: str = "id") -> DataFrame:
-    """`requests` with `admitted`: at least `interval` seconds after the key's last admitted one.
+    """key, tie and `admitted`: at least `interval` seconds after the key's last admitted request.
 
     A request that comes `interval` after the one before it is always admitted, as the last admitted one is no later; so
-    bursts between such pauses are walked on their own, each in order, and a busy key is never gathered whole.
+    bursts between such pauses are walked on their own, and those of a busy key by many tasks. A walk reads its rows in
+    order and remembers one time, so it gathers nothing, however long the burst.
     """
     order = Window.partitionBy(key).orderBy("ts", tie)
     starts = F.coalesce(F.col("ts") - F.lag("ts").over(order) >= interval, F.lit(True))
-    rows = requests.withColumn("_starts", starts.cast("int"))
+    rows = requests.select(key, "ts", tie).withColumn("_starts", starts.cast("int"))
     rows = rows.withColumn("_burst", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    bursts = rows.groupBy(key, "_burst").agg(F.sort_array(F.collect_list(F.struct("ts", tie))).alias("_r"))
-    none = F.array().cast("array<struct<tie:bigint,admitted:boolean>>")
-
-    def step(state: Column, r: Column) -> Column:
-        ok = state["last"].isNull() | (r["ts"] - state["last"] >= interval)
-        one = F.struct(r[tie].cast("bigint").alias("tie"), F.coalesce(ok, F.lit(True)).alias("admitted"))
-        return F.struct(F.when(ok, r["ts"]).otherwise(state["last"]).alias("last"), F.array_append(state["out"], one).alias("out"))
-
-    told = F.aggregate("_r", F.struct(F.lit(None).cast("bigint").alias("last"), none.alias("out")), step)["out"]
-    return bursts.select(key, F.explode(told).alias("x")).select(key, F.col("x.tie").alias(tie), "x.admitted")
+    kinds = dict(rows.dtypes)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            admitted = []
+            for start, ts in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ok = bool(start) or ts - last >= interval
+                last = ts if ok else last
+                admitted.append(ok)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(admitted, pa.bool_())], [key, tie, "admitted"])
+
+    dealt = rows.repartition(key, "_burst").sortWithinPartitions(key, "_burst", "ts", tie).select(key, "ts", tie, "_starts")
+    return dealt.mapInArrow(walk, f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, admitted boolean")
 
 
 def cache_replay(requests: DataFrame, key: str, ttl: int, tie: str = "id") -> DataFrame:
