@@ -25,13 +25,13 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import let, table, written
 
 #: Shards and bytes that each row counts besides its text; the query's dimensions.
 SHARDS, ROW_BYTES, DIMENSIONS = 40, 16, ("n_chars", "source", "lang")
 
 #: Bits of a coordinate from the dimension and from the hash; bins in a pass; rows in a block of slots.
-PLACE_BITS, TIE_BITS, BINS, BLOCK_ROWS = 26, 22, 4096, 4096
+PLACE_BITS, TIE_BITS, BINS, BLOCK_ROWS = 26, 22, 256, 4096
 
 
 def text_bytes(text: Column) -> Column:
@@ -75,27 +75,28 @@ class Tree:
         key = F.get(F.array(*keys), F.get(numbers(dims), node).cast("int"))
         return (F.get(numbers(left), node) + F.when(key >= F.get(numbers(cuts), node), 1).otherwise(0)).cast("int")
 
-    def sharded(self, rows: DataFrame, keys: list[Column]) -> DataFrame:
-        """`rows` with `shard`. Each level is a projection of its own, as it uses the node of the level before three times."""
-        out = rows.withColumn("_node", F.lit(0))
+    def shard(self, keys: list[Column]) -> Column:
+        """The shard as one expression. `let` computes each level's node once; the plain form would double with each level."""
+        below = lambda level: lambda n: self.child(n, keys, level)
+        node = F.lit(0)
         for level in self.levels:
-            out = out.withColumn("_node", self.child(F.col("_node"), keys, level))
-        return out.withColumn("shard", F.get(numbers(self.shards), F.col("_node")).cast("int")).drop("_node")
+            node = let(node, below(level))
+        return F.get(numbers(self.shards), node).cast("int")
 
 
 def flags(values: list[bool], node: Column) -> Column:
     return F.get(F.array(*(F.lit(v) for v in values)), node)
 
 
-def grow(rows: DataFrame, tree: Tree, dims: int, shards: int) -> Tree:
-    """The tree for a written table with the coordinates k0, k1, ... and `size`.
+def grow(rows: DataFrame, tree: Tree, dims: int, shards: int) -> DataFrame:
+    """Grows the tree for a written table with the coordinates k0, k1, ... and `size`; gives its rows with `shard`.
 
     Each level's nodes are written, and what differs from pass to pass are array literals, so all passes of all levels
     run the same few plans and their compiled code.
     """
     keys = [F.col(f"k{i}") for i in range(dims)]
     leaves = [shards]
-    at = rows.select("size", *keys, F.lit(0).alias("_node"))
+    at = rows.withColumn("_node", F.lit(0))
     while any(n > 1 for n in leaves):
         measures = [F.sum("size").alias("bytes")] + [f(k).alias(f"{n}{i}") for i, k in enumerate(keys) for n, f in (("low", F.min), ("high", F.max))]
         told = {r["_node"]: r for r in at.where(flags([n > 1 for n in leaves], F.col("_node"))).groupBy("_node").agg(*measures).collect()}
@@ -113,10 +114,9 @@ def grow(rows: DataFrame, tree: Tree, dims: int, shards: int) -> Tree:
         level = ([max(d, 0) for d in dim], [c if n > 1 else 1 << 62 for c, n in zip(cuts, leaves, strict=True)], left)
         tree.levels.append(level)
         leaves = after
-        if any(n > 1 for n in leaves):
-            at = written(at.select("size", *keys, Tree.child(F.col("_node"), keys, level).alias("_node")), "nodes")
+        at = written(at.withColumn("_node", Tree.child(F.col("_node"), keys, level)), "nodes")
     tree.shards = list(range(len(leaves)))
-    return tree
+    return at.withColumn("shard", F.get(numbers(tree.shards), F.col("_node")).cast("int"))
 
 
 def medians(at: DataFrame, keys: list[Column], dim: list[int], low: list[int], high: list[int], goal: list[int]) -> list[int]:
@@ -164,7 +164,7 @@ def slotted(rows: DataFrame, total: int, shards: int, order: list[str]) -> DataF
 
 
 def plan(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, doc_id: str = "doc_id", text: str = "text") -> tuple[Tree, DataFrame]:
-    """The tree for `docs`, and the written table of its rows: doc_id, size, text_crc32, k0, k1, ..."""
+    """The tree for `docs`, and the table of its rows: doc_id, size, text_crc32, shard."""
     kinds = dict(docs.dtypes)
     names = [d for d in dimensions if d in kinds]
     metadata = [as_number(F.col(d), kinds[d]) for d in names]
@@ -177,15 +177,13 @@ def plan(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DI
     tree = Tree([(ends[f"a{i}"] or 0.0, ends[f"b{i}"] or 0.0) for i in range(len(metadata))])
     keys = tree.coordinates(metadata, F.xxhash64("doc_id", "text_crc32", "size"))
     rows = written(narrow.select("doc_id", "size", "text_crc32", *(k.cast("bigint").alias(f"k{i}") for i, k in enumerate(keys))), "coordinates")
-    return grow(rows, tree, len(keys), shards), rows
+    return tree, grow(rows, tree, len(keys), shards).select("doc_id", "size", "text_crc32", "shard")
 
 
 def assigned(docs: DataFrame, shards: int = SHARDS, dimensions: tuple[str, ...] = DIMENSIONS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
-    tree, rows = plan(docs, shards, dimensions, doc_id, text)
-    keys = [F.col(c) for c in rows.columns if c[0] == "k"]
-    told = tree.sharded(rows, keys).select("doc_id", "size", "text_crc32", "shard")
-    out = slotted(told, rows.count(), shards, ["doc_id", "text_crc32", "size"])
+    _, rows = plan(docs, shards, dimensions, doc_id, text)
+    out = slotted(rows, rows.count(), shards, ["doc_id", "text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -196,9 +194,9 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, dimensions: t
     size, crc = text_bytes(F.col(text)), text_crc(F.col(text))
     metadata = [size.cast("double")] + [as_number(F.col(d), kinds[d]) for d in dimensions if d in kinds]
     keys = [k.cast("bigint") for k in tree.coordinates(metadata, F.xxhash64(F.col(doc_id), crc, size))]
-    own = docs.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
-    own = tree.sharded(own, [F.col(f"_k{i}") for i in range(len(keys))]).drop(*(f"_k{i}" for i in range(len(keys))))
-    own.write.partitionBy("shard").parquet(path)
+    names = [f"_k{i}" for i in range(len(keys))]
+    own = docs.withColumns(dict(zip(names, keys, strict=True)))
+    own.withColumn("shard", tree.shard([F.col(n) for n in names])).drop(*names).write.partitionBy("shard").parquet(path)
     return tree
 
 

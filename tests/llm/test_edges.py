@@ -167,6 +167,15 @@ def test_quality_on_labels(spark):
     assert n.get((1, False), 0) <= 0.02 * n[(1, True)] and n.get((0, True), 0) <= 0.1 * n[(0, False)]
 
 
+def test_posteriors_tell_kinds_of_junk():
+    """Two unlike kinds of junk, one common and one rare, both are junk; a rare false alarm among good votes is told apart by its rate."""
+    code = lambda *votes: sum(v * 3**i for i, v in enumerate(votes))
+    counts = {code(0, 0, 1): 9000, code(2, 0, 1): 700, code(0, 2, 0): 60, code(0, 2, 2): 240}
+    good = quality.posteriors(counts, 3)
+    assert good[code(0, 0, 1)] > 0.95 and max(good[p] for p in counts if p != code(0, 0, 1)) < 0.5
+    assert quality.posteriors({}, 3) == {} and quality.posteriors({code(0, 0, 1): 5}, 3)[code(0, 0, 1)] > 0.5
+
+
 def test_sharding(docs, none):
     rows = sharding.assigned(docs, shards=7).collect()
     sizes, slots = Counter(), defaultdict(list)
