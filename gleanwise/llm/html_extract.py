@@ -57,7 +57,8 @@ NOT_WORDS = re.compile(
 NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:comments?|comment(?:list|box|area|section|form|thread|er)s?|disqus|repl(?:y|ies)|respond|related|teasers?)(?:$|[\s_-])", re.I)
 
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: One attribute: its name and value. Values are consumed with their names, so words within them are never names.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s"'>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
 #: How surely an element is not the article: by role or comment words, by a frame's tag, by other words or as a form.

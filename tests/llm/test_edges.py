@@ -475,3 +475,10 @@ def test_tree_matching_is_best():
         html_extract.shaped(a, shapes)
         html_extract.shaped(b, shapes)
         assert html_extract.Matcher().score(a, b) == plain(a, b)
+
+
+@pytest.mark.parametrize("tag", ["<article style='overflow: hidden'>", '<main title="The hidden gems">', "<article data-x=' class=comments '>", "<article data-role = ' role=alert id=related'>", "<article hidden-xs>"])
+def test_html_names_only_at_attribute_positions(tag):
+    """Words within the value of another attribute are no attributes."""
+    assert html_extract.extract_block([f"<body>{tag}<p>whole article</body>"])[0] == ["whole article"]
+    assert html_extract.extract_block([f"<body><article>a<div title='x'hidden>no</div><div HIDDEN>no</div><div x=1 Role=alert>no</div></article>"])[0] == ["a"]
