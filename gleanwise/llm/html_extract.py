@@ -8,9 +8,8 @@ whose text is the same in most pages that have it is template; nodes with varyin
 not know, are slots. A page's text is its slots, in page order.
 
 Some slots vary and still are not the article: menus, footers, adverts, comments. Their elements say so, by tag, role,
-class or id, and are left out. If a page has article or main elements, only slots within them count; else those in the
-element that holds most of the text. Within an article a node is template only if many pages with other articles agree,
-so copies of an article do not erase it.
+class or id, and are left out. If a page has article or main elements, only slots within them count; else all do. Within
+an article a node is template only if many pages with other articles agree, so copies of an article do not erase it.
 
 Defined results: null, empty or tagless html and html without article text give the empty text (html without any tag
 gives its text). A page alone on its host has no wrapper: its roles decide. Broken markup: unclosed elements end where
@@ -303,30 +302,10 @@ def article_text(root: Element) -> tuple[str, ...]:
 
 
 def main_texts(root: Element, template: set[int]) -> list[str]:
-    """The slots that are the article."""
+    """The slots that are the article: those in article or main elements; without such slots, all."""
     slots = [x for x in texts(root) if id(x) not in template]
     inside = [x for x in slots if in_article(x)]
-    if inside or not slots:
-        return [x.text for x in inside]
-    # Without article or main: down to the element that still holds most of the text.
-    mass: dict[int, int] = {}
-    for x in slots:
-        node = x
-        while node is not None:
-            mass[id(node)] = mass.get(id(node), 0) + len(x.text)
-            node = node.parent
-    node, total = root, mass[id(root)]
-    while step := next((c for c in node.children if c.tag != "#text" and mass.get(id(c), 0) >= 0.8 * total), None):
-        node = step
-    held = {id(node)}
-    out = []
-    for x in slots:
-        up = x
-        while up is not None and id(up) not in held:
-            up = up.parent
-        if up is not None:
-            out.append(x.text)
-    return out
+    return [x.text for x in inside or slots]
 
 
 def extract_block(pages: list[str], wrapper: Wrapper | None = None) -> tuple[list[str], Wrapper | None]:

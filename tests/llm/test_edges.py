@@ -482,3 +482,12 @@ def test_html_names_only_at_attribute_positions(tag):
     """Words within the value of another attribute are no attributes."""
     assert html_extract.extract_block([f"<body>{tag}<p>whole article</body>"])[0] == ["whole article"]
     assert html_extract.extract_block([f"<body><article>a<div title='x'hidden>no</div><div HIDDEN>no</div><div x=1 Role=alert>no</div></article>"])[0] == ["a"]
+
+
+def test_html_without_article_keeps_all_slots():
+    """Without article and main, a long paragraph does not drop the title or short paragraphs beside it."""
+    long = "one long paragraph " * 30
+    shorts = [f"short {i}" for i in range(5)]
+    pages = [f"<body><h1>Title</h1><p>{long}</body>", f"<body><nav>menu</nav><div><p>{long}<p>{'<p>'.join(shorts)}</div><div>after<blockquote>quote</blockquote></div></body>"]
+    assert html_extract.extract_block(pages[:1])[0] == [f"Title {long.strip()}"]
+    assert html_extract.extract_block(pages[1:])[0] == [" ".join([long.strip(), *shorts, "after", "quote"])]
