@@ -8,8 +8,9 @@ whose text is the same in most pages that have it is template; nodes with varyin
 not know, are slots. A page's text is its slots, in page order.
 
 Some slots vary and still are not the article: menus, footers, adverts, comments. Their elements say so, by tag, role,
-class or id, and are left out. If a page has article or main elements, only slots within them count; else all do. Within
-an article a node is template only if many pages with other articles agree, so copies of an article do not erase it.
+class or id, and are left out; a class or id alone does not leave out what holds most of the page's text. If a page has
+article or main elements, only slots within them count; else all do. Within an article a node is template only if many
+pages with other articles agree, so copies of an article do not erase it.
 
 Defined results: null, empty or tagless html and html without article text give the empty text (html without any tag
 gives its text). A page alone on its host has no wrapper: its roles decide. Broken markup: unclosed elements end where
@@ -55,6 +56,12 @@ NOT_WORDS = re.compile(
 
 NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:comments?|comment(?:list|box|area|section|form|thread|er)s?|disqus|repl(?:y|ies)|respond|related|teasers?)(?:$|[\s_-])", re.I)
 
+#: Words that a class or id says the element comes with or without: they do not name it.
+BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:with|without|no|not|has)[_-]+)+[^\s_-]+", re.I)
+
+#: A class or id of just such a word: a comment section even if it is long.
+ONLY_NOT_CONTENT = re.compile(r"(?:^|\s)(?:comments?|comment-?(?:list|box|area|section|form|thread|er)s?|disqus|repl(?:y|ies)|respond|related|teasers?)(?:$|\s)", re.I)
+
 _TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
 #: One attribute: its name and value. Values are consumed with their names, so words within them are never names.
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s"'>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -70,12 +77,12 @@ MOST_DEPTH = 200
 class Element:
     """A block element: its label, children in order (elements and texts), how surely it is not the article."""
 
-    __slots__ = ("tag", "label", "children", "parent", "kind", "shape", "size", "text", "closed", "has_article")
+    __slots__ = ("tag", "label", "children", "parent", "kind", "name", "shape", "size", "text", "closed", "has_article")
 
     def __init__(self, tag: str, label: str, parent: Element | None, kind: int):
         self.tag, self.label, self.parent, self.kind = tag, label, parent, kind
         self.children: list[Element] = []
-        self.text = ""
+        self.text = self.name = ""
         self.closed = self.has_article = False
 
     @property
@@ -84,24 +91,55 @@ class Element:
         return self.kind == HARD or self.kind and not (self.has_article and (self.kind == SOFT or not self.closed))
 
 
-def kind_of(tag: str, found: dict[str, str], open_tags: list[Element]) -> int:
-    """How surely an element with these attributes is not the article."""
+def kind_of(tag: str, found: dict[str, str], open_tags: list[Element]) -> tuple[int, str]:
+    """How surely an element with these attributes is not the article, and its class and id if only they say so."""
     if found.get("role", "").lower() in NOT_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return HARD
-    named = f"{found.get('class', '')} {found.get('id', '')}".strip()
-    if named and tag not in ("html", "body", "main") and NOT_CONTENT.search(named):
-        return HARD
+        return HARD, ""
+    named = BESIDE.sub("", f"{found.get('class', '')} {found.get('id', '')}").strip()
+    sure = named and tag not in ("html", "body", "main") and NOT_CONTENT.search(named)
     if tag == "header":
-        return 0 if any(x.tag in ("article", "main") for x in open_tags) else FRAME
-    if tag in NOT_TAGS:
-        return SOFT if tag == "form" else FRAME
-    return SOFT if named and tag not in ("html", "body", "main", "article") and NOT_WORDS.search(named) else 0
+        kind = 0 if any(x.tag in ("article", "main") for x in open_tags) else FRAME
+    else:
+        kind = (SOFT if tag == "form" else FRAME) if tag in NOT_TAGS else 0
+    if kind or not named:
+        return HARD if sure else kind, ""
+    if sure:
+        return HARD, named
+    return (SOFT, named) if tag not in ("html", "body", "main", "article") and NOT_WORDS.search(named) else (0, "")
+
+
+def marked(root: Element, named: list[Element]) -> None:
+    """Takes back what names alone say of elements that hold most of the page's text.
+
+    Text that roles or tags leave out does not count. A page with another article says itself where its article is: there
+    only articles and elements within them are taken back, and not those named just comments or the like.
+    """
+    mass: dict[int, int] = {}
+    articles: dict[int, int] = {}
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if not node.noise or node.name or node.kind == SOFT:
+            order.append(node)
+            stack.extend(node.children)
+    for node in reversed(order):
+        mass[id(node)] = len(node.text) + sum(mass.get(id(c), 0) for c in node.children)
+        articles[id(node)] = (node.tag in ("article", "main") and not node.kind) + sum(articles.get(id(c), 0) for c in node.children)
+    for node in named:
+        if 2 * mass.get(id(node), 0) > mass[id(root)] and (
+            articles[id(node)] == articles[id(root)] or in_article(node) and not ONLY_NOT_CONTENT.search(node.name)
+        ):
+            node.kind = 0
+            up = node.parent if node.tag == "article" else None
+            while up is not None:
+                up.has_article, up = True, up.parent
 
 
 def parsed(html: str) -> Element:
     """The page's tree. Text directly in an element becomes children of it that are labelled #text, one for each run between block elements."""
     root = node = Element("#root", "#root", None, 0)
     open_tags = [root]
+    named: list[Element] = []
     run: list[str] = []
 
     def flush() -> None:
@@ -163,7 +201,11 @@ def parsed(html: str) -> Element:
                     break
         node = open_tags[-1]
         found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
-        own = Element(tag, f"{tag}.{found.get('class', '')}", node, kind_of(tag, found, open_tags))
+        kind, name = kind_of(tag, found, open_tags)
+        own = Element(tag, f"{tag}.{found.get('class', '')}", node, kind)
+        if name:
+            own.name = name
+            named.append(own)
         if len(open_tags) > MOST_DEPTH:
             own.children = node.children
         else:
@@ -175,6 +217,8 @@ def parsed(html: str) -> Element:
             open_tags.append(own)
             node = own
     flush()
+    if named:
+        marked(root, named)
     return root
 
 

@@ -491,3 +491,24 @@ def test_html_without_article_keeps_all_slots():
     pages = [f"<body><h1>Title</h1><p>{long}</body>", f"<body><nav>menu</nav><div><p>{long}<p>{'<p>'.join(shorts)}</div><div>after<blockquote>quote</blockquote></div></body>"]
     assert html_extract.extract_block(pages[:1])[0] == [f"Title {long.strip()}"]
     assert html_extract.extract_block(pages[1:])[0] == [" ".join([long.strip(), *shorts, "after", "quote"])]
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<div class='content with-sidebar'>whole text</div>", "whole text"),
+        ("<div class='no-sidebar'>whole text</div><div class='has-header'>and more</div>", "whole text and more"),
+        ("<article class='post no-comments'>whole text</article>", "whole text"),
+        ("<div class='has-related'><article>whole text</article></div>", "whole text"),
+        ("<div class='sidebar-layout'><p>the longer text</p><div class='sidebar'>side</div></div>", "the longer text"),
+        ("<div class='comments-open'><article>whole text</article></div>", "whole text"),
+        ("<form><article id='comments-open'>whole text</article></form>", "whole text"),
+        ("<article>a<div class='related-story'>the longer text</div></article>", "a the longer text"),
+        ("<article>a</article><div class='comments'><article>the longer text</article></div>", "a"),
+        ("<article>a<div class='comments'>the longer text</div></article>", "a"),
+        ("<article></article><div class='ad'>the longer text</div>", ""),
+        ("<p>the longer text</p><div class='has-no-ad sidebar'>side</div><nav class='no-menu'>much longer than all of that</nav>", "the longer text"),
+    ],
+)
+def test_html_names_of_what_holds_the_text(html, text):
+    assert html_extract.extract_block([html])[0] == [text]
