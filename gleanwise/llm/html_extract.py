@@ -10,7 +10,8 @@ not know, are slots. A page's text is its slots, in page order.
 Some slots vary and still are not the article: menus, footers, adverts, comments. Their elements say so, by tag, role,
 class or id, and are left out; a class or id alone does not leave out what holds most of the page's text. If a page has
 article or main elements, only slots within them count; else all do. Within an article a node is template only if many
-pages with other articles agree, so copies of an article do not erase it.
+pages agree. Only clearly different articles are counted, each once, so copies of an article, with other dates, counts or
+sidebars too, do not erase it.
 
 Defined results: null, empty or tagless html and html without article text give the empty text (html without any tag
 gives its text). A page alone on its host has no wrapper: its roles decide. Broken markup: unclosed elements end where
@@ -34,6 +35,9 @@ from .url_filter import host_of
 #: Pages and characters in a block; share of agreeing pages for template outside and inside an article, and at least so many.
 BLOCK_PAGES, BLOCK_CHARS, AGREE, AGREE_INSIDE, LEAST_PAGES, LEAST_INSIDE = 64, 4_000_000, 0.6, 0.9, 2, 8
 
+#: Characters from which a text is prose, and share of the smaller of two pages' texts from which they are copies.
+PROSE, COPY = 100, 0.43
+
 #: Fixed values of HTML: elements without content, of raw text, inline, and those that a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas video audio".split())
@@ -310,18 +314,51 @@ def texts(root: Element) -> Iterator[Element]:
         stack.extend(reversed(node.children))
 
 
+class Articles:
+    """The clearly different articles among some pages: pages that share much of their prose, word by word, are copies.
+
+    Pages without prose are compared by their whole texts.
+    """
+
+    def __init__(self):
+        self.sizes: list[int] = []
+        self.holders: dict[int | str, list[int]] = {}
+
+    def is_new(self, page: Element) -> bool:
+        """Whether the page's article is none of those before; it is one of them from now on."""
+        told = article_text(page)
+        parts: dict[int | str, int] = {}
+        for words in (x.split() for x in told if len(x) >= PROSE):
+            parts.update(dict.fromkeys(map(hash, zip(words, words[1:], words[2:])) if len(words) > 2 else words, 1))
+        parts = parts or {x: len(x) for x in told}
+        if not parts:
+            return False
+        size = sum(parts.values())
+        shared = [0] * len(self.sizes)
+        for part, weight in parts.items():
+            for i in self.holders.get(part, ()):
+                shared[i] += weight
+        if any(n >= COPY * min(size, m) for n, m in zip(shared, self.sizes, strict=True)):
+            return False
+        for part in parts:
+            self.holders.setdefault(part, []).append(len(self.sizes))
+        self.sizes.append(size)
+        return True
+
+
 class Wrapper:
     """One page's tree with how many pages agree at each of its texts."""
 
     def __init__(self, seed: Element, matcher: Matcher):
         self.seed, self.matcher = seed, matcher
-        self.article = article_text(seed)
+        self.articles = Articles()
+        self.articles.is_new(seed)
         self.seen: dict[int, list[int]] = {}
         self.inside = {id(x): in_article(x) for x in texts(seed)}
 
     def learn(self, page: Element) -> None:
-        """Counts where the page agrees; a copy of the wrapper's own article tells nothing."""
-        if article_text(page) == self.article:
+        """Counts where the page agrees; a copy of the wrapper's own article, or of one that was counted, tells nothing."""
+        if not self.articles.is_new(page):
             return
         for a, b in self.matcher.pairs(self.seed, page):
             if a.tag == "#text":

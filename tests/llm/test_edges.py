@@ -512,3 +512,19 @@ def test_html_without_article_keeps_all_slots():
 )
 def test_html_names_of_what_holds_the_text(html, text):
     assert html_extract.extract_block([html])[0] == [text]
+
+
+def test_html_copies_do_not_erase_their_article():
+    """Copies that differ in a count, a date or a sidebar are no other articles, within articles and without."""
+    prose = [" ".join(f"{w}{k}" for w in PROSE.split()[60 * k : 60 * k + 60]) for k in range(4)]
+    assert html_extract.extract_block([f"<p>same article</p><p>Viewed {i} times</p>" for i in range(3)])[0] == [f"same article Viewed {i} times" for i in range(3)]
+    for tag, n in (("section", 5), ("article", 40)):
+        pages = [f"<{tag}><p>{prose[0]}</p><p>{prose[1]} seen on day {i}</p><p>{prose[2]}</p></{tag}><div><p>teaser {i} of another story</p></div>" for i in range(n)]
+        got = html_extract.extract_block(pages)[0]
+        assert all(text.startswith(f"{prose[0]} {prose[1]} seen on day {i} {prose[2]}") for i, text in enumerate(got))
+    # Neither do many copies of one other article make template of a passage that both quote; different articles do.
+    quote = "a passage that all of them quote"
+    pages = [f"<article><p>{quote}</p><p>{prose[3]}</p></article>", *(f"<article><p>{quote}</p><p>{prose[0]} {i}</p></article>" for i in range(20))]
+    assert html_extract.extract_block(pages)[0][0] == f"{quote} {prose[3]}"
+    others = [" ".join(f"{w}x{i}" for w in PROSE.split()[:40]) for i in range(12)]
+    assert html_extract.extract_block([f"<article><p>{quote}</p><p>{x}</p></article>" for x in others])[0] == others
