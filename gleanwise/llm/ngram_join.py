@@ -24,7 +24,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import components, spread_join
@@ -110,7 +110,8 @@ def set_digest(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (digest of the set; null without words), shingles, bands."""
+    """doc_id, node (digest of the set; null without words), shingles, bands; further columns of `docs` (bigint) as they are."""
+    more = docs.columns[2:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -121,11 +122,11 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 sizes.append(len(own))
                 hashes.append(band_hashes(own, bands, rows) if len(own) else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
-                ["doc_id", "node", "shingles", "bands"],
+                [batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), *batch.columns[2:]],
+                ["doc_id", "node", "shingles", "bands", *more],
             )
 
-    return docs.mapInArrow(run, "doc_id bigint, node binary, shingles bigint, bands array<bigint>")
+    return docs.mapInArrow(run, ", ".join(["doc_id bigint, node binary, shingles bigint, bands array<bigint>", *(f"{c} bigint" for c in more)]))
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -199,13 +200,23 @@ def checked(rows: DataFrame, least: float) -> DataFrame:
     return dealt.mapInArrow(run, "node binary, links bigint, root binary")
 
 
-def joined(docs: DataFrame, words: int = WORDS, least: float = LEAST, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of `docs`: doc_id, class_id (smallest doc_id of its group), n_links (other documents at least `least` alike)."""
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A row's 64-bit key: rows with equal doc_id (null too) and text share it."""
+    return F.xxhash64(doc_id.cast("bigint"), text)
+
+
+def grouped(docs: DataFrame, words: int, least: float, recall: float, doc_id: str, text: str, keyed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """doc_id and node for each row of `docs`; node, class_id and n_links for each node.
+
+    If `keyed`, rows have their key, and nodes `best` (the first of their group's rows by doc_id, null last, then key) and `rows` of their group.
+    """
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    told_rows = narrow.withColumn("key", row_key(F.col("doc_id"), F.col("text"))) if keyed else narrow
     bands, rows = bands_for(least, recall)
-    signed = written(signatures(narrow, words, bands, rows), "signatures")
+    signed = written(signatures(told_rows, words, bands, rows), "signatures")
+    best = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best")] if keyed else []
     classes = signed.where("node IS NOT NULL").groupBy("node")
-    classes = written(classes.agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.max("shingles").alias("shingles"), F.first("bands").alias("bands")), "classes")
+    classes = written(classes.agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"), F.max("shingles").alias("shingles"), F.first("bands").alias("bands"), *best), "classes")
     placed = classes.select("node", F.explode("bands").alias("bucket"))
     hubs = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("bucket", "hub")
     linked = spread_join(placed, hubs, "bucket").select("node", "hub").distinct()
@@ -227,21 +238,42 @@ def joined(docs: DataFrame, words: int = WORDS, least: float = LEAST, recall: fl
     found = written(checked(pairs, least), "links")
     groups = components(found.where("node <> root"), "node", "root").select("node", F.col("component").alias("group"))
     last = F.lit((1 << 63) - 1)
-    told = classes.select("node", "first_id", "size").join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    smallest = told.groupBy("group").agg(F.min(F.coalesce("first_id", last)).alias("class_id"))
-    told = spread_join(told, smallest, "group").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
-    told = told.select("node", F.when(F.col("class_id") != last, F.col("class_id")).alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return spread_join(signed.select("doc_id", "node"), told, "node", "left").select(
+    more = ["best"] if keyed else []
+    told = classes.select("node", "first_id", "size", *more).join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    of_group = [F.min("best").alias("best"), F.sum("size").alias("rows")] if keyed else []
+    smallest = told.groupBy("group").agg(F.min(F.coalesce("first_id", last)).alias("class_id"), *of_group)
+    told = spread_join(told.drop(*more), smallest, "group").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+    more = ["best", "rows"] if keyed else []
+    told = told.select("node", F.when(F.col("class_id") != last, F.col("class_id")).alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), *more)
+    return signed.select("doc_id", "node", *(["key"] if keyed else [])), told
+
+
+def joined(docs: DataFrame, words: int = WORDS, least: float = LEAST, recall: float = RECALL, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of `docs`: doc_id, class_id (smallest doc_id of its group), n_links (other documents at least `least` alike)."""
+    signed, told = grouped(docs, words, least, recall, doc_id, text)
+    return spread_join(signed, told, "node", "left").select(
         "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one document of each group, the one with the smallest doc_id."""
-    dropped = written(joined(docs, doc_id=doc_id, text=text).where("doc_id <> class_id").select(F.col("doc_id").alias("_dropped")).distinct(), "dropped")
+    """`docs` with one row of each group, the one with the smallest doc_id (null comes last).
+
+    Rows are told apart by doc_id and text, not by doc_id alone; of rows that tie in both, one stays. Texts without words are groups of their own and stay.
+    """
+    signed, told = grouped(docs, WORDS, LEAST, RECALL, doc_id, text, keyed=True)
+    rows = written(spread_join(signed.where("node IS NOT NULL"), told.where("rows > 1").select("node", "best"), "node").select("key", (F.col("key") == F.col("best.key")).alias("kept")), "groups")
+    tied = rows.where("kept").groupBy(F.col("key").alias("_tied")).count().where("count > 1").select("_tied")
+    dropped = rows.where("NOT kept").select(F.col("key").alias("_dropped")).distinct()
     if dropped.count() <= BROADCAST_IDS:
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, docs[doc_id] == dropped["_dropped"], "left_anti")
+    keyed = docs.withColumn("_key", row_key(F.col(doc_id), F.col(text)))
+    left = keyed.join(dropped, F.col("_key") == F.col("_dropped"), "left_anti")
+    if not tied.isEmpty():
+        same = F.col("_key") == F.col("_tied")
+        once = left.join(tied, same, "left_semi").dropDuplicates(["_key"])
+        left = left.join(tied, same, "left_anti").unionByName(once)
+    return left.drop("_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -528,3 +528,19 @@ def test_html_copies_do_not_erase_their_article():
     assert html_extract.extract_block(pages)[0][0] == f"{quote} {prose[3]}"
     others = [" ".join(f"{w}x{i}" for w in PROSE.split()[:40]) for i in range(12)]
     assert html_extract.extract_block([f"<article><p>{quote}</p><p>{x}</p></article>" for x in others])[0] == others
+
+
+def test_one_of_each_decides_by_row(spark):
+    """Shared doc_ids, null doc_ids and repeated rows: one row of each group stays, and no other group loses its row."""
+    clean, alone = " ".join(f"c{i}" for i in range(200)), " ".join(f"a{i}" for i in range(200))
+    a, b = NEAR, NEAR.replace("w7 ", "v7 ")
+    rows = [(1, a, 0), (2, b, 1), (2, clean, 2), (1, b, 3), (None, a, 4), (None, alone, 5), (None, alone + " end", 6), (1, a, 7), (3, " ", 8), (3, None, 9), (None, "", 10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+    left = ngram_join.one_of_each(df).collect()
+    near = [r for r in left if (r["text"] or "").startswith("w0 ")]
+    nulls = [r for r in left if (r["text"] or "").startswith("a0 ")]
+    assert [r["doc_id"] for r in near] == [1] and [r["doc_id"] for r in nulls] == [None]
+    assert sorted(r["n"] for r in left if r not in near and r not in nulls) == [2, 8, 9, 10]
+    twice = spark.createDataFrame([(None, alone, k) for k in range(3)] + [(7, clean, k) for k in range(3)], "doc_id bigint, text string, n int")
+    assert sorted(str(r["doc_id"]) for r in ngram_join.one_of_each(twice).collect()) == ["7", "None"]
+    assert ngram_join.one_of_each(df.where("false")).count() == 0
