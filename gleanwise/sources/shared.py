@@ -6,15 +6,20 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: For each open `scratch`, the paths made since.
+_scratches: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local session may go without; it gets one that is removed at exit."""
+    """The folder in spark.checkpoint.dir. Only a local session may go without; it gets one of this machine, which is removed at exit."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="gleanwise-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -27,6 +32,8 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    for made in _scratches:
+        made.append(path)
     return path
 
 
@@ -35,8 +42,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a table in the shared folder: computed once, and read again after the loss of an executor."""
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written within are dropped at the end; what is to stay must have been written to a path made before."""
+    _scratches.append([])
+    try:
+        yield
+    finally:
+        for path in _scratches.pop():
+            drop_path(spark, path)
+
+
+def written_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As `written`, with the table's path, for who drops it."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """`df` as a table in the shared folder: computed once, and read again after the loss of an executor."""
+    return written_at(df, label)[0]
