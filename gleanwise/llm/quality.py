@@ -3,14 +3,15 @@
 Each rule looks at one measure of a document and votes good (1), bad (2) or not at all (0). Documents with the same
 votes are counted together over the whole table; there are at most 3 ** (number of rules) such patterns, whatever the
 size of the table, so the counts come to the driver and EM runs over them. It estimates the share of good documents and,
-for each rule, how often it votes good or bad given either kind. The posterior of a pattern is then the probability that
-its documents are good; it replaces a filter that all rules must pass.
+for each rule, how often it votes good or bad given either kind, freely but for a weak prior that says which kind is
+which. The posterior of a pattern is then the probability that its documents are good; it replaces a filter that all
+rules must pass.
 
 Words are maximal runs of characters other than white space. All measures come from built-in functions over whole texts.
 
 Defined results: a null or empty text has no words, all measures 0 and fails the base rule. Repeated rows count each.
-An empty table gives an empty result. Other columns are kept by `keep_good` and not looked at; in `measured`, columns
-with the names of the measures are replaced.
+An empty table gives an empty result. Other columns are not looked at; `keep_good` gives them all back as they are,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,25 +21,38 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, let, table, written
+from .common import SPACE, as_rows, let, table, written
 
 #: Production parameters: base rule, EM rounds, least posterior of a kept document.
-LEAST_WORDS, MOST_REPEATED, ROUNDS, LEAST_POSTERIOR = 50, 0.5, 50, 0.5
-
-#: A rule is made to spare good documents: EM may not explain more than this share of them by false alarms.
-MOST_FALSE_ALARMS = 0.01
-
-#: Each rule: SQL for bad, SQL for good (or none); else it abstains.
+LEAST_WORDS, MOST_REPEATED, ROUNDS, LEAST_POSTERIOR = 50, 0.5, 100, 0.5
+
+#: The prior: worth this share of the documents, it says how a rule votes (abstains, good, bad) on good and on bad
+#: documents, and how large a share is good. EM starts there; what the votes say then outweighs it twenty to one.
+PRIOR, PRIOR_GOOD, PRIOR_BAD, GOOD_SHARE = 0.05, (0.15, 0.80, 0.05), (0.40, 0.30, 0.30), 0.9
+
+#: Very frequent words of some languages (fixed values): prose of one of them has several.
+STOP_WORDS = """
+the of and to in is that it for with was on are as by this be at from or
+der die das und ist nicht von mit zu ein eine den auf im
+le la les et des est une un en que dans qui pour pas il
+el los las y se del por con una para no lo
+di che non per het een van dat
+""".split()
+
+#: Each rule: SQL for bad, SQL for good; between them it abstains.
 RULES = {
-    "symbols": ("n_symbols > 0.1 * n_words", None),
-    "repeats": ("n_repeat_words > 0.4 * n_words", None),
-    "lines": ("n_dup_lines > 0.4 * n_lines", None),
-    "capitals": ("n_capitals > 0.4 * word_chars", None),
-    "word_length": (
-        "word_chars < 2 * n_words OR word_chars > 12 * n_words",
-        "word_chars > 4 * n_words AND word_chars < 7 * n_words",
-    ),
+    "symbols": ("n_symbols > 0.1 * n_words", "n_symbols < 0.02 * n_words"),
+    "repeats": ("n_repeat_words > 0.4 * n_words", "n_repeat_words < 0.2 * n_words"),
+    "lines": ("n_dup_lines > 0.3 * n_lines", "n_dup_lines < 0.05 * n_lines"),
+    "capitals": ("n_capitals > 0.3 * word_chars", "n_capitals < 0.1 * word_chars"),
+    "word_length": ("word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars > 4 * n_words AND word_chars < 7 * n_words"),
     "variety": ("n_distinct < 0.1 * least(n_words, 1000)", "n_distinct > 0.3 * least(n_words, 1000)"),
+    "letters": ("n_others > 0.25 * word_chars", "n_others < 0.1 * word_chars"),
+    "stop_words": ("n_stop_words < 2", "n_stop_words >= 5"),
+    "plain_words": ("n_plain_words < 0.4 * n_words", "n_plain_words > 0.8 * n_words"),
+    "sentences": ("100 * n_sentences < n_words OR 3 * n_sentences > n_words", "40 * n_sentences > n_words AND 4 * n_sentences < n_words"),
+    "digits": ("n_digits > 0.2 * word_chars", "n_digits < 0.05 * word_chars"),
+    "bullets": ("n_bullets > 0.5 * n_lines", "n_bullets < 0.1 * n_lines"),
 }
 
 
@@ -73,87 +87,86 @@ def repeat_words(words: Column) -> Column:
     ).cast("long")
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the measures of the base rule and of the rules."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("_words", words_of(F.col(text)))
+def measured(rows: DataFrame) -> DataFrame:
+    """`rows` (columns row and text, as `as_rows` gives) with the measures of the base rule and of the rules."""
+    t = F.coalesce(F.col("text"), F.lit(""))
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern)).cast("long")
+    out = rows.withColumn("words", words_of(F.col("text")))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
+    bullet = lambda x: x.rlike(f"^[{SPACE}]*[-*|>\u2022]")
+    distinct = F.array_distinct("words")
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.array_join("_words", "")).cast("long"),
-            "n_symbols": F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long"),
-            "_lines": let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"))),
-            "n_repeat_words": repeat_words(F.col("_words")),
-            "n_capitals": F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long"),
-            "n_distinct": F.size(F.array_distinct("_words")).cast("long"),
+            "n_words": F.size("words").cast("long"),
+            "word_chars": F.length(F.array_join("words", "")).cast("long"),
+            "n_symbols": count(r"[#*$%&|<>]"),
+            "lines": let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("d"), F.size(F.filter(x, bullet)).alias("b"))),
+            "n_repeat_words": repeat_words(F.col("words")),
+            "n_capitals": count(r"\p{Lu}"),
+            "distinct": let(distinct, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_intersect(x, F.array(*map(F.lit, STOP_WORDS)))).alias("stop"))),
+            "n_others": count(rf"[^\p{{L}}\p{{M}}{SPACE}]"),
+            "n_digits": count(r"\p{Nd}"),
+            "n_plain_words": count(rf"(?<![^{SPACE}])[\p{{L}}\p{{M}}]++[.,;:!?]?(?![^{SPACE}])"),
+            "n_sentences": count(rf"[.!?\u3002](?=[{SPACE}]|$)"),
         }
     )
-    out = out.withColumns(
-        {"n_lines": F.col("_lines.n").cast("long"), "n_dup_lines": (F.col("_lines.n") - F.col("_lines.d")).cast("long")}
-    )
+    long = {"n_lines": "lines.n", "n_bullets": "lines.b", "n_distinct": "distinct.n", "n_stop_words": "distinct.stop"}
+    out = out.withColumns({k: F.col(v).cast("long") for k, v in long.items()} | {"n_dup_lines": (F.col("lines.n") - F.col("lines.d")).cast("long")})
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MOST_REPEATED) * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_words", "_lines")
+    return out.withColumn("base_failed", failed).drop("words", "lines", "distinct", "text")
 
 
-def votes(rules: dict[str, tuple[str, str | None]]) -> Column:
+def votes(rules: dict[str, tuple[str, str]]) -> Column:
     """All rules' votes as one number, base 3."""
-    vote = [F.when(F.expr(bad), 2).when(F.expr(good or "false"), 1).otherwise(0) for bad, good in rules.values()]
+    vote = [F.when(F.expr(bad), 2).when(F.expr(good), 1).otherwise(0) for bad, good in rules.values()]
     return sum((v * 3**i for i, v in enumerate(vote)), F.lit(0)).cast("int")
 
 
 def posteriors(counts: dict[int, int], n_rules: int, rounds: int = ROUNDS) -> dict[int, float]:
     """EM over counted vote patterns: the posterior probability of good for each pattern.
 
-    The hidden kinds are good and one kind of junk for each rule, as unlike kinds of junk (tables of symbols, repeated
-    words) set off different rules. Given the kind, rules vote or abstain independently. It starts from the votes: a bad
-    vote makes a document likely junk of that rule's kind. Among good documents a rule's share of bad votes is at most
-    MOST_FALSE_ALARMS, else a common kind of junk would pass as good. Counts are smoothed by one vote.
+    Documents are good or bad; given that, rules vote good, bad or abstain independently. Shares and rates are free, but
+    for the prior, which is worth PRIOR of the documents.
     """
     patterns = {p: [p // 3**i % 3 for i in range(n_rules)] for p in sorted(counts)}
-    kinds = range(n_rules + 1)  # 0 is good
-    share = {}
-    for p, v in patterns.items():
-        bad = [i + 1 for i, x in enumerate(v) if x == 2]
-        share[p] = [0.1 if bad else 0.9] + [(0.9 / len(bad) if k in bad else 0.0) if bad else 0.1 / n_rules for k in kinds[1:]]
     total = sum(counts.values())
+    kinds = ((PRIOR_GOOD, GOOD_SHARE), (PRIOR_BAD, 1 - GOOD_SHARE))
+    share, rate = [s for _, s in kinds], [[list(r)] * n_rules for r, _ in kinds]
+    good: dict[int, float] = {}
     for _ in range(rounds if total else 0):
-        prior = [(sum(counts[p] * share[p][k] for p in patterns) + 1) / (total + len(kinds)) for k in kinds]
-        rate = [[[1.0] * 3 for _ in range(n_rules)] for _ in kinds]
         for p, v in patterns.items():
-            for k in kinds:
+            weight = [share[k] * math.prod(rate[k][i][x] for i, x in enumerate(v)) for k in (0, 1)]
+            good[p] = weight[0] / sum(weight)
+        n_good = sum(counts[p] * good[p] for p in patterns)
+        share = [(n + PRIOR * total * s) / ((1 + PRIOR) * total) for n, (_, s) in zip((n_good, total - n_good), kinds, strict=True)]
+        rate = [[[PRIOR * total * s * x for x in r] for _ in range(n_rules)] for r, s in kinds]
+        for p, v in patterns.items():
+            for k, part in enumerate((good[p], 1 - good[p])):
                 for i, x in enumerate(v):
-                    rate[k][i][x] += counts[p] * share[p][k]
+                    rate[k][i][x] += counts[p] * part
         rate = [[[x / sum(rule) for x in rule] for rule in kind] for kind in rate]
-        for rule in rate[0]:
-            rule[2] = min(rule[2], MOST_FALSE_ALARMS)
-        for p, v in patterns.items():
-            weight = [prior[k] * math.prod(rate[k][i][x] for i, x in enumerate(v)) for k in kinds]
-            share[p] = [w / sum(weight) for w in weight]
-    return {p: share[p][0] for p in patterns}
+    return good
 
 
-def judged(features: DataFrame, rules: dict[str, tuple[str, str | None]] = RULES, least: float = LEAST_POSTERIOR) -> DataFrame:
+def judged(features: DataFrame, rules: dict[str, tuple[str, str]] = RULES, least: float = LEAST_POSTERIOR) -> DataFrame:
     """Measured documents with `posterior` and `kept`. `features` is read twice: it should be a written table."""
-    voted = features.withColumn("_votes", votes(rules))
-    counts = {r["_votes"]: r["count"] for r in voted.groupBy("_votes").count().collect()}  # at most 3 ** len(rules) rows
+    voted = features.withColumn("votes", votes(rules))
+    counts = {r["votes"]: r["count"] for r in voted.groupBy("votes").count().collect()}  # at most 3 ** len(rules) rows
     told = posteriors(counts, len(rules))
     by = F.create_map(*(F.lit(x) for p in told.items() for x in p)) if told else F.create_map().cast("map<int,double>")
-    out = voted.withColumn("posterior", F.coalesce(F.element_at(by, F.col("_votes")), F.lit(0.0)))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least)).drop("_votes")
+    out = voted.withColumn("posterior", F.coalesce(F.element_at(by, F.col("votes")), F.lit(0.0)))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least)).drop("votes")
 
 
-def keep_good(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` without the documents that the rules reject."""
-    with_votes = written(measured(docs, text), "quality")
-    return judged(with_votes).where("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` without the documents that the rules reject; all columns stay as they are."""
+    features = written(measured(as_rows(docs, text)), "quality")
+    return judged(features).where("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    features = written(measured(docs).drop("text"), "quality")
-    return judged(features).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.struct("doc_id").alias("row"), "text")
+    return judged(written(measured(rows), "quality")).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior"
     )
-
-

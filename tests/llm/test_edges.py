@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gleanwise.llm import binary_ids, bpe, edit_counts, exact_dedup, html_extract, ngram_join, packing, quality, sharding, url_filter
-from gleanwise.llm.common import tokenizer_path
+from gleanwise.llm.common import as_rows, tokenizer_path
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _r = random.Random(7)
@@ -131,6 +131,53 @@ def test_exact_dedup(docs, none):
     assert Counter(normal(r["text"]) for r in left.collect()) == Counter(set(by))
 
 
+#: Names that an operator might use itself.
+CLASHES = "kept n_words posterior base_failed words lines votes row _words _id _of _sha _key key other _dropped _tied node best rows place id members group text_sha256 recipe".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """The edge texts among columns with clashing names, each row with values of its own."""
+    rows = [(i, t, *(f"{c}{k}" for c in CLASHES)) for k, (i, t) in enumerate(TEXTS)]
+    return spark.createDataFrame(rows, ", ".join(["doc_id bigint, text string", *(f"{c} string" for c in CLASHES)]))
+
+
+@pytest.mark.parametrize("stage", [quality.keep_good, exact_dedup.drop_copies, ngram_join.one_of_each])
+def test_stages_change_no_row(clashing, stage):
+    """What a stage keeps are rows of its input, with all their values."""
+    every = Counter(tuple(r) for r in clashing.collect())
+    left = stage(clashing)
+    assert left.dtypes == clashing.dtypes
+    kept = Counter(tuple(r) for r in left.collect())
+    assert kept and not kept - every and stage(clashing.where("false")).count() == 0
+    same = lambda r: r[0] == 10 and r[1] == PROSE[:500]
+    if stage is not quality.keep_good:
+        assert sum(n for r, n in kept.items() if r[0] == 0) == 1 and not sum(n for r, n in kept.items() if same(r))
+        assert sum(n for r, n in kept.items() if r[0] == 10) == 1  # the other text of that doc_id
+
+
+def test_exact_copies_by_row(spark):
+    """Shared and null doc_ids: of each text one row stays, and no other text of its doc_id goes."""
+    rows = [(1, "a  b", 0), (1, "a b", 1), (2, "a b", 2), (2, "c", 3), (None, "c", 4), (None, "d", 5), (None, "d", 6), (None, None, 7), (3, "", 8), (3, "", 9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, n int")
+    left = sorted((normal(r["text"]), r["doc_id"]) for r in exact_dedup.drop_copies(df).collect())
+    assert left == [("", 3), ("a b", 1), ("c", 2), ("d", None)]
+
+
+def test_chunks_follow_content(spark):
+    """Text of any script is cut by its content: after an insertion the chunks are the same again, and joined they are the text."""
+    r = random.Random(3)
+    texts = ["".join(r.choice(a) for _ in range(12_000)) for a in ("abcdefgh ", "\u4e00\u4e8c\u4e09\u56db\u4e94\u516d", "\u0430\u0431\u0432\u0433\u0434", "01")]
+    rows = [(k, x, t[:3000] + x + t[3000:]) for k, t in enumerate(texts) for x in ("", "+")]
+    df = spark.createDataFrame(rows, "k int, x string, text string")
+    got = df.select("k", "x", "text", exact_dedup.content_chunks(F.col("text")).alias("c"))
+    assert got.where(exact_dedup.joined_chunks(F.col("c")) != F.col("text")).count() == 0
+    chunks = {(r["k"], r["x"]): r["c"] for r in got.collect()}
+    for k in range(len(texts)):
+        a, b = chunks[(k, "")], chunks[(k, "+")]
+        assert len(set(a) & set(b)) >= len(a) - 3 > 5
+
+
 def test_exact_dedup_tells_clashing_chunks_apart(spark, monkeypatch):
     real = F.xxhash64
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: real(*c) if len(c) > 1 or isinstance(c[0], str) else F.lit(1).cast("bigint"))
@@ -139,7 +186,7 @@ def test_exact_dedup_tells_clashing_chunks_apart(spark, monkeypatch):
 
 
 def test_quality(docs, none):
-    features = quality.measured(docs).collect()
+    features = quality.measured(as_rows(docs, "text")).collect()
 
     def brute(text):
         t = text or ""
@@ -154,7 +201,7 @@ def test_quality(docs, none):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns
     ids = {r["doc_id"] for r in kept.collect()}
-    assert {6, 7, 11} <= ids and not ids & {1, 2, 3, 4, 14, 15}
+    assert {6, 7} <= ids and not ids & {1, 2, 3, 4, 14, 15}
     assert quality.keep_good(none).count() == 0
 
 
@@ -167,13 +214,32 @@ def test_quality_on_labels(spark):
     assert n.get((1, False), 0) <= 0.02 * n[(1, True)] and n.get((0, True), 0) <= 0.1 * n[(0, False)]
 
 
-def test_posteriors_tell_kinds_of_junk():
-    """Two unlike kinds of junk, one common and one rare, both are junk; a rare false alarm among good votes is told apart by its rate."""
+def brute_em(patterns, rounds):
+    """The same model over single documents, with numpy: hidden good or bad, three-way votes, the documented prior."""
+    v, n = np.array(patterns), len(patterns)
+    prior = np.array([quality.PRIOR_GOOD, quality.PRIOR_BAD])
+    shares = np.array([quality.GOOD_SHARE, 1 - quality.GOOD_SHARE])
+    share, rate = shares, np.repeat(prior[:, None, :], v.shape[1], axis=1)
+    seen = np.eye(3)[v]
+    for _ in range(rounds):
+        logs = np.log(share) + np.einsum("drx,krx->dk", seen, np.log(rate))
+        post = np.exp(logs - logs.max(axis=1, keepdims=True))
+        post /= post.sum(axis=1, keepdims=True)
+        share = (post.sum(axis=0) + quality.PRIOR * n * shares) / (n * (1 + quality.PRIOR))
+        rate = np.einsum("dk,drx->krx", post, seen) + (quality.PRIOR * n * shares)[:, None, None] * prior[:, None, :]
+        rate /= rate.sum(axis=2, keepdims=True)
+    return post[:, 0]
+
+
+def test_posteriors_tell_junk():
+    """Common junk that two rules see is junk; a rare false alarm of one rule among good votes is not."""
     code = lambda *votes: sum(v * 3**i for i, v in enumerate(votes))
-    counts = {code(0, 0, 1): 9000, code(2, 0, 1): 700, code(0, 2, 0): 60, code(0, 2, 2): 240}
-    good = quality.posteriors(counts, 3)
-    assert good[code(0, 0, 1)] > 0.95 and max(good[p] for p in counts if p != code(0, 0, 1)) < 0.5
-    assert quality.posteriors({}, 3) == {} and quality.posteriors({code(0, 0, 1): 5}, 3)[code(0, 0, 1)] > 0.5
+    counts = {code(1, 1, 1, 1): 9000, code(2, 2, 1, 0): 900, code(0, 2, 2, 0): 60, code(2, 1, 1, 1): 20}
+    good = quality.posteriors(counts, 4)
+    assert good[code(1, 1, 1, 1)] > 0.95 and good[code(2, 1, 1, 1)] > 0.5 > max(good[code(2, 2, 1, 0)], good[code(0, 2, 2, 0)])
+    every = [[p // 3**i % 3 for i in range(4)] for p, n in counts.items() for _ in range(n)]
+    assert np.allclose(brute_em(every, quality.ROUNDS), [good[p] for p, n in counts.items() for _ in range(n)], atol=1e-9)
+    assert quality.posteriors({}, 3) == {} and quality.posteriors({code(1, 1, 1): 5}, 3)[code(1, 1, 1)] > 0.5
 
 
 def test_sharding(docs, none):
@@ -377,6 +443,7 @@ def test_ngram_join(docs, none):
 def test_ngram_join_blocks(spark, monkeypatch):
     """A large group of near copies goes through many blocks and loses no link."""
     monkeypatch.setattr(ngram_join, "BLOCK_CLASSES", 16)
+    monkeypatch.setattr(ngram_join, "TILE_CLASSES", 24)
     r = random.Random(11)
     base = [f"w{i}" for i in range(150)]
     rows = []
@@ -391,7 +458,28 @@ def test_ngram_join_blocks(spark, monkeypatch):
 
 def test_bands_reach_the_recall():
     bands, rows = ngram_join.bands_for()
-    assert bands * rows <= ngram_join.MOST_VALUES and 1 - (1 - 0.8**rows) ** bands >= 0.9999
+    assert bands * rows <= ngram_join.MOST_VALUES and 1 - (1 - 0.8**rows) ** bands >= ngram_join.RECALL
+
+
+def test_ngram_join_recall(spark):
+    """Pairs of a similarity just at the threshold are found as often as the banding says."""
+    r, rows = random.Random(8), []
+    for k in range(400):
+        words = [f"w{r.randint(0, 10**9)}" for _ in range(184)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:164], *(f"v{r.randint(0, 10**9)}" for _ in range(20))]))]
+    assert len(shingles(rows[0][1]) & shingles(rows[1][1])) == 0.8 * len(shingles(rows[0][1]) | shingles(rows[1][1]))
+    got = ngram_join.joined(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert got.where("n_links = 1").count() >= 2 * 0.99 * 400
+
+
+def test_shared_passages_are_not_verified(spark, monkeypatch):
+    """Documents that share a long passage, but are not alike, make no block to verify."""
+    r, verified = random.Random(1), []
+    passage = " ".join(f"b{i}" for i in range(110))
+    df = spark.createDataFrame([(i, f"{passage} {' '.join(f'w{r.randint(0, 10**9)}' for _ in range(90))}") for i in range(1500)], "doc_id bigint, text string")
+    real = ngram_join.checked
+    monkeypatch.setattr(ngram_join, "checked", lambda rows, least: verified.append(rows.count()) or real(rows, least))
+    assert ngram_join.joined(df).where("n_links > 0").count() == 0 and verified == [0]
 
 
 def page(i, article, extra=""):

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+import unicodedata
+from collections import Counter, defaultdict
 
 import pytest
 from helpers import told
-from test_edges import brute_join, crc, ids_of, normal
+from test_edges import WORDS, brute_em, brute_join, crc, ids_of, normal
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gleanwise.llm import catalogue, ngram_join
+from gleanwise.llm import catalogue, ngram_join, quality
 from gleanwise.llm.common import tokenizer_path
 
 
@@ -30,9 +31,54 @@ def test_near_copies_by_brute_force(spark, folder):
     assert got == brute_join(rows)
 
 
+def told_good(rows):
+    """doc_id of the documents that the quality rules keep, by plain Python over all rows."""
+    measures = [measured_plainly(t) for _, t in rows]
+    votes = [[2 if eval(bad, {}, m) else 1 if eval(good, {}, m) else 0 for bad, good in PLAIN_RULES] for m in measures]
+    posterior = brute_em(votes, quality.ROUNDS)
+    failed = [m["n_words"] < 50 or 100 * m["n_repeat_words"] > 50 * m["n_words"] for m in measures]
+    return [(i, m, f, not f and p >= 0.5) for (i, _), m, f, p in zip(rows, measures, failed, posterior, strict=True)]
+
+
+#: The rules' SQL as Python.
+PLAIN_RULES = [(a.replace(" OR ", " or ").replace(" AND ", " and ").replace("least(", "min("), b.replace(" AND ", " and ").replace("least(", "min(")) for a, b in quality.RULES.values()]
+
+
+def measured_plainly(text):
+    t = text or ""
+    w = WORDS.findall(t)
+    windows = Counter(zip(w, w[1:], w[2:], strict=False))
+    lines = [x for x in t.split("\n") if WORDS.search(x)]
+    kind = unicodedata.category
+    plain = lambda x: x and all(kind(c)[0] in "LM" for c in x)
+    return {
+        "n_words": len(w),
+        "word_chars": sum(map(len, w)),
+        "n_symbols": sum(c in "#*$%&|<>" for c in t),
+        "n_dup_lines": len(lines) - len(set(lines)),
+        "n_repeat_words": len({k + j for k, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if windows[x] > 1 for j in range(3)}),
+        "n_lines": len(lines),
+        "n_bullets": sum(x.lstrip(" \t\n\v\f\r")[0] in "-*|>\u2022" for x in lines),
+        "n_capitals": sum(kind(c) == "Lu" for c in t),
+        "n_distinct": len(set(w)),
+        "n_stop_words": len(set(w) & set(quality.STOP_WORDS)),
+        "n_others": sum(kind(c)[0] not in "LM" for x in w for c in x),
+        "n_digits": sum(kind(c) == "Nd" for c in t),
+        "n_plain_words": sum(bool(plain(x) or x[-1] in ".,;:!?" and plain(x[:-1])) for x in w),
+        "n_sentences": sum(x[-1] in ".!?\u3002" for x in w),
+    }
+
+
+def test_quality_by_brute_force(spark, folder):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    got = sorted((r["doc_id"], *(r[n] for n in names), r["base_failed"], r["kept"]) for r in quality.query(spark, folder).collect())
+    assert got == sorted((i, *(m[n] for n in names), f, k) for i, m, f, k in told_good(rows))
+
+
 def test_pipeline_by_brute_force(spark, folder):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
-    good = {r["doc_id"] for r in catalogue.QUERIES["op10_quality_rules"](spark, folder).where("kept").collect()}
+    good = {i for i, _, _, kept in told_good(sorted(docs.items())) if kept}
     first: dict[str, int] = {}
     for i in sorted(good):
         first.setdefault(normal(docs[i]), i)
