@@ -1,7 +1,7 @@
 """From documents to packed training sequences: quality rules, exact dedup, near duplicates, packing.
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns of
-documents.
+documents. What a stage writes for itself is dropped when its result is there.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gleanwise.llm import exact_dedup, ngram_join, packing, quality
 from gleanwise.llm.common import fresh_path, table, tokenizer_path
+from gleanwise.sources.shared import scratch
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +48,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = fresh_path(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
