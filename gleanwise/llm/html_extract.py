@@ -1,27 +1,37 @@
 """HTML extraction by wrapper induction over the pages of a host.
 
-Pages are dealt and sorted by (host, hash of page_id), so pages of one host meet in blocks of bounded size, and a host
-with a third of all pages is many blocks. Within a block, pages become trees of block elements (inline markup belongs to
-its block's text). One page's tree is the wrapper; simple tree matching aligns every other page's tree with it: two
-nodes match if their tags and classes do, and children match in order so that most nodes match in total. A wrapper node
-whose text is the same in most pages that have it is template; nodes with varying text, and nodes that the wrapper does
-not know, are slots. A page's text is its slots, in page order.
-
-Some slots vary and still are not the article: menus, footers, adverts, comments. Their elements say so, by tag, role,
-class or id, and are left out; a class or id alone does not leave out what holds most of the page's text. If a page has
-article or main elements, only slots within them count; else all do. Within an article a node is template only if many
-pages agree. Only clearly different articles are counted, each once, so copies of an article, with other dates, counts or
-sidebars too, do not erase it.
+Pages become trees of block elements; inline markup belongs to its block's text. A host's pages are dealt to blocks by
+their hashes, and the number of blocks follows from the host's pages and characters, so which pages meet depends on the
+tables alone, and a host with a third of all pages is many blocks. Within a block, a wrapper is induced: trees are aligned
+one after the other with the wrapper so far by simple tree matching (two nodes match if their tags and classes do, and
+children match in order so that most nodes match in total), and nodes that it does not know yet are added to it. Aligned
+once more with the finished wrapper, each page says what stands at its nodes. A text that most pages have at a node is
+template; outside articles also the texts of a node that has few different ones, such as rotating notices. Nodes with
+varying text are slots; the slots are a page's text, in page order. Only clearly different articles are counted, each
+once, so copies of an article, with other dates, counts or sidebars too, do not erase it.
+
+What varies is not always the article: tags, roles, classes and ids say so beforehand. Frames, forms, adverts and reader
+comments are left out; a class or id alone does not leave out what holds most of the text over all the block's pages that
+have it, and within an article only words for adverts, sharing, comments and the like count. If pages have article or
+main elements, only slots within them count, unless the aligned slots outside hold three times as much text. Lists of links outside articles
+are menus.
+
+Long lists of children are matched by anchors: equal shapes that come in the same order in both, then equal labels
+between them, so time and memory stay near linear; lists of up to MOST_CELLS pairs are matched exactly.
 
 Defined results: null, empty or tagless html and html without article text give the empty text (html without any tag
-gives its text). A page alone on its host has no wrapper: its roles decide. Broken markup: unclosed elements end where
-HTML ends them or with their parent, stray end tags are ignored. Pages with a null url or without host share a block.
-Repeated rows are extracted each. Other columns are not looked at.
+gives its text). A page alone in its block has no other page to agree with: its tags, roles and names decide. Broken
+markup: tags are read as HTML says, so a tag that never ends is markup to the end of the page, and so is an open comment,
+script or style; a quote that never closes ends with its tag. Unclosed elements end where HTML ends them or with their
+parent, stray end tags are ignored. Pages with a null url or without host share blocks. Repeated rows are extracted each.
+Other columns are not looked at. The time for a page grows with its length.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -29,18 +39,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import spread_join
 from .common import table
 from .url_filter import host_of
 
-#: Pages and characters in a block; share of agreeing pages for template outside and inside an article, and at least so many.
-BLOCK_PAGES, BLOCK_CHARS, AGREE, AGREE_INSIDE, LEAST_PAGES, LEAST_INSIDE = 64, 4_000_000, 0.6, 0.9, 2, 8
+#: Pages and characters in a block, about; hosts of several blocks that are broadcast at most (some 100 bytes each).
+BLOCK_PAGES, BLOCK_CHARS, BROADCAST_HOSTS = 64, 4_000_000, 200_000
+
+#: Share of agreeing pages for template outside and inside an article, and at least so many different articles; share of
+#: different texts up to which a node outside articles rotates.
+AGREE, AGREE_INSIDE, LEAST_PAGES, LEAST_INSIDE, ROTATES = 0.6, 0.9, 2, 8, 0.5
+
+#: How much text outside counts against text in article elements; share of link text from which a list is a menu.
+ARTICLE_PRIOR, LINKS = 3, 0.8
 
 #: Characters from which a text is prose, and share of the smaller of two pages' texts from which they are copies.
 PROSE, COPY = 100, 0.43
 
-#: Fixed values of HTML: elements without content, of raw text, inline, and those that a start tag ends.
+#: Pairs of children up to which lists are matched exactly.
+MOST_CELLS = 40_000
+
+#: Fixed values of HTML: elements without content, whose content is no markup, left out whole, inline, and those that a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas video audio".split())
+RAW = frozenset("script style textarea title iframe noembed noframes noscript xmp".split())
+WHOLE = frozenset("template svg math object canvas video audio".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split()
 )
@@ -49,15 +71,16 @@ ENDS_P = frozenset(
 )
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select article section div nav aside main body html".split())
+LISTS = frozenset("ul ol dl menu dir".split())
+ARTICLES = frozenset(("article", "main"))
 
-#: Elements, roles and words in classes or ids that are never the article.
+#: Elements, roles and words in classes or ids that speak against the article; the second words do so within articles too.
 NOT_TAGS = frozenset("head nav footer aside form button select dialog menu script style noscript template".split())
 NOT_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-NOT_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|adslot|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|sidebar\w*|side|widgets?|menus?|nav|navbar|navigation|breadcrumbs?|header|masthead|footer|comments?|disqus|repl(?:y|ies)|respond|paginat\w*|pager|login|search|toolbar|skip|hidden)(?:$|[\s_-])",
-    re.I,
-)
-
+FRAME_WORDS = r"banner\w*|notices?|alerts?|overlay|side|widgets?|header|masthead|search|skip"
+INNER_WORDS = r"ads?|adv|advert\w*|adsense|adslot|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommend\w*|sidebar\w*|menus?|nav|navbar|navigation|breadcrumbs?|footer|comments?|disqus|repl(?:y|ies)|respond|paginat\w*|pager|login|toolbar|hidden"
+NOT_WORDS = re.compile(rf"(?:^|[\s_-])(?:{FRAME_WORDS}|{INNER_WORDS})(?:$|[\s_-])", re.I)
+NOT_INSIDE = re.compile(rf"(?:^|[\s_-])(?:{INNER_WORDS})(?:$|[\s_-])", re.I)
 NOT_CONTENT = re.compile(r"(?:^|[\s_-])(?:comments?|comment(?:list|box|area|section|form|thread|er)s?|disqus|repl(?:y|ies)|respond|related|teasers?)(?:$|[\s_-])", re.I)
 
 #: Words that a class or id says the element comes with or without: they do not name it.
@@ -66,28 +89,39 @@ BESIDE = re.compile(r"(?:^|(?<=[\s_-]))(?:(?:with|without|no|not|has)[_-]+)+[^\s
 #: A class or id of just such a word: a comment section even if it is long.
 ONLY_NOT_CONTENT = re.compile(r"(?:^|\s)(?:comments?|comment-?(?:list|box|area|section|form|thread|er)s?|disqus|repl(?:y|ies)|respond|related|teasers?)(?:$|\s)", re.I)
 
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
-#: One attribute: its name and value. Values are consumed with their names, so words within them are never names.
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s"'>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-
-
 #: How surely an element is not the article: by role or comment words, by a frame's tag, by other words or as a form.
 SOFT, FRAME, HARD = 1, 2, 3
 
-#: Elements nested deeper count to their ancestor at this depth.
+#: Elements nested deeper count to their ancestor at this depth; so far back an open list item or cell is sought.
 MOST_DEPTH = 200
 
+_GAP = re.compile(r"[\s/]*+")
+_TAG_NAME = re.compile(r"[^\s/>]++")
+_NAME = re.compile(r"[^\s/>][^\s/>=]*+")
+_EQUALS = re.compile(r"\s*+=\s*+")
+_VALUE = re.compile(r"[^\s>]*+")
+_PLAIN = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+([^\s>]*+))?")
+_LONG_NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
+_DIGITS = re.compile(r"[0-9]+")
+
+
+def decoded(text: str) -> str:
+    """Character references as their characters; numbers beyond all characters as the replacement character."""
+    return unescape(_LONG_NUMBER.sub("�", text)) if "&" in text else text
+
 
 class Element:
     """A block element: its label, children in order (elements and texts), how surely it is not the article."""
 
-    __slots__ = ("tag", "label", "children", "parent", "kind", "name", "shape", "size", "text", "closed", "has_article")
+    __slots__ = ("tag", "label", "children", "parent", "kind", "name", "shape", "size", "text", "links", "closed", "has_article", "inside")
 
     def __init__(self, tag: str, label: str, parent: Element | None, kind: int):
         self.tag, self.label, self.parent, self.kind = tag, label, parent, kind
         self.children: list[Element] = []
         self.text = self.name = ""
+        self.links = 0
         self.closed = self.has_article = False
+        self.inside = tag in ARTICLES or parent is not None and parent.inside
 
     @property
     def noise(self) -> bool:
@@ -95,28 +129,30 @@ class Element:
         return self.kind == HARD or self.kind and not (self.has_article and (self.kind == SOFT or not self.closed))
 
 
-def kind_of(tag: str, found: dict[str, str], open_tags: list[Element]) -> tuple[int, str]:
+def kind_of(tag: str, found: dict[str, str], parent: Element) -> tuple[int, str]:
     """How surely an element with these attributes is not the article, and its class and id if only they say so."""
     if found.get("role", "").lower() in NOT_ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true":
         return HARD, ""
     named = BESIDE.sub("", f"{found.get('class', '')} {found.get('id', '')}").strip()
     sure = named and tag not in ("html", "body", "main") and NOT_CONTENT.search(named)
     if tag == "header":
-        kind = 0 if any(x.tag in ("article", "main") for x in open_tags) else FRAME
+        kind = 0 if parent.inside else FRAME
     else:
         kind = (SOFT if tag == "form" else FRAME) if tag in NOT_TAGS else 0
     if kind or not named:
         return HARD if sure else kind, ""
     if sure:
         return HARD, named
-    return (SOFT, named) if tag not in ("html", "body", "main", "article") and NOT_WORDS.search(named) else (0, "")
+    if tag in ("html", "body", "main", "article") or not NOT_WORDS.search(named):
+        return 0, ""
+    return (0, "") if parent.inside and not NOT_INSIDE.search(named) else (SOFT, named)
 
 
-def marked(root: Element, named: list[Element]) -> None:
-    """Takes back what names alone say of elements that hold most of the page's text.
+def weighed(root: Element, named: list[Element]) -> list[tuple[Element, int, int, bool]]:
+    """For each element that a name alone speaks against: its text, the page's, and whether the name may be overruled at all.
 
     Text that roles or tags leave out does not count. A page with another article says itself where its article is: there
-    only articles and elements within them are taken back, and not those named just comments or the like.
+    only articles and elements within them may be taken back, and not those named just comments or the like.
     """
     mass: dict[int, int] = {}
     articles: dict[int, int] = {}
@@ -128,102 +164,233 @@ def marked(root: Element, named: list[Element]) -> None:
             stack.extend(node.children)
     for node in reversed(order):
         mass[id(node)] = len(node.text) + sum(mass.get(id(c), 0) for c in node.children)
-        articles[id(node)] = (node.tag in ("article", "main") and not node.kind) + sum(articles.get(id(c), 0) for c in node.children)
-    for node in named:
-        if 2 * mass.get(id(node), 0) > mass[id(root)] and (
-            articles[id(node)] == articles[id(root)] or in_article(node) and not ONLY_NOT_CONTENT.search(node.name)
-        ):
+        articles[id(node)] = (node.tag in ARTICLES and not node.kind) + sum(articles.get(id(c), 0) for c in node.children)
+    every = articles[id(root)]
+    return [
+        (x, mass.get(id(x), 0), mass[id(root)], articles.get(id(x), 0) == every or x.inside and not ONLY_NOT_CONTENT.search(x.name)) for x in named
+    ]
+
+
+def taken_back(claims: list[tuple[Element, int, int, bool]]) -> None:
+    """Overrules names that, over all the block's pages that have them, hold most of the text."""
+    own: Counter = Counter()
+    every: Counter = Counter()
+    key = lambda x: (x.tag, _DIGITS.sub("0", x.name))
+    for node, mass, total, _ in claims:
+        own[key(node)] += mass
+        every[key(node)] += total
+    for node, _, _, may in claims:
+        if may and 2 * own[key(node)] > every[key(node)]:
             node.kind = 0
             up = node.parent if node.tag == "article" else None
-            while up is not None:
+            while up is not None and not up.has_article:
                 up.has_article, up = True, up.parent
 
 
-def parsed(html: str) -> Element:
-    """The page's tree. Text directly in an element becomes children of it that are labelled #text, one for each run between block elements."""
+def pruned(root: Element) -> None:
+    """Without what is in elements that can't be the article: it needs no alignment."""
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if node.noise:
+            node.children = []
+        stack.extend(node.children)
+
+
+class Source:
+    """A page's source, read forward: what was not found once is not sought again."""
+
+    def __init__(self, html: str):
+        self.html, self.end = html, len(html)
+        self.missing: dict[str, int] = {}
+        self.closings: dict[str, re.Pattern] = {}
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.missing.get(what, self.end + 1):
+            return -1
+        found = self.html.find(what, at)
+        if found < 0:
+            self.missing[what] = at
+        return found
+
+    def after(self, what: str, at: int) -> int:
+        """The place after the next `what`; without one, the end."""
+        found = self.find(what, at)
+        return found + len(what) if found >= 0 else self.end
+
+    def after_comment(self, at: int) -> int:
+        """The place after the comment that begins at `at`."""
+        for short in ("<!-->", "<!--->"):
+            if self.html.startswith(short, at):
+                return at + len(short)
+        return min(self.after("-->", at + 4), self.after("--!>", at + 4))
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int, bool]:
+        """A tag's attributes from `at` on, the place after the tag, and whether it ends in a slash."""
+        html, close = self.html, self.find(">", at)
+        if close < 0:
+            return {}, self.end, False
+        rest = html[at:close]
+        if '"' not in rest and "'" not in rest:
+            told = rest.strip()
+            return ({k.lower(): v for k, v in reversed(_PLAIN.findall(told))} if told else {}), close + 1, rest.endswith("/")
+        found: dict[str, str] = {}
+        while True:
+            at = _GAP.match(html, at).end()
+            if at >= self.end:
+                return found, self.end, False
+            if html[at] == ">":
+                return found, at + 1, html[at - 1] == "/"
+            name = _NAME.match(html, at)
+            at, value = name.end(), ""
+            if equals := _EQUALS.match(html, at):
+                at = equals.end()
+                if (quote := html[at : at + 1]) in ('"', "'") and quote:
+                    close = self.find(quote, at + 1)
+                    if close >= 0:
+                        value, at = html[at + 1 : close], close + 1
+                    else:  # it never closes: the value ends with the tag
+                        close = self.find(">", at)
+                        if close < 0:
+                            return found, self.end, False
+                        value, at = html[at + 1 : close], close
+                else:
+                    value = _VALUE.match(html, at)[0]
+                    at += len(value)
+            found.setdefault(name[0].lower(), value)
+
+    def after_element(self, tag: str, at: int) -> int:
+        """The place after the next end tag of `tag`, -1 without one."""
+        closing = self.closings.get(tag)
+        if closing is None:
+            closing = self.closings[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
+        key = "</" + tag
+        if at >= self.missing.get(key, self.end + 1):
+            return -1
+        found = closing.search(self.html, at)
+        if not found:
+            self.missing[key] = at
+            return -1
+        return self.attributes(found.end())[1]
+
+
+def parsed(html: str) -> tuple[Element, list[Element]]:
+    """The page's tree, and its elements that a name alone speaks against. Text directly in an element becomes children of it that are labelled #text, one for each run between block elements."""
     root = node = Element("#root", "#root", None, 0)
-    open_tags = [root]
+    open_tags, n_open = [root], Counter()
     named: list[Element] = []
     run: list[str] = []
+    source, at, end, links, in_link = Source(html), 0, len(html), 0, False
+
+    def say(piece: str) -> None:
+        nonlocal links
+        piece = decoded(piece)
+        run.append(piece)
+        if in_link:
+            links += len("".join(piece.split()))
+
+    def pop() -> Element:
+        out = open_tags.pop()
+        n_open[out.tag] -= 1
+        return out
 
     def flush() -> None:
-        nonlocal run
+        nonlocal run, links
         if run:
-            text = " ".join(unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             if text:
                 leaf = Element("#text", "#text", node, 0)
-                leaf.text = text
+                leaf.text, leaf.links = text, links
                 node.children.append(leaf)
-            run = []
+            run, links = [], 0
 
-    at, end = 0, len(html)
     while at < end:
-        m = _TAG.search(html, at)
-        if not m:
-            run.append(html[at:])
+        open_at = html.find("<", at)
+        if open_at < 0:
+            say(html[at:])
             break
-        if m.start() > at:
-            run.append(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+        if open_at > at:
+            say(html[at:open_at])
+        sign = html[open_at + 1 : open_at + 2]
+        closes = sign == "/"
+        first = html[open_at + 2 : open_at + 3] if closes else sign
+        if not (first.isascii() and first.isalpha()):
+            if html.startswith("<!--", open_at):
+                at = source.after_comment(open_at)
+            elif sign in ("!", "?") and sign or closes and first:
+                at = source.after(">", open_at)
+            else:
+                say("<")
+                at = open_at + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
+        name = _TAG_NAME.match(html, open_at + 1 + closes)
+        tag = name[0].lower()
+        found, at, slash = source.attributes(name.end())
+        if closes:
+            if tag == "a":
+                in_link = False
             if tag in INLINE:
                 continue
             if tag in VOID:
                 flush()
                 continue
-            for depth in range(len(open_tags) - 1, 0, -1):
-                if open_tags[depth].tag == tag:
-                    flush()
-                    open_tags[depth].closed = True
-                    del open_tags[depth:]
-                    node = open_tags[-1]
-                    break
+            if n_open[tag]:
+                flush()
+                while open_tags[-1].tag != tag:
+                    pop()
+                pop().closed = True
+                node = open_tags[-1]
             continue
         if tag in RAW:
-            if not m[3].endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = close.end() if close else end
+            at = source.after_element(tag, at)
+            if at < 0:
+                break
+            continue
+        if tag in WHOLE:
+            if not (slash and tag in ("svg", "math")):
+                after = source.after_element(tag, at)
+                at = after if after >= 0 else at
             continue
+        if tag == "a":
+            in_link = "href" in found
         if tag in INLINE:
             continue
         flush()
         if tag in VOID:
             continue
         if open_tags[-1].tag == "head":  # anything but metadata begins the body
-            open_tags.pop()
+            pop()
         if tag in ENDS_P and open_tags[-1].tag == "p":
-            open_tags.pop()
+            pop()
         if tag in SAME_ENDS:
-            for depth in range(len(open_tags) - 1, 0, -1):
+            for depth in range(len(open_tags) - 1, max(0, len(open_tags) - MOST_DEPTH), -1):
                 if open_tags[depth].tag in SAME_ENDS[tag]:
-                    del open_tags[depth:]
+                    while len(open_tags) > depth:
+                        pop()
                     break
                 if open_tags[depth].tag in SCOPE and open_tags[depth].tag not in ("div", "section"):
                     break
         node = open_tags[-1]
-        found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(m[3])} if m[3].strip() else {}
-        kind, name = kind_of(tag, found, open_tags)
-        own = Element(tag, f"{tag}.{found.get('class', '')}", node, kind)
-        if name:
-            own.name = name
+        kind, own_name = kind_of(tag, found, node) if found or tag in NOT_TAGS or tag == "header" else (0, "")
+        own = Element(tag, f"{tag}.{_DIGITS.sub('0', found.get('class', ''))}" if found else tag, node, kind)
+        if own_name:
+            own.name = own_name
             named.append(own)
         if len(open_tags) > MOST_DEPTH:
             own.children = node.children
         else:
             node.children.append(own)
-        if tag in ("article", "main") and not own.kind:
-            for up in open_tags:
+        if tag in ARTICLES and not own.kind:
+            for up in reversed(open_tags):
+                if up.has_article:
+                    break
                 up.has_article = True
-        if not m[3].endswith("/"):
+        if not slash:
             open_tags.append(own)
+            n_open[tag] += 1
             node = own
     flush()
-    if named:
-        marked(root, named)
-    return root
+    return root, named
 
 
 def shaped(root: Element, shapes: dict[tuple, int]) -> None:
@@ -239,6 +406,34 @@ def shaped(root: Element, shapes: dict[tuple, int]) -> None:
             stack.extend((c, False) for c in node.children)
 
 
+def in_order(x: list, y: list) -> list[tuple[int, int]]:
+    """Places of equal keys, the k-th of a key in x with the k-th in y, as many as come in the same order in both."""
+    seen: Counter = Counter()
+    place = {}
+    for j, key in enumerate(y):
+        place[key, seen[key]] = j
+        seen[key] += 1
+    seen.clear()
+    pairs = []
+    for i, key in enumerate(x):
+        if (key, seen[key]) in place:
+            pairs.append((i, place[key, seen[key]]))
+        seen[key] += 1
+    ends: list[int] = []  # the longest rising run of j by its last value, and where each pair's predecessor is
+    last: list[int] = []
+    before: list[int] = []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(ends, j)
+        before.append(last[k - 1] if k else -1)
+        ends[k : k + 1] = [j]
+        last[k : k + 1] = [n]
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
 class Matcher:
     """Simple tree matching, with the scores of shapes kept."""
 
@@ -252,37 +447,59 @@ class Matcher:
             return a.size
         key = (a.shape, b.shape)
         if key not in self.scores:
-            self.scores[key] = 1 + sum(s for _, _, s in self.children(a, b))
+            self.scores[key] = 1 + sum(self.score(p, q) for p, q in self.children(a, b))
         return self.scores[key]
 
-    def children(self, a: Element, b: Element) -> list[tuple[Element, Element, int]]:
-        """Matched children. Equal shapes at either end match each other in some best matching, so only the rest needs a table."""
+    def children(self, a: Element, b: Element) -> list[tuple[Element, Element]]:
+        """Matched children. Equal shapes at either end match each other in some best matching, so only the rest is compared."""
         x, y, out, tail = a.children, b.children, [], []
         low, high_x, high_y = 0, len(x), len(y)
         while low < min(high_x, high_y) and x[low].shape == y[low].shape:
-            out.append((x[low], y[low], x[low].size))
+            out.append((x[low], y[low]))
             low += 1
         while high_x > low and high_y > low and x[high_x - 1].shape == y[high_y - 1].shape:
             high_x, high_y = high_x - 1, high_y - 1
-            tail.append((x[high_x], y[high_y], x[high_x].size))
-        x, y = x[low:high_x], y[low:high_y]
-        if x and y:
-            best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-            for i, p in enumerate(x):
-                for j, q in enumerate(y):
-                    s = self.score(p, q)
-                    best[i + 1][j + 1] = max(best[i][j] + s if s else 0, best[i][j + 1], best[i + 1][j])
-            i, j, found = len(x), len(y), []
-            while i and j:
-                if best[i][j] == best[i - 1][j]:
-                    i -= 1
-                elif best[i][j] == best[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    found.append((x[i], y[j], self.score(x[i], y[j])))
-            out += reversed(found)
-        return out + tail[::-1]
+            tail.append((x[high_x], y[high_y]))
+        return out + self.between(x[low:high_x], y[low:high_y]) + tail[::-1]
+
+    def between(self, x: list[Element], y: list[Element]) -> list[tuple[Element, Element]]:
+        if len(x) * len(y) <= MOST_CELLS:
+            return self.best(x, y)
+        return self.anchored(x, y, lambda e: e.shape, lambda p, q: self.best(p, q) if len(p) * len(q) <= MOST_CELLS else self.anchored(p, q, lambda e: e.label, self.short))
+
+    def short(self, x: list[Element], y: list[Element]) -> list[tuple[Element, Element]]:
+        return self.best(x, y) if len(x) * len(y) <= MOST_CELLS else []
+
+    def anchored(self, x: list[Element], y: list[Element], key, rest) -> list[tuple[Element, Element]]:
+        """Elements with equal keys in the same order, and what `rest` matches between them."""
+        out, i, j = [], 0, 0
+        for p, q in [*in_order([key(e) for e in x], [key(e) for e in y]), (len(x), len(y))]:
+            if p > i and q > j:
+                out += rest(x[i:p], y[j:q])
+            if p < len(x) and q < len(y):
+                out.append((x[p], y[q]))
+            i, j = p + 1, q + 1
+        return out
+
+    def best(self, x: list[Element], y: list[Element]) -> list[tuple[Element, Element]]:
+        """The matching in order with the highest score."""
+        if not x or not y:
+            return []
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                s = self.score(p, q)
+                best[i + 1][j + 1] = max(best[i][j] + s if s else 0, best[i][j + 1], best[i + 1][j])
+        i, j, found = len(x), len(y), []
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                found.append((x[i], y[j]))
+        return found[::-1]
 
     def pairs(self, a: Element, b: Element) -> Iterator[tuple[Element, Element]]:
         """All matched nodes of two trees with equal roots."""
@@ -291,15 +508,37 @@ class Matcher:
             p, q = stack.pop()
             yield p, q
             if p.children and q.children:
-                stack.extend((c, d) for c, d, _ in (zip(p.children, q.children, p.children) if p.shape == q.shape else self.children(p, q)))
-
+                stack.extend(zip(p.children, q.children, strict=True) if p.shape == q.shape else self.children(p, q))
 
-def in_article(node: Element) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
-            return True
-        node = node.parent
-    return False
+    def merge(self, a: Element, b: Element) -> bool:
+        """Adds to the tree `a` what `b` has besides; whether that is anything."""
+        stack, grown = [(a, b)], False
+        while stack:
+            p, q = stack.pop()
+            if p.shape == q.shape:
+                continue
+            partner = {id(d): c for c, d in self.children(p, q)}
+            out, i = [], 0
+            for d in q.children:
+                c = partner.get(id(d))
+                if c is None:
+                    out.append(copied(d, p))
+                    grown = True
+                    continue
+                while p.children[i] is not c:
+                    out.append(p.children[i])
+                    i += 1
+                out.append(c)
+                i += 1
+                stack.append((c, d))
+            p.children = out + p.children[i:]
+        return grown
+
+
+def copied(node: Element, parent: Element | None) -> Element:
+    out = Element(node.tag, node.label, parent, node.kind)
+    out.children = [copied(c, out) for c in node.children]
+    return out
 
 
 def texts(root: Element) -> Iterator[Element]:
@@ -346,93 +585,157 @@ class Articles:
         return True
 
 
-class Wrapper:
-    """One page's tree with how many pages agree at each of its texts."""
-
-    def __init__(self, seed: Element, matcher: Matcher):
-        self.seed, self.matcher = seed, matcher
-        self.articles = Articles()
-        self.articles.is_new(seed)
-        self.seen: dict[int, list[int]] = {}
-        self.inside = {id(x): in_article(x) for x in texts(seed)}
-
-    def learn(self, page: Element) -> None:
-        """Counts where the page agrees; a copy of the wrapper's own article, or of one that was counted, tells nothing."""
-        if not self.articles.is_new(page):
-            return
-        for a, b in self.matcher.pairs(self.seed, page):
-            if a.tag == "#text":
-                told = self.seen.setdefault(id(a), [0, 0])
-                told[0] += 1
-                told[1] += a.text == b.text
-
-    def constant(self, node: Element) -> bool:
-        matched, equal = self.seen.get(id(node), (0, 0))
-        share, least = (AGREE_INSIDE, LEAST_INSIDE) if self.inside.get(id(node)) else (AGREE, LEAST_PAGES)
-        return matched >= least and equal >= share * matched
-
-    def template(self, page: Element) -> set[int]:
-        """The page's texts that are template."""
-        return {id(b) for a, b in self.matcher.pairs(self.seed, page) if a.tag == "#text" and a.text == b.text and self.constant(a)}
-
-
 def article_text(root: Element) -> tuple[str, ...]:
     """The texts in article or main elements; without such elements, all."""
     every = list(texts(root))
-    return tuple(x.text for x in every if in_article(x)) or tuple(x.text for x in every)
+    return tuple(x.text for x in every if x.inside) or tuple(x.text for x in every)
+
 
+class Told:
+    """What different articles' pages have at a text node of the wrapper."""
 
-def main_texts(root: Element, template: set[int]) -> list[str]:
-    """The slots that are the article: those in article or main elements; without such slots, all."""
-    slots = [x for x in texts(root) if id(x) not in template]
-    inside = [x for x in slots if in_article(x)]
-    return [x.text for x in inside or slots]
+    __slots__ = ("texts", "pages", "menu")
 
+    def __init__(self, menu: Element | None):
+        self.texts: Counter = Counter()
+        self.pages = 0
+        self.menu = menu
 
-def extract_block(pages: list[str], wrapper: Wrapper | None = None) -> tuple[list[str], Wrapper | None]:
-    """The texts of some pages of one host, and their wrapper. Few pages use the wrapper of the host's last block, if given."""
-    trees = [parsed(x) for x in pages]
-    matcher = wrapper.matcher if wrapper else Matcher()
-    shapes: dict[tuple, int] = getattr(matcher, "shapes", None) or {}
-    matcher.shapes = shapes
-    for tree in trees:
-        shaped(tree, shapes)
-    if wrapper is None or len(trees) > LEAST_INSIDE:
+    def is_template(self, text: str, inside: bool) -> bool:
+        share, least = (AGREE_INSIDE, LEAST_INSIDE) if inside else (AGREE, LEAST_PAGES)
+        if self.pages >= least and self.texts[text] >= share * self.pages:
+            return True
+        return not inside and self.pages >= LEAST_INSIDE and self.texts[text] > 1 and len(self.texts) <= ROTATES * self.pages
+
+
+class Wrapper:
+    """The merged tree of some pages of a host, and what stands at its nodes."""
+
+    def __init__(self, trees: list[Element]):
+        self.trees, self.matcher = trees, Matcher()
+        shapes: dict[tuple, int] = {}
+        for tree in trees:
+            shaped(tree, shapes)
         seed = sorted(trees, key=lambda t: t.size)[len(trees) // 2]
-        wrapper = Wrapper(seed, matcher)
+        self.root = copied(seed, None)
+        shaped(self.root, shapes)
         for tree in trees:
-            if tree is not seed:
-                wrapper.learn(tree)
-    return [" ".join(main_texts(t, wrapper.template(t))) for t in trees], wrapper
+            if tree is not seed and self.matcher.merge(self.root, tree):
+                shaped(self.root, shapes)
+        self.learn(seed)
+
+    def learn(self, seed: Element) -> None:
+        self.told: dict[int, Told] = {}
+        self.chars: Counter = Counter()  # of lists: their text, of it link text, and how many texts
+        self.links: Counter = Counter()
+        self.items: Counter = Counter()
+        self.at: list[dict[int, Told]] = []
+        articles = Articles()
+        new = {id(t): articles.is_new(t) for t in [seed, *(t for t in self.trees if t is not seed)]}
+        for tree in self.trees:
+            places: dict[int, Told] = {}
+            for a, b in self.matcher.pairs(self.root, tree):
+                if a.tag != "#text":
+                    continue
+                told = self.told.get(id(a))
+                if told is None:
+                    told = self.told[id(a)] = Told(list_of(a))
+                places[id(b)] = told
+                if told.menu is not None:
+                    self.chars[id(told.menu)] += len(b.text) - b.text.count(" ")
+                    self.links[id(told.menu)] += b.links
+                    self.items[id(told.menu)] += 1
+                if new[id(tree)]:
+                    told.pages += 1
+                    told.texts[b.text] += 1
+            self.at.append(places)
+
+    def is_menu(self, told: Told | None) -> bool:
+        menu = told and told.menu
+        return menu is not None and self.items[id(menu)] > 1 and self.links[id(menu)] >= LINKS * self.chars[id(menu)]
+
+    def found(self) -> list[list[str]]:
+        """The texts that are each page's article."""
+        slots: list[tuple[list[Element], list[Element]]] = []
+        for tree, places in zip(self.trees, self.at, strict=True):
+            inside, outside, menus = [], [], []
+            for x in texts(tree):
+                told, within = places.get(id(x)), x.inside
+                if told is not None and told.is_template(x.text, within):
+                    continue
+                (inside if within else menus if self.is_menu(told) else outside).append(x)
+            if mass(menus) > mass(outside):  # a page that is nothing but a list
+                kept = {id(x) for x in menus + outside}
+                outside = [x for x in texts(tree) if id(x) in kept]
+            slots.append((inside, outside))
+        # The elements that say they are the article are believed, unless the alignment finds far more text outside.
+        with_both = [(mass(i), mass(o)) for i, o in slots if i]
+        believed = ARTICLE_PRIOR * sum(i for i, _ in with_both) >= sum(o for _, o in with_both)
+        out = []
+        for tree, (inside, outside) in zip(self.trees, slots, strict=True):
+            if inside and believed:
+                out.append([x.text for x in inside])
+            else:
+                kept = {id(x) for x in inside + outside}
+                out.append([x.text for x in texts(tree) if id(x) in kept])
+        return out
+
+
+def mass(leaves: list[Element]) -> int:
+    return sum(len(x.text) for x in leaves)
+
+
+def list_of(node: Element) -> Element | None:
+    """The outermost list that the node is in."""
+    out = None
+    while node is not None:
+        if node.tag in LISTS:
+            out = node
+        node = node.parent
+    return out
+
+
+def extract_block(pages: list[str]) -> tuple[list[str], Wrapper]:
+    """The texts of some pages of one host, and their wrapper."""
+    read = [parsed(x) for x in pages]
+    taken_back([claim for root, named in read if named for claim in weighed(root, named)])
+    for root, _ in read:
+        pruned(root)
+    wrapper = Wrapper([root for root, _ in read])
+    return [" ".join(x) for x in wrapper.found()], wrapper
 
 
 def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """One row for each row of `pages`: page_id, url, text, n_chars."""
     rows = pages.select(
-        F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host_of(F.col(url)).alias("_host")
+        F.col(page_id).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"), host_of(F.col(url)).alias("host")
     )
-    rows = rows.withColumn("_hash", F.xxhash64("page_id", "url"))
-    dealt = rows.repartitionByRange("_host", "_hash").sortWithinPartitions("_host", "_hash").drop("_hash")
+    sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("html")).alias("chars"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_PAGES), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    large = sizes.select("host", blocks.alias("blocks")).where("blocks > 1")
+    rows = rows.withColumn("hash", F.xxhash64("page_id", "url", "html"))
+    if large.count() <= BROADCAST_HOSTS:
+        rows = rows.join(F.broadcast(large), "host", "left")
+    else:
+        rows = spread_join(rows, large, "host", "left")
+    rows = rows.withColumn("block", F.pmod("hash", F.coalesce("blocks", F.lit(1)))).select("page_id", "url", "html", "host", "block", "hash")
+    dealt = rows.repartition("host", "block").sortWithinPartitions("host", "block", "hash").drop("hash")
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         held: list[tuple] = []
-        chars = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 row = tuple(c[i].as_py() for c in batch.columns)
-                if held and (row[3] != held[0][3] or len(held) >= BLOCK_PAGES or chars > BLOCK_CHARS):
+                if held and row[3:] != held[0][3:]:
                     yield held
-                    held, chars = [], 0
+                    held = []
                 held.append(row)
-                chars += len(row[2])
         if held:
             yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        host, wrapper = None, None
-        for block in blocks(batches):
-            found, wrapper = extract_block([r[2] for r in block], wrapper if block[0][3] == host else None)
-            host = block[0][3]
+        for block in by_block(batches):
+            found, _ = extract_block([r[2] for r in block])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in block], pa.int64()), pa.array([r[1] for r in block], pa.string()), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())],
                 ["page_id", "url", "text", "n_chars"],
@@ -445,11 +748,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
 
 
-#: What the pages of these tables have as article, by their markup and character references.
+#: What is left of these tables' pages without head, menus, adverts, scripts, comments, footers and markup.
 SQL = r"""
-WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '') AS a FROM pages),
+WITH a AS (SELECT page_id, url, coalesce(regexp_replace(html, '(?s)<head>.*?</head>|<script>.*?</script>|<nav>.*?</nav>|<!--.*?-->|<div class="ad">.*?</div>|<aside.*?</aside>|<form.*?</form>|<footer>.*?</footer>', '', 'g'), '') AS a FROM pages),
 b AS (SELECT page_id, url, regexp_replace(regexp_replace(a, '</?(b|i|a)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g') AS b FROM a),
-c AS (SELECT page_id, url, replace(replace(replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS c FROM b),
+c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS c FROM b),
 d AS (SELECT page_id, url, trim(regexp_replace(c, '\s+', ' ', 'g')) AS text FROM c)
 SELECT page_id, url, text, length(text) AS n_chars FROM d
 """

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -529,12 +530,74 @@ def test_html_template_outside_articles():
         ("<div>" * 500 + "<article>deep" + "</div>" * 500, "deep"),
         ("<article>un<b>fin", "unfin"),
         ("<article><header><h1>H</h1></header>a</article><header>site</header>", "H a"),
+        ("<article>a <a href=\"x>link</a> b</article>", "a link b"),
+        ("<article>a<script src=x/>var y=1</script>b</article>", "ab"),
+        ("<article>a < b, c <3, d</ e>f &am<b>p;</b></article>", "a < b, c <3, df &amp;"),
+        ("<article>a<!-->b<!-- x --!>c<!DOCTYPE x>d<![CDATA[e]]>f</article>", "abcdf"),
+        ("<article>a<p title='1 > 2' class=x>b<p data-x=/y/>c</article>", "a b c"),
+        ("<article>a<svg/>b<svg><text>no</text></svg>c<video>shown</article>", "abcshown"),
+        ("<article>&#" + "9" * 9000 + "; &#x1F600;</article>", "\ufffd \U0001f600"),
+        ("<article>a<style>no", "a"),
+        ("<main><div class='post side'><p>Body text</div></main>", "Body text"),
+        ("<article><div class='header'><h1>T</h1></div><p class='notice'>mind this<p>and the rest</article>", "T mind this and the rest"),
+        ("<article>card</article><div><p>a text that is far longer than the card of another story</div>", "card a text that is far longer than the card of another story"),
     ],
 )
 def test_html_markup(html, text):
     assert html_extract.extract_block([html])[0] == [text]
 
 
+@pytest.mark.parametrize("page", ["<a " * 333_000, "<a b=\"" * 150_000, "<" * 1_000_000, "<!--" * 250_000, "<svg>" * 200_000, "<div>" * 200_000, "<div class=ad>x" * 60_000, "<li><ul>" + "<div>" * 50_000 + "<td>x" * 50_000, "<div>" * 50_000 + "</p>" * 50_000, "<div>" * 50_000 + "<article>y" * 50_000])
+def test_html_broken_pages_take_linear_time(page):
+    """About one MB of markup that never closes: some seconds on a slow machine, where quadratic steps would take hours."""
+    began = time.process_time()
+    html_extract.extract_block([page])
+    assert time.process_time() - began < 20
+
+
+def test_html_long_flat_pages():
+    """Thousands of blocks of different kinds in a row are aligned in little time, and what all pages share is found."""
+    r = random.Random(2)
+    kinds = ["<p>{}</p>", "<h2>{}</h2>", "<div><p>{}</p></div>", "<ul><li>{}<li>e</ul>", "<blockquote><p>{}</p><p>y</p></blockquote>"]
+    pages = ["<div><p>Read all our stories!</div>" + "".join(r.choice(kinds).format(r.randint(0, 10**9)) for _ in range(5000)) for _ in range(3)]
+    began = time.process_time()
+    got = html_extract.extract_block(pages)[0]
+    assert time.process_time() - began < 20 and all(len(x) > 40_000 and "Read all" not in x for x in got)
+
+
+def test_html_alignment_decides():
+    """What other pages of the host say changes a page's text: notices, menus of links, boilerplate that the first page lacks."""
+    prose = [" ".join(f"{w}{k}" for w in PROSE.split()[50 * k : 50 * k + 50]) for k in range(16)]
+    notes = ["Shop closes at six", "Win a trip", "Free delivery"]
+    links = "<ul>" + "".join(f"<li><a href=/{w}>{w} {{k}}</a>" for w in ("home", "news", "about us")) + "</ul>"
+    pages = [
+        f"<body><div><p>{notes[k % 3]}</div>{links.format(k=k)}<div><h1>Title {k}</h1><p>{prose[k]}</div>{'' if k == 0 else '<div>All rights are ours</div>'}</body>" for k in range(16)
+    ]
+    alone = [html_extract.extract_block([x])[0][0] for x in pages]
+    assert html_extract.extract_block(pages)[0] == [f"Title {k} {prose[k]}" for k in range(16)]
+    assert all(notes[k % 3] in alone[k] for k in range(16)) and "All rights" in alone[1]
+
+
+def test_html_short_articles_among_named_adverts():
+    """An advert that is longer than one short article is no article: over the host's pages it is small."""
+    pages = [f"<body><div class=ad>an advert of the day, number {k}</div><div><h1>Head {k}</h1><p>{PROSE[700 * k : 700 * k + 600] if k else ''}</div></body>" for k in range(5)]
+    assert html_extract.extract_block(pages)[0][0] == "Head 0"
+
+
+def test_html_blocks_do_not_depend_on_partitions(spark):
+    """Which pages meet follows from the table: two ways to deal its rows give the same texts."""
+    r = random.Random(9)
+    rows = [(i, f"https://h{i % 3 % 2}.org/{i}", f"<div>{r.choice(['note a', 'note b', f'own {i}'])}</div><div><p>story {r.randint(0, 10**9)} of {i}</div>") for i in range(400)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    texts = [sorted(map(tuple, html_extract.extracted(df.repartition(n)).collect())) for n in (1, 7)]
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        texts.append(sorted(map(tuple, html_extract.extracted(df).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert texts[0] == texts[1] == texts[2] and len(texts[0]) == 400
+
+
 def test_html_deep_pages_align():
     pages = ["<div>" * (900 + i) + f"<p>text {i} " + "<ul><li>" * 300 for i in range(3)]
     assert html_extract.extract_block(pages)[0] == ["text 0", "text 1", "text 2"]
