@@ -1,17 +1,15 @@
 """BPE encoding and decoding by tree concatenation.
 
-A long text is halved until its parts are short; the parts are encoded in parallel, then joined pairwise up the tree. A
-join re-encodes a window around the seam and widens it until the window's first and last words come out exactly as the
-two sides have them; only then do the window's ids replace theirs.
+White space parts a text into words whose ids are independent of each other; what does not part is a word without white
+space, however long. Such a long word is normalised once, as a whole, and cut into pre-tokens by the tokenizer's own
+splitter. A long pre-token is halved until its parts are short; the parts are encoded in parallel, those before the last as
+text that goes on, then joined pairwise up the tree. A join re-encodes some tokens from either side of the seam, twice as
+many each time, until the window's first token is the left side's and its last token the right side's. BPE encodings are
+settled by neighbouring tokens: a sequence is the encoding of its text if each pair of neighbours is the encoding of the
+pair's text. All pairs lie within the left side, the window or the right side, so agreement at both ends proves the result.
 
-A word without white space may itself be long. Its pre-tokens are found by the tokenizer's own splitter, and a long
-pre-token goes through the same tree on symbols: the left half is encoded as text that goes on, the right half as its
-end, and a join re-encodes some tokens from either side, twice as many each time, until the window's first token is the
-left side's and its last token the right side's. BPE encodings are settled by neighbouring tokens: a sequence is the
-encoding of its text if each pair of neighbours is the encoding of the pair's text. All pairs lie within the left side,
-the window or the right side, so agreement at both ends proves the result.
-
-Parts of long texts are rows of their own, dealt out to all executors; only one document's parts meet in a task.
+Long texts become parts, slices of whole words or chunks of a long pre-token. Parts are rows of their own, dealt out to
+all executors; only one document's ids meet in a task. Every long word goes through the tree, in short texts too.
 
 Defined results: null and empty texts have no ids and decode to the empty text. Strings of special tokens in a text give
 their ids, as in the library. Rows with equal ids or texts are encoded each. Columns of the input with the names of the
@@ -22,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -35,43 +33,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import table, tokenizer_path
-from .tokens import Encoder, small, words_of
+from .tokens import CUT, Encoder, small, words_of
 
-#: Texts longer than this are halved; so are pre-tokens of more symbols than LONG_SYMBOLS in a word longer than LONG_WORD.
+#: Texts longer than this are cut into parts of about this length; longer words are encoded by their pre-tokens, and
+#: pre-tokens of more symbols than LONG_SYMBOLS are halved.
 LEAF_CHARS, LONG_WORD, LONG_SYMBOLS = 32_768, 1024, 512
 
+#: Ids of a pre-token's part, with the number of symbols of each.
+Ids = list[tuple[int, int]]
 
-def may_cut(text: str, at: int) -> bool:
-    """Whether no normal form spans this place: what follows neither combines with what precedes nor ends a surrogate."""
-    c = text[at]
-    if c.isascii():
-        return True
-    code = ord(c)
-    return unicodedata.category(c)[0] not in "MC" and not (0x1160 <= code <= 0x11FF or 0x16D63 <= code <= 0x16D6A)
-
-
-def middle(text: str) -> int:
-    """A place to halve the text at, near its middle; 0 if there is none."""
-    half = len(text) // 2
-    for step in range(half):
-        for at in (half - step, half + step):
-            if 0 < at < len(text) and may_cut(text, at):
-                return at
-    return 0
-
-
-def leaves(text: str, most: int) -> list[str]:
-    """The text halved until no part is longer than `most` (or can't be cut)."""
-    if len(text) <= most or not (at := middle(text)):
-        return [text]
-    return leaves(text[:at], most) + leaves(text[at:], most)
-
-
-class Node:
-    """A part of a text: its normalised words with their ids, and whether its ends touch the neighbours'."""
 
-    def __init__(self, words: list[str], ids: list[bytes], open_left: bool, open_right: bool):
-        self.words, self.ids, self.open_left, self.open_right = words, ids, open_left, open_right
+#: Kinds of a text's parts: words; symbols of whole pre-tokens, with spaces between; a chunk of a pre-token, its last one;
+#: the id of a special token.
+WORDS, TOKENS, CHUNK, END, SPECIAL = "words", "tokens", "chunk", "end", "special"
 
 
 class TreeEncoder:
@@ -83,47 +57,52 @@ class TreeEncoder:
         self.tokenizer = self.base.tokenizer
         told = json.loads(self.tokenizer.to_str())
         self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
+        self.specials = re.compile("|".join(map(re.escape, self.special)))
         model = told["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.ends, self.goes_on = self.tokenizer.model, BPE(vocab=model["vocab"], merges=merges)
+        self.base.long_word, self.base.long_ids = long_word, self.long_ids
         self.names = {i: w.encode() for w, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
 
     # Sections between special tokens.
     def sections(self, text: str) -> list[str | int]:
         """The text cut at the strings of special tokens, which are given as their ids."""
         out: list[str | int] = []
-        while text:
-            at, name = min(((i, s) for s in self.special if (i := text.find(s)) >= 0), default=(-1, ""), key=lambda x: x[0])
-            if at < 0:
-                return [*out, text]
-            out += [text[:at]] * (at > 0) + [self.special[name]]
-            text = text[at + len(name) :]
+        at = 0
+        for found in self.specials.finditer(text):
+            out += [text[at : found.start()]] * (found.start() > at) + [self.special[found[0]]]
+            at = found.end()
+        return [*out, text[at:]] if at < len(text) else out
+
+    # Long words.
+    def pre_tokens(self, word: str) -> list[str]:
+        """The symbols of each pre-token of a word; it is normalised here, once and as a whole."""
+        return [symbols for symbols, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(word))]
+
+    def long_ids(self, word: str) -> bytes:
+        """Ids of a word of any length."""
+        out = b""
+        for section in self.sections(word):
+            if isinstance(section, int):
+                out += self.base.pack([section])
+            else:
+                out += b"".join(self.base.pack([i for i, _ in self.symbol_tree(x, True)]) for x in self.pre_tokens(section))
         return out
 
-    # Words.
-    def word_ids(self, word: str) -> bytes:
-        """Ids of one normalised word of any length."""
-        if len(word) <= self.long_word:
-            return self.base.encode_words([word])[0]
-        ids: list[int] = []
-        for symbols, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word):
-            ids += [i for i, _ in self.symbol_tree(symbols, True)]
-        return self.base.pack(ids)
-
-    def symbol_tree(self, symbols: str, end: bool) -> list[tuple[int, int]]:
+    def symbol_tree(self, symbols: str, end: bool) -> Ids:
         """Ids of a pre-token with the number of symbols of each; `end`: its last symbol ends the word."""
         if len(symbols) <= self.long_symbols:
             return self.symbol_ids(symbols, end)
         half = len(symbols) // 2
         return self.symbol_join(self.symbol_tree(symbols[:half], False), self.symbol_tree(symbols[half:], end), symbols, end)
 
-    def symbol_ids(self, symbols: str, end: bool) -> list[tuple[int, int]]:
+    def symbol_ids(self, symbols: str, end: bool) -> Ids:
         found = [(t.id, len(t.value)) for t in (self.ends if end else self.goes_on).tokenize(symbols)]
         if end:  # the last token's name also holds the mark of a word's end
             found[-1] = (found[-1][0], found[-1][1] - len(self.ends.end_of_word_suffix))
         return found
 
-    def symbol_join(self, left: list[tuple[int, int]], right: list[tuple[int, int]], symbols: str, end: bool) -> list[tuple[int, int]]:
+    def symbol_join(self, left: Ids, right: Ids, symbols: str, end: bool) -> Ids:
         seam, k = sum(n for _, n in left), 2
         while True:
             low, high = max(0, len(left) - k), min(len(right), k)
@@ -134,66 +113,97 @@ class TreeEncoder:
             k *= 2
 
     # Texts.
-    def leaf_node(self, text: str) -> Node:
-        """A part of a text, encoded by itself."""
-        plain = self.tokenizer.normalizer.normalize_str(text)
-        words = words_of(plain)
-        short = all(len(w) <= self.long_word for w in words)
-        ids = self.base.encode_words(words) if short else [self.word_ids(w) for w in words]
-        is_space = lambda c: not words_of(c)
-        return Node(words, ids, bool(plain) and not is_space(plain[0]), bool(plain) and not is_space(plain[-1]))
-
-    def join(self, left: Node, right: Node) -> Node:
-        if not left.words or not right.words:
-            some = left if left.words else right
-            return Node(some.words, some.ids, left.open_left if left.words else some.open_left and not left.words, right.open_right if right.words else some.open_right)
-        if not (left.open_right and right.open_left):
-            return Node(left.words + right.words, left.ids + right.ids, left.open_left, right.open_right)
-        seam, k = left.words[-1] + right.words[0], 1
-        while True:
-            low, high = max(0, len(left.words) - 1 - k), min(len(right.words), 1 + k)
-            words = [*left.words[low:-1], seam, *right.words[1:high]]
-            ids = [self.word_ids(w) if len(w) > self.long_word else self.base.pack(e.ids) for w, e in zip(words, self.tokenizer.encode_batch([w if len(w) <= self.long_word else "" for w in words], add_special_tokens=False), strict=True)]
-            agree_left = low == len(left.words) - 1 or ids[0] == left.ids[low]
-            agree_right = high == 1 or ids[-1] == right.ids[high - 1]
-            if agree_left and agree_right or low == 0 and high == len(right.words):
-                return Node(
-                    [*left.words[:-1], seam, *right.words[1:]],
-                    [*left.ids[:low], *ids, *right.ids[high:]],
-                    left.open_left,
-                    right.open_right,
-                )
-            k *= 2
-
-    def tree(self, nodes: list[Node]) -> Node:
-        """The nodes joined pairwise, level by level."""
-        while len(nodes) > 1:
-            nodes = [self.join(*nodes[i : i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
-        return nodes[0]
+    def parts(self, text: str) -> Iterator[tuple[str, str]]:
+        """(kind, text) of a whole text's parts of about `leaf` characters, in order; they may be encoded apart."""
+        for section in self.sections(text):
+            if isinstance(section, int):
+                yield SPECIAL, str(section)
+                continue
+            at = 0
+            while at < len(section):
+                cut = CUT.search(section, min(at + self.leaf, len(section)))
+                piece = section[at : cut.end() if cut else len(section)]
+                at += len(piece)
+                if len(piece) <= 2 * self.leaf:
+                    yield WORDS, piece
+                else:
+                    yield from self.long_parts(piece)
+
+    def long_parts(self, piece: str) -> Iterator[tuple[str, str]]:
+        """The parts of some words with one that has no place to cut at: its pre-tokens, the long ones in chunks."""
+        for long, some in groupby(words_of(piece), key=lambda w: len(w) > self.leaf):
+            if not long:
+                yield WORDS, " ".join(some)
+                continue
+            for word in some:
+                held, size = [], 0
+                for symbols in self.pre_tokens(word):
+                    if len(symbols) <= self.leaf:
+                        held.append(symbols)
+                        size += len(symbols)
+                    if held and (size >= self.leaf or len(symbols) > self.leaf):
+                        yield TOKENS, " ".join(held)
+                        held, size = [], 0
+                    if len(symbols) > self.leaf:
+                        *first, last = halves(symbols, self.leaf)
+                        yield from ((CHUNK, x) for x in first)
+                        yield END, last
+                if held:
+                    yield TOKENS, " ".join(held)
+
+    def part_ids(self, kind: str, text: str) -> Ids:
+        """A part's ids; those of a pre-token's symbols with their numbers."""
+        if kind == SPECIAL:
+            return [(int(text), 0)]
+        if kind == WORDS:
+            return [(i, 0) for i in np.frombuffer(self.base.encode(text), "<u4").tolist()]
+        if kind == TOKENS:
+            return [x for symbols in text.split(" ") for x in self.symbol_tree(symbols, True)]
+        return self.symbol_tree(text, kind == END)
+
+    def joined(self, chunks: list[tuple[str, Ids]]) -> Ids:
+        """The ids of a pre-token from those of its chunks, joined pairwise, level by level."""
+        while len(chunks) > 1:
+            chunks = [self.two(*chunks[i : i + 2], i + 2 >= len(chunks)) if i + 1 < len(chunks) else chunks[i] for i in range(0, len(chunks), 2)]
+        return chunks[0][1]
+
+    def two(self, left: tuple[str, Ids], right: tuple[str, Ids], end: bool) -> tuple[str, Ids]:
+        return left[0] + right[0], self.symbol_join(left[1], right[1], left[0] + right[0], end)
+
+    def whole(self, parts: Iterator[tuple[str, str, Ids]]) -> bytes:
+        """The ids of a text from its parts (kind, text, ids) in order."""
+        out, chunks = [], []
+        for kind, text, ids in parts:
+            if kind in (CHUNK, END):
+                chunks.append((text, ids))
+            if kind == END:
+                ids, chunks = self.joined(chunks), []
+            if kind != CHUNK:
+                out.append(np.array([i for i, _ in ids], "<u4").tobytes())
+        return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, all in this process."""
-        out = b""
-        for part in self.sections(text or ""):
-            if isinstance(part, int):
-                out += self.base.pack([part])
-            else:
-                out += b"".join(self.tree([self.leaf_node(x) for x in leaves(part, self.leaf)]).ids)
-        return out
+        return self.whole((kind, x, self.part_ids(kind, x)) for kind, x in self.parts(text or ""))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The decoded text in UTF-8: the vocabulary has no decoder, so its strings are joined by spaces."""
         return b" ".join(map(self.names.__getitem__, ids.tolist()))
 
 
+def halves(symbols: str, most: int) -> list[str]:
+    """The symbols halved until no part is longer than `most`."""
+    if len(symbols) <= most:
+        return [symbols]
+    half = len(symbols) // 2
+    return halves(symbols[:half], most) + halves(symbols[half:], most)
+
+
 @lru_cache(maxsize=2)
 def tree_encoder(path: str, leaf: int) -> TreeEncoder:
     return TreeEncoder(path, leaf)
 
 
-_PART = "_row bigint, doc_id bigint, section int, part int, special int, words array<string>, ids array<binary>, open_left boolean, open_right boolean"
-
-
 #: What `encoded` gives by itself: the ids and the decoded text.
 PLAIN = ("ids binary, decoded binary", lambda ids, decoded: (ids, decoded))
 
@@ -218,48 +228,54 @@ def encoded(
         for batch in small(batches):
             yield seen(own, batch.column(0).to_pylist(), [own.base.encode(x.as_py()) for x in batch.column(1)])
 
+    columns = ["row", "doc_id", "part", "kind", "text"]
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tree_encoder(path, leaf)
         for batch in batches:
             for i in range(batch.num_rows):
                 row, doc, text = (c[i].as_py() for c in batch.columns)
-                for at, section in enumerate(own.sections(text)):
-                    special, parts = (section, [None]) if isinstance(section, int) else (None, leaves(section, leaf))
-                    n = len(parts)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, kind) for x, kind in (([row] * n, pa.int64()), ([doc] * n, pa.int64()), ([at] * n, pa.int32()), (range(n), pa.int32()), ([special] * n, pa.int32()), (parts, pa.string()))],
-                        ["_row", "doc_id", "section", "part", "special", "text"],
-                    )
+                held: list[tuple] = []
+                for at, part in enumerate(own.parts(text)):
+                    held.append((row, doc, at, *part))
+                    if len(held) == 64:
+                        yield of_rows(held)
+                        held = []
+                if held:
+                    yield of_rows(held)
+
+    def of_rows(held: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], columns)
 
     def part_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts with their ids in place of their text; chunks keep it, as a join may need it, with the symbols of each id."""
         own = tree_encoder(path, leaf)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                text = one.column(5)[0].as_py()
-                node = own.leaf_node(text) if text is not None else Node([], [], False, False)
-                yield pa.RecordBatch.from_arrays(
-                    [*one.columns[:5], pa.array([node.words], pa.list_(pa.string())), pa.array([node.ids], pa.list_(pa.binary())), pa.array([node.open_left]), pa.array([node.open_right])],
-                    [x.split()[0] for x in _PART.split(", ")],
-                )
+        for batch in small(batches, 8):
+            ids, sizes, texts = [], [], []
+            for kind, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                found, chunk = own.part_ids(kind, text), kind in (CHUNK, END)
+                ids.append(np.array([i for i, _ in found], "<u4").tobytes())
+                sizes.append(np.array([n for _, n in found], "<u4").tobytes() if chunk else b"")
+                texts.append(text if chunk else "")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(texts, pa.string()), pa.array(ids, pa.binary()), pa.array(sizes, pa.binary())], [*columns, "ids", "sizes"])
 
     def joined(of_one: pa.Table) -> pa.Table:
         own = tree_encoder(path, leaf)
-        parts = sorted(of_one.to_pylist(), key=lambda x: (x["section"], x["part"]))
-        ids = b""
-        for _, section in groupby(parts, key=lambda x: x["section"]):
-            nodes = list(section)
-            if nodes[0]["special"] is not None:
-                ids += own.base.pack([nodes[0]["special"]])
-            else:
-                ids += b"".join(own.tree([Node(p["words"], p["ids"], p["open_left"], p["open_right"]) for p in nodes]).ids)
-        return pa.Table.from_batches([seen(own, [parts[0]["doc_id"]], [ids])])
+        rows = of_one.sort_by("part")
+
+        def told() -> Iterator[tuple[str, str, Ids]]:
+            for kind, text, ids, sizes in zip(*(rows.column(c).to_pylist() for c in ("kind", "text", "ids", "sizes")), strict=True):
+                numbers = np.frombuffer(ids, "<u4").tolist()
+                yield kind, text, list(zip(numbers, np.frombuffer(sizes, "<u4").tolist() or [0] * len(numbers), strict=True))
+
+        return pa.Table.from_batches([seen(own, [rows.column("doc_id")[0].as_py()], [own.whole(told())])])
 
     short = rows.where(F.length("text") <= leaf).mapInArrow(whole, schema)
-    parts = rows.withColumn("_row", F.monotonically_increasing_id()).where(F.length("text") > leaf).select("_row", "doc_id", "text")
-    parts = parts.mapInArrow(cut, "_row bigint, doc_id bigint, section int, part int, special int, text string")
-    parts = parts.repartition("_row", "section", "part").mapInArrow(part_ids, _PART)
-    return short.unionByName(parts.groupBy("_row").applyInArrow(joined, schema))
+    parts = rows.withColumn("row", F.monotonically_increasing_id()).where(F.length("text") > leaf).select("row", "doc_id", "text")
+    parts = parts.mapInArrow(cut, "row bigint, doc_id bigint, part int, kind string, text string")
+    parts = parts.repartition("row", "part").mapInArrow(part_ids, "row bigint, doc_id bigint, part int, kind string, text string, ids binary, sizes binary")
+    return short.unionByName(parts.groupBy("row").applyInArrow(joined, schema))
 
 
 def _digests(ids: bytes, decoded: bytes) -> tuple[int, str, str]:

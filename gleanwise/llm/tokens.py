@@ -13,18 +13,24 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
 
 #: Words longer than this are not kept in the table.
 LONG_WORD = 64
 
 #: White space to the tokenizer (fixed value). Python's split() also cuts at \x1c to \x1f, which are symbols here.
-_SPACE = re.compile("[\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+WHITE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACE_RUN = re.compile(f"[{WHITE}]+")
+
+#: Between ASCII characters, but for apostrophes and those of special tokens, a pre-token ends between letters and signs
+#: and on either side of a digit, whatever stands around (fixed values): a text may be cut there.
+_GRAPH, _SIGN, _LETTER = "[!-&(-;=?-{}~]", r"[!-&(-/:;=?@\[-`{}~]", "[A-Za-z]"
+SAFE = rf"(?<=[0-9])(?={_GRAPH})|(?<={_GRAPH})(?=[0-9])|(?<={_LETTER})(?={_SIGN})|(?<={_SIGN})(?={_LETTER})"
+CUT = re.compile(f"[{WHITE}]+|{SAFE}")
 
 
 def words_of(text: str) -> list[str]:
     if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-        return [w for w in _SPACE.split(text) if w]
+        return [w for w in SPACE_RUN.split(text) if w]
     return text.split()
 
 
@@ -75,6 +81,8 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenize = self.tokenizer.model.tokenize
         self.keep = keep
+        #: For words longer than `long_word`, if set: their ids by another way.
+        self.long_word, self.long_ids = 0, None
         self.seen = _Words(self)
         self.number = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         letters = [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
@@ -86,6 +94,8 @@ class Encoder:
     def new_word(self, word: str) -> bytes:
         """Most new words are a plain word in other letters or before other signs: the letters are one pre-token, which
         the vocabulary's model takes in lower case and as symbols, and the signs another."""
+        if self.long_ids and len(word) > self.long_word:
+            return self.long_ids(word)
         if word.isascii():
             letters = word if word.isalpha() else word.rstrip(_SIGNS)
             plain = letters.isalpha()
@@ -125,18 +135,3 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.Rec
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
-
-
-def with_ids(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """`docs` with the ids of the whole text as bytes in `ids`, instead of the text. Null and empty texts have none."""
-    kept = [f for f in docs.schema.fields if f.name not in (text, ids)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f"{', ' if kept else ''}`{ids}` binary"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for batch in small(batches):
-            rest = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            found = pa.array([own.encode(x.as_py()) for x in batch.column(batch.schema.get_field_index(text))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*rest, found], [*(f.name for f in kept), ids])
-
-    return docs.select(*(f.name for f in kept), text).mapInArrow(run, schema)

@@ -292,6 +292,33 @@ def test_bpe_tree_on_unsplit_text(tokenizer):
             assert np.frombuffer(own.base.encode(text), "<u4").tolist() == want, text
 
 
+def test_bpe_on_any_unicode(tokenizer):
+    """Characters that change twice when normalised twice, and random ones, in short texts, long words and over the production limit."""
+    tricky = ["H\u0331", "T\u0308", "\u0130\u031c", "J\u030c", "\u1e9e\u0323", "\u03a3\u0345", "e\u0301\u0323", "\u1100\u1161\u11a8", "\u0344", "\u212b"]
+    r = random.Random(12)
+    own, small = bpe.TreeEncoder(tokenizer_path()), bpe.TreeEncoder(tokenizer_path(), leaf=7, long_word=6, long_symbols=3)
+
+    def drawn(n):
+        pick = lambda: r.choice([r.choice(tricky), chr(r.choice([r.randint(33, 126), r.randint(0xA0, 0x24F), r.randint(0x300, 0x36F), r.randint(0x370, 0x1FFF), r.randint(0x2000, 0xD7FF), r.randint(0xE000, 0x1FAFF)])), " "])
+        return "".join(pick() for _ in range(n))
+
+    for text in [*tricky, *("x".join(tricky) + t for t in tricky), *(drawn(r.randint(1, 60)) for _ in range(4000))]:
+        want = ids_of(tokenizer, text)
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == want, text
+        assert np.frombuffer(small.encode(text), "<u4").tolist() == want, text
+    for text in (" ".join(tricky) + " " + " ".join(f"word{i}" for i in range(8000)) + " ".join(tricky), "".join(tricky) * 4000, drawn(80_000), drawn(80_000).replace(" ", ""), "\u4e00\u4e8c" * 40_000, "1a!" * 40_000, "<|endoftext|>" * 6000):
+        assert len(text) > bpe.LEAF_CHARS and np.frombuffer(own.encode(text), "<u4").tolist() == ids_of(tokenizer, text)
+
+
+def test_bpe_long_words_meet_the_tree(tokenizer, monkeypatch):
+    """A long word in a short text is encoded by the tree, too, and its halves really are joined."""
+    own, joins = bpe.TreeEncoder(tokenizer_path()), []
+    real = own.symbol_join
+    monkeypatch.setattr(own, "symbol_join", lambda *a: joins.append(1) or real(*a))
+    text = "short " + "abcde" * 1000 + " words"
+    assert np.frombuffer(own.base.encode(text), "<u4").tolist() == ids_of(tokenizer, text) and len(joins) >= 7
+
+
 def test_packing(docs, none, tokenizer):
     got = packing.packed(docs.drop("length", "offset"), tokenizer_path()).collect()
     want = Counter()
