@@ -268,6 +268,24 @@ def test_sharding_is_even(spark, tmp_path):
     assert same.where("s <> shard").count() == 0
 
 
+def test_sharding_cuts_equal_rows_and_long_prefixes(spark):
+    """Repeated rows are dealt evenly, and so are rows that differ only late in a long string."""
+    rows = [(1, "the same text", "en", "s", 13)] * 400 + [(i + 2, "other" * (i % 7 + 1), "de", f"s{i % 5}", i % 7) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sharding.assigned(df, shards=8).groupBy("shard").agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.countDistinct("slot").alias("slots")).collect()
+    assert len(got) == 8 and max(r["n"] for r in got) - min(r["n"] for r in got) <= 2 * 51 and all(r["rows"] == r["slots"] for r in got)
+    urls = spark.createDataFrame([(i, "x" * 50, f"https://www.example.org/{i % 50:03}/x", 1 << 60) for i in range(1000)], "doc_id bigint, text string, source string, n_chars bigint")
+    told = sharding.assigned(urls, shards=10, dimensions=("source",)).join(urls.select("doc_id", "source"), "doc_id").groupBy("shard").agg(F.count("*").alias("n"), F.min("source").alias("a"), F.max("source").alias("b")).orderBy("shard").collect()
+    assert [r["n"] for r in told] == [100] * 10 and all(x["b"] <= y["a"] for x, y in zip(told, told[1:]))
+
+
+def test_sharding_splits_along_the_widest_dimension(spark):
+    """Two shards of rows that differ in one string only are parted by it."""
+    df = spark.createDataFrame([(i, "x" * 30, "ab"[i % 2]) for i in range(200)], "doc_id bigint, text string, lang string")
+    got = {(r["shard"], r["doc_id"] % 2) for r in sharding.assigned(df, shards=2, dimensions=("lang",)).collect()}
+    assert len(got) == 2
+
+
 def test_bpe(docs, none, tokenizer):
     got = bpe.encoded(docs, tokenizer_path(), leaf=4000, view=bpe.DIGESTS).collect()
     want = []
