@@ -1,58 +1,97 @@
-"""Edit-aware token counts: a segment tree of pre-tokens for each document, re-encoded only where edits touch it.
+"""Edit-aware token counts: a stored segment tree of pre-tokens for each document, re-encoded only where edits touch it.
 
-A document is cut after white space into segments of about `SEGMENT` characters, which hold whole pre-tokens. They are
-the leaves of a segment tree whose nodes hold sums of characters and tokens. An edit replaces a range of characters: the
-tree finds the segments it touches by character sums; these, with the replacement, are encoded anew, and so is the next
-segment as context as long as the new text does not end in white space, since pre-tokens could join across. The new
-sums go up the tree; all other segments keep their counts. Texts can't join across white space, so counts stay exact.
+A document is cut into segments of about `SEGMENT` characters, after white space or, in text without any, between
+pre-tokens that nothing can join; a run of letters alone is one pre-token, however long, and one segment. Segments are the
+leaves of a segment tree whose nodes hold sums of characters and tokens.
 
-Edits are applied one after the other, each in the coordinates of the text that the ones before it left.
+A `Store` keeps both in a folder. The trees are a table with a row for each document: characters and tokens of its segments,
+and where their texts are, pages of some segments each in files that each task writes one of. A batch of edits joins the
+trees of the documents that it names, finds the segments it touches by character sums, reads only the pages of these and
+of neighbours they could join, and encodes only what an edit replaces, with as much of the neighbours as its ends can join
+(boundary context). New sums go up the tree. Changed pages and changed trees are written beside the older ones; the newest
+tree of a document counts. Nothing else is read, encoded or moved.
+
+Edits of a batch are applied in their order, each in the coordinates of the text that the ones before it left.
 
 Defined results: a null text counts as empty; null or empty edits change nothing; a null edit in the list is skipped;
 ranges are clipped to the text, an end before its start counts as the start, a null replacement as empty. Repeated rows
-are counted each. Other columns are not looked at.
+are documents of their own, and an edit names a row by its number in the store; of a number named twice, both lists are
+applied, in any order. Columns other than doc_id and text are not looked at. Files are written under names of their own,
+so a task that runs again leaves the ones that count alone. The folder must be on a store that pyarrow reaches.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, tokenizer_path
-from .tokens import Encoder, encoder, small
+from .binary_ids import place
+from .common import fresh_path, table, tokenizer_path
+from .tokens import CUT, SAFE, WHITE, Encoder, encoder, small
+
+#: Characters in a segment and segments in a page, about.
+SEGMENT, PAGE = 256, 32
+
+EDITS = "array<struct<start:bigint,stop:bigint,replacement:string>>"
+TREE = (
+    "row bigint, doc_id bigint, files array<string>, pages array<struct<file:int,at:bigint,bytes:int,size:int,segments:int>>, "
+    "chars array<int>, tokens array<int>, n_chars bigint, n_tokens bigint, n_chars_encoded bigint, n_chars_read bigint"
+)
+
+_WHITE = re.compile(f"[{WHITE}]")
+_SAFE = re.compile(SAFE)
+
 
-#: Characters in a segment, about.
-SEGMENT = 256
+def parted(text: str) -> list[str]:
+    """The segments of a text."""
+    out, at = [], 0
+    while at < len(text):
+        cut = CUT.search(text, min(at + SEGMENT, len(text)))
+        end = cut.end() if cut else len(text)
+        out.append(text[at:end])
+        at = end
+    return out
 
-#: White space to the tokenizer (fixed value), and a segment: enough characters, the rest of their word, white space.
-_WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SEGMENT = re.compile(rf"(?s:.{{1,{SEGMENT}}})[^{_WHITE}]*[{_WHITE}]*")
-_ENDS_WHITE = re.compile(rf"[{_WHITE}]\Z")
+
+def may_part(left: str, right: str) -> bool:
+    """Whether nothing can join across the seam of two texts."""
+    return not left or not right or bool(_WHITE.match(left[-1]) or _WHITE.match(right[0]) or _SAFE.match(left[-1] + right[0], 1))
 
 
 class CountedText:
-    """A text as a segment tree of token counts."""
+    """A text as a segment tree of token counts. Segments' texts come by the page, when they are asked for."""
 
-    def __init__(self, text: str, own: Encoder):
-        self.own, self.encoded = own, 0
-        self.build(_SEGMENT.findall(text))
+    def __init__(self, own: Encoder, chars: list[int], tokens: list[int], pages: list[int], load: Callable[[int], str]):
+        """`pages` says how many segments each page has; `load` gives a page's text."""
+        self.own, self.load, self.encoded, self.read = own, load, 0, 0
+        self.page = [p for p, n in enumerate(pages) for _ in range(n)]
+        self.texts: list[str | None] = [None if n else "" for n in chars]
+        self.loaded: set[int] = set()
+        self.dirty: set[int] = set()
+        self.grow(chars, tokens)
 
-    def count(self, text: str) -> int:
-        self.encoded += len(text)
-        return len(self.own.encode(text)) // 4
+    @classmethod
+    def of(cls, text: str, own: Encoder) -> CountedText:
+        """The tree of a whole text."""
+        segments = parted(text) or [""]
+        pages = [min(PAGE, len(segments) - at) for at in range(0, len(segments), PAGE)]
+        out = cls(own, [len(s) for s in segments], [len(own.encode(s)) // 4 for s in segments], pages, lambda p: "")
+        out.texts, out.encoded = segments, len(text)
+        out.loaded = out.dirty = set(range(len(pages)))
+        return out
 
-    def build(self, segments: list[str], counts: list[int] | None = None) -> None:
+    def grow(self, chars: list[int], tokens: list[int]) -> None:
         """Leaves in slots `width`, `width` + 1, ...; node i has the children 2i and 2i + 1."""
-        self.segments = segments or [""]
-        self.width = 1 << (len(self.segments) - 1).bit_length()
-        counts = counts or [self.count(s) for s in self.segments]
-        pad = [0] * (self.width - len(self.segments))
-        self.chars = [0] * self.width + [len(s) for s in self.segments] + pad
-        self.tokens = [0] * self.width + counts + pad
+        self.n = len(chars)
+        self.width = 1 << (self.n - 1).bit_length()
+        pad = [0] * (self.width - self.n)
+        self.chars = [0] * self.width + chars + pad
+        self.tokens = [0] * self.width + tokens + pad
         for i in range(self.width - 1, 0, -1):
             self.lift(i)
 
@@ -68,8 +107,31 @@ class CountedText:
     def length(self) -> int:
         return self.chars[1]
 
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the segments."""
+        return self.chars[self.width : self.width + self.n], self.tokens[self.width : self.width + self.n]
+
     def text(self) -> str:
-        return "".join(self.segments)
+        return "".join(map(self.segment, range(self.n)))
+
+    def fetch(self, k: int) -> None:
+        """Reads the page of a segment, before any of its segments changes."""
+        page = self.page[k]
+        if page in self.loaded:
+            return
+        self.loaded.add(page)
+        text, at = self.load(page), 0
+        self.read += len(text)
+        while k and self.page[k - 1] == page:
+            k -= 1
+        while k < self.n and self.page[k] == page:
+            end = at + self.chars[self.width + k]
+            self.texts[k], at, k = text[at:end], end, k + 1
+
+    def segment(self, k: int) -> str:
+        if self.texts[k] is None:
+            self.fetch(k)
+        return self.texts[k]
 
     def find(self, at: int) -> tuple[int, int]:
         """The segment with the character `at`, and its place there; the end is in the last segment with characters."""
@@ -80,12 +142,22 @@ class CountedText:
             if at >= self.chars[i]:
                 at -= self.chars[i]
                 i += 1
-        return min(i - self.width, len(self.segments) - 1), at
+        return min(i - self.width, self.n - 1), at
 
-    def put(self, k: int, segment: str, tokens: int) -> None:
-        self.segments[k] = segment
+    def beside(self, k: int, step: int) -> int | None:
+        """The next segment with characters to one side."""
+        k += step
+        while 0 <= k < self.n and not self.chars[self.width + k]:
+            k += step
+        return k if 0 <= k < self.n else None
+
+    def put(self, k: int, segment: str) -> None:
+        self.fetch(k)
+        self.texts[k] = segment
+        self.dirty.add(self.page[k])
+        self.encoded += len(segment)
         i = self.width + k
-        self.chars[i], self.tokens[i] = len(segment), tokens
+        self.chars[i], self.tokens[i] = len(segment), len(self.own.encode(segment)) // 4
         while i > 1:
             i //= 2
             self.lift(i)
@@ -98,71 +170,203 @@ class CountedText:
         (first, a), (last, b) = self.find(start), self.find(max(start, end - 1))
         if start == self.length and self.length:
             a += 1
-        head = self.segments[first][:a]
-        tail = self.segments[last][b + 1 :] if end > start else self.segments[first][a:]
+        head = self.segment(first)[:a]
+        tail = self.segment(last)[b + 1 :] if end > start else self.segment(first)[a:]
         new = head + replacement + tail
-        while not _ENDS_WHITE.search(new) and last + 1 < len(self.segments):  # boundary context
-            last += 1
-            new += self.segments[last]
-        pieces = _SEGMENT.findall(new)
+        # Boundary context: neighbours that the new text, or each other if there is none, could join with.
+        before, after = self.beside(first, -1), self.beside(last, 1)
+        if not new and before is not None and after is not None and not may_part(self.segment(before), self.segment(after)):
+            first, new = before, self.segment(before)
+        while (k := self.beside(last, 1)) is not None and not may_part(new, self.segment(k)):
+            last, new = k, new + self.segment(k)
+        while (k := self.beside(first, -1)) is not None and not may_part(self.segment(k), new):
+            first, new = k, self.segment(k) + new
+        pieces = parted(new)
         slots = last - first + 1
         if len(pieces) > 4 * slots:  # a long replacement: the tree gets leaves of its own for it
-            counts = self.tokens[self.width : self.width + len(self.segments)]
-            counts[first : last + 1] = [self.count(p) for p in pieces]
-            self.build([*self.segments[:first], *pieces, *self.segments[last + 1 :]], counts)
+            self.insert(first, last, pieces)
             return
         share = -(-len(pieces) // slots) if pieces else 1
         for k in range(slots):
-            piece = "".join(pieces[k * share : (k + 1) * share])
-            self.put(first + k, piece, self.count(piece) if piece else 0)
+            self.put(first + k, "".join(pieces[k * share : (k + 1) * share]))
 
+    def insert(self, first: int, last: int, pieces: list[str]) -> None:
+        """Pieces in place of some segments, in the first one's page."""
+        self.fetch(first)
+        self.fetch(last)
+        self.dirty.add(self.page[last])
+        chars, tokens = self.leaves()
+        none, page = [0] * len(pieces), self.page[first]
+        self.texts[first : last + 1] = pieces
+        self.page[first : last + 1] = [page] * len(pieces)
+        self.grow([*chars[:first], *none, *chars[last + 1 :]], [*tokens[:first], *none, *tokens[last + 1 :]])
+        for k, piece in enumerate(pieces):
+            self.put(first + k, piece)
 
-def counted(docs: DataFrame, edits: Column, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_tokens, n_tokens_edited, n_chars_edited, n_chars_encoded (for the edits alone).
 
-    `edits` is an array of structs (start, stop, replacement) in code points.
-    """
-    rows = docs.select(
-        F.col(doc_id).cast("bigint").alias("doc_id"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"),
-        edits.cast("array<struct<start:bigint,stop:bigint,replacement:string>>").alias("edits"),
-    )
+class Pages:
+    """A task's own file of pages, made when the first one comes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(path)
-        for batch in small(batches):
-            out: list[list[int]] = [[], [], [], []]
-            for whole, changes in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
-                tree = CountedText(whole.as_py(), own)
-                before, tree.encoded = tree.total, 0
-                for e in changes or []:
-                    if e is not None:
-                        start = e["start"] or 0
-                        tree.edit(start, e["stop"] if e["stop"] is not None else start, e["replacement"] or "")
-                for values, x in zip(out, (before, tree.total, tree.length, tree.encoded), strict=True):
-                    values.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in out)],
-                ["doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded"],
-            )
-
-    return rows.mapInArrow(
-        run, "doc_id bigint, n_tokens bigint, n_tokens_edited bigint, n_chars_edited bigint, n_chars_encoded bigint"
-    )
+    def __init__(self, folder: str):
+        self.path, self.out, self.at, self.codec = f"{folder}/{uuid.uuid4().hex}.pages", None, 0, pa.Codec("zstd")
+
+    def write(self, text: str) -> tuple[int, int, int]:
+        """Where the page is, its bytes there, its bytes as text."""
+        if self.out is None:
+            store, name = place(self.path)
+            self.out = store.open_output_stream(name)
+        data = text.encode("utf-8", "surrogatepass")
+        packed = self.codec.compress(data, asbytes=True) if data else b""
+        self.out.write(packed)
+        self.at += len(packed)
+        return self.at - len(packed), len(packed), len(data)
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+
+
+class Reader:
+    """Pages of some files; the files last used stay open."""
+
+    def __init__(self):
+        self.open: dict[str, pa.NativeFile] = {}
+        self.codec = pa.Codec("zstd")
+
+    def page(self, path: str, at: int, n: int, size: int) -> str:
+        if not n:
+            return ""
+        if path not in self.open:
+            if len(self.open) >= 16:
+                self.open.pop(next(iter(self.open))).close()
+            store, name = place(path)
+            self.open[path] = store.open_input_file(name)
+        packed = self.open[path].read_at(n, at)
+        return self.codec.decompress(packed, size, asbytes=True).decode("utf-8", "surrogatepass")
+
+
+def tree_row(row: int, doc: int | None, tree: CountedText, files: list[str], pages: list[dict], out: Pages) -> tuple:
+    """The tree as it is stored. Changed pages are written, those that grew in several; the others stay where they are."""
+    chars, tokens = tree.leaves()
+    told: list[tuple] = []
+    new_files = files if not tree.dirty else [*files, out.path]
+    k = 0
+    while k < tree.n:
+        end = k
+        while end < tree.n and tree.page[end] == tree.page[k]:
+            end += 1
+        if tree.page[k] not in tree.dirty:
+            old = pages[tree.page[k]]
+            told.append((old["file"], old["at"], old["bytes"], old["size"], old["segments"]))
+        else:
+            for at in range(k, end, PAGE):
+                some = range(at, min(at + PAGE, end))
+                told.append((len(files), *out.write("".join(map(tree.segment, some))), len(some)))
+        k = end
+    return row, doc, new_files, told, chars, tokens, tree.length, tree.total, tree.encoded, tree.read
+
+
+def tree_table(held: list[tuple]) -> pa.RecordBatch:
+    page = pa.struct([("file", pa.int32()), ("at", pa.int64()), ("bytes", pa.int32()), ("size", pa.int32()), ("segments", pa.int32())])
+    names = [f.split(" ")[0] for f in re.sub(r"<[^ ]*>", "", TREE).split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(page), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int64()] * 4]
+    columns = list(zip(*held, strict=True))
+    columns[3] = [[dict(zip(("file", "at", "bytes", "size", "segments"), p, strict=True)) for p in pages] for pages in columns[3]]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
+
+
+class Store:
+    """Documents as stored segment trees in a folder: a table of trees for the documents as they came and one for each batch."""
+
+    def __init__(self, spark: SparkSession, folder: str, path: str, batches: int):
+        self.spark, self.folder, self.path, self.batches = spark, folder, path, batches
+
+    @classmethod
+    def create(cls, docs: DataFrame, folder: str, path: str, doc_id: str = "doc_id", text: str = "text") -> Store:
+        """Stores documents; each whole text is encoded, this once."""
+        rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        at = f"{folder}/pages"
+        store, name = place(at)
+        store.create_dir(name)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, out = encoder(path), Pages(at)
+            for batch in small(batches):
+                yield tree_table([tree_row(row, doc, CountedText.of(text.as_py(), own), [], [], out) for row, doc, text in zip(*(c.to_pylist() for c in batch.columns[:2]), batch.column(2), strict=True)])
+            out.close()
+
+        rows.mapInArrow(run, TREE).write.parquet(f"{folder}/trees-0")
+        return cls(docs.sparkSession, folder, path, 0)
+
+    def changes(self, batch: int) -> DataFrame:
+        """The trees that a batch wrote, with what it encoded and read; batch 0 has all documents."""
+        return self.spark.read.parquet(f"{self.folder}/trees-{batch}")
+
+    def trees(self) -> DataFrame:
+        """The newest tree of each document."""
+        out = self.changes(0)
+        for k in range(1, self.batches + 1):
+            newer = self.changes(k)
+            out = out.join(newer.select("row"), "row", "left_anti").unionByName(newer)
+        return out
+
+    def documents(self) -> DataFrame:
+        """row, doc_id, n_chars, n_tokens of each document."""
+        return self.trees().select("row", "doc_id", "n_chars", "n_tokens")
+
+    def apply(self, edits: DataFrame) -> DataFrame:
+        """Applies a batch, rows of row and edits (an array of start, stop and replacement in code points); gives its changes."""
+        given = edits.select("row", F.col("edits").cast(EDITS).alias("edits")).groupBy("row").agg(F.flatten(F.collect_list("edits")).alias("edits"))
+        joined = self.trees().join(given, "row").select("row", "doc_id", "files", "pages", "chars", "tokens", "edits")
+        path, at = self.path, f"{self.folder}/pages"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own, out, reader = encoder(path), Pages(at), Reader()
+            for batch in small(batches):
+                held = []
+                for row, doc, files, pages, chars, tokens, changes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    load = lambda p, f=files, g=pages: reader.page(f[g[p]["file"]], g[p]["at"], g[p]["bytes"], g[p]["size"])
+                    tree = CountedText(own, chars, tokens, [p["segments"] for p in pages], load)
+                    for e in changes or []:
+                        if e is not None:
+                            start = e["start"] or 0
+                            tree.edit(start, e["stop"] if e["stop"] is not None else start, e["replacement"] or "")
+                    held.append(tree_row(row, doc, tree, files, pages, out))
+                if held:
+                    yield tree_table(held)
+            out.close()
+
+        joined.mapInArrow(run, TREE).write.parquet(f"{self.folder}/trees-{self.batches + 1}")
+        self.batches += 1
+        return self.changes(self.batches)
+
+    def texts(self) -> DataFrame:
+        """row, doc_id and the text of each document, put together from its pages."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader = Reader()
+            for batch in small(batches, 16):
+                whole = ["".join(reader.page(f[p["file"]], p["at"], p["bytes"], p["size"]) for p in pages) for f, pages in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(whole, pa.string())], ["row", "doc_id", "text"])
+
+        return self.trees().select("row", "doc_id", "files", "pages").mapInArrow(run, "row bigint, doc_id bigint, text string")
 
 
-def sample_edits(text: Column, doc_id: Column) -> Column:
+def sample_edits(n_chars: Column, doc_id: Column) -> Column:
     """The query's edits of each document: a cut of 40 characters at a third, a sentence put in at a half, a word joined at two thirds."""
-    n = F.coalesce(F.length(text), F.lit(0)).cast("bigint")
-    third = F.floor(n / 3)
+    third = F.floor(n_chars / 3)
     change = lambda start, stop, new: F.struct(start.alias("start"), stop.alias("stop"), new.alias("replacement"))
     return F.array(
         change(third, third + 40, F.lit("")),
-        change(F.floor(n / 2), F.floor(n / 2), F.concat(F.lit(" Revised in document "), F.coalesce(doc_id.cast("string"), F.lit("?")), F.lit(". "))),
+        change(F.floor(n_chars / 2), F.floor(n_chars / 2), F.concat(F.lit(" Revised in document "), F.coalesce(doc_id.cast("string"), F.lit("?")), F.lit(". "))),
         change(2 * third, 2 * third + 1, F.lit("x")),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return counted(docs, sample_edits(F.col("text"), F.col("doc_id")), tokenizer_path())
+    """Every document stored, then a batch of edits to each: its tokens before and after, and what the batch encoded."""
+    store = Store.create(table(spark, sf_dir, "documents"), fresh_path(spark, "edits"), tokenizer_path())
+    before = store.documents()
+    after = store.apply(before.select("row", sample_edits(F.col("n_chars"), F.col("doc_id")).alias("edits")))
+    told = after.select("row", F.col("n_tokens").alias("n_tokens_edited"), F.col("n_chars").alias("n_chars_edited"), "n_chars_encoded")
+    return before.join(told, "row").select("doc_id", "n_tokens", "n_tokens_edited", "n_chars_edited", "n_chars_encoded")

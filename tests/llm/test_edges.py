@@ -384,39 +384,78 @@ def test_packing_sequences(spark, tokenizer):
     assert all(len(r["ids"]) == 4 * 4096 for r in out)
 
 
-def test_edit_counts(spark, docs, none, tokenizer):
-    edits = edit_counts.sample_edits(F.col("text"), F.col("doc_id"))
-    got = edit_counts.counted(docs, edits, tokenizer_path()).collect()
-    want = []
+def edited(text, edits):
+    """A text after edits, plainly."""
+    for start, stop, new in edits:
+        start = max(0, min(start, len(text)))
+        text = text[:start] + new + text[max(start, min(stop, len(text))) :]
+    return text
+
+
+def test_edit_counts(spark, docs, none, tokenizer, tmp_path):
+    store = edit_counts.Store.create(docs, str(tmp_path / "store"), tokenizer_path())
+    before = store.documents()
+    store.apply(before.select("row", edit_counts.sample_edits(F.col("n_chars"), F.col("doc_id")).alias("edits")))
+    want, count = [], lambda t: len(ids_of(tokenizer, t))
     for i, t in TEXTS:
         text = t or ""
         n = len(text)
-        for start, stop, new in ((n // 3, n // 3 + 40, ""), (n // 2, n // 2, f" Revised in document {'?' if i is None else i}. "), (2 * (n // 3), 2 * (n // 3) + 1, "x")):
-            start = min(start, len(text))
-            text = text[:start] + new + text[max(start, min(stop, len(text))) :]
-        want.append((i, len(ids_of(tokenizer, t)), len(ids_of(tokenizer, text)), len(text)))
-    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_tokens"], r["n_tokens_edited"], r["n_chars_edited"])) for r in got)
-    long = [r for r in got if r["doc_id"] == 6][0]
-    assert long["n_chars_encoded"] < 0.1 * long["n_chars_edited"]
-    nothing = F.lit(None).cast("array<struct<start:bigint,stop:bigint,replacement:string>>")
-    assert all(r["n_tokens"] == r["n_tokens_edited"] for r in edit_counts.counted(docs, nothing, tokenizer_path()).collect())
-    assert edit_counts.counted(none, edits, tokenizer_path()).count() == 0
-
-
-def test_edited_text_is_exact(tokenizer):
+        text = edited(text, ((n // 3, n // 3 + 40, ""), (n // 2, n // 2, f" Revised in document {'?' if i is None else i}. "), (2 * (n // 3), 2 * (n // 3) + 1, "x")))
+        want.append((i, count(text), len(text)))
+    got = store.documents().collect()
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_tokens"], r["n_chars"])) for r in got)
+    assert sorted(str((i, count(t))) for i, t in TEXTS) == sorted(str((r["doc_id"], r["n_tokens"])) for r in before.collect())
+    nothing = store.documents().select("row", F.lit(None).cast(edit_counts.EDITS).alias("edits"))
+    assert store.apply(nothing).where("n_chars_encoded + n_chars_read > 0").count() == 0 and store.trees().count() == len(TEXTS)
+    empty = edit_counts.Store.create(none, str(tmp_path / "none"), tokenizer_path())
+    assert empty.apply(empty.documents().select("row", F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.lit("x").alias("replacement"))).alias("edits"))).count() == 0
+
+
+def test_edit_batches_touch_only_their_segments(spark, tokenizer, tmp_path):
+    """Two batches over a stored corpus: only named documents are read, only touched segments encoded, and counts stay the library's."""
+    r = random.Random(6)
+    texts = {k: " ".join(f"w{r.randint(0, 9999)}" for _ in range(9000)) for k in range(6)} | {6: "ab1'S!?x" * 9000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    store = edit_counts.Store.create(df, str(tmp_path / "store"), tokenizer_path())
+    row = {x["doc_id"]: x["row"] for x in store.documents().collect()}
+    batches = [{1: [(30_000, 30_010, "new words"), (5, 5, "x")], 6: [(40_000, 40_001, "y")]}, {1: [(30_002, 30_003, ""), (44_000, 44_000, "two " * 3000)], 2: [(0, 100, "")]}]
+    for edits in batches:
+        told = store.apply(spark.createDataFrame([(row[k], e) for k, e in edits.items()], f"row bigint, edits {edit_counts.EDITS}")).collect()
+        texts |= {k: edited(texts[k], e) for k, e in edits.items()}
+        assert sorted(x["doc_id"] for x in told) == sorted(edits)
+        for x in told:
+            put = sum(len(new) for _, _, new in edits[x["doc_id"]])
+            assert x["n_chars_encoded"] <= put + 1200 * len(edits[x["doc_id"]]) < len(texts[x["doc_id"]]) / 2 + put and x["n_chars_read"] <= 40_000
+    assert {x["doc_id"]: x["text"] for x in store.texts().collect()} == texts
+    assert {x["doc_id"]: x["n_tokens"] for x in store.documents().collect()} == {k: len(ids_of(tokenizer, t)) for k, t in texts.items()}
+
+
+def test_edited_text_is_exact(tokenizer, tmp_path):
+    """Random edits of stored and stored again trees, in texts with white space and without."""
     from gleanwise.llm.tokens import Encoder
 
     own, r = Encoder(tokenizer_path()), random.Random(3)
-    for _ in range(300):
-        text = "".join(r.choice("aab tho erni  é's1.!\n\t\x1c\xa0") for _ in range(r.choice([0, 1, 50, 400, 1500])))
-        tree = edit_counts.CountedText(text, own)
-        for _ in range(r.randint(0, 5)):
-            a = r.randint(-2, len(text) + 5)
-            b, new = a + r.choice([0, 1, 5, 300, 2000]), "".join(r.choice("ab é\n1.") for _ in range(r.choice([0, 1, 40, 1700])))
-            tree.edit(a, b, new)
-            a = max(0, min(a, len(text)))
-            text = text[:a] + new + text[max(a, min(b, len(text))) :]
-            assert tree.text() == text and tree.total == len(ids_of(tokenizer, text))
+    for n in range(600):
+        alphabet = r.choice(["aab tho erni  é's1.!\n\t\x1c\xa0", "ab1'!s", "a1\u0301é.", "<|endoftext|> a1"])
+        text = "".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 50, 400, 1500, 20_000 if n % 20 == 0 else 9])))
+        out, reader = edit_counts.Pages(str(tmp_path)), edit_counts.Reader()
+        tree, files, pages = edit_counts.CountedText.of(text, own), [], []
+        assert tree.total == len(ids_of(tokenizer, text))
+        for _ in range(r.randint(0, 3)):
+            row = edit_counts.tree_row(0, 0, tree, files, pages, out)
+            out.close()
+            files, pages = row[2], [dict(zip(("file", "at", "bytes", "size", "segments"), p)) for p in row[3]]
+            load = lambda p, f=files, g=pages: reader.page(f[g[p]["file"]], g[p]["at"], g[p]["bytes"], g[p]["size"])
+            tree = edit_counts.CountedText(own, row[4], row[5], [p["segments"] for p in pages], load)
+            out = edit_counts.Pages(str(tmp_path))
+            for _ in range(r.randint(0, 4)):
+                a = r.choice([r.randint(-2, len(text) + 5), r.randint(0, 40) * 257])
+                b, new = a + r.choice([0, 1, 5, 300, 2000]), "".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 40, 1700])))
+                tree.edit(a, b, new)
+                text = edited(text, [(a, b, new)])
+                assert tree.total == len(ids_of(tokenizer, text)) and tree.length == len(text)
+        assert tree.text() == text
+        out.close()
 
 
 def test_binary_ids(spark, docs, none, tokenizer, tmp_path, monkeypatch):
