@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from ..sources.shared import drop_path, written_at
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """An equi-join on `key` whose sides are always dealt anew, so AQE can split a hot key's rows.
+def spread_join(left: DataFrame, right: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on `key` (a column or several) whose sides are always dealt anew, so AQE can split a hot key's rows.
 
     A side that was just aggregated by `key` is already dealt by it, and a join then takes it as it is. The key's hash as
     a second join key asks for another exchange.
     """
-    dealt = lambda df: df.withColumn("_dealt", F.xxhash64(key))
-    return dealt(left).join(dealt(right), ["_dealt", key], how).drop("_dealt")
+    keys = [key] if isinstance(key, str) else key
+    dealt = lambda df: df.withColumn("_dealt", F.xxhash64(*keys))
+    return dealt(left).join(dealt(right), ["_dealt", *keys], how).drop("_dealt")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
