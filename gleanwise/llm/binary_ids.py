@@ -6,8 +6,8 @@ file a range of them: a header, the documents' ids and token counts, a bit offse
 tokens, then the codes. Blocks decode independently of each other through one table of 2 ** MOST_BITS entries, many
 blocks in step at a time.
 
-A file is written under a name of its own and then renamed, so a task that runs again replaces it. `write` returns the
-table of files. The folder must be on a store that pyarrow reaches (local or shared disk, HDFS, S3, GCS).
+Each file has a name that no other attempt of its task has, and the table of files names those that count, so a task that
+runs again needs no renaming, which some stores refuse. `write` returns that table. The folder must be on a store that pyarrow reaches (local or shared disk, HDFS, S3, GCS).
 
 Defined results: a null or empty text is the end id alone; repeated rows are documents of their own; an empty table
 gives no file and an empty result. Ids that never occur have no code. Other columns are not looked at.
@@ -130,11 +130,9 @@ def place(path: str) -> tuple[fs.FileSystem, str]:
 
 def put(path: str, parts: list[bytes]) -> int:
     store, name = place(path)
-    own = f"{name}.{uuid.uuid4().hex}.part"
-    with store.open_output_stream(own) as out:
+    with store.open_output_stream(name) as out:
         for x in parts:
             out.write(x)
-    store.move(own, name)
     return sum(map(len, parts))
 
 
@@ -176,7 +174,7 @@ class Writer:
         if not self.docs:
             return None
         self.code(self.n_held)
-        name = f"{self.task:08d}-{self.files:06d}.huf"
+        name = f"{self.task:08d}-{self.files:06d}-{uuid.uuid4().hex}.huf"  # in order of the documents
         offsets = np.concatenate([np.zeros(0, np.int64), *self.offsets])
         docs = np.array([0 if x is None else x for x in self.docs], "<i8").tobytes() + np.array([x is None for x in self.docs], "u1").tobytes()
         index = zlib.compress(docs + np.array(self.sizes, "<u4").tobytes() + offsets.astype("<u8").tobytes(), 1)

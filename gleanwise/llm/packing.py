@@ -8,7 +8,7 @@ as its lengths last, so each step uses up a length and the plan has a few thousa
 of repetitions. Pieces then take their places by their rank among the pieces of their length.
 
 Ranks are made in two steps, within hashed blocks and by the blocks' counts, so a length that a third of all pieces have
-meets in no single task.
+meets in no single task, nor do repeated rows, as each piece has a number of its own.
 
 Defined results: a null or empty text is the end id alone. Documents longer than the window are cut at multiples of it.
 Repeated rows are packed each. An empty table gives an empty result. Pieces of no length or longer than the window get
@@ -125,7 +125,10 @@ def ranked(pieces: DataFrame, total: int, order: list[str]) -> DataFrame:
 
 
 def pack(pieces: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
-    """`pieces` (with `length`) with sequence_id and offset. It is read three times: it should be a written table."""
+    """`pieces` (with `length`) with sequence_id and offset. It is read three times: it should be a written table.
+
+    `order` says which piece takes which place; its columns should tell pieces apart.
+    """
     pieces = pieces.drop("sequence_id", "offset")
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().where(F.col("length").between(1, window)).collect()}
     told = places(plan(counts, window))  # some ten thousand rows at most, as lengths are at most `window`
@@ -149,7 +152,8 @@ def pack(pieces: DataFrame, window: int = WINDOW, order: tuple[str, ...] = ("doc
 def packed(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """One row for each piece of `docs`: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     pieces = pieces_of(docs, path, window, end_id).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return pack(written(pieces, "pieces"), window).select(
+    numbered = written(pieces.withColumn("number", F.monotonically_increasing_id()), "pieces")
+    return pack(numbered, window, ("doc_id", "start", "number")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
 

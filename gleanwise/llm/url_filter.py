@@ -6,7 +6,9 @@ lengths. A second join, on the short hash prefix of host and path prefix, finds
 them, and the longest rule wins.
 
 Only rules are broadcast, and only after they were counted; a longer list is joined by a shuffle, whose skewed
-partitions AQE splits. URLs are never grouped, so a host with a third of all rows harms nothing.
+partitions AQE splits. Expressions are made for distinct (host, path) pairs, which are told apart before the shuffle
+(map-side); pairs that a rule fits are joined back with both sides dealt anew, so a pair that a third of all rows have is
+split. URLs without a host take no part in any join.
 
 Defined results: a null URL or one without `://` has an empty host and path; an empty host has no suffix and gets the
 default verdict. Rules with a null part are dropped, repeated rules count once; of the same rule with both verdicts,
@@ -21,6 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import spread_join
 from .common import table
 
 #: Rules up to this number are broadcast: under 1 kB each, so under 100 MB.
@@ -100,9 +103,9 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: st
             ).alias("_found"),
         )
     )
-    out = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    # The distinct (host, path) pairs carry the joins: copies of a page cost nothing more.
-    pairs = out.select("host", "path").where("host <> ''").distinct()
+    out = urls.select(F.struct("*").alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    hosted, rest = out.where("host <> ''"), out.where("host = ''").withColumn("_found", F.lit(None).cast(dict(known.dtypes)["_found"]))
+    pairs = hosted.select("host", "path").distinct()
     suffixes = pairs.select("host", "path", F.explode(host_suffixes(F.col("host"))).alias("_suffix"))
     suffixes = suffixes.withColumn("_hk", short_hash(F.col("_suffix"))).join(hosts, "_hk")
     suffixes = suffixes.where(digest(F.col("_suffix")) == F.col("_hd"))
@@ -113,9 +116,9 @@ def filter_urls(urls: DataFrame, rules: DataFrame, url: str = "url", default: st
     hits = prefixes.withColumn("_rk", short_hash(F.concat("_suffix", "_prefix"))).join(known, "_rk")
     hits = hits.where(digest(F.concat_ws("\n", "_suffix", "_prefix")) == F.col("_rd"))
     best = hits.groupBy("host", "path").agg(F.max("_found").alias("_found"))
-    kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    return out.join(best, ["host", "path"], "left").select(
-        *kept,
+    kept = [c for c in urls.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    return spread_join(hosted, best, ["host", "path"], "left").unionByName(rest).select(
+        *(F.col("row")[c].alias(c) for c in kept),
         "host",
         "path",
         F.col("_found.rule").alias("rule"),

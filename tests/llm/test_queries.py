@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
 from helpers import told
-from test_edges import WORDS, brute_em, brute_join, crc, ids_of, normal
+from test_edges import WORDS, brute_em, brute_join, crc, edited, ids_of, normal
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -31,6 +33,73 @@ def test_near_copies_by_brute_force(spark, folder):
     assert got == brute_join(rows)
 
 
+@pytest.fixture(scope="module")
+def encoded(spark, folder):
+    """(doc_id, ids) of every document, by the library."""
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    return tokenizer, [(r["doc_id"], ids_of(tokenizer, r["text"])) for r in rows]
+
+
+def test_bpe_by_the_library(spark, folder, encoded):
+    tokenizer, docs = encoded
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(i, len(ids), sha(" ".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False))) for i, ids in docs]
+    names = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert sorted(tuple(r[n] for n in names) for r in catalogue.QUERIES["op4_bpe_tree"](spark, folder).collect()) == sorted(want)
+
+
+def test_packing_by_the_library(spark, folder, encoded):
+    ids = {i: [*x, 2] for i, x in encoded[1]}
+    rows = catalogue.QUERIES["op6_packing"](spark, folder).collect()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        own = ids[r["doc_id"]]
+        assert r["doc_tokens"] == len(own) and r["ids_crc32"] == crc(own[r["start"] : r["start"] + r["length"]])
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    gapless = lambda parts: all(a + n == b for (a, n), (b, _) in zip(sorted(parts), sorted(parts)[1:])) and min(parts)[0] == 0
+    assert set(pieces) == set(ids) and all(gapless(p) and sum(n for _, n in p) == len(ids[i]) for i, p in pieces.items())
+    assert sorted(sequences) == list(range(len(sequences))) and all(gapless(p) and sum(n for _, n in p) <= 4096 for p in sequences.values())
+    assert len(sequences) <= -(-sum(map(len, ids.values())) // 4096) + 1
+
+
+def test_binary_ids_by_the_library(spark, folder, encoded):
+    want, start = [], 0
+    for i, ids in sorted(encoded[1]):
+        want.append((i, start, len(ids) + 1, crc([*ids, 1])))
+        start += len(ids) + 1
+    names = ("doc_id", "start", "n_tokens", "ids_crc32")
+    assert sorted(tuple(r[n] for n in names) for r in catalogue.QUERIES["op8_binary_ids"](spark, folder).collect()) == want
+
+
+def test_edit_counts_by_the_library(spark, folder, encoded):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    before = {i: len(ids) for i, ids in encoded[1]}
+    got = catalogue.QUERIES["op7_edit_counts"](spark, folder).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(docs)
+    for r in got:
+        n = len(docs[r["doc_id"]])
+        text = edited(docs[r["doc_id"]], ((n // 3, n // 3 + 40, ""), (n // 2, n // 2, f" Revised in document {r['doc_id']}. "), (2 * (n // 3), 2 * (n // 3) + 1, "x")))
+        assert (r["n_tokens"], r["n_tokens_edited"], r["n_chars_edited"]) == (before[r["doc_id"]], len(ids_of(encoded[0], text)), len(text))
+
+
+def test_sharding_by_its_law(spark, folder):
+    docs = sorted((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in spark.read.parquet(f"{folder}/documents.parquet").collect())
+    got = catalogue.QUERIES["op3_kd_sharding"](spark, folder).collect()
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == docs and {r["law"] for r in got} == {"bytes"}
+    slots, sizes = defaultdict(list), Counter()
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+        sizes[r["shard"]] += r["size"]
+    assert sorted(slots) == list(range(40)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    # Documents are few here: a shard's size may miss the mean by the largest one.
+    largest, mean = max(s for _, s, _ in docs), sum(sizes.values()) / 40
+    assert all(abs(s - mean) <= 2 * largest for s in sizes.values())
+
+
 def told_good(rows):
     """doc_id of the documents that the quality rules keep, by plain Python over all rows."""
     measures = [measured_plainly(t) for _, t in rows]
