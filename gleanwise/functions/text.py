@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,6 +119,23 @@ def stub_reason(text: Column, raw: Column, code: Column) -> Column:
     )
 
 
+def stub_detail(text: Column, raw: Column, code: Column) -> Column:
+    """What makes a page a stub, with the marker that was found; null if it is clean. The checks are those of `stub_reason`."""
+    head, early = F.lower(F.substring(text, 1, HEAD)), F.substring(raw, 1, 20_000)
+    quoted = lambda m: F.lit(f'"{m}"' if "'" in m else f"'{m}'")
+    first = lambda markers, *places: F.coalesce(*(F.when(reduce(or_, (p.contains(m) for p in places)), quoted(m)) for m in markers))
+    size = lambda x: F.length(x).cast("string")
+    told = {
+        "no such page": F.concat(F.lit("at the start of the text: "), first(NO_SUCH_PAGE, head)),
+        "shield": F.concat(F.lit("shield marker: "), first(SHIELDS, early, head)),
+        "paywall": F.concat(F.lit("paywall: "), first(PAYWALLS, raw)),
+        "markup": F.concat(size(raw), F.lit(" bytes of markup for "), size(text), F.lit(" characters of text")),
+        "code": F.concat(F.lit("status "), code.cast("string"), F.lit(" and "), size(text), F.lit(" characters of text")),
+    }
+    kind = stub_reason(text, raw, code)
+    return F.coalesce(*(F.when(kind == k, v) for k, v in told.items()))
+
+
 def page_status(stub: Column, code: Column, text: Column, kind_ok: Column, stale: Column) -> Column:
     """forbidden, stub, refused, empty or read. A stale code (of a page that a browser rendered) is not looked at."""
     refused = ~stale & (code.isin(401, 403, 407, 429) | (code >= 500))

@@ -39,11 +39,16 @@ CALLER_ERRORS = (
 )
 
 
-def flag(value: Column, given: Column, default: bool) -> Column:
-    """A flag as the caller meant it: struct of value and whether it was unreadable, then off. Not given: the default."""
+def flag(value: Column, given: Column, default: bool, number: Column | None = None) -> Column:
+    """A flag as the caller meant it: struct of value and whether it was unreadable, then off. Not given: the default.
+
+    `number` is the value where it came as a number: any but zero means yes.
+    """
     word = F.lower(F.trim(value))
     yes, no = word.isin(*TRUE_WORDS), word.isin(*FALSE_WORDS)
     read = F.coalesce(yes | no, F.lit(False))
+    if number is not None:
+        yes, read = F.coalesce(number != 0, yes), read | number.isNotNull()
     return F.struct(
         F.when(~given, F.lit(default)).otherwise(F.coalesce(yes, F.lit(False))).alias("value"),
         (given & ~read).alias("adjusted"),
@@ -64,6 +69,13 @@ def positive(value: Column, default: int) -> Column:
     return F.when(n > 0, n).otherwise(F.lit(default).cast("bigint"))
 
 
+def ago(ts: Column, now: Column) -> Column:
+    """A time in seconds as ISO time and how many seconds ago; null if there is none."""
+    at = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.floor(ts))
+    shown = F.concat(F.replace(at.cast("string"), F.lit(" "), F.lit("T")), F.lit("Z ("))
+    return F.concat(shown, (now - ts).cast("bigint").cast("string"), F.lit(" s ago)"))
+
+
 def status_code(ok: Column, error: Column) -> Column:
     """200, 400 for what the caller caused, 502 for the rest."""
     low = F.lower(F.coalesce(error, F.lit("")))

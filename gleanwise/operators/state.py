@@ -9,23 +9,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import spread_join
 from .observe import DEAD_ZONE
 
 LEDGER = "ts bigint, provider string, model string, `in` bigint, `out` bigint, cached bigint, ms bigint"
 
 
+#: Intervals in a slice of time: a busy key's requests are ordered by slices, each of them in a task of its own.
+SLICE = 64
+
+
 def paced(requests: DataFrame, key: str, interval: int, tie: str = "id") -> DataFrame:
     """key, tie and `admitted`: at least `interval` seconds after the key's last admitted request.
 
     A request that comes `interval` after the one before it is always admitted, as the last admitted one is no later; so
-    bursts between such pauses are walked on their own, and those of a busy key by many tasks. A walk reads its rows in
-    order and remembers one time, so it gathers nothing, however long the burst.
+    bursts between such pauses are walked on their own, and those of a busy key by many tasks. Requests are ordered within
+    slices of time; a slice's first one looks back to the last of the slice before, and bursts are numbered by the slices'
+    counts. A walk reads its rows in order and remembers one time, so it gathers nothing, however long the burst.
     """
-    order = Window.partitionBy(key).orderBy("ts", tie)
-    starts = F.coalesce(F.col("ts") - F.lag("ts").over(order) >= interval, F.lit(True))
-    rows = requests.select(key, "ts", tie).withColumn("_starts", starts.cast("int"))
-    rows = rows.withColumn("_burst", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    kinds = dict(rows.dtypes)
+    kinds = dict(requests.dtypes)
+    rows = requests.select(F.struct(F.col(key).alias("key")).alias("of"), F.floor(F.col("ts") / (SLICE * max(1, interval))).alias("slice"), "ts", F.col(tie).alias("tie"))
+    slices = Window.partitionBy("of").orderBy("slice")
+    within = Window.partitionBy("of", "slice").orderBy("ts", "tie")
+    ends = rows.groupBy("of", "slice").agg(F.max("ts").alias("last")).select("of", "slice", F.lag("last").over(slices).alias("before"))
+    rows = spread_join(rows, ends, ["of", "slice"])
+    starts = F.coalesce(F.col("ts") - F.coalesce(F.lag("ts").over(within), F.col("before")) >= interval, F.lit(True))
+    rows = rows.withColumn("starts", starts.cast("int")).withColumn("burst", F.sum("starts").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    counts = rows.groupBy("of", "slice").agg(F.sum("starts").alias("n"))
+    counts = counts.select("of", "slice", F.coalesce(F.sum("n").over(slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    rows = spread_join(rows, counts, ["of", "slice"]).withColumn("burst", F.col("base") + F.col("burst"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -37,7 +49,7 @@ def paced(requests: DataFrame, key: str, interval: int, tie: str = "id") -> Data
                 admitted.append(ok)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(admitted, pa.bool_())], [key, tie, "admitted"])
 
-    dealt = rows.repartition(key, "_burst").sortWithinPartitions(key, "_burst", "ts", tie).select(key, "ts", tie, "_starts")
+    dealt = rows.repartition("of", "burst").sortWithinPartitions("of", "burst", "ts", "tie").select("of.key", "ts", "tie", "starts")
     return dealt.mapInArrow(walk, f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, admitted boolean")
 
 
@@ -80,10 +92,11 @@ def recomputed(rated: DataFrame, current: DataFrame, zone: float = DEAD_ZONE) ->
 def ledger(lines: DataFrame, price_in: float | None = None, price_out: float | None = None) -> DataFrame:
     """Calls by model from JSON lines (`value`): tokens, whether cached ones were ever told, cost if both prices are known.
 
-    Lines that are no JSON are counted under a null model.
+    Lines that are no JSON are counted under a null model, calls without a model under `?`; blank lines are none.
     """
-    parsed = lines.select(F.from_json("value", LEDGER, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
-    parsed = parsed.withColumn("_good", F.col("model").isNotNull())
+    parsed = lines.where(F.trim("value") != "").select(F.from_json("value", LEDGER + ", broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}).alias("r")).select("r.*")
+    named = F.when(F.col("model") != "", F.col("model")).otherwise("?")
+    parsed = parsed.withColumn("model", F.when(F.col("broken").isNull(), named))
     told = parsed.groupBy("model").agg(
         F.count(F.lit(1)).alias("calls"),
         F.coalesce(F.sum("in"), F.lit(0)).alias("tokens_in"),

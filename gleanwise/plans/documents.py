@@ -12,11 +12,44 @@ from ..sources import views as V
 from .catalogue import query
 
 
+#: Pages with links that resolve: each article ends with three, one of them to another site, one to no page.
+_LINKED = """
+linked AS (
+  SELECT page_id, url, replace(html, '</article>', '<p>See <a href="/more/' || page_id || '?a=1&amp;b=2">more &amp; more</a> <a href="https://other.example.com/x">other
+ page</a> <a href="mailto:x@example.com">mail</a></p></article>') AS html FROM pages
+)"""
+
+
+def _linked(spark: SparkSession, d: str) -> DataFrame:
+    first, second = '<p>See <a href="/more/', '?a=1&amp;b=2">more &amp; more</a> <a href="https://other.example.com/x">other\n page</a> <a href="mailto:x@example.com">mail</a></p></article>'
+    more = F.concat(F.lit(first), F.col("page_id").cast("string"), F.lit(second))
+    return V.read(spark, d, "pages").withColumn("html", F.replace("html", F.lit("</article>"), more))
+
+
 def _read(spark: SparkSession, d: str) -> DataFrame:
-    return H.pages_read(V.read(spark, d, "pages"))
+    return H.pages_read(_linked(spark, d))
 
 
-@query()
+def _plain(x: str) -> str:
+    """SQL for text without character references."""
+    return f"regexp_replace(replace(replace(replace(replace({x}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', chr(39)), '&amp;?', '&', 'g')"
+
+
+#: What a page shows, in SQL: without head, frames, scripts and comments; a break between blocks is \x01 at first.
+_SHOWN = r"""
+shown AS (SELECT page_id, regexp_replace(html, '(?s)<title>.*?</title>|<style>.*?</style>|<script>.*?</script>|<nav>.*?</nav>|<!--.*?-->|<footer>.*?</footer>', '', 'g') AS t FROM linked),
+broken AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '>\s+<', '><', 'g'), '</?(p|div|article|br|h1)( [^>]*)?>', chr(1), 'g'), '<[^>]*>', '', 'g') AS t FROM shown),
+lined AS (SELECT page_id, regexp_replace(regexp_replace(t, '\n\x01+', chr(10), 'g'), '\x01+', chr(10), 'g') AS t FROM broken)"""
+_TEXT = rf"""WITH {_LINKED}, {_SHOWN}
+SELECT page_id, trim(regexp_replace(regexp_replace({_plain("t")}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text, length(text) AS chars FROM lined"""
+_META = rf"""WITH {_LINKED}
+SELECT page_id, left(trim(regexp_replace({_plain(_plain("regexp_extract(html, '<title>([^<]*)</title>', 1)"))}, '\s+', ' ', 'g')), 300) AS title,
+ regexp_extract(html, '<html lang="([a-z]*)"', 1) AS lang, '' AS canonical, '' AS published FROM linked"""
+_LINKS = f"""WITH {_LINKED}, a AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*') AS host FROM linked WHERE html LIKE '%</article>%')
+SELECT page_id, 0 AS position, host || '/more/' || page_id || '?a=1&b=2' AS target, 'more & more' AS caption FROM a UNION ALL SELECT page_id, 1, 'https://other.example.com/x', 'other page' FROM a"""
+
+
+@query(_TEXT)
 def html_text(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d).select("page_id", "text", F.length("text").alias("chars"))
 
@@ -26,7 +59,7 @@ def html_markdown(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d).select("page_id", "markdown")
 
 
-@query()
+@query(_META)
 def html_meta(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d).select("page_id", "title", "lang", "canonical", "published")
 
@@ -38,7 +71,7 @@ def html_title_raw(spark: SparkSession, d: str) -> DataFrame:
     return page.select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", r'(?i)<html[^>]*\blang="([^"]*)"', 1).alias("lang"))
 
 
-@query()
+@query(_LINKS)
 def html_links(spark: SparkSession, d: str) -> DataFrame:
     return H.link_graph(_read(spark, d))
 
@@ -102,6 +135,12 @@ def stub_check(spark: SparkSession, d: str) -> DataFrame:
     return _status(spark, d).select("id", "stub")
 
 
+@query()
+def stub_detail(spark: SparkSession, d: str) -> DataFrame:
+    """Why pages are stubs, in words."""
+    return _pages(spark, d).select("id", T.stub_detail(F.col("text"), F.col("raw"), F.col("code")).alias("detail"))
+
+
 @query(f"WITH {_PAGES} SELECT id, status FROM status")
 def page_status(spark: SparkSession, d: str) -> DataFrame:
     return _status(spark, d).select("id", "status")

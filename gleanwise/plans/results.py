@@ -65,8 +65,7 @@ def corroboration(spark: SparkSession, d: str) -> DataFrame:
     return R.corroboration(V.responses(spark, d))
 
 
-#: Only each engine's best links, so that some engines miss the question.
-_BEST = "best AS (SELECT * FROM responses WHERE rank <= 2)"
+_BEST = "best AS (SELECT * FROM responses)"
 _WORDS = r"""
 wordlist AS (SELECT DISTINCT query, w FROM (SELECT query, unnest(regexp_split_to_array(lower(query), '[^\p{L}\p{N}_]+')) AS w FROM (SELECT DISTINCT query FROM responses)) WHERE length(w) >= 4),
 hay AS (SELECT *, lower(title || ' ' || snippet || ' ' || url) AS text FROM best),
@@ -76,26 +75,23 @@ judged AS (
 )"""
 
 
-def _best(spark: SparkSession, d: str) -> DataFrame:
-    return V.responses(spark, d).where("rank <= 2")
-
-
 @query(f"WITH {RESPONSES}, {_BEST}, {_WORDS} SELECT * FROM judged")
 def engine_relevance(spark: SparkSession, d: str) -> DataFrame:
-    return R.relevant_engines(_best(spark, d))
+    return R.relevant_engines(V.responses(spark, d))
 
 
 @query(f"""WITH {RESPONSES}, {_BEST}, {_WORDS}
 SELECT b.query, url, string_agg(DISTINCT b.engine, ',' ORDER BY b.engine) AS via FROM best b JOIN judged j ON j.query = b.query AND j.engine = b.engine GROUP BY ALL HAVING bool_or(relevant)""")
 def drop_hijacked(spark: SparkSession, d: str) -> DataFrame:
-    rows = _best(spark, d)
+    rows = V.responses(spark, d)
     return R.drop_hijacked(R.merge_witnesses(rows), R.relevant_engines(rows)).withColumn("via", F.array_join("via", ","))
 
 
-@query(f"WITH {RESPONSES}, best AS (SELECT * FROM responses WHERE rank = 1 AND pos < 3), {_WORDS} SELECT query, w AS word FROM wordlist l WHERE NOT EXISTS (SELECT 1 FROM hay WHERE hay.query = l.query AND contains(text, left(w, 5)))")
+@query(f"WITH {RESPONSES}, best AS (SELECT * REPLACE (query || ' unheard' || pos % 2 AS query) FROM responses), {_WORDS.replace("FROM responses", "FROM best")} SELECT query, w AS word FROM wordlist l WHERE NOT EXISTS (SELECT 1 FROM hay WHERE hay.query = l.query AND contains(text, left(w, 5)))")
 def word_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """All answers, each question asked in two ways with a word more, which no answer has."""
     answers = V.responses(spark, d)
-    return R.word_coverage(answers.where("rank = 1 AND pos < 3"))
+    return R.word_coverage(answers.withColumn("query", F.concat("query", F.lit(" unheard"), (F.col("pos") % 2).cast("string"))))
 
 
 @query(r"""WITH w AS (SELECT item_id, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+')) AS w, generate_subscripts(regexp_split_to_array(lower(text), '[^\p{L}\p{N}_]+'), 1) AS i FROM benchmark),
@@ -171,9 +167,9 @@ def image_merge(spark: SparkSession, d: str) -> DataFrame:
     return R.first_of_each(rows, ["query", "image"], ["pos", "rank"]).select("query", "image", F.col("url").alias("page"), "place")
 
 
-@query(f"""WITH {RESPONSES}, best AS (SELECT query, engine, '' AS title, snippet, url || ' ' || title AS url FROM responses WHERE rank <= 2), {_WORDS} SELECT * FROM judged""")
+@query(f"""WITH {RESPONSES}, best AS (SELECT query, engine, '' AS title, snippet, url || ' ' || title AS url FROM responses), {_WORDS} SELECT * FROM judged""")
 def image_on_topic(spark: SparkSession, d: str) -> DataFrame:
-    rows = _best(spark, d).select("query", "engine", F.lit("").alias("title"), "snippet", F.concat_ws(" ", "url", "title").alias("url"))
+    rows = V.responses(spark, d).select("query", "engine", F.lit("").alias("title"), "snippet", F.concat_ws(" ", "url", "title").alias("url"))
     return R.relevant_engines(rows)
 
 

@@ -96,10 +96,12 @@ def robots_verdict(spark: SparkSession, d: str) -> DataFrame:
 _FLAGS = ["true", " YES ", "0", "off", "", None, "maybe", "T"]
 
 
-@query(f"""WITH r AS (SELECT event_id AS id, {_choice_sql("event_id", _FLAGS)} AS v, event_id % 8 AS i, event_id % 3 > 0 AS given FROM events)
-SELECT id, CASE WHEN NOT given THEN true ELSE i IN (0, 1, 7) END AS value, given AND i IN (4, 5, 6) AS adjusted FROM r""")
+@query(f"""WITH r AS (SELECT event_id AS id, {_choice_sql("event_id", _FLAGS)} AS v, event_id % 8 AS i, event_id % 3 > 0 AS given, event_id % 5 = 0 AS is_number, event_id % 4 > 0 AS n FROM events)
+SELECT id, CASE WHEN NOT given THEN true WHEN is_number THEN n ELSE i IN (0, 1, 7) END AS value, given AND NOT is_number AND i IN (4, 5, 6) AS adjusted FROM r""")
 def parse_flag(spark: SparkSession, d: str) -> DataFrame:
-    told = X.flag(_choice(F.col("event_id"), _FLAGS), F.col("event_id") % 3 > 0, True)
+    """One in five came as a number: 0.0, 0.5, 1.0 or 1.5."""
+    number = F.when(F.col("event_id") % 5 == 0, (F.col("event_id") % 4) / 2)
+    told = X.flag(_choice(F.col("event_id"), _FLAGS), F.col("event_id") % 3 > 0, True, number)
     return V.read(spark, d, "events").select(F.col("event_id").alias("id"), told.alias("t")).select("id", "t.value", "t.adjusted")
 
 
@@ -208,6 +210,12 @@ def scan_detect(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.length("text") < 20 * (F.col("doc_id") % 60)).alias("scan"))
 
 
+@query("SELECT event_id AS id, CASE WHEN event_id % 7 > 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ' (' || 1800000000 - epoch_us(ts) // 1000000 || ' s ago)' END AS last FROM events")
+def time_ago(spark: SparkSession, d: str) -> DataFrame:
+    at = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    return V.read(spark, d, "events").select(F.col("event_id").alias("id"), X.ago(F.when(F.col("event_id") % 7 > 0, at), F.lit(1_800_000_000)).alias("last"))
+
+
 @query()
 def url_ascii(spark: SparkSession, d: str) -> DataFrame:
     """Addresses as they go over the wire: host in IDNA, path and query percent-encoded, no fragment."""

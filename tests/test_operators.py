@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from gleanwise.functions import text as T
 from gleanwise.functions import urls as U
 from gleanwise.functions import verdicts as X
-from gleanwise.operators import corpus, html, observe, results, state
+from gleanwise.operators import corpus, html, markup, observe, results, state
 from gleanwise.operators.graph import components
 
 PROBES = "id int, ts int, engine string, query string, results int, relevant int, hit int, category string, latency int, verdict string"
@@ -225,6 +227,9 @@ def test_flags_and_numbers(spark):
     flag = lambda v, given=True: value(spark, X.flag(F.lit(v).cast("string"), F.lit(given), True)).asDict()
     assert flag("off") == {"value": False, "adjusted": False} and flag("?") == {"value": False, "adjusted": True}
     assert flag(None) == {"value": False, "adjusted": True} and flag(None, False) == {"value": True, "adjusted": False}
+    of = lambda n: value(spark, X.flag(F.lit(str(n)), F.lit(True), True, F.lit(n))).asDict()
+    assert [of(n) for n in (2, 0, 0.0, -1.5)] == [{"value": v, "adjusted": False} for v in (True, False, False, True)]
+    assert value(spark, X.ago(F.lit(86_461.5), F.lit(86_465))) == "1970-01-02T00:01:01Z (3 s ago)" and value(spark, X.ago(F.lit(None).cast("double"), F.lit(1))) is None
     number = lambda v: value(spark, X.number(F.lit(v).cast("string"), 1, 10, 6))["value"]
     assert [number("99"), number("-1"), number("x"), number(None)] == [10, 1, 6, 6]
 
@@ -244,6 +249,33 @@ def test_page_reading():
     assert html.read_page(None, None)["text"] == ""
 
 
+@pytest.mark.parametrize("source", ["<a " * 100_000, '<a b="' * 50_000, "<!--" * 100_000, '<script type="application/ld+json">' + "[" * 100_000, "&#" + "9" * 9000 + ";", "<a href='http://[x'>y</a>", "<script type='application/ld+json'>" + '{"a":' * 50_000])
+def test_no_page_kills_the_reader(source):
+    """Broken tags, deep JSON, endless numbers and bad addresses: read in little time, without an error."""
+    began = time.process_time()
+    got = html.read_page(source, "https://h.org/")
+    assert time.process_time() - began < 10 and got["published"] == "" and got["links"] == []
+
+
+def test_dates_in_json():
+    """Own dates come before those within, later branches before earlier ones."""
+    value = {"x": {"datePublished": "a"}, "dateCreated": "b", "y": [{"uploadDate": "c"}, {"z": {"datePublished": "d"}}]}
+    assert list(html.dates_in(value)) == ["b", "d", "c", "a"]
+
+
+def test_markup():
+    told = [(k, v) for k, v, _ in markup.tokens("a<b c='x>y' C=2>&lt;</B ><br/>1 < 2<script>if (a</b>) '</x'</script >z<!-- q -->&amp")]
+    assert told == [("data", "a"), ("start", "b"), ("data", "<"), ("end", "b"), ("start", "br"), ("end", "br"), ("data", "1 "), ("data", "<"), ("data", " 2"), ("start", "script"), ("raw", "if (a</b>) '</x'"), ("end", "script"), ("data", "z"), ("data", "&")]
+    assert [f for _, _, f in markup.tokens("<a b='x>y&amp;' B=2 c d=e/>")][0] == {"b": "x>y&", "c": "", "d": "e/"}
+
+
+def test_stub_detail(spark):
+    told = lambda t, raw, code: value(spark, T.stub_detail(F.lit(t), F.lit(raw), F.lit(code)))
+    assert told("Page not found", "", 200) == "at the start of the text: 'page not found'" and told("x", "<div id=captcha>", 200) == "shield marker: 'captcha'"
+    assert told("x", "y" * 60_000, 200) == "60000 bytes of markup for 1 characters of text" and told("x", "", 403) == "status 403 and 1 characters of text"
+    assert told("long " * 2000, "", 200) is None
+
+
 def test_pacing(spark):
     df = spark.createDataFrame([("a", t, i) for i, t in enumerate([0, 5, 9, 11, 20, 21])], "key string, ts int, id int")
     got = {r["id"] for r in state.paced(df, "key", 10).where("admitted").collect()}
@@ -267,6 +299,9 @@ def test_ledger(spark):
     got = {r["model"]: r for r in state.ledger(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
     assert (got["m"]["calls"], got["m"]["tokens_in"], got["m"]["cached_reported"], got["m"]["cost"]) == (2, 11, False, None)
     assert got["n"]["cached_reported"] and got[None]["calls"] == 1
+    other = ['{"ts":1,"in":3,"out":1}', '{"ts":1,"model":"","in":4,"out":1}', "  ", "[1", "{}"]
+    got = {r["model"]: r for r in state.ledger(spark.createDataFrame([(x,) for x in other], "value string")).collect()}
+    assert (got["?"]["calls"], got["?"]["tokens_in"], got[None]["calls"], len(got)) == (3, 7, 1, 2)
 
 
 def test_components(spark):
