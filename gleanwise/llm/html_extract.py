@@ -33,13 +33,13 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import spread_join
+from ..operators.markup import Source, decoded
 from .common import table
 from .url_filter import host_of
 
@@ -95,21 +95,9 @@ SOFT, FRAME, HARD = 1, 2, 3
 #: Elements nested deeper count to their ancestor at this depth; so far back an open list item or cell is sought.
 MOST_DEPTH = 200
 
-_GAP = re.compile(r"[\s/]*+")
-_TAG_NAME = re.compile(r"[^\s/>]++")
-_NAME = re.compile(r"[^\s/>][^\s/>=]*+")
-_EQUALS = re.compile(r"\s*+=\s*+")
-_VALUE = re.compile(r"[^\s>]*+")
-_PLAIN = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+([^\s>]*+))?")
-_LONG_NUMBER = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 _DIGITS = re.compile(r"[0-9]+")
 
 
-def decoded(text: str) -> str:
-    """Character references as their characters; numbers beyond all characters as the replacement character."""
-    return unescape(_LONG_NUMBER.sub("�", text)) if "&" in text else text
-
-
 class Element:
     """A block element: its label, children in order (elements and texts), how surely it is not the article."""
 
@@ -197,83 +185,6 @@ def pruned(root: Element) -> None:
         stack.extend(node.children)
 
 
-class Source:
-    """A page's source, read forward: what was not found once is not sought again."""
-
-    def __init__(self, html: str):
-        self.html, self.end = html, len(html)
-        self.missing: dict[str, int] = {}
-        self.closings: dict[str, re.Pattern] = {}
-
-    def find(self, what: str, at: int) -> int:
-        if at >= self.missing.get(what, self.end + 1):
-            return -1
-        found = self.html.find(what, at)
-        if found < 0:
-            self.missing[what] = at
-        return found
-
-    def after(self, what: str, at: int) -> int:
-        """The place after the next `what`; without one, the end."""
-        found = self.find(what, at)
-        return found + len(what) if found >= 0 else self.end
-
-    def after_comment(self, at: int) -> int:
-        """The place after the comment that begins at `at`."""
-        for short in ("<!-->", "<!--->"):
-            if self.html.startswith(short, at):
-                return at + len(short)
-        return min(self.after("-->", at + 4), self.after("--!>", at + 4))
-
-    def attributes(self, at: int) -> tuple[dict[str, str], int, bool]:
-        """A tag's attributes from `at` on, the place after the tag, and whether it ends in a slash."""
-        html, close = self.html, self.find(">", at)
-        if close < 0:
-            return {}, self.end, False
-        rest = html[at:close]
-        if '"' not in rest and "'" not in rest:
-            told = rest.strip()
-            return ({k.lower(): v for k, v in reversed(_PLAIN.findall(told))} if told else {}), close + 1, rest.endswith("/")
-        found: dict[str, str] = {}
-        while True:
-            at = _GAP.match(html, at).end()
-            if at >= self.end:
-                return found, self.end, False
-            if html[at] == ">":
-                return found, at + 1, html[at - 1] == "/"
-            name = _NAME.match(html, at)
-            at, value = name.end(), ""
-            if equals := _EQUALS.match(html, at):
-                at = equals.end()
-                if (quote := html[at : at + 1]) in ('"', "'") and quote:
-                    close = self.find(quote, at + 1)
-                    if close >= 0:
-                        value, at = html[at + 1 : close], close + 1
-                    else:  # it never closes: the value ends with the tag
-                        close = self.find(">", at)
-                        if close < 0:
-                            return found, self.end, False
-                        value, at = html[at + 1 : close], close
-                else:
-                    value = _VALUE.match(html, at)[0]
-                    at += len(value)
-            found.setdefault(name[0].lower(), value)
-
-    def after_element(self, tag: str, at: int) -> int:
-        """The place after the next end tag of `tag`, -1 without one."""
-        closing = self.closings.get(tag)
-        if closing is None:
-            closing = self.closings[tag] = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I)
-        key = "</" + tag
-        if at >= self.missing.get(key, self.end + 1):
-            return -1
-        found = closing.search(self.html, at)
-        if not found:
-            self.missing[key] = at
-            return -1
-        return self.attributes(found.end())[1]
-
-
 def parsed(html: str) -> tuple[Element, list[Element]]:
     """The page's tree, and its elements that a name alone speaks against. Text directly in an element becomes children of it that are labelled #text, one for each run between block elements."""
     root = node = Element("#root", "#root", None, 0)
@@ -311,22 +222,12 @@ def parsed(html: str) -> tuple[Element, list[Element]]:
             break
         if open_at > at:
             say(html[at:open_at])
-        sign = html[open_at + 1 : open_at + 2]
-        closes = sign == "/"
-        first = html[open_at + 2 : open_at + 3] if closes else sign
-        if not (first.isascii() and first.isalpha()):
-            if html.startswith("<!--", open_at):
-                at = source.after_comment(open_at)
-            elif sign in ("!", "?") and sign or closes and first:
-                at = source.after(">", open_at)
-            else:
-                say("<")
-                at = open_at + 1
+        what, tag, found, slash, at = source.tag(open_at)
+        if what == "data":
+            say("<")
+        if what in ("data", "other"):
             continue
-        name = _TAG_NAME.match(html, open_at + 1 + closes)
-        tag = name[0].lower()
-        found, at, slash = source.attributes(name.end())
-        if closes:
+        if what == "end":
             if tag == "a":
                 in_link = False
             if tag in INLINE:
