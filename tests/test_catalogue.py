@@ -20,7 +20,7 @@ def test_query(spark, folder, duck, name):
     columns = sorted(df.columns)
     got = told(df.select(*columns).collect(), columns)
     if name not in SQL:
-        assert got or name == "html_links"
+        assert got  # test_brute holds these against plain Python
         return
     found = duck.sql(SQL[name])
     assert sorted(found.columns) == columns

@@ -64,3 +64,21 @@ def test_images(spark):
     png = F.unhex(F.lit("89504E470D0A1A0A0000000D49484452000001400000007B08"))
     row = spark.range(1).select(B.png_width(png).alias("w"), B.png_height(png).alias("h"), B.png_width(F.lit(b"no")).alias("n")).first()
     assert (row["w"], row["h"], row["n"]) == (320, 123, None)
+
+
+def test_pdf_files(spark, tmp_path):
+    """Pages up to the most, glyph names, blank runs; a file that can't be read says why; other files are left alone."""
+    from gleanwise.sources.files import pdf_texts
+
+    (tmp_path / "a.pdf").write_bytes(b"/uni041Cir  x\n\n\n\ny|two|three")
+    (tmp_path / "b.PDF").write_bytes(b"!")
+    (tmp_path / "c.txt").write_bytes(b"no")
+
+    def parser(body, most):
+        if body == b"!":
+            raise ValueError("no such format")
+        pages = body.decode().split("|")
+        return len(pages), pages[:most]
+
+    got = {r["path"].rsplit("/", 1)[1]: tuple(r)[1:] for r in pdf_texts(spark, str(tmp_path), 2, parser).collect()}
+    assert got == {"a.pdf": (3, 2, True, "Мir x\n\ny\ntwo", ""), "b.PDF": (None, 0, False, "", "ValueError: no such format")}
