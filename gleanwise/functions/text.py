@@ -226,7 +226,8 @@ def dates_near(text: Column, markers: Column, window: int = 300, most: int = 41)
         month = F.coalesce(*(F.when(F.lower(part(2)).startswith(m), F.lit(f"{k + 1:02d}")) for k, m in enumerate(MONTHS)))
         return F.concat_ws("-", part(3), month, F.lpad(part(1), 2, "0"))
 
-    words = r"(?iuU)\b\d{1,2}\s+(?:январ|феврал|март|апрел|ма[йя]|июн|июл|август|сентябр|октябр|ноябр|декабр)\w*\s+\d{4}"
+    names = "|".join(m + "[йя]" if m == "ма" else m for m in MONTHS)
+    words = rf"(?iuU)\b\d{{1,2}}\s+(?:{names})\w*\s+\d{{4}}"
     iso = r"(?U)\b\d{4}-\d{2}-\d{2}\b"
     return F.array_sort(F.array_distinct(F.concat(near(words, in_words), near(iso, lambda own: own))))
 

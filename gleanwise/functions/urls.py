@@ -35,7 +35,7 @@ REDIRECT_PARAMETERS = ("url", "u", "target", "redirect", "to", "link")
 #: The name by which robots files address this reader.
 AGENT = "gleanwise"
 
-#: Names of hosts inside the perimeter; an operator adds the names of its own services.
+#: Names of hosts inside the perimeter (fixed values, and this reader's own); an operator adds the names of its own services.
 INTERNAL_NAMES = ("localhost", "searxng", AGENT)
 
 
