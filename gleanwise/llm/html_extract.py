@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import spread_join
 from ..operators.markup import Source, decoded
-from .common import table
+from .common import table, written
 from .url_filter import host_of
 
 #: Pages and characters in a block, about; hosts of several blocks that are broadcast at most (some 100 bytes each).
@@ -613,7 +613,7 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     )
     sizes = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("html")).alias("chars"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_PAGES), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
-    large = sizes.select("host", blocks.alias("blocks")).where("blocks > 1")
+    large = written(sizes.select("host", blocks.alias("blocks")).where("blocks > 1"), "hosts")
     rows = rows.withColumn("hash", F.xxhash64("page_id", "url", "html"))
     if large.count() <= BROADCAST_HOSTS:
         rows = rows.join(F.broadcast(large), "host", "left")
