@@ -43,9 +43,16 @@ WORDS, LEAST, RECALL, MOST_VALUES = 5, 0.8, 0.999, 192
 #: Classes in a block whose sketches are compared; bounds of a block whose sets are; ids that are broadcast at most (8 bytes each).
 TILE_CLASSES, BLOCK_CLASSES, BLOCK_SHINGLES, BROADCAST_IDS = 512, 128, 500_000, 2_000_000
 
+#: Bytes that are hashed together, up to the end of a word.
+PIECE = 1 << 20
+
 _RANDOM = np.random.Generator(np.random.PCG64(20240229))
 _BYTES = _RANDOM.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTES[_IS_SPACE] = 0
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_POWERS = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
 _MULTIPLY = _RANDOM.integers(0, 1 << 31, MOST_VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _ADD = _RANDOM.integers(0, 1 << 32, MOST_VALUES, dtype=np.uint32)
 
@@ -70,30 +77,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers = np.cumprod(np.full(256, _FACTOR))
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the factor, and of its inverse, for `n` places at least."""
+    global _POWERS
+    if n > len(_POWERS[0]):
+        inverse = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
+        _POWERS = tuple(np.cumprod(np.full(max(n, 1 << 16), x)) for x in (_FACTOR, inverse))
+    return _POWERS
+
+
+def word_hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes other than white space: a polynomial of its bytes, wherever it stands."""
+    space = _IS_SPACE[data]
+    begins = ~space
+    begins[1:] &= space[:-1]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(data))
+    values = _BYTES[data]
+    values *= up[: len(data)]
+    return mixed(np.add.reduceat(values, starts) * down[starts])
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """The sorted 64-bit hashes of the text's shingles."""
-    global _powers
     data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    if not len(data) or space.all():
-        return np.zeros(0, np.uint64)
-    begins = ~space
-    begins[1:] &= space[:-1]
-    at = np.flatnonzero(~space)
-    starts = np.flatnonzero(begins[at])
-    inside = np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))
-    if (longest := int(inside.max()) + 1) > len(_powers):
-        _powers = np.cumprod(np.full(2 * longest, _FACTOR))
-    hashes = mixed(np.add.reduceat(_BYTES[data[at]] * _powers[inside], starts))
-    n = max(1, len(hashes) - words + 1)
+    found, at = [], 0
+    while at < len(data):  # pieces of whole words
+        end = min(at + PIECE, len(data))
+        while end < len(data) and not _IS_SPACE[data[end]]:
+            step = _IS_SPACE[data[end : end + PIECE]]
+            end += int(step.argmax()) if step.any() else len(step)
+        found.append(word_hashes(data[at:end]))
+        at = end
+    hashes = found[0] if len(found) == 1 else np.concatenate([np.zeros(0, np.uint64), *found])
+    if not len(hashes):
+        return hashes
     size = min(words, len(hashes))
+    n = len(hashes) - size + 1
     out = np.full(n, size, np.uint64)
     for i in range(size):
         out = out * _FACTOR + hashes[i : i + n]
-    return np.unique(mixed(out))
+    out = np.sort(mixed(out))
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def minima(shingles: np.ndarray, k: int) -> np.ndarray:
@@ -158,16 +185,17 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 def common(sets: list[np.ndarray]) -> np.ndarray:
     """How many shingles each two of the sets share; shingles of one set alone are left out before the products."""
-    n = len(sets)
-    owner = np.repeat(np.arange(n), [len(x) for x in sets])
-    values, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
+    n, values = len(sets), np.concatenate(sets)
+    order = np.argsort(values, kind="stable")  # merges the sets, which are sorted
+    values, owner = values[order], np.repeat(np.arange(n), [len(x) for x in sets])[order]
+    column = np.cumsum(np.concatenate([[False], values[1:] != values[:-1]]))
+    several = np.bincount(column) > 1
+    shared = several[column]
+    owner, column = owner[shared], (np.cumsum(several) - 1)[column[shared]]
     out = np.zeros((n, n), np.float64)
-    step = max(256, 4_000_000 // n)
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+    columns = int(column[-1]) + 1 if len(column) else 0
+    step = max(256, min(columns, 4_000_000 // n))
+    for low in range(0, columns, step):
         a, b = np.searchsorted(column, [low, low + step])
         x = np.zeros((n, step), np.float32)
         x[owner[a:b], column[a:b] - low] = 1
