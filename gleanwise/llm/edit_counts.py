@@ -8,8 +8,9 @@ A `Store` keeps both in a folder. The trees are a table with a row for each docu
 and where their texts are, pages of some segments each in files that each task writes one of. A batch of edits joins the
 trees of the documents that it names, finds the segments it touches by character sums, reads only the pages of these and
 of neighbours they could join, and encodes only what an edit replaces, with as much of the neighbours as its ends can join
-(boundary context). New sums go up the tree. Changed pages and changed trees are written beside the older ones; the newest
-tree of a document counts. Nothing else is read, encoded or moved.
+(boundary context). New sums go up the tree. Changed segments and changed trees are written beside the older ones, and the
+tree goes on naming what is left of an older page; the newest tree of a document counts. Nothing else is read, encoded or
+moved.
 
 Edits of a batch are applied in their order, each in the coordinates of the text that the ones before it left.
 
@@ -34,15 +35,17 @@ from .binary_ids import place
 from .common import fresh_path, table, tokenizer_path
 from .tokens import CUT, SAFE, WHITE, Encoder, encoder, small
 
-#: Characters in a segment and segments in a page, about.
-SEGMENT, PAGE = 256, 32
+#: Characters in a segment and segments in a page, about; characters of edited documents that a task of a batch has, about.
+SEGMENT, PAGE, TASK_CHARS = 256, 32, 16_000_000
 
 EDITS = "array<struct<start:bigint,stop:bigint,replacement:string>>"
 TREE = (
-    "row bigint, doc_id bigint, files array<string>, pages array<struct<file:int,at:bigint,bytes:int,size:int,segments:int>>, "
+    "row bigint, doc_id bigint, files array<string>, pages array<struct<file:int,at:bigint,bytes:int,size:int,skip:int,segments:int>>, "
     "chars array<int>, tokens array<int>, n_chars bigint, n_tokens bigint, n_chars_encoded bigint, n_chars_read bigint"
 )
 
+PAGE_FIELDS = ("file", "at", "bytes", "size", "skip", "segments")
+
 _WHITE = re.compile(f"[{WHITE}]")
 _SAFE = re.compile(SAFE)
 
@@ -66,25 +69,35 @@ def may_part(left: str, right: str) -> bool:
 class CountedText:
     """A text as a segment tree of token counts. Segments' texts come by the page, when they are asked for."""
 
-    def __init__(self, own: Encoder, chars: list[int], tokens: list[int], pages: list[int], load: Callable[[int], str]):
-        """`pages` says how many segments each page has; `load` gives a page's text."""
+    def __init__(self, own: Encoder, chars: list[int], tokens: list[int], pages: list[tuple[int, int]], load: Callable[[int], str]):
+        """`pages` says how many segments a page has and how many of its characters are skipped before them; `load` gives a page's text."""
         self.own, self.load, self.encoded, self.read = own, load, 0, 0
-        self.page = [p for p, n in enumerate(pages) for _ in range(n)]
+        self.loaded: dict[int, str] = {}
+        self.page: list[int] = []
+        self.skip: list[int] = []
+        for p, (n, skip) in enumerate(pages):
+            for _ in range(n):
+                self.page.append(p)
+                self.skip.append(skip)
+                skip += chars[len(self.page) - 1]
         self.texts: list[str | None] = [None if n else "" for n in chars]
-        self.loaded: set[int] = set()
-        self.dirty: set[int] = set()
+        self.fresh = [False] * len(chars)
         self.grow(chars, tokens)
 
     @classmethod
     def of(cls, text: str, own: Encoder) -> CountedText:
         """The tree of a whole text."""
         segments = parted(text) or [""]
-        pages = [min(PAGE, len(segments) - at) for at in range(0, len(segments), PAGE)]
-        out = cls(own, [len(s) for s in segments], [len(own.encode(s)) // 4 for s in segments], pages, lambda p: "")
-        out.texts, out.encoded = segments, len(text)
-        out.loaded = out.dirty = set(range(len(pages)))
+        out = cls(own, [len(s) for s in segments], [len(own.encode(s)) // 4 for s in segments], [(len(segments), 0)], lambda p: "")
+        out.texts, out.fresh, out.encoded = segments, [True] * len(segments), len(text)
         return out
 
+    @classmethod
+    def stored(cls, own: Encoder, chars: list[int], tokens: list[int], files: list[str], pages: list[dict], reader: Reader) -> CountedText:
+        """A tree as it was stored."""
+        load = lambda p: reader.page(files[pages[p]["file"]], pages[p]["at"], pages[p]["bytes"], pages[p]["size"])
+        return cls(own, chars, tokens, [(p["segments"], p["skip"]) for p in pages], load)
+
     def grow(self, chars: list[int], tokens: list[int]) -> None:
         """Leaves in slots `width`, `width` + 1, ...; node i has the children 2i and 2i + 1."""
         self.n = len(chars)
@@ -114,23 +127,13 @@ class CountedText:
     def text(self) -> str:
         return "".join(map(self.segment, range(self.n)))
 
-    def fetch(self, k: int) -> None:
-        """Reads the page of a segment, before any of its segments changes."""
-        page = self.page[k]
-        if page in self.loaded:
-            return
-        self.loaded.add(page)
-        text, at = self.load(page), 0
-        self.read += len(text)
-        while k and self.page[k - 1] == page:
-            k -= 1
-        while k < self.n and self.page[k] == page:
-            end = at + self.chars[self.width + k]
-            self.texts[k], at, k = text[at:end], end, k + 1
-
     def segment(self, k: int) -> str:
         if self.texts[k] is None:
-            self.fetch(k)
+            page = self.page[k]
+            if page not in self.loaded:
+                self.loaded[page] = self.load(page)
+                self.read += len(self.loaded[page])
+            self.texts[k] = self.loaded[page][self.skip[k] : self.skip[k] + self.chars[self.width + k]]
         return self.texts[k]
 
     def find(self, at: int) -> tuple[int, int]:
@@ -152,9 +155,7 @@ class CountedText:
         return k if 0 <= k < self.n else None
 
     def put(self, k: int, segment: str) -> None:
-        self.fetch(k)
-        self.texts[k] = segment
-        self.dirty.add(self.page[k])
+        self.texts[k], self.fresh[k] = segment, True
         self.encoded += len(segment)
         i = self.width + k
         self.chars[i], self.tokens[i] = len(segment), len(self.own.encode(segment)) // 4
@@ -191,14 +192,12 @@ class CountedText:
             self.put(first + k, "".join(pieces[k * share : (k + 1) * share]))
 
     def insert(self, first: int, last: int, pieces: list[str]) -> None:
-        """Pieces in place of some segments, in the first one's page."""
-        self.fetch(first)
-        self.fetch(last)
-        self.dirty.add(self.page[last])
+        """Pieces in place of some segments."""
         chars, tokens = self.leaves()
-        none, page = [0] * len(pieces), self.page[first]
+        none = [0] * len(pieces)
         self.texts[first : last + 1] = pieces
-        self.page[first : last + 1] = [page] * len(pieces)
+        self.page[first : last + 1] = self.skip[first : last + 1] = none
+        self.fresh[first : last + 1] = [True] * len(pieces)
         self.grow([*chars[:first], *none, *chars[last + 1 :]], [*tokens[:first], *none, *tokens[last + 1 :]])
         for k, piece in enumerate(pieces):
             self.put(first + k, piece)
@@ -208,7 +207,7 @@ class Pages:
     """A task's own file of pages, made when the first one comes."""
 
     def __init__(self, folder: str):
-        self.path, self.out, self.at, self.codec = f"{folder}/{uuid.uuid4().hex}.pages", None, 0, pa.Codec("zstd")
+        self.path, self.out, self.at, self.codec = f"{folder}/{uuid.uuid4().hex}.pages", None, 0, pa.Codec("zstd", compression_level=3)
 
     def write(self, text: str) -> tuple[int, int, int]:
         """Where the page is, its bytes there, its bytes as text."""
@@ -227,51 +226,54 @@ class Pages:
 
 
 class Reader:
-    """Pages of some files; the files last used stay open."""
+    """Pages of some files; the files last used stay open, and the page last read at hand."""
 
     def __init__(self):
         self.open: dict[str, pa.NativeFile] = {}
         self.codec = pa.Codec("zstd")
+        self.last: tuple = (None, "")
 
     def page(self, path: str, at: int, n: int, size: int) -> str:
-        if not n:
-            return ""
+        if not n or self.last[0] == (path, at):
+            return self.last[1] if n else ""
         if path not in self.open:
             if len(self.open) >= 16:
                 self.open.pop(next(iter(self.open))).close()
             store, name = place(path)
             self.open[path] = store.open_input_file(name)
         packed = self.open[path].read_at(n, at)
-        return self.codec.decompress(packed, size, asbytes=True).decode("utf-8", "surrogatepass")
+        self.last = (path, at), self.codec.decompress(packed, size, asbytes=True).decode("utf-8", "surrogatepass")
+        return self.last[1]
 
 
 def tree_row(row: int, doc: int | None, tree: CountedText, files: list[str], pages: list[dict], out: Pages) -> tuple:
-    """The tree as it is stored. Changed pages are written, those that grew in several; the others stay where they are."""
-    chars, tokens = tree.leaves()
+    """The tree as it is stored: segments without characters go, changed ones are written, the others stay where they are."""
+    every = list(zip(*tree.leaves(), strict=True))
+    kept = [k for k, (n, _) in enumerate(every) if n] or [0]
     told: list[tuple] = []
-    new_files = files if not tree.dirty else [*files, out.path]
-    k = 0
-    while k < tree.n:
-        end = k
-        while end < tree.n and tree.page[end] == tree.page[k]:
-            end += 1
-        if tree.page[k] not in tree.dirty:
-            old = pages[tree.page[k]]
-            told.append((old["file"], old["at"], old["bytes"], old["size"], old["segments"]))
+    at = 0
+    while at < len(kept):
+        k, end = kept[at], at + 1
+        if tree.fresh[k]:
+            while end < len(kept) and tree.fresh[kept[end]] and end - at < PAGE:
+                end += 1
+            told.append((len(files), *out.write("".join(map(tree.segment, kept[at:end]))), 0, end - at))
         else:
-            for at in range(k, end, PAGE):
-                some = range(at, min(at + PAGE, end))
-                told.append((len(files), *out.write("".join(map(tree.segment, some))), len(some)))
-        k = end
-    return row, doc, new_files, told, chars, tokens, tree.length, tree.total, tree.encoded, tree.read
+            while end < len(kept) and not tree.fresh[kept[end]] and tree.page[kept[end]] == tree.page[k] and tree.skip[kept[end]] == tree.skip[kept[end - 1]] + every[kept[end - 1]][0]:
+                end += 1
+            old = pages[tree.page[k]]
+            told.append((old["file"], old["at"], old["bytes"], old["size"], tree.skip[k], end - at))
+        at = end
+    used = [*files, out.path] if any(p[0] == len(files) for p in told) else files
+    return row, doc, used, told, [every[k][0] for k in kept], [every[k][1] for k in kept], tree.length, tree.total, tree.encoded, tree.read
 
 
 def tree_table(held: list[tuple]) -> pa.RecordBatch:
-    page = pa.struct([("file", pa.int32()), ("at", pa.int64()), ("bytes", pa.int32()), ("size", pa.int32()), ("segments", pa.int32())])
+    page = pa.struct([("file", pa.int32()), ("at", pa.int64()), ("bytes", pa.int32()), ("size", pa.int32()), ("skip", pa.int32()), ("segments", pa.int32())])
     names = [f.split(" ")[0] for f in re.sub(r"<[^ ]*>", "", TREE).split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(page), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.int64()] * 4]
     columns = list(zip(*held, strict=True))
-    columns[3] = [[dict(zip(("file", "at", "bytes", "size", "segments"), p, strict=True)) for p in pages] for pages in columns[3]]
+    columns[3] = [[dict(zip(PAGE_FIELDS, p, strict=True)) for p in pages] for pages in columns[3]]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
@@ -316,8 +318,12 @@ class Store:
 
     def apply(self, edits: DataFrame) -> DataFrame:
         """Applies a batch, rows of row and edits (an array of start, stop and replacement in code points); gives its changes."""
-        given = edits.select("row", F.col("edits").cast(EDITS).alias("edits")).groupBy("row").agg(F.flatten(F.collect_list("edits")).alias("edits"))
-        joined = self.trees().join(given, "row").select("row", "doc_id", "files", "pages", "chars", "tokens", "edits")
+        edits, trees = edits.select("row", F.col("edits").cast(EDITS).alias("edits")), self.trees()
+        size = trees.agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")).first()
+        parts = int((size["chars"] or 0) * min(1.0, edits.count() / max(1, size["n"])) // TASK_CHARS) + 1
+        # Both sides are dealt to as many tasks as the named documents ask for, and joined as they are.
+        given = edits.repartition(parts, "row").groupBy("row").agg(F.flatten(F.collect_list("edits")).alias("edits"))
+        joined = trees.select("row", "doc_id", "files", "pages", "chars", "tokens").repartition(parts, "row").join(given, "row")
         path, at = self.path, f"{self.folder}/pages"
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,8 +331,7 @@ class Store:
             for batch in small(batches):
                 held = []
                 for row, doc, files, pages, chars, tokens, changes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    load = lambda p, f=files, g=pages: reader.page(f[g[p]["file"]], g[p]["at"], g[p]["bytes"], g[p]["size"])
-                    tree = CountedText(own, chars, tokens, [p["segments"] for p in pages], load)
+                    tree = CountedText.stored(own, chars, tokens, files, pages, reader)
                     for e in changes or []:
                         if e is not None:
                             start = e["start"] or 0
@@ -346,10 +351,10 @@ class Store:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader = Reader()
             for batch in small(batches, 16):
-                whole = ["".join(reader.page(f[p["file"]], p["at"], p["bytes"], p["size"]) for p in pages) for f, pages in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+                whole = [CountedText.stored(None, chars, chars, files, pages, reader).text() for files, pages, chars in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(whole, pa.string())], ["row", "doc_id", "text"])
 
-        return self.trees().select("row", "doc_id", "files", "pages").mapInArrow(run, "row bigint, doc_id bigint, text string")
+        return self.trees().select("row", "doc_id", "files", "pages", "chars").mapInArrow(run, "row bigint, doc_id bigint, text string")
 
 
 def sample_edits(n_chars: Column, doc_id: Column) -> Column:

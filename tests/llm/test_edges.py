@@ -444,9 +444,8 @@ def test_edited_text_is_exact(tokenizer, tmp_path):
         for _ in range(r.randint(0, 3)):
             row = edit_counts.tree_row(0, 0, tree, files, pages, out)
             out.close()
-            files, pages = row[2], [dict(zip(("file", "at", "bytes", "size", "segments"), p)) for p in row[3]]
-            load = lambda p, f=files, g=pages: reader.page(f[g[p]["file"]], g[p]["at"], g[p]["bytes"], g[p]["size"])
-            tree = edit_counts.CountedText(own, row[4], row[5], [p["segments"] for p in pages], load)
+            files, pages = row[2], [dict(zip(edit_counts.PAGE_FIELDS, p)) for p in row[3]]
+            tree = edit_counts.CountedText.stored(own, row[4], row[5], files, pages, reader)
             out = edit_counts.Pages(str(tmp_path))
             for _ in range(r.randint(0, 4)):
                 a = r.choice([r.randint(-2, len(text) + 5), r.randint(0, 40) * 257])
