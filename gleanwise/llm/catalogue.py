@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary_ids, bpe, edit_counts, exact_dedup, html_extract, ngram_join, packing, quality, sharding, url_filter
+from . import binary_ids, bpe, collocations, edit_counts, exact_dedup, filter_audit, html_extract, large_items, ngram_join, packing, quality, sharding, url_filter
 
 QUERIES = {
     "op1_url_filters": url_filter.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_binary_ids": binary_ids.query,
     "op9_ngram_join": ngram_join.query,
     "op10_quality_rules": quality.query,
+    "op11_large_items": large_items.query,
+    "op12_filter_audit": filter_audit.query,
+    "op13_collocations": collocations.query,
 }
 
 SQL = {
@@ -22,4 +25,6 @@ SQL = {
     "op2_html_extraction": html_extract.SQL,
     "op5_exact_dedup": exact_dedup.SQL,
     "op9_ngram_join": ngram_join.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_collocations": collocations.SQL,
 }
