@@ -115,6 +115,7 @@ class Automaton:
     """
 
     def __init__(self, ids: np.ndarray, depth: int):
+        ids = ids if len(ids) else np.zeros(1, np.int32)
         self.ids, self.depth = ids, depth
         size = int(ids.max(initial=0)) + 1
         first = np.zeros(size, np.int64)
@@ -134,7 +135,7 @@ class Automaton:
         nodes = np.zeros(len(last), np.int64)
         nodes[where] = at + 1
         first = np.append(0, where[first])
-        prefix, link = before[first], before[np.minimum(first + 1, len(last) - 1)] if len(last) else before[first]
+        prefix, link = before[first], before[np.minimum(first + 1, len(last) - 1)]
         prefix[0] = link[0] = 0
         self.at.append(nodes)
         self.count.append(np.append(0, count))

@@ -163,7 +163,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = (
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = batch.column("length").cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
-            own, rank = batch.select(names), batch.column("_rank").to_numpy(zero_copy_only=False)
+            own, rank = batch.select(names), batch.column("_rank").fill_null(0).to_numpy(zero_copy_only=False)
             told = (length > 0) & (length <= capacity)
             at = np.searchsorted(starts, np.where(told, length * MOST_RANKS + rank, 0), "right") - 1
             place = held[np.where(told, at, 0)] if len(held) else np.zeros((len(length), 5), np.int64)

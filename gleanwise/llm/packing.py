@@ -114,13 +114,13 @@ def places(planned: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, in
 
 
 def ranked(pieces: DataFrame, total: int, order: list[str]) -> DataFrame:
-    """`pieces` with `_rank` among the pieces of the same length, from 0."""
+    """`pieces` with `_rank` among the pieces of the same length, from 0; without a length it is null."""
     blocks = total // BLOCK_ROWS + 1
     own = pieces.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
     before = Window.partitionBy("length").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = own.groupBy("length", "_block").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0)))
     within = Window.partitionBy("length", "_block").orderBy(*order)
-    out = own.withColumn("_in_block", F.row_number().over(within) - 1).join(starts.drop("count"), ["length", "_block"])
+    out = own.withColumn("_in_block", F.row_number().over(within) - 1).join(starts.drop("count"), ["length", "_block"], "left")
     return out.withColumn("_rank", F.col("_base") + F.col("_in_block")).drop("_block", "_base", "_in_block")
 
 
