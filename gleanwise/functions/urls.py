@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .addresses import address, bound, internal
+
 #: Domains where a document is primary (fixed values).
 PRIMARY_DOMAINS = (
     "sec.gov",
@@ -50,8 +52,8 @@ def domain(url: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    """The host without user and port."""
-    return F.element_at(F.split(F.regexp_replace(F.lower(authority(url)), r"^.*@", ""), ":", 2), 1)
+    """The host without user and port; IPv6 keeps its brackets."""
+    return F.regexp_extract(F.regexp_replace(F.lower(authority(url)), r"^.*@", ""), r"^(\[[^\]]*\]|[^:]*)", 1)
 
 
 def path(url: Column) -> Column:
@@ -97,36 +99,25 @@ def result_page(url: Column) -> Column:
     return where.rlike(RESULT_HOSTS) & (starts | query_string(url).contains("q="))
 
 
-def internal_host(h: Column) -> Column:
-    """A literal address inside the perimeter or a known internal name; other names are not resolved here."""
-    part = lambda i: F.regexp_extract(h, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i).try_cast("int")
-    a, b = part(1), part(2)
-    literal = (
-        a.isin(0, 10, 127)
-        | ((a == 100) & b.between(64, 127))
-        | ((a == 169) & (b == 254))
-        | ((a == 172) & b.between(16, 31))
-        | ((a == 192) & (b == 168))
-        | (a >= 224)
-    )
-    return h.isin(*INTERNAL_NAMES) | F.coalesce(literal, F.lit(False)) | h.endswith(".localhost")
+def internal_name(h: Column) -> Column:
+    """A known name inside the perimeter; other names are not resolved here."""
+    return h.isin(*INTERNAL_NAMES) | h.endswith(".localhost")
 
 
 def url_policy(url: Column) -> Column:
     """Why a page may not be read; empty if it may. The first reason that fits counts."""
-    u = F.trim(F.coalesce(url, F.lit("")))
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    port = F.regexp_extract(authority(u), r":([^:\]@]*)$", 1)
-    bad_port = (port != "") & (~port.rlike("^[0-9]+$") | (F.coalesce(port.try_cast("bigint"), F.lit(1 << 20)) > 65535))
-    return (
-        F.when(u == "", "empty address")
-        .when(~scheme.isin("http", "https"), "scheme")
-        .when(authority(u) == "", "no host")
-        .when(result_page(u), "result page")
-        .when(internal_host(host(u)), "internal")
-        .when(bad_port, "port")
-        .otherwise("")
-    )
+
+    def reason(u: Column) -> Column:
+        scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
+        port = F.regexp_extract(authority(u), r":([^:\]@]*)$", 1)
+        bad_port = (port != "") & (~port.rlike("^[0-9]+$") | (F.coalesce(port.try_cast("bigint"), F.lit(1 << 20)) > 65535))
+        literal = F.struct(host(u).alias("host"), address(host(u)).alias("address"))
+        no_host = lambda h: (authority(u) == "") | (h["host"].startswith("[") & h["address"].isNull())
+        inside = lambda h: internal_name(h["host"]) | internal(h["address"])
+        of_host = bound(literal, lambda h: F.when(no_host(h), "no host").when(result_page(u), "result page").when(inside(h), "internal").when(bad_port, "port").otherwise(""))
+        return F.when(u == "", "empty address").when(~scheme.isin("http", "https"), "scheme").otherwise(of_host)
+
+    return bound(F.trim(F.coalesce(url, F.lit(""))), reason)
 
 
 def robots_verdict(rules: Column, page_path: Column) -> Column:

@@ -70,17 +70,66 @@ _POLICY = {
 }
 
 
-@query(f"SELECT event_id AS id, {_choice_sql('event_id', list(_POLICY.values()))} AS reason FROM events")
+#: IPv4 networks whose edges are tried, by whether they are inside, and the first and second groups of IPv6 addresses.
+_NETS = {"0.0.0.0/8": True, "10.0.0.0/8": True, "100.64.0.0/10": False, "127.0.0.0/8": True, "169.254.0.0/16": True, "172.16.0.0/12": True, "192.0.0.0/24": True, "192.0.2.0/24": True}
+_NETS |= {"192.168.0.0/16": True, "198.18.0.0/15": True, "198.51.100.0/24": True, "203.0.113.0/24": True, "224.0.0.0/4": True, "8.8.8.0/24": False}
+_GROUPS = "0000 0064 00ff 0100 1fff 2000 2001 2002 2003 2606 3fff 4000 5f00 9fff e000 f7ff fbff fc00 fdff fe7f fe80 febf fec0 feff ff02".split()
+_SECOND = "0000 0003 0002 001f 0020 003f 0040 01ff 0200 0db8 0db9 4700".split()
+
+
+def _policy_url(n: Column) -> Column:
+    """Addresses from the list above, and hosts around the edges of networks in all forms."""
+    k, long = F.expr("event_id div 3"), lambda c: c.cast("bigint")
+    edges = []
+    for net in _NETS:
+        name, bits = net.split("/")
+        first = sum(int(x) << 24 - 8 * i for i, x in enumerate(name.split(".")))
+        edges += [first, first + (1 << 32 - int(bits))]
+    at = F.expr(f"event_id div {3 * len(edges)}")
+    v = F.pmod(F.get(F.array(*map(F.lit, edges)), F.pmod(k, F.lit(len(edges))).cast("int")) + F.pmod(at, F.lit(3)) - 1, F.lit(1 << 32))
+    byte = lambda i: F.pmod(F.shiftright(v, 24 - 8 * i), F.lit(256))
+    quad = F.concat_ws(".", *[byte(i).cast("string") for i in range(4)])
+    forms = [
+        quad,
+        v.cast("string"),
+        F.concat(F.lit("0x"), F.hex(v)),
+        F.concat(F.lit("0"), F.conv(v.cast("string"), 10, 8)),
+        F.concat_ws(".", byte(0).cast("string"), F.concat(F.lit("0x"), F.hex(byte(1))), long(byte(2) * 256 + byte(3)).cast("string")),
+        F.concat(F.lit("user:pass@"), quad, F.lit(":8080")),
+    ]
+    four = F.get(F.array(*forms), F.pmod(n, F.lit(len(forms))).cast("int"))
+    group = lambda values, c: F.get(F.array(*map(F.lit, values)), F.pmod(c, F.lit(len(values))).cast("int"))
+    second = group(_SECOND, F.expr(f"event_id div {3 * len(_GROUPS)}"))
+    first, low = group(_GROUPS, k), F.lower(F.hex(F.pmod(n, F.lit(65536))))
+    six = F.when(F.pmod(n, F.lit(2)) == 0, F.concat_ws(":", first, second, F.lit(""), low)).otherwise(F.upper(F.concat_ws(":", first, second, F.lit("0:0:0:0:0"), low)))
+    made = F.concat(F.lit("http://"), F.when(n % 3 == 1, four).otherwise(F.concat(F.lit("["), six, F.lit("]"))), F.lit("/x"))
+    return F.when(n % 3 == 0, _choice(k, list(_POLICY))).otherwise(made)
+
+
+_POLICY_SQL = f"""
+nets AS (SELECT row_number() OVER () - 1 AS i, split_part(x, '/', 1) AS name, split_part(x, '/', 2)::int AS bits, inside FROM (VALUES {", ".join(f"('{k}', {v})" for k, v in _NETS.items())}) t(x, inside)),
+ranges AS (SELECT i, first, first + (1::bigint << (32 - bits)) AS after, inside FROM (SELECT *, list_reduce(list_transform(string_split(name, '.'), lambda y: y::bigint), lambda u, w: u * 256 + w) AS first FROM nets)),
+edges AS (SELECT list(e ORDER BY i, e) AS e FROM (SELECT i, unnest([first, after]) AS e FROM ranges)),
+four AS (SELECT event_id, ((e[(event_id // 3 % len(e) + 1)::int] + event_id // (3 * len(e)) % 3 - 1) % 4294967296 + 4294967296) % 4294967296 AS v FROM events, edges WHERE event_id % 3 = 1),
+four_told AS (SELECT event_id, EXISTS (FROM ranges r WHERE inside AND v >= first AND v < after) OR v >= 4026531840 AS bad FROM four),
+six AS (SELECT event_id, ('0x' || ({_GROUPS})[(event_id // 3 % {len(_GROUPS)} + 1)::int])::int AS g, ('0x' || ({_SECOND})[(event_id // {3 * len(_GROUPS)} % {len(_SECOND)} + 1)::int])::int AS h FROM events WHERE event_id % 3 = 2),
+six_told AS (SELECT event_id, g < 8192 OR (g >= 16384 AND NOT g BETWEEN 65216 AND 65279) OR g = 8194 OR (g = 8193 AND (h = 3512 OR (h < 512 AND h <> 3 AND NOT h BETWEEN 32 AND 63))) AS bad FROM six),
+policy AS (
+  SELECT event_id AS id, {_choice_sql("(event_id // 3)", list(_POLICY.values()))} AS reason FROM events WHERE event_id % 3 = 0
+  UNION ALL SELECT event_id, CASE WHEN bad THEN 'internal' ELSE '' END FROM (FROM four_told UNION ALL FROM six_told)
+)"""
+
+
+@query(f"WITH {_POLICY_SQL} SELECT id, reason FROM policy")
 def url_policy(spark: SparkSession, d: str) -> DataFrame:
-    return V.read(spark, d, "events").select(F.col("event_id").alias("id"), U.url_policy(_choice(F.col("event_id"), list(_POLICY))).alias("reason"))
+    return V.read(spark, d, "events").select(F.col("event_id").alias("id"), U.url_policy(_policy_url(F.col("event_id"))).alias("reason"))
 
 
-@query("SELECT event_id AS id, event_id % 3 = 1 AS blocked FROM events")
+@query(f"WITH {_POLICY_SQL} SELECT id, reason <> '' AS blocked FROM policy")
 def redirect_hops(spark: SparkSession, d: str) -> DataFrame:
     """Whether any hop of a redirect chain leads where no page may be read."""
-    n = F.col("event_id")
-    hops = F.array(F.lit("https://example.org/"), F.when(n % 3 == 1, "http://169.254.169.254/latest").otherwise("https://example.org/b"), F.lit("http://8.8.8.8/"))
-    return V.read(spark, d, "events").select(n.alias("id"), F.exists(hops, lambda h: U.url_policy(h) != "").alias("blocked"))
+    hops = F.array(F.lit("https://example.org/"), _policy_url(F.col("event_id")), F.lit("http://8.8.8.8/"))
+    return V.read(spark, d, "events").select(F.col("event_id").alias("id"), F.exists(hops, lambda h: U.url_policy(h) != "").alias("blocked"))
 
 
 _ROBOTS = ["User-agent: *\nDisallow: /en", "User-agent: other\nDisallow: /\nUser-agent: gleanwise\nDisallow: /de/ # no", "", None, "User-agent: *\r\nDisallow:\r\nDisallow: /%66r/"]
