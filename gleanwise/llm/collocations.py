@@ -44,11 +44,14 @@ from .common import table, written
 MOST_WORDS, LEAST_COUNT, SUBSUMED, TOP = 4, 30, 80, 2000
 
 #: Words that a task gathers before it closes its largest shard, and bits of the filter of frequent pairs (16 MB).
-SHARD_WORDS, FILTER_BITS = 4_000_000, 1 << 27
+SHARD_WORDS, FILTER_BITS = 3_000_000, 1 << 27
 
 #: Bits of the filter that are set together, as one row.
 BLOCK_BITS = 1 << 16
 
+#: Parts of a language that are ranked apart.
+BLOCKS = 64
+
 #: Bytes that end a piece (fixed values) become one that UTF-8 doesn't have.
 _GAP = b"\xff"
 _ENDS = bytes.maketrans(b".,;:!?\n\x0b\x0c\r", _GAP * 10)
@@ -192,11 +195,13 @@ def frequent_pairs(shards: DataFrame, least: int = LEAST_COUNT, bits: int = FILT
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, words, ids in opened(batch):
-                nodes, hashes = Automaton(ids, 2), word_hashes(lang, words)
-                first = nodes.first[2][1:]
-                found = pair_hashes(hashes, ids[first], ids[first + 1]).view(np.int64)
+                # Of the automaton's nodes of two words only their ends are asked for: no places, prefixes or links.
+                left, right, size = ids[:-1], ids[1:], len(words) + 1
+                ok = (left > 0) & (right > 0)
+                nodes, ends = np.unique(left[ok].astype(np.int64) * size + right[ok], return_counts=True)
+                found = pair_hashes(word_hashes(lang, words), nodes // size, nodes % size).view(np.int64)
                 for k in range(0, len(found), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[k : k + (1 << 16)]), pa.array(nodes.count[2][1:][k : k + (1 << 16)])], ["h", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found[k : k + (1 << 16)]), pa.array(ends[k : k + (1 << 16)])], ["h", "n"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}  # bits // BLOCK_BITS at most
@@ -296,8 +301,10 @@ def collocations(
     own = written(shards(docs, text, lang), "shards")
     counted = written(phrase_counts(own, frequent_pairs(own, least), least, depth), "phrases")
     left = spread_join(scored(counted, depth), subsumed(counted, share), ["lang", "phrase"], "left_anti")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)  # cut in each task before the shuffle
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    ranked = lambda df, *of: df.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *of).orderBy(*order))).where(F.col("rank") <= top)
+    # A language's best are among the best of its blocks, so the last ranking takes BLOCKS * top rows at most.
+    best = ranked(ranked(left.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(BLOCKS))), "block").drop("block", "rank"))
     total = own.groupBy("lang").agg(F.sum("n_words").alias("n"))
     return best.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
