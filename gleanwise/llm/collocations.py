@@ -44,7 +44,7 @@ from .common import table, written
 MOST_WORDS, LEAST_COUNT, SUBSUMED, TOP = 4, 30, 80, 2000
 
 #: Words that a task gathers before it closes its largest shard, and bits of the filter of frequent pairs (16 MB).
-SHARD_WORDS, FILTER_BITS = 3_000_000, 1 << 27
+SHARD_WORDS, FILTER_BITS = 2_000_000, 1 << 27
 
 #: Bits of the filter that are set together, as one row.
 BLOCK_BITS = 1 << 16
@@ -164,6 +164,18 @@ class Automaton:
         return parts[0] if d == 1 else pc.binary_join_element_wise(*parts, " ")
 
 
+def pair_ends(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The automaton's nodes of two words, as first * size + second, and their ends: no places, prefixes or links, in less memory."""
+    where = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0)).astype(np.int32)
+    keys = ids[where].astype(np.int64)
+    keys *= size
+    keys += ids[where + 1]
+    del where
+    keys.sort()
+    edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[edges], np.diff(np.append(edges, len(keys)))
+
+
 def mixed(a: np.ndarray) -> np.ndarray:
     """64-bit numbers, well mixed."""
     a = (a ^ (a >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -195,13 +207,11 @@ def frequent_pairs(shards: DataFrame, least: int = LEAST_COUNT, bits: int = FILT
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, words, ids in opened(batch):
-                # Of the automaton's nodes of two words only their ends are asked for: no places, prefixes or links.
-                left, right, size = ids[:-1], ids[1:], len(words) + 1
-                ok = (left > 0) & (right > 0)
-                nodes, ends = np.unique(left[ok].astype(np.int64) * size + right[ok], return_counts=True)
-                found = pair_hashes(word_hashes(lang, words), nodes // size, nodes % size).view(np.int64)
-                for k in range(0, len(found), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[k : k + (1 << 16)]), pa.array(ends[k : k + (1 << 16)])], ["h", "n"])
+                hashes, size = word_hashes(lang, words), len(words) + 1
+                nodes, ends = pair_ends(ids, size)
+                for k in range(0, len(nodes), 1 << 16):
+                    own = nodes[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(pair_hashes(hashes, own // size, own % size).view(np.int64)), pa.array(ends[k : k + (1 << 16)])], ["h", "n"])
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[int, np.ndarray] = {}  # bits // BLOCK_BITS at most
