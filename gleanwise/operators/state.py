@@ -1,63 +1,16 @@
-"""Operators with a memory: pacing, caches, the pool's hysteresis, the spend ledger."""
+"""Operators with a memory: the pool's hysteresis, the spend ledger."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import spread_join
 from .observe import DEAD_ZONE
 
 LEDGER = "ts bigint, provider string, model string, `in` bigint, `out` bigint, cached bigint, ms bigint"
 
 
-#: Intervals in a slice of time: a busy key's requests are ordered by slices, each of them in a task of its own.
-SLICE = 64
-
-
-def paced(requests: DataFrame, key: str, interval: int, tie: str = "id") -> DataFrame:
-    """key, tie and `admitted`: at least `interval` seconds after the key's last admitted request.
-
-    A request that comes `interval` after the one before it is always admitted, as the last admitted one is no later; so
-    bursts between such pauses are walked on their own, and those of a busy key by many tasks. Requests are ordered within
-    slices of time; a slice's first one looks back to the last of the slice before, and bursts are numbered by the slices'
-    counts. A walk reads its rows in order and remembers one time, so it gathers nothing, however long the burst.
-    """
-    kinds = dict(requests.dtypes)
-    rows = requests.select(F.struct(F.col(key).alias("key")).alias("of"), F.floor(F.col("ts") / (SLICE * max(1, interval))).alias("slice"), "ts", F.col(tie).alias("tie"))
-    slices = Window.partitionBy("of").orderBy("slice")
-    within = Window.partitionBy("of", "slice").orderBy("ts", "tie")
-    ends = rows.groupBy("of", "slice").agg(F.max("ts").alias("last")).select("of", "slice", F.lag("last").over(slices).alias("before"))
-    rows = spread_join(rows, ends, ["of", "slice"])
-    starts = F.coalesce(F.col("ts") - F.coalesce(F.lag("ts").over(within), F.col("before")) >= interval, F.lit(True))
-    rows = rows.withColumn("starts", starts.cast("int")).withColumn("burst", F.sum("starts").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    counts = rows.groupBy("of", "slice").agg(F.sum("starts").alias("n"))
-    counts = counts.select("of", "slice", F.coalesce(F.sum("n").over(slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rows = spread_join(rows, counts, ["of", "slice"]).withColumn("burst", F.col("base") + F.col("burst"))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            admitted = []
-            for start, ts in zip(batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ok = bool(start) or ts - last >= interval
-                last = ts if ok else last
-                admitted.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(admitted, pa.bool_())], [key, tie, "admitted"])
-
-    dealt = rows.repartition("of", "burst").sortWithinPartitions("of", "burst", "ts", "tie").select("of.key", "ts", "tie", "starts")
-    return dealt.mapInArrow(walk, f"`{key}` {kinds[key]}, `{tie}` {kinds[tie]}, admitted boolean")
-
-
-def cache_replay(requests: DataFrame, key: str, ttl: int, tie: str = "id") -> DataFrame:
-    """`requests` with `hit`: what was stored at the key's last miss is younger than `ttl`. A hit does not renew it."""
-    return paced(requests, key, ttl, tie).select(key, tie, (~F.col("admitted")).alias("hit"))
-
-
 def swapped(current: list[str], wanted: list[str], shares: dict[str, float], zone: float = DEAD_ZONE) -> list[str]:
     """The pool after each wanted engine, best first, took the place of the worst unwanted one if it is better by `zone`."""
     pool = list(current)

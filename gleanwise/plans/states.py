@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import admission as A
 from ..operators import observe as O
 from ..operators import state as S
 from ..sources import views as V
@@ -15,18 +16,30 @@ from .views_sql import PROBES
 
 # Admitted requests in SQL: from each key's first, jump to the next that is late enough.
 _JUMPS = """
-r AS (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY ts, id) AS n FROM probes),
-jumps AS (SELECT engine, n, ts FROM r WHERE n = 1 UNION ALL SELECT engine, x.n, x.ts FROM jumps j, LATERAL (SELECT n, ts FROM r WHERE r.engine = j.engine AND r.ts >= j.ts + {interval} ORDER BY n LIMIT 1) x)"""
+r AS (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY ts, id) AS n, {wait} AS wait FROM probes),
+jumps AS (SELECT engine, n, ts, wait FROM r WHERE n = 1 UNION ALL SELECT engine, x.n, x.ts, x.wait FROM jumps j, LATERAL (SELECT n, ts, wait FROM r WHERE r.engine = j.engine AND r.ts >= j.ts + j.wait AND r.n > j.n ORDER BY n LIMIT 1) x)"""
 
+#: The views' probes are an hour apart, not a second: pauses are as much longer.
+_PAUSES = {k: 240 * v for k, v in A.PAUSES.items()}
 
-@query(f"WITH RECURSIVE {PROBES}, {_JUMPS.format(interval=3600)} SELECT engine, id, EXISTS (SELECT 1 FROM jumps j WHERE j.engine = r.engine AND j.n = r.n) AS admitted FROM r")
+
+@query(f"WITH RECURSIVE {PROBES}, {_JUMPS.format(wait=3600)} SELECT engine, id, EXISTS (SELECT 1 FROM jumps j WHERE j.engine = r.engine AND j.n = r.n) AS admitted FROM r")
 def pacing_admit(spark: SparkSession, d: str) -> DataFrame:
-    return S.paced(V.probes(spark, d), "engine", 3600)
+    return A.admitted(V.probes(spark, d), "engine", 3600)
+
+
+@query(f"""WITH RECURSIVE {PROBES}, {_JUMPS.format(wait="CASE WHEN verdict IN ('refused', 'irrelevant') THEN 28800 WHEN verdict = 'empty' THEN 1200 ELSE 900 END")}
+SELECT engine, id, verdict, EXISTS (SELECT 1 FROM jumps j WHERE j.engine = r.engine AND j.n = r.n) AS admitted FROM r""")
+def cooldown_admit(spark: SparkSession, d: str) -> DataFrame:
+    """Pace and cooldown: a refusal or a substitution blocks an engine for long, an empty answer briefly."""
+    probes = V.probes(spark, d)
+    told = A.admitted(probes, "engine", 900, _PAUSES, "verdict")
+    return told.join(probes.select("id", "verdict"), "id").select("engine", "id", "verdict", "admitted")
 
 
-@query(f"WITH RECURSIVE {PROBES}, {_JUMPS.format(interval=7200)} SELECT engine, id, NOT EXISTS (SELECT 1 FROM jumps j WHERE j.engine = r.engine AND j.n = r.n) AS hit FROM r")
+@query(f"WITH RECURSIVE {PROBES}, {_JUMPS.format(wait=7200)} SELECT engine, id, NOT EXISTS (SELECT 1 FROM jumps j WHERE j.engine = r.engine AND j.n = r.n) AS hit FROM r")
 def cache_replay(spark: SparkSession, d: str) -> DataFrame:
-    return S.cache_replay(V.probes(spark, d), "engine", 7200)
+    return A.cache_replay(V.probes(spark, d), "engine", 7200)
 
 
 @query()

@@ -276,24 +276,6 @@ def test_stub_detail(spark):
     assert told("long " * 2000, "", 200) is None
 
 
-def test_pacing(spark):
-    df = spark.createDataFrame([("a", t, i) for i, t in enumerate([0, 5, 9, 11, 20, 21])], "key string, ts int, id int")
-    got = {r["id"] for r in state.paced(df, "key", 10).where("admitted").collect()}
-    assert got == {0, 3, 5}
-    import random
-
-    r = random.Random(8)
-    rows = [(r.choice("abc"), r.randint(0, 900), i) for i in range(600)] + [(None, 1, 600), (None, 2, 601)]
-    for interval in (1, 7, 40):
-        want, last = set(), {}
-        for k, t, i in sorted(rows, key=lambda x: (x[1], x[2])):
-            if k not in last or t - last[k] >= interval:
-                last[k] = t
-                want.add(i)
-        out = state.paced(spark.createDataFrame(rows, "key string, ts int, id int").repartition(5), "key", interval)
-        assert out.count() == len(rows) and {x["id"] for x in out.where("admitted").collect()} == want
-
-
 def test_ledger(spark):
     lines = ['{"ts":1,"model":"m","in":10,"out":5,"cached":null}', '{"ts":2,"model":"m","in":1,"out":1}', '{"ts":3,"model":"n","in":1,"out":1,"cached":0}', "{broken"]
     got = {r["model"]: r for r in state.ledger(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
