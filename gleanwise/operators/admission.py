@@ -14,12 +14,14 @@ A slice is SLICE * most seconds long, and only a slice's rows meet in a task.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import OrderedDict
 from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructType
 
 from ..sources.shared import written
 from .graph import spread_join
@@ -121,15 +123,8 @@ def states(functions: DataFrame, kind: str) -> DataFrame:
     return below.groupBy("of", "block").applyInArrow(walk, told)
 
 
-def admitted(
-    requests: DataFrame, key: str, interval: int, pauses: Mapping[str, int] | None = None, outcome: str = "outcome", tie: str = "id"
-) -> DataFrame:
-    """key, tie and `admitted` of each request: whether its key is free when it comes.
-
-    `requests` has ts (whole seconds) and, if `pauses` are given, the `outcome` that the request brings if it is admitted:
-    the key is then blocked for its pause if that is longer than `interval`. Requests of the same time come in the order
-    of `tie`. A null key is a key; a request without a time is not admitted.
-    """
+def _walked(requests: DataFrame, key: str, interval: int, pauses: Mapping[str, int] | None, outcome: str, tie: str) -> DataFrame:
+    """of (a struct of the key), ts, tie, admitted."""
     kinds = dict(requests.dtypes)
     kind, most = kinds[key], max(1, interval, *(pauses or {}).values())
     wait = F.lit(interval)
@@ -151,13 +146,157 @@ def admitted(
             taken.append(k)
             k = after[k]
         ok[taken] = True
-        return pa.table({key: pa.compute.struct_field(of_one.column("of"), "key"), tie: of_one.column("tie"), "admitted": pa.array(ok)})
+        return of_one.select(["of", "ts", "tie"]).append_column("admitted", pa.array(ok))
 
-    schema = f"`{key}` {kind}, `{tie}` {kinds[tie]}, admitted boolean"
+    schema = StructType([*rows.select("of", "ts", "tie").schema.fields]).add("admitted", BooleanType())
     out = timed.groupBy("of", "slice").cogroup(starts.groupBy("of", "slice")).applyInArrow(walk, schema)
-    return out.unionByName(rows.where("ts IS NULL").select(F.col("of.key").alias(key), F.col("tie").alias(tie), F.lit(False).alias("admitted")))
+    return out.unionByName(rows.where("ts IS NULL").select("of", "ts", "tie", F.lit(False).alias("admitted")))
+
+
+def admitted(
+    requests: DataFrame, key: str, interval: int, pauses: Mapping[str, int] | None = None, outcome: str = "outcome", tie: str = "id"
+) -> DataFrame:
+    """key, tie and `admitted` of each request: whether its key is free when it comes.
+
+    `requests` has ts (whole seconds) and, if `pauses` are given, the `outcome` that the request brings if it is admitted:
+    the key is then blocked for its pause if that is longer than `interval`. Requests of the same time come in the order
+    of `tie`. A null key is a key; a request without a time is not admitted.
+    """
+    out = _walked(requests, key, interval, pauses, outcome, tie)
+    return out.select(F.col("of.key").alias(key), F.col("tie").alias(tie), "admitted")
 
 
 def cache_replay(requests: DataFrame, key: str, ttl: int, tie: str = "id") -> DataFrame:
     """`requests` with `hit`: what was stored at the key's last miss is younger than `ttl`. A hit does not renew it."""
     return admitted(requests, key, ttl, tie=tie).select(key, tie, (~F.col("admitted")).alias("hit"))
+
+
+class Store:
+    """A cache of at most `capacity` keys: the oldest store leaves for a new key; a key is good for `ttl` seconds."""
+
+    def __init__(self, ttl: int, capacity: int, keys: list, stored: list[int]):
+        self.ttl, self.capacity, self.at = ttl, capacity, OrderedDict(zip(keys, stored, strict=True))
+
+    def hit(self, key: object, ts: int) -> bool:
+        stored = self.at.get(key)
+        if stored is not None:
+            if ts - stored <= self.ttl:
+                return True
+            del self.at[key]
+        if len(self.at) >= self.capacity:
+            self.at.popitem(last=False)
+        self.at[key] = ts
+        return False
+
+
+def cache_evict(requests: DataFrame, pool: str, key: str, ttl: int = 300, capacity: int = 64, tie: str = "id") -> DataFrame:
+    """pool, tie and `hit` of each request to a cache that holds `capacity` keys for each pool, each for `ttl` seconds.
+
+    A miss stores its key; of a full cache the oldest store leaves. What a cache holds are the last `capacity` keys by
+    their last stores, and only stores of the last `ttl` seconds can be hit, so a slice of time needs at most `capacity`
+    keys from the slice before. The first guess of these is exact if nothing is evicted: the replay of each key by itself,
+    by composed functions. Each round then walks only the slices whose contents at their start were found to be others,
+    until none are; slice n is right after n rounds at the latest, mostly after two or three, as evictions make caches
+    alike. A slice's rows meet in a task, a pool's never. A request without a time is a miss and stores nothing.
+    """
+    kinds = dict(requests.dtypes)
+    length = SLICE * max(1, ttl)
+    pair = requests.withColumn("_pair", F.struct(F.col(pool).alias("pool"), F.col(key).alias("key")))
+    own = F.struct(F.col("of.key.pool").alias("key")).alias("of")
+    rows = requests.select(F.struct(F.col(pool).alias("key")).alias("of"), F.floor(F.col("ts") / length).alias("slice"), F.col("ts").cast("bigint").alias("ts"), F.col(key).alias("key"), F.col(tie).alias("tie"))
+    timed = rows.where("ts IS NOT NULL")
+
+    stores = _walked(pair, "_pair", ttl + 1, None, "", tie).where("admitted").select(own, F.col("of.key.key").alias("key"), "ts", "tie")
+    stores = stores.withColumn("slice", F.floor(F.col("ts") / length) + 1).where(F.col("ts") >= F.col("slice") * length - ttl)
+    last = stores.groupBy("of", "slice", "key").agg(F.max(F.struct("ts", "tie")).alias("at"))
+    newest = last.withColumn("_n", F.row_number().over(Window.partitionBy("of", "slice").orderBy(F.desc("at")))).where(F.col("_n") <= capacity)
+    held = newest.groupBy("of", "slice").agg(F.sort_array(F.collect_list(F.struct("at", "key"))).alias("held"))
+    contents = f"of struct<key: {kinds[pool]}>, slice bigint, keys array<{kinds[key]}>, stored array<bigint>"
+    some = timed.select("of", "slice").distinct()
+    empty = lambda kind: F.array().cast(f"array<{kind}>")
+    entry = spread_join(some, held, ["of", "slice"], "left").select("of", "slice", F.coalesce("held.key", empty(kinds[key])).alias("keys"), F.coalesce("held.at.ts", empty("bigint")).alias("stored"))
+    entry = written(entry, "contents")
+
+    def begun(of_one: pa.Table, start: pa.Table) -> tuple[pa.Table, Store]:
+        of_one = of_one.sort_by([("ts", "ascending"), ("tie", "ascending")])
+        return of_one, Store(ttl, capacity, start.column("keys")[0].as_py(), start.column("stored")[0].as_py())
+
+    def ends(of_one: pa.Table, start: pa.Table) -> pa.Table:
+        if not start.num_rows or not of_one.num_rows:
+            return of_one.slice(0, 0).select(["of", "slice"]).append_column("keys", pa.array([], pa.list_(of_one.schema.field("key").type))).append_column("stored", pa.array([], pa.list_(pa.int64())))
+        of_one, store = begun(of_one, start)
+        for k, ts in zip(of_one.column("key").to_pylist(), of_one.column("ts").to_pylist(), strict=True):
+            store.hit(k, ts)
+        number = of_one.column("slice")[0].as_py() + 1
+        left = [(k, at) for k, at in store.at.items() if at >= number * length - ttl]
+        keys = pa.array([[k for k, _ in left]], pa.list_(of_one.schema.field("key").type))
+        out = of_one.slice(0, 1).select(["of"]).append_column("slice", pa.array([number], pa.int64()))
+        return out.append_column("keys", keys).append_column("stored", pa.array([[at for _, at in left]], pa.list_(pa.int64())))
+
+    def hits(of_one: pa.Table, start: pa.Table) -> pa.Table:
+        of_one, store = begun(of_one, start)
+        told = [store.hit(k, ts) for k, ts in zip(of_one.column("key").to_pylist(), of_one.column("ts").to_pylist(), strict=True)]
+        return of_one.select(["of", "tie"]).append_column("hit", pa.array(told, pa.bool_()))
+
+    def walked(entry: DataFrame) -> DataFrame:
+        """What the slices after those of `entry` begin with."""
+        return timed.groupBy("of", "slice").cogroup(entry.groupBy("of", "slice")).applyInArrow(ends, contents)
+
+    changed = entry
+    while True:
+        found = spread_join(some, walked(changed), ["of", "slice"])
+        old = entry.select("of", "slice", F.struct("keys", "stored").alias("old"))
+        changed = spread_join(found, old, ["of", "slice"]).where(~F.struct("keys", "stored").eqNullSafe(F.col("old"))).drop("old")
+        changed = written(changed, "contents")
+        if changed.isEmpty():
+            break
+        entry = written(spread_join(entry, changed, ["of", "slice"], "left_anti").unionByName(changed), "contents")
+    schema = StructType([*rows.select("of", "tie").schema.fields]).add("hit", BooleanType())
+    out = timed.groupBy("of", "slice").cogroup(entry.groupBy("of", "slice")).applyInArrow(hits, schema)
+    out = out.unionByName(rows.where("ts IS NULL").select("of", "tie", F.lit(False).alias("hit")))
+    return out.select(F.col("of.key").alias(pool), F.col("tie").alias(tie), "hit")
+
+
+def paced_sweep(
+    requests: DataFrame, answers: DataFrame, n: int, interval: int, pauses: Mapping[str, int], least_engines: int | None = None
+) -> DataFrame:
+    """What each search asks of each engine when engines may only be asked at a pace and cool down by their outcomes.
+
+    `requests`: request, ts, query. `answers`: query, pos (an engine's place in the order, the same for all), engine, urls (in
+    order), outcome. A search goes through the engines in order until `n` links are together, or `least_engines` were
+    asked; one that may not be asked now is skipped; an asked one is asked for as many links as are missing, and brings
+    those that are new. Gives request, pos, engine, state (asked, skipped or not_reached), wanted and new_links.
+
+    Whom a search gets to depends on who may be asked, and that on earlier searches. Each round takes the searches' ways
+    as the last one left them, lets all engines admit requests at once, and walks the ways anew, until no way changes.
+    Whether a request gets to an engine depends on earlier places only, so place n is right after n rounds.
+    """
+    visits = written(requests.select("request", "ts", "query").join(answers.select("query", "pos", "engine", "urls", "outcome"), "query"), "visits")
+    kind = dict(answers.dtypes)["engine"]
+    tried = visits.select("request", "ts", "engine", "outcome")
+    while True:
+        ok = admitted(tried, "engine", interval, pauses, tie="request").where("admitted").select("request", "engine", F.lit(True).alias("free"))
+        rows = spread_join(visits, ok, ["request", "engine"], "left")
+        steps = F.sort_array(F.collect_list(F.struct("pos", "engine", "urls", F.coalesce("free", F.lit(False)).alias("free"))))
+        ways = rows.groupBy("request", "ts").agg(steps.alias("steps"))
+        start = F.struct(F.array().cast("array<string>").alias("links"), F.lit(0).alias("asked"), F.array().cast(f"array<struct<pos:int,engine:{kind},state:string,wanted:int,new_links:int>>").alias("told"))
+
+        def step(state: Column, x: Column) -> Column:
+            room = F.greatest(F.lit(1), F.lit(n) - F.size(state["links"])) if least_engines is None else F.lit(n)
+            goes_on = F.size(state["links"]) < n if least_engines is None else state["asked"] < least_engines
+            asked = goes_on & x["free"]
+            new = F.when(asked, F.array_except(F.slice(x["urls"], F.lit(1), room), state["links"])).otherwise(F.array().cast("array<string>"))
+            told = F.struct(
+                x["pos"].cast("int").alias("pos"),
+                x["engine"].alias("engine"),
+                F.when(asked, "asked").when(goes_on, "skipped").otherwise("not_reached").alias("state"),
+                F.when(asked, room).alias("wanted"),
+                F.size(new).alias("new_links"),
+            )
+            return F.struct(F.concat(state["links"], new).alias("links"), (state["asked"] + asked.cast("int")).alias("asked"), F.array_append(state["told"], told).alias("told"))
+
+        ways = written(ways.select("request", "ts", F.explode(F.aggregate("steps", start, step)["told"]).alias("s")).select("request", "ts", "s.*"), "ways")
+        now = spread_join(ways.where("state <> 'not_reached'"), visits.select("request", "engine", "outcome"), ["request", "engine"]).select("request", "ts", "engine", "outcome")
+        if now.count() == tried.count() and spread_join(now, tried.select("request", "engine"), ["request", "engine"], "left_anti").isEmpty():
+            return ways.drop("ts")
+        tried = now

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import admission as A
+from ..operators import history as H
 from ..operators import observe as O
 from ..operators import state as S
 from ..sources import views as V
@@ -19,6 +20,9 @@ _JUMPS = """
 r AS (SELECT *, row_number() OVER (PARTITION BY engine ORDER BY ts, id) AS n, {wait} AS wait FROM probes),
 jumps AS (SELECT engine, n, ts, wait FROM r WHERE n = 1 UNION ALL SELECT engine, x.n, x.ts, x.wait FROM jumps j, LATERAL (SELECT n, ts, wait FROM r WHERE r.engine = j.engine AND r.ts >= j.ts + j.wait AND r.n > j.n ORDER BY n LIMIT 1) x)"""
 
+#: Links that a search wants.
+N_LINKS = 25
+
 #: The views' probes are an hour apart, not a second: pauses are as much longer.
 _PAUSES = {k: 240 * v for k, v in A.PAUSES.items()}
 
@@ -42,6 +46,56 @@ def cache_replay(spark: SparkSession, d: str) -> DataFrame:
     return A.cache_replay(V.probes(spark, d), "engine", 7200)
 
 
+@query()
+def cache_evict(spark: SparkSession, d: str) -> DataFrame:
+    """A cache for each engine that holds eight pages for six hours; the oldest store leaves."""
+    requests = V.probes(spark, d).withColumn("page", F.col("k") % 40)
+    return A.cache_evict(requests, "engine", "page", 6 * 3600, 8)
+
+
+def _searches(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Searches, one for each event, and what each engine answers to each question."""
+    answers = V.responses(spark, d).groupBy("query", "pos", "engine").agg(F.sort_array(F.collect_list(F.struct("rank", "url")))["url"].alias("urls"))
+    outcome = F.when(F.col("pos") == 2, "refused").when((F.col("pos") == 5) & F.col("query").contains("HIGH"), "irrelevant").when((F.col("pos") == 7) | (F.size("urls") == 0), "empty").otherwise("ok")
+    urls = F.when(outcome == "ok", F.col("urls")).otherwise(F.array().cast("array<string>"))
+    questions = F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")))
+    requests = V.probes(spark, d).select(F.col("id").alias("request"), "ts", F.get(questions, F.pmod(F.col("k"), F.lit(5))).alias("query"))
+    return requests, answers.select("query", "pos", "engine", urls.alias("urls"), outcome.alias("outcome"))
+
+
+@query()
+def sweep_paced(spark: SparkSession, d: str) -> DataFrame:
+    """Searches that skip engines which may not be asked now."""
+    requests, answers = _searches(spark, d)
+    return A.paced_sweep(requests, answers, N_LINKS, 900, _PAUSES)
+
+
+_SLIDE, _PANES, _LEAST = 43_200, 10, 5
+
+
+@query()
+def pool_history(spark: SparkSession, d: str) -> DataFrame:
+    """The pools of both categories at half-day steps, over five days each."""
+    rated = H.snapshots(V.probes(spark, d), _SLIDE, _PANES, _LEAST)
+    return H.pool_history(rated).withColumn("engines", F.array_join("engines", ","))
+
+
+_RARE_JUMPS = """
+{name}_r AS (SELECT id, ts, row_number() OVER (ORDER BY ts, id) AS n FROM {left}),
+{name}_j AS (SELECT n, ts FROM {name}_r WHERE n = (SELECT min(n) FROM {name}_r WHERE ts >= {since}) UNION ALL SELECT x.n, x.ts FROM {name}_j j, LATERAL (SELECT n, ts FROM {name}_r r WHERE r.ts >= j.ts + 86400 ORDER BY n LIMIT 1) x),
+{name}_t AS (SELECT id FROM {name}_r JOIN {name}_j USING (n)),
+{name}_left AS (SELECT id, ts FROM {left} ANTI JOIN {name}_t USING (id))"""
+
+
+@query(f"""WITH RECURSIVE {PROBES}, {_RARE_JUMPS.format(name="r1", left="probes", since=0)}, {_RARE_JUMPS.format(name="r2", left="r1_left", since=5 * 86400 + 86400)},
+told AS (SELECT id, ts, CASE WHEN id IN (FROM r1_t) THEN 'rare1' WHEN id IN (FROM r2_t) THEN 'rare2' END AS rare FROM probes),
+placed AS (SELECT *, coalesce(sum(CASE WHEN rare IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY ts, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS i FROM told)
+SELECT id, ts, coalesce(rare, 'e' || i % 7) AS engine, rare IS NOT NULL AS jumped, i // 7 % 4 AS reference FROM placed""")
+def rare_schedule(spark: SparkSession, d: str) -> DataFrame:
+    """Each probe's time is a tick; two rare engines, one of them probed on the fifth day."""
+    return H.schedule(V.probes(spark, d).select("id", "ts"), [f"e{k}" for k in range(7)], {"rare1": None, "rare2": 5 * 86400}, 4)
+
+
 @query()
 def pool_recompute(spark: SparkSession, d: str) -> DataFrame:
     """The pools of both categories, recomputed from what was asked before: general has a pool with two stale engines, images none."""
@@ -92,6 +146,35 @@ def stream_trust(spark: SparkSession, d: str) -> DataFrame:
     return twins.trust(spark, d, _CONFIRMED)
 
 
+@query(f"""WITH {PROBES}, p AS (SELECT engine, ts // 1800 AS pane, count(*) AS probes, count(*) FILTER (verdict = 'ok') AS ok, count(*) FILTER (hit = 1) AS hits FROM probes GROUP BY ALL)
+SELECT engine, pane + i AS slide, CAST(sum(probes) AS BIGINT) AS probes, CAST(sum(ok) AS BIGINT) AS ok, CAST(sum(hits) AS BIGINT) AS hits FROM p, range(1, 49) r(i) GROUP BY ALL""")
+def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
+    """Health over the last day at each half hour, by panes."""
+    return twins.sliding(spark, d)[0]
+
+
+@query(f"""WITH {PROBES}, s AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY engine ORDER BY ts, id) <= 1800 THEN 0 ELSE 1 END AS new FROM probes),
+n AS (SELECT *, sum(new) OVER (PARTITION BY engine ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS session FROM s)
+SELECT engine, min(ts) AS start, max(ts) - min(ts) AS seconds, count(*) AS n FROM n GROUP BY engine, session HAVING max(ts) + 1800 <= (SELECT max(ts) FROM probes) - 3600""")
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions that the watermark, an hour behind the latest probe, has passed."""
+    return twins.sessions(spark, d)
+
+
+@query("""SELECT b * 21600 AS start, event_type, count(*) AS n FROM (SELECT (epoch_us(ts) - 1704067200000000) // 21600000000 AS b, event_type FROM events)
+WHERE (b + 1) * 21600 <= (SELECT (max(epoch_us(ts)) - 1704067200000000) // 1000 / 1000.0 - 3600 FROM events) GROUP BY ALL""")
+def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    """Events by windows of six hours that the watermark has passed."""
+    told = twins.tumbling(spark, d)
+    return told.select((F.unix_timestamp("start") - 1704067200).alias("start"), "event_type", "n")
+
+
+@query()
+def stream_pools(spark: SparkSession, d: str) -> DataFrame:
+    """The pools of pool_history, kept by a stream."""
+    return twins.pools(spark, d, _SLIDE, _PANES, _LEAST).withColumn("engines", F.array_join("engines", ","))
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS DOUBLE) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def ext_rollup(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))

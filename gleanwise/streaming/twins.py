@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import history
 from ..sources import views
 from ..sources.shared import fresh_path
 
@@ -97,3 +98,77 @@ def tumbling(spark: SparkSession, folder: str, width: str = "6 hours", late: str
     events = event_stream(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
     told = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return drained(told.select(F.col("window.start").alias("start"), "event_type", "n"))
+
+
+def sessions(spark: SparkSession, folder: str, gap: str = "30 minutes", late: str = "1 hour", files: int = 1000) -> DataFrame:
+    """engine, start, seconds, n of each session of probes no further apart than `gap`, when the watermark has passed its end."""
+    probes = probe_stream(spark, folder, files).withColumn("at", F.timestamp_seconds("ts"))
+    told = probes.withWatermark("at", late).groupBy("engine", F.session_window("at", gap).alias("w"))
+    told = told.agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+    return drained(told.select("engine", "start", (F.col("end") - F.col("start")).alias("seconds"), "n"))
+
+
+class Panes:
+    """Sliding windows over a stream by panes: each batch leaves its partial counts by pane (a slide's length of time).
+
+    A batch is a folder of its own, written anew if it comes again. The watermark of a batch is the latest time of all
+    batches before it less `late`; rows older than that go to a table of late rows and are counted nowhere else. A
+    window is the sum of its panes, so a row is counted once and not once for each window over it.
+    """
+
+    def __init__(self, spark: SparkSession, slide: int, late: int):
+        self.spark, self.slide, self.late = spark, slide, late
+        self.folder = {name: fresh_path(spark, name) for name in ("panes", "late")}
+        self.batches = "engine string, pane bigint, probes bigint, ok bigint, hits bigint, latest bigint, batch int"
+
+    def panes(self) -> DataFrame:
+        return self.spark.read.schema(self.batches).parquet(self.folder["panes"])
+
+    def late_rows(self) -> DataFrame:
+        return self.spark.read.parquet(self.folder["late"])
+
+    def keep(self, batch: DataFrame, number: int) -> None:
+        """For foreachBatch."""
+        latest = self.panes().where(F.col("batch") < number).agg(F.max("latest")).first()[0] if number else None
+        on_time = F.lit(True) if latest is None else F.col("ts") >= latest - self.late
+        own = batch.where(on_time).groupBy("engine", F.floor(F.col("ts") / self.slide).alias("pane")).agg(
+            F.count(F.lit(1)).alias("probes"), F.count_if(F.col("verdict") == "ok").alias("ok"), F.count_if(F.col("hit") == 1).alias("hits"), F.max("ts").alias("latest")
+        )
+        own.write.mode("overwrite").parquet(f"{self.folder['panes']}/batch={number}")
+        batch.where(~on_time).write.mode("overwrite").parquet(f"{self.folder['late']}/batch={number}")
+
+    def windows(self, panes: int) -> DataFrame:
+        """engine, slide (its number: the window ends there, after that many slides), probes, ok, hits over `panes` slides."""
+        merged = self.panes().groupBy("engine", "pane").agg(*(F.sum(c).alias(c) for c in ("probes", "ok", "hits")))
+        over = merged.withColumn("slide", F.explode(F.sequence(F.col("pane") + 1, F.col("pane") + panes)))
+        return over.groupBy("engine", "slide").agg(*(F.sum(c).alias(c) for c in ("probes", "ok", "hits")))
+
+
+def sliding(spark: SparkSession, folder: str, width: int = 86_400, slide: int = 1800, late: int = 7200, files: int = 1000) -> tuple[DataFrame, Panes]:
+    """Health over the last `width` seconds at each slide, and the panes with the late rows."""
+    panes = Panes(spark, slide, late)
+    drained(probe_stream(spark, folder, files), "append", panes.keep)
+    return panes.windows(width // slide), panes
+
+
+def pools(spark: SparkSession, folder: str, slide: int, panes: int, least: int, files: int = 1000) -> DataFrame:
+    """The pool from snapshot to snapshot, as batches of probes come: each batch adds its counts, and the snapshots that the
+    watermark has passed (no probe comes that is older than the latest one) are folded onto the pools before.
+
+    All pools that were kept: category, snapshot, engines, reason.
+    """
+    counts, kept = fresh_path(spark, "probes"), fresh_path(spark, "pools")
+    seen = "id bigint, ts bigint, engine string, category string, hit int, results int, batch int"
+
+    def each(batch: DataFrame, number: int) -> None:
+        batch.select("id", "ts", "engine", "category", "hit", "results").write.mode("overwrite").parquet(f"{counts}/batch={number}")
+        before = history.read_pools(spark, kept).where(F.col("batch") < number).agg(F.max("snapshot")).first()[0]
+        probes = spark.read.schema(seen).parquet(counts).where(F.col("batch") <= number)
+        done = F.floor(F.lit(probes.agg(F.max("ts")).first()[0] or 0) / slide)
+        first = F.lit(-1 if before is None else before)
+        recent = probes.where(F.col("ts") >= (first + 1 - panes) * slide)
+        rated = history.snapshots(recent, slide, panes, least).where((F.col("snapshot") > first) & (F.col("snapshot") <= done))
+        history.keep_pools(rated, number, kept)
+
+    drained(probe_stream(spark, folder, files), "append", each)
+    return history.read_pools(spark, kept).drop("batch")

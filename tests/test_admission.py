@@ -70,3 +70,61 @@ def test_a_busy_key_is_many_tasks(spark):
     made = admission.functions_of(rows, 10 * admission.SLICE, 10, "string").collect()
     assert len(made) == 250 and max(len(r["at"]) for r in made) <= 12
     assert admission.admitted(busy, "key", 10).where("admitted").count() == 2000
+
+
+def cached(rows, ttl, capacity):
+    """rows: (pool, key, ts, id); the ids of hits, by one loop for each pool."""
+    caches, out = {}, set()
+    for pool, key, ts, i in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], r[3])):
+        own = caches.setdefault(pool, {})
+        if key in own and ts - own[key] > ttl:
+            del own[key]
+        if key in own:
+            out.add(i)
+        else:
+            if len(own) >= capacity:
+                del own[min(own, key=own.get)]
+            own[key] = ts
+    return out
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 1000])
+def test_cache_is_the_loop(spark, capacity):
+    r = random.Random(capacity)
+    rows = [(r.choice(["p", "q", None]), r.choice("abcdef"), r.randint(0, 2000), i) for i in range(1500)]
+    rows += [("busy", f"k{r.randint(0, 5)}", i // 3, 2000 + i) for i in range(1500)] + [("busy", None, None, 9000), ("busy", None, 5, 9001), ("busy", None, 6, 9002)]
+    df = spark.createDataFrame(rows, "pool string, key string, ts int, id int").repartition(3)
+    out = admission.cache_evict(df, "pool", "key", 9, capacity).collect()
+    assert len(out) == len(rows) and {x["id"] for x in out if x["hit"]} == cached(rows, 9, capacity)
+
+
+def swept(requests, answers, n, interval, pauses, least):
+    free, out = {}, []
+    for request, ts, query in sorted(requests, key=lambda r: (r[1], r[0])):
+        links, asked = [], 0
+        for _, pos, engine, urls, outcome in sorted(a for a in answers if a[0] == query):
+            if (len(links) >= n) if least is None else (asked >= least):
+                out.append((request, pos, "not_reached", None, 0))
+            elif free.get(engine, ts) > ts:
+                out.append((request, pos, "skipped", None, 0))
+            else:
+                room = max(1, n - len(links)) if least is None else n
+                new = [u for u in dict.fromkeys(urls[:room]) if u not in links]
+                links += new
+                asked += 1
+                free[engine] = ts + max(interval, pauses.get(outcome, 0))
+                out.append((request, pos, "asked", room, len(new)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least", [None, 2])
+def test_sweep_with_skips_is_the_loop(spark, least):
+    r = random.Random(3)
+    queries = [f"q{k}" for k in range(6)]
+    answers = [(q, pos, f"e{pos}", [f"u{r.randint(0, 15)}" for _ in range(r.randint(0, 6))], r.choice(["ok", "ok", "refused", "empty"])) for q in queries for pos in range(5) if r.random() < 0.9]
+    requests = [(i, r.randint(0, 400), r.choice(queries)) for i in range(250)]
+    pauses = {"refused": 20, "empty": 4}
+    a = spark.createDataFrame(answers, "query string, pos int, engine string, urls array<string>, outcome string")
+    out = admission.paced_sweep(spark.createDataFrame(requests, "request int, ts int, query string"), a, 5, 3, pauses, least).collect()
+    assert sorted((x["request"], x["pos"], x["state"], x["wanted"], x["new_links"]) for x in out) == swept(requests, answers, 5, 3, pauses, least)
+    assert len({x["state"] for x in out}) == 3
