@@ -27,7 +27,7 @@ from ..sources.shared import written
 from .graph import spread_join
 
 #: Length of a slice in longest pauses, and how many slices' functions are composed in one task.
-SLICE, FAN = 8, 1024
+SLICE, FAN = 32, 1024
 
 #: What an answer brings upon its engine, in seconds: a refusal or a substitution is about the engine, an empty answer
 #: about the question (fixed values).
@@ -103,7 +103,7 @@ def composed(functions: DataFrame, kind: str) -> DataFrame:
 
 def states(functions: DataFrame, kind: str) -> DataFrame:
     """The state at the start of each slice: of, slice, state (null: free). `functions` should be a written table."""
-    most = functions.groupBy("of").count().agg(F.max("count")).first()[0] or 0
+    low, high = functions.agg(F.min("slice"), F.max("slice")).first()
 
     def walk(of_one: pa.Table) -> pa.Table:
         slices = sorted(of_one.to_pylist(), key=lambda r: r["slice"])
@@ -116,7 +116,7 @@ def states(functions: DataFrame, kind: str) -> DataFrame:
         return pa.table({"of": of, "slice": pa.array([s["slice"] for s in slices], pa.int64()), "state": pa.array(out, pa.int64())})
 
     told = f"of struct<key: {kind}>, slice bigint, state bigint"
-    if most <= FAN:
+    if low is None or high - low < FAN:
         return functions.groupBy("of").applyInArrow(walk, told)
     above = states(written(composed(functions, kind), "functions"), kind).withColumnRenamed("slice", "block")
     below = spread_join(functions.withColumn("block", F.floor(F.col("slice") / FAN)), above, ["of", "block"])
