@@ -55,8 +55,8 @@ PAYWALLS = (
     "только для подписчиков",
 )
 
-#: Months of dates in words, by the beginning of their names, in order (fixed values).
-MONTHS = ("январ", "феврал", "март", "апрел", "ма", "июн", "июл", "август", "сентябр", "октябр", "ноябр", "декабр")
+#: Months of dates in words, by the beginning of their names (fixed values).
+MONTHS = {"январ": 1, "феврал": 2, "март": 3, "апрел": 4, "май": 5, "мая": 5, "июн": 6, "июл": 7, "август": 8, "сентябр": 9, "октябр": 10, "ноябр": 11, "декабр": 12}
 
 #: Words that begin a question and are no markers (fixed values).
 NOT_MARKERS = (
@@ -223,13 +223,12 @@ def dates_near(text: Column, markers: Column, window: int = 300, most: int = 41)
 
     def in_words(own: Column) -> Column:
         part = lambda i: F.regexp_extract(own, r"(?iU)^(\d{1,2})\s+(\w+)\s+(\d{4})$", i)
-        month = F.coalesce(*(F.when(F.lower(part(2)).startswith(m), F.lit(f"{k + 1:02d}")) for k, m in enumerate(MONTHS)))
-        return F.concat_ws("-", part(3), month, F.lpad(part(1), 2, "0"))
+        month = F.coalesce(*(F.when(F.lower(part(2)).startswith(m), F.lit(f"{k:02d}")) for m, k in MONTHS.items()))
+        return F.concat(part(3), F.lit("-"), month, F.lit("-"), F.lpad(part(1), 2, "0"))  # null if the word is no month
 
-    names = "|".join(m + "[йя]" if m == "ма" else m for m in MONTHS)
-    words = rf"(?iuU)\b\d{{1,2}}\s+(?:{names})\w*\s+\d{{4}}"
+    words = r"(?U)\b\d{1,2}\s+\w+\s+\d{4}"
     iso = r"(?U)\b\d{4}-\d{2}-\d{2}\b"
-    return F.array_sort(F.array_distinct(F.concat(near(words, in_words), near(iso, lambda own: own))))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(near(words, in_words), near(iso, lambda own: own)), lambda x: x.isNotNull())))
 
 
 def vocabulary(text: Column, markers: Column) -> Column:
