@@ -263,7 +263,10 @@ def write(tokens: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:
     store.create_dir(name)
     put(f"{folder}/codebook.bin", [zlib.compress(lengths.tobytes())])
     parts = int(counts.sum()) // FILE_TOKENS + 1
-    ordered = tokens.where("ids IS NOT NULL").drop("counts").withColumn("_tie", F.xxhash64("ids")).repartitionByRange(parts, "doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
+    # Repeated rows are told apart by a number, so they are many ranges too.
+    order = ("doc_id", "_tie", "_row")
+    numbered = tokens.where("ids IS NOT NULL").drop("counts").withColumns({"_tie": F.xxhash64("ids"), "_row": F.monotonically_increasing_id()})
+    ordered = numbered.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, done = Writer(folder, TaskContext.get().partitionId(), lengths), []
@@ -279,7 +282,7 @@ def write(tokens: DataFrame, folder: str) -> tuple[DataFrame, np.ndarray]:
             ["file", "documents", "tokens", "bytes"],
         )
 
-    files = written(ordered.drop("_tie").mapInArrow(run, "file string, documents bigint, tokens bigint, bytes bigint"), "files")
+    files = written(ordered.drop("_tie", "_row").mapInArrow(run, "file string, documents bigint, tokens bigint, bytes bigint"), "files")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file of some million tokens
     return files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))), lengths
 

@@ -16,14 +16,15 @@ have it, and within an article only words for adverts, sharing, comments and the
 main elements, only slots within them count, unless the aligned slots outside hold three times as much text. Lists of links outside articles
 are menus.
 
-Long lists of children are matched by anchors: equal shapes that come in the same order in both, then equal labels
-between them, so time and memory stay near linear; lists of up to MOST_CELLS pairs are matched exactly.
+Long lists of children are cut at anchors: equal shapes that come in the same order in both, then equal labels between
+them, again and again until the pieces between the anchors have MOST_CELLS pairs at most, which are matched exactly; so
+time and memory stay near linear. Trees may be of any depth.
 
 Defined results: null, empty or tagless html and html without article text give the empty text (html without any tag
 gives its text). A page alone in its block has no other page to agree with: its tags, roles and names decide. Broken
 markup: tags are read as HTML says, so a tag that never ends is markup to the end of the page, and so is an open comment,
 script or style; a quote that never closes ends with its tag. Unclosed elements end where HTML ends them or with their
-parent, stray end tags are ignored. Pages with a null url or without host share blocks. Repeated rows are extracted each.
+parent, stray end tags are ignored. Pages with a null url or without host share blocks. Rows that are repeated MANY_COPIES times or more count as one page for the wrapper, others each.
 Other columns are not looked at. The time for a page grows with its length.
 """
 
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,6 +47,9 @@ from .url_filter import host_of
 #: Pages and characters in a block, about; hosts of several blocks that are broadcast at most (some 100 bytes each).
 BLOCK_PAGES, BLOCK_CHARS, BROADCAST_HOSTS = 64, 4_000_000, 200_000
 
+#: Rows from which equal ones (in page_id, url and html) are extracted once for all.
+MANY_COPIES = 256
+
 #: Share of agreeing pages for template outside and inside an article, and at least so many different articles; share of
 #: different texts up to which a node outside articles rotates.
 AGREE, AGREE_INSIDE, LEAST_PAGES, LEAST_INSIDE, ROTATES = 0.6, 0.9, 2, 8, 0.5
@@ -71,6 +75,7 @@ ENDS_P = frozenset(
 )
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("ul ol dl table select article section div nav aside main body html".split())
+SCOPE_OF_ITEMS = SCOPE - {"div", "section"}
 LISTS = frozenset("ul ol dl menu dir".split())
 ARTICLES = frozenset(("article", "main"))
 
@@ -92,9 +97,6 @@ ONLY_NOT_CONTENT = re.compile(r"(?:^|\s)(?:comments?|comment-?(?:list|box|area|s
 #: How surely an element is not the article: by role or comment words, by a frame's tag, by other words or as a form.
 SOFT, FRAME, HARD = 1, 2, 3
 
-#: Elements nested deeper count to their ancestor at this depth; so far back an open list item or cell is sought.
-MOST_DEPTH = 200
-
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -188,7 +190,8 @@ def pruned(root: Element) -> None:
 def parsed(html: str) -> tuple[Element, list[Element]]:
     """The page's tree, and its elements that a name alone speaks against. Text directly in an element becomes children of it that are labelled #text, one for each run between block elements."""
     root = node = Element("#root", "#root", None, 0)
-    open_tags, n_open = [root], Counter()
+    open_tags: list[Element] = [root]
+    where: defaultdict[str, list[int]] = defaultdict(list)  # by tag, the places of its open elements
     named: list[Element] = []
     run: list[str] = []
     source, at, end, links, in_link = Source(html), 0, len(html), 0, False
@@ -202,7 +205,7 @@ def parsed(html: str) -> tuple[Element, list[Element]]:
 
     def pop() -> Element:
         out = open_tags.pop()
-        n_open[out.tag] -= 1
+        where[out.tag].pop()
         return out
 
     def flush() -> None:
@@ -235,7 +238,7 @@ def parsed(html: str) -> tuple[Element, list[Element]]:
             if tag in VOID:
                 flush()
                 continue
-            if n_open[tag]:
+            if where[tag]:
                 flush()
                 while open_tags[-1].tag != tag:
                     pop()
@@ -264,31 +267,26 @@ def parsed(html: str) -> tuple[Element, list[Element]]:
         if tag in ENDS_P and open_tags[-1].tag == "p":
             pop()
         if tag in SAME_ENDS:
-            for depth in range(len(open_tags) - 1, max(0, len(open_tags) - MOST_DEPTH), -1):
-                if open_tags[depth].tag in SAME_ENDS[tag]:
-                    while len(open_tags) > depth:
-                        pop()
-                    break
-                if open_tags[depth].tag in SCOPE and open_tags[depth].tag not in ("div", "section"):
-                    break
+            last = lambda tags: max((where[t][-1] for t in tags if where[t]), default=0)
+            depth = last(SAME_ENDS[tag])
+            if depth > last(SCOPE_OF_ITEMS):
+                while len(open_tags) > depth:
+                    pop()
         node = open_tags[-1]
         kind, own_name = kind_of(tag, found, node) if found or tag in NOT_TAGS or tag == "header" else (0, "")
         own = Element(tag, f"{tag}.{_DIGITS.sub('0', found.get('class', ''))}" if found else tag, node, kind)
         if own_name:
             own.name = own_name
             named.append(own)
-        if len(open_tags) > MOST_DEPTH:
-            own.children = node.children
-        else:
-            node.children.append(own)
+        node.children.append(own)
         if tag in ARTICLES and not own.kind:
             for up in reversed(open_tags):
                 if up.has_article:
                     break
                 up.has_article = True
         if not slash:
+            where[tag].append(len(open_tags))
             open_tags.append(own)
-            n_open[tag] += 1
             node = own
     flush()
     return root, named
@@ -336,23 +334,57 @@ def in_order(x: list, y: list) -> list[tuple[int, int]]:
 
 
 class Matcher:
-    """Simple tree matching, with the scores of shapes kept."""
+    """Simple tree matching, with the scores of shapes kept.
+
+    Scores of children are asked for by yielding the pair; `run` answers from what is known or puts the question on a
+    stack of its own, so trees may be of any depth.
+    """
 
     def __init__(self):
         self.scores: dict[tuple[int, int], int] = {}
 
-    def score(self, a: Element, b: Element) -> int:
+    def known(self, a: Element, b: Element) -> int | None:
         if a.label != b.label:
             return 0
         if a.shape == b.shape:
             return a.size
-        key = (a.shape, b.shape)
-        if key not in self.scores:
-            self.scores[key] = 1 + sum(self.score(p, q) for p, q in self.children(a, b))
-        return self.scores[key]
+        return self.scores.get((a.shape, b.shape))
+
+    def score(self, a: Element, b: Element) -> int:
+        """How many nodes the best matching of two trees matches."""
+        told = self.known(a, b)
+        return self.run(self.scored(a, b)) if told is None else told
+
+    def run(self, asked):
+        """What the generator `asked` returns, its questions answered."""
+        stack, key, answer = [asked], [None], None
+        while True:
+            try:
+                a, b = stack[-1].send(answer)
+            except StopIteration as done:
+                stack.pop()
+                of = key.pop()
+                if not stack:
+                    return done.value
+                answer = self.scores[of] = done.value
+                continue
+            stack.append(self.scored(a, b))
+            key.append((a.shape, b.shape))
+            answer = None
+
+    def scored(self, a: Element, b: Element):
+        total = 1
+        for p, q in (yield from self.matched(a, b)):
+            s = self.known(p, q)
+            total += (yield p, q) if s is None else s
+        return total
 
     def children(self, a: Element, b: Element) -> list[tuple[Element, Element]]:
-        """Matched children. Equal shapes at either end match each other in some best matching, so only the rest is compared."""
+        """Matched children."""
+        return self.run(self.matched(a, b))
+
+    def matched(self, a: Element, b: Element):
+        """Equal shapes at either end match each other in some best matching, so only the rest is compared."""
         x, y, out, tail = a.children, b.children, [], []
         low, high_x, high_y = 0, len(x), len(y)
         while low < min(high_x, high_y) and x[low].shape == y[low].shape:
@@ -361,36 +393,43 @@ class Matcher:
         while high_x > low and high_y > low and x[high_x - 1].shape == y[high_y - 1].shape:
             high_x, high_y = high_x - 1, high_y - 1
             tail.append((x[high_x], y[high_y]))
-        return out + self.between(x[low:high_x], y[low:high_y]) + tail[::-1]
-
-    def between(self, x: list[Element], y: list[Element]) -> list[tuple[Element, Element]]:
-        if len(x) * len(y) <= MOST_CELLS:
-            return self.best(x, y)
-        return self.anchored(x, y, lambda e: e.shape, lambda p, q: self.best(p, q) if len(p) * len(q) <= MOST_CELLS else self.anchored(p, q, lambda e: e.label, self.short))
-
-    def short(self, x: list[Element], y: list[Element]) -> list[tuple[Element, Element]]:
-        return self.best(x, y) if len(x) * len(y) <= MOST_CELLS else []
-
-    def anchored(self, x: list[Element], y: list[Element], key, rest) -> list[tuple[Element, Element]]:
-        """Elements with equal keys in the same order, and what `rest` matches between them."""
-        out, i, j = [], 0, 0
-        for p, q in [*in_order([key(e) for e in x], [key(e) for e in y]), (len(x), len(y))]:
-            if p > i and q > j:
-                out += rest(x[i:p], y[j:q])
-            if p < len(x) and q < len(y):
-                out.append((x[p], y[q]))
-            i, j = p + 1, q + 1
-        return out
-
-    def best(self, x: list[Element], y: list[Element]) -> list[tuple[Element, Element]]:
-        """The matching in order with the highest score."""
-        if not x or not y:
-            return []
+        return out + (yield from self.between(x[low:high_x], y[low:high_y])) + tail[::-1]
+
+    def between(self, x: list[Element], y: list[Element]):
+        """Long lists are cut at anchors, equal shapes and then equal labels in the same order, until the pieces between
+        them are short enough for exact matching. Each cut takes an anchor at least, unless the pieces share no label."""
+        out: list[tuple[int, int]] = []
+        todo = [(0, len(x), 0, len(y), True)]
+        while todo:
+            i, end_i, j, end_j, shapes = todo.pop()
+            if i == end_i or j == end_j:
+                continue
+            if (end_i - i) * (end_j - j) <= MOST_CELLS:
+                out += [(i + k, j + m) for k, m in (yield from self.best(x[i:end_i], y[j:end_j]))]
+                continue
+            key = (lambda e: e.shape) if shapes else (lambda e: e.label)
+            anchors = in_order([key(e) for e in x[i:end_i]], [key(e) for e in y[j:end_j]])
+            if not anchors:
+                todo += [(i, end_i, j, end_j, False)] if shapes else []
+                continue
+            at_i, at_j = i, j
+            for k, m in anchors:
+                out.append((i + k, j + m))
+                todo.append((at_i, i + k, at_j, j + m, False))
+                at_i, at_j = i + k + 1, j + m + 1
+            todo.append((at_i, end_i, at_j, end_j, False))
+        return [(x[k], y[m]) for k, m in sorted(out)]
+
+    def best(self, x: list[Element], y: list[Element]):
+        """The places of the matching in order with the highest score."""
         best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
         for i, p in enumerate(x):
+            above, row = best[i], best[i + 1]
             for j, q in enumerate(y):
-                s = self.score(p, q)
-                best[i + 1][j + 1] = max(best[i][j] + s if s else 0, best[i][j + 1], best[i + 1][j])
+                s = self.known(p, q)
+                if s is None:
+                    s = yield p, q
+                row[j + 1] = max(above[j] + s if s else 0, above[j + 1], row[j])
         i, j, found = len(x), len(y), []
         while i and j:
             if best[i][j] == best[i - 1][j]:
@@ -399,7 +438,7 @@ class Matcher:
                 j -= 1
             else:
                 i, j = i - 1, j - 1
-                found.append((x[i], y[j]))
+                found.append((i, j))
         return found[::-1]
 
     def pairs(self, a: Element, b: Element) -> Iterator[tuple[Element, Element]]:
@@ -438,7 +477,11 @@ class Matcher:
 
 def copied(node: Element, parent: Element | None) -> Element:
     out = Element(node.tag, node.label, parent, node.kind)
-    out.children = [copied(c, out) for c in node.children]
+    stack = [(node, out)]
+    while stack:
+        a, b = stack.pop()
+        b.children = [Element(c.tag, c.label, b, c.kind) for c in a.children]
+        stack.extend(zip(a.children, b.children, strict=True))
     return out
 
 
@@ -531,6 +574,7 @@ class Wrapper:
         self.links: Counter = Counter()
         self.items: Counter = Counter()
         self.at: list[dict[int, Told]] = []
+        lists: dict[int, Element | None] = {}
         articles = Articles()
         new = {id(t): articles.is_new(t) for t in [seed, *(t for t in self.trees if t is not seed)]}
         for tree in self.trees:
@@ -540,7 +584,7 @@ class Wrapper:
                     continue
                 told = self.told.get(id(a))
                 if told is None:
-                    told = self.told[id(a)] = Told(list_of(a))
+                    told = self.told[id(a)] = Told(list_of(a, lists))
                 places[id(b)] = told
                 if told.menu is not None:
                     self.chars[id(told.menu)] += len(b.text) - b.text.count(" ")
@@ -586,13 +630,16 @@ def mass(leaves: list[Element]) -> int:
     return sum(len(x.text) for x in leaves)
 
 
-def list_of(node: Element) -> Element | None:
-    """The outermost list that the node is in."""
-    out = None
-    while node is not None:
-        if node.tag in LISTS:
-            out = node
+def list_of(node: Element, known: dict[int, Element | None]) -> Element | None:
+    """The outermost list that the node is in; `known` has those of elements above."""
+    path, out = [], None
+    while node is not None and id(node) not in known:
+        path.append(node)
         node = node.parent
+    out = known[id(node)] if node is not None else None
+    for x in reversed(path):
+        out = out if out is not None else x if x.tag in LISTS else None
+        known[id(x)] = out
     return out
 
 
@@ -615,11 +662,21 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_PAGES), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
     large = written(sizes.select("host", blocks.alias("blocks")).where("blocks > 1"), "hosts")
     rows = rows.withColumn("hash", F.xxhash64("page_id", "url", "html"))
+    # Pages that stand in many rows are extracted once; a row's key is the digest of all that it has.
+    repeated = written(rows.groupBy("hash").count().where(F.col("count") >= MANY_COPIES).select("hash"), "repeated")
+    many, copies = repeated.count(), None
+    if many:
+        close = F.broadcast(repeated) if many <= BROADCAST_HOSTS else repeated
+        copies = rows.join(close, "hash", "left_semi").withColumn("same", F.md5(F.concat(F.to_json(F.struct("page_id", "url")), F.lit("\n"), "html")))
+        once = copies.groupBy("same").agg(*(F.first(c).alias(c) for c in rows.columns)).select(*rows.columns, "same")
+        rows = rows.join(close, "hash", "left_anti").withColumn("same", F.lit(None).cast("string")).unionByName(once)
+    else:
+        rows = rows.withColumn("same", F.lit(None).cast("string"))
     if large.count() <= BROADCAST_HOSTS:
         rows = rows.join(F.broadcast(large), "host", "left")
     else:
         rows = spread_join(rows, large, "host", "left")
-    rows = rows.withColumn("block", F.pmod("hash", F.coalesce("blocks", F.lit(1)))).select("page_id", "url", "html", "host", "block", "hash")
+    rows = rows.withColumn("block", F.pmod("hash", F.coalesce("blocks", F.lit(1)))).select("page_id", "url", "html", "same", "host", "block", "hash")
     dealt = rows.repartition("host", "block").sortWithinPartitions("host", "block", "hash").drop("hash")
 
     def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
@@ -627,7 +684,7 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
         for batch in batches:
             for i in range(batch.num_rows):
                 row = tuple(c[i].as_py() for c in batch.columns)
-                if held and row[3:] != held[0][3:]:
+                if held and row[4:] != held[0][4:]:
                     yield held
                     held = []
                 held.append(row)
@@ -638,11 +695,17 @@ def extracted(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
         for block in by_block(batches):
             found, _ = extract_block([r[2] for r in block])
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in block], pa.int64()), pa.array([r[1] for r in block], pa.string()), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())],
-                ["page_id", "url", "text", "n_chars"],
+                [pa.array([r[0] for r in block], pa.int64()), pa.array([r[1] for r in block], pa.string()), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64()), pa.array([r[3] for r in block], pa.string())],
+                ["page_id", "url", "text", "n_chars", "same"],
             )
 
-    return dealt.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    out = dealt.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint, same string")
+    if copies is None:
+        return out.drop("same")
+    out = written(out, "extracted")
+    told = out.where("same IS NOT NULL").select("same", "text", "n_chars")
+    again = spread_join(copies.select("page_id", "url", "same"), told, "same").select("page_id", "url", "text", "n_chars")
+    return out.where("same IS NULL").drop("same").unionByName(again)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,8 +16,7 @@ whatever their names.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,33 +127,33 @@ def posteriors(counts: dict[int, int], n_rules: int, rounds: int = ROUNDS) -> di
     Documents are good or bad; given that, rules vote good, bad or abstain independently. Shares and rates are free, but
     for the prior, which is worth PRIOR of the documents.
     """
-    patterns = {p: [p // 3**i % 3 for i in range(n_rules)] for p in sorted(counts)}
-    total = sum(counts.values())
-    kinds = ((PRIOR_GOOD, GOOD_SHARE), (PRIOR_BAD, 1 - GOOD_SHARE))
-    share, rate = [s for _, s in kinds], [[list(r)] * n_rules for r, _ in kinds]
-    good: dict[int, float] = {}
-    for _ in range(rounds if total else 0):
-        for p, v in patterns.items():
-            weight = [share[k] * math.prod(rate[k][i][x] for i, x in enumerate(v)) for k in (0, 1)]
-            good[p] = weight[0] / sum(weight)
-        n_good = sum(counts[p] * good[p] for p in patterns)
-        share = [(n + PRIOR * total * s) / ((1 + PRIOR) * total) for n, (_, s) in zip((n_good, total - n_good), kinds, strict=True)]
-        rate = [[[PRIOR * total * s * x for x in r] for _ in range(n_rules)] for r, s in kinds]
-        for p, v in patterns.items():
-            for k, part in enumerate((good[p], 1 - good[p])):
-                for i, x in enumerate(v):
-                    rate[k][i][x] += counts[p] * part
-        rate = [[[x / sum(rule) for x in rule] for rule in kind] for kind in rate]
-    return good
+    if not counts or not sum(counts.values()):
+        return {}
+    patterns = sorted(counts)
+    n = np.array([counts[p] for p in patterns], float)
+    votes = np.array(patterns)[:, None] // 3 ** np.arange(n_rules) % 3
+    cast = votes[:, :, None] == np.arange(3)  # pattern, rule, vote
+    share = np.array([GOOD_SHARE, 1 - GOOD_SHARE])
+    rate = np.array([[PRIOR_GOOD] * n_rules, [PRIOR_BAD] * n_rules])
+    prior_share, prior_rate, total = share, rate * share[:, None, None], n.sum()
+    good = np.zeros(len(n))
+    for _ in range(rounds):
+        weight = share * np.stack([rate[k][np.arange(n_rules), votes].prod(1) for k in (0, 1)], 1)
+        good = weight[:, 0] / weight.sum(1)
+        parts = np.stack([n * good, n * (1 - good)])
+        share = (parts.sum(1) + PRIOR * total * prior_share) / ((1 + PRIOR) * total)
+        rate = PRIOR * total * prior_rate + np.einsum("kp,prv->krv", parts, cast)
+        rate /= rate.sum(2, keepdims=True)
+    return dict(zip(patterns, good.tolist(), strict=True))
 
 
 def judged(features: DataFrame, rules: dict[str, tuple[str, str]] = RULES, least: float = LEAST_POSTERIOR) -> DataFrame:
     """Measured documents with `posterior` and `kept`. `features` is read twice: it should be a written table."""
     voted = features.withColumn("votes", votes(rules))
     counts = {r["votes"]: r["count"] for r in voted.groupBy("votes").count().collect()}  # at most 3 ** len(rules) rows
-    told = posteriors(counts, len(rules))
-    by = F.create_map(*(F.lit(x) for p in told.items() for x in p)) if told else F.create_map().cast("map<int,double>")
-    out = voted.withColumn("posterior", F.coalesce(F.element_at(by, F.col("votes")), F.lit(0.0)))
+    told = [(p, x) for p, x in posteriors(counts, len(rules)).items()]
+    by = features.sparkSession.createDataFrame(told, "votes int, posterior double")
+    out = voted.join(F.broadcast(by), "votes", "left")  # a row for each pattern that occurs
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= least)).drop("votes")
 
 

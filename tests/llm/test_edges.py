@@ -686,6 +686,29 @@ def test_html_deep_pages_align():
     assert html_extract.extract_block(pages)[0] == ["text 0", "text 1", "text 2"]
 
 
+def test_html_deep_and_wide_pages():
+    """Deep pages whose levels all differ, and lists far beyond exact matching, need no recursion and keep all text."""
+    r = random.Random(5)
+    pages = ["".join("<div>" + "".join(f"<p class=c{r.randint(0, 10**6)}>w{i} {k}</p>" for k in range(205)) for _ in range(190)) for i in range(2)]
+    for i, text in enumerate(html_extract.extract_block(pages)[0]):
+        assert text.split().count(f"w{i}") == 205 * 190
+    deep = ["<div>" * 20_000 + f"<p>text {i}" for i in range(3)]
+    assert html_extract.extract_block(deep)[0] == ["text 0", "text 1", "text 2"]
+    lists = ["<nav>menu</nav><p>same on all pages</p><table>" + "".join(f"<tr class={r.choice('xyz')}><td class={r.choice('qwert')}>{i} {k}" for k in range(1500)) for i in range(3)]
+    for i, text in enumerate(html_extract.extract_block(lists)[0]):
+        assert text == " ".join(f"{i} {k}" for k in range(1500))
+
+
+def test_html_repeated_rows(spark, monkeypatch):
+    """Rows that are repeated often are extracted once, as one page."""
+    monkeypatch.setattr(html_extract, "MANY_COPIES", 5)
+    own = [(i, "http://h.org/", f"<p>notice</p><p>article number {i} says {i * i}</p>") for i in range(4)]
+    rows = own + [own[0]] * 30 + [(9, None, None)] * 7
+    got = Counter(map(tuple, html_extract.extracted(spark.createDataFrame(rows, "page_id int, url string, html string")).collect()))
+    text = lambda i: f"article number {i} says {i * i}"
+    assert got == Counter({(i, "http://h.org/", text(i), len(text(i))): 31 if i == 0 else 1 for i in range(4)} | {(9, None, "", 0): 7})
+
+
 def test_tree_matching_is_best():
     """The score with its shortcuts is that of the plain recursion."""
     r = random.Random(4)
