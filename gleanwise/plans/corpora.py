@@ -130,11 +130,12 @@ judged AS (
 )"""
 
 
-@query(f"""WITH {SOURCES}, {_JUDGED} SELECT question, CASE WHEN count_if(chars > 0) = 0 THEN 'not_found' WHEN question LIKE '%7' THEN 'unknown'
- WHEN bool_or(chars > 0 AND markers_hit) THEN CASE WHEN question LIKE '%3' THEN 'ambiguous' ELSE 'found' END ELSE 'off_target' END AS outcome FROM judged GROUP BY question""")
+@query(f"""WITH RECURSIVE {SOURCES}, {_JUDGED}, {_VOCABULARY}, {_GROUPS}, several AS (SELECT DISTINCT question FROM groups)
+SELECT question, CASE WHEN question IN (FROM several) THEN 'ambiguous' WHEN count_if(chars > 0) = 0 THEN 'not_found' WHEN question LIKE '%7' THEN 'unknown'
+ WHEN bool_or(chars > 0 AND markers_hit) THEN 'found' ELSE 'off_target' END AS outcome FROM judged GROUP BY question""")
 def outcome(spark: SparkSession, d: str) -> DataFrame:
-    q = F.col("question")
-    return C.outcome(_judged(spark, d), ~q.endswith("7"), q.endswith("3"))
+    """What was found about each question's subject; pages that fall into several groups make it ambiguous."""
+    return C.outcome(_judged(spark, d), ~F.col("question").endswith("7"), _groups(spark, d))
 
 
 @query(f"""WITH {SOURCES}, {_JUDGED} SELECT question, count(*) AS sources, CAST(count_if(chars > 0) AS BIGINT) AS with_content, CAST(count_if(markers_hit) AS BIGINT) AS on_target,

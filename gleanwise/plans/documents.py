@@ -180,17 +180,19 @@ def download_truncated(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "pages").select("page_id", (size > 4000).alias("truncated"), F.least(size, F.lit(4000).cast("bigint")).alias("bytes"))
 
 
-_BATCH = """
-batch AS (SELECT page_id // 8 AS call, CAST(page_id % 8 AS INTEGER) AS ordinal, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS domain, page_id,
-  CASE WHEN page_id % 8 >= 5 THEN 'not_reached' WHEN page_id % 9 = 0 THEN 'unreachable' WHEN page_id % 11 = 0 THEN 'empty' ELSE 'read' END AS status FROM pages)"""
+_BATCH = (
+    _PAGES
+    + """,
+batch AS (SELECT id // 8 AS call, CAST(id % 8 AS INTEGER) AS ordinal, 's' || id % 37 || '.example.org' AS domain, id, CASE WHEN id % 8 >= 5 THEN 'not_reached' ELSE status END AS status, text, stub FROM status)"""
+)
 
 
 def _batch(spark: SparkSession, d: str) -> DataFrame:
-    from ..functions.urls import domain
-
-    n = F.col("page_id")
-    status = F.when(n % 8 >= 5, "not_reached").when(n % 9 == 0, "unreachable").when(n % 11 == 0, "empty").otherwise("read")
-    return V.read(spark, d, "pages").select(F.floor(n / 8).alias("call"), (n % 8).cast("int").alias("ordinal"), domain(F.col("url")).alias("domain"), "page_id", status.alias("status"))
+    """Calls of up to eight addresses with what reading them gave; of a call, the first five are read."""
+    n = F.col("id")
+    host = F.concat(F.lit("s"), (n % 37).cast("string"), F.lit(".example.org"))
+    state = F.when(n % 8 >= 5, "not_reached").otherwise(F.col("status"))
+    return _status(spark, d).select(F.floor(n / 8).alias("call"), (n % 8).cast("int").alias("ordinal"), host.alias("domain"), "id", state.alias("status"), "text", "stub")
 
 
 @query(f"WITH {_BATCH} SELECT call, count(*) AS asked, CAST(count_if(status IN ('read', 'empty')) AS BIGINT) AS count, string_agg(status, ',' ORDER BY ordinal) AS statuses, count(DISTINCT domain) AS domains FROM batch GROUP BY call")
@@ -202,10 +204,16 @@ def read_batch(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("call", "asked", "count", F.array_join(F.transform("s", lambda x: x["status"]), ",").alias("statuses"), "domains")
 
 
-@query(f"WITH {_BATCH} SELECT call, ordinal, page_id, CASE WHEN ordinal < 3 THEN status ELSE 'not_read' END AS page, ordinal < 3 AND status = 'read' AS has_text FROM batch")
+@query(f"""WITH {_BATCH} SELECT call, ordinal, id, CASE WHEN ordinal < 3 THEN status ELSE 'not_read' END AS page, CASE WHEN ordinal < 3 AND status = 'read' THEN length(text) ELSE 0 END AS chars,
+ count_if(ordinal < 3 AND status = 'read') OVER w AS with_text, count_if(ordinal < 3 AND status = 'empty') OVER w AS empty, count_if(ordinal < 3 AND status NOT IN ('read', 'empty')) OVER w AS failed, NOT bool_or(ordinal < 3 AND (status NOT IN ('read', 'empty') OR stub IS NOT NULL)) OVER w AS all_pages_clean
+ FROM batch WINDOW w AS (PARTITION BY call)""")
 def search_read_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Search results with the pages that were read of the first three; the others say so."""
+    """Search results with the pages that were read of the first three, and how reading went; the others say that they were not read."""
     found = _batch(spark, d)
-    pages = found.where("ordinal < 3").select("call", "ordinal", "status")
-    out = found.drop("status").join(pages, ["call", "ordinal"], "left").withColumn("page", F.coalesce("status", F.lit("not_read")))
-    return out.select("call", "ordinal", "page_id", "page", (F.col("page") == "read").alias("has_text"))
+    pages = found.where("ordinal < 3").select("call", "ordinal", "status", "stub", F.when(F.col("status") == "read", F.length("text")).otherwise(0).cast("bigint").alias("chars"))
+    s = F.col("status")
+    told = pages.groupBy("call").agg(
+        F.count_if(s == "read").alias("with_text"), F.count_if(s == "empty").alias("empty"), F.count_if(~s.isin("read", "empty")).alias("failed"), F.bool_and(s.isin("read", "empty") & F.col("stub").isNull()).alias("all_pages_clean")
+    )
+    out = found.select("call", "ordinal", "id").join(pages, ["call", "ordinal"], "left").join(told, "call")
+    return out.select("call", "ordinal", "id", F.coalesce("status", F.lit("not_read")).alias("page"), F.coalesce("chars", F.lit(0).cast("bigint")).alias("chars"), "with_text", "empty", "failed", "all_pages_clean")

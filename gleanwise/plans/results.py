@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import answers as A
+from ..operators import observe as O
 from ..operators import results as R
 from ..sources import views as V
 from .catalogue import query
-from .views_sql import RESPONSES
+from .observations import _CONFIRMED as CONFIRMED
+from .observations import _TRUST as TRUST
+from .views_sql import PROBES, RESPONSES
 
 N = 25
 
@@ -191,17 +195,87 @@ def answer_shape(spark: SparkSession, d: str) -> DataFrame:
     return verbose.select("query", "result.url", "result.via")
 
 
-@query(f"""WITH {RESPONSES}, {_SWEEP}, {_RESULTS} SELECT p.query, count(*) AS results, max(len(string_split(via, ','))) AS most_witnesses,
- (SELECT string_agg(engine, ',' ORDER BY pos) FROM steps s WHERE s.query = p.query AND before < {N}) AS asked,
- (SELECT CASE WHEN max(pos) < 5 THEN 'core' ELSE 'core, fallback' END FROM steps s WHERE s.query = p.query AND before < {N}) AS tiers
-FROM placed p WHERE place <= {N} GROUP BY p.query""")
-def search_answer(spark: SparkSession, d: str) -> DataFrame:
+# The composed answer. Questions come in three ways, so that some have words that no result has; two engines refuse some.
+_ASKED = r"""
+asked_answers AS (SELECT * REPLACE (query || (['', ' unheard', ' large brushed'])[q + 1] AS query) FROM responses, range(3) w(q)),
+refused AS (SELECT DISTINCT query, pos FROM asked_answers WHERE (pos = 2 AND query LIKE '%MEDIUM%') OR (pos = 0 AND query LIKE '%unheard')),
+question AS (SELECT query, list(w ORDER BY i) AS words FROM (SELECT query, w, min(i) AS i FROM (
+  SELECT query, unnest(regexp_split_to_array(lower(query), '[^\p{L}\p{N}_]+')) AS w, generate_subscripts(regexp_split_to_array(lower(query), '[^\p{L}\p{N}_]+'), 1) AS i FROM (SELECT DISTINCT query FROM asked_answers)
+) WHERE length(w) >= 4 GROUP BY ALL) GROUP BY query),
+flagged AS (
+  SELECT a.*, lower(title || ' ' || snippet || ' ' || url) AS hay, words IS NULL OR len(list_filter(words, lambda w: contains(lower(title || ' ' || snippet || ' ' || url), left(w, 5)))) > 0 AS told
+  FROM asked_answers a LEFT JOIN question USING (query)
+),
+by_engine AS (
+  SELECT query, pos, engine, list(url ORDER BY rank) AS urls, list(told ORDER BY rank) AS told, (query, pos) IN (FROM refused) AS silent,
+         row_number() OVER (PARTITION BY query ORDER BY pos) AS k
+  FROM flagged GROUP BY query, pos, engine
+),
+walk AS (
+  SELECT query, 0::bigint AS k, NULL::int AS pos, NULL::varchar AS engine, NULL::varchar AS state, NULL::bigint AS wanted, []::varchar[] AS links FROM (SELECT DISTINCT query FROM by_engine)
+  UNION ALL
+  SELECT query, k, pos, engine, state, wanted, CASE WHEN state = 'answered' THEN list_concat(links, list_filter(urls[:wanted], lambda u: NOT list_contains(links, u))) ELSE links END
+  FROM (
+    SELECT e.query, e.k, e.pos, e.engine, e.urls, w.links, 25 - len(w.links) AS wanted,
+      CASE WHEN len(w.links) >= 25 THEN 'not_reached' WHEN silent THEN 'silent' WHEN list_contains(told[:25 - len(w.links)], true) THEN 'answered' ELSE 'irrelevant' END AS state
+    FROM walk w JOIN by_engine e ON e.query = w.query AND e.k = w.k + 1
+  )
+),
+ways AS (SELECT query, pos, engine, state, wanted FROM walk WHERE k > 0),
+taken AS (SELECT * FROM (SELECT f.*, row_number() OVER (PARTITION BY f.query, f.pos ORDER BY rank) AS n, wanted, regexp_replace(split_part(split_part(url, '//', 2), '/', 1), '^www\.', '') AS domain FROM flagged f JOIN ways w ON w.query = f.query AND w.pos = f.pos AND state = 'answered') WHERE n <= wanted),
+links AS (
+  SELECT t.query, url, min(pos * 1000 + rank) AS came, string_agg(DISTINCT engine, ',' ORDER BY engine) AS via, count(DISTINCT engine) AS by_url, arg_min(hay, pos * 1000 + rank) AS hay,
+    any_value((SELECT count(DISTINCT engine) FROM taken d WHERE d.query = t.query AND d.domain = t.domain)) AS by_domain, any_value((SELECT count(DISTINCT engine) FROM taken d WHERE d.query = t.query)) AS witnesses
+  FROM taken t GROUP BY t.query, url
+),
+found AS (
+  SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY came, url) AS INTEGER) AS place, url, via, CASE WHEN witnesses >= 2 THEN by_url END AS by_url, CASE WHEN witnesses >= 2 THEN by_domain END AS by_domain,
+    coalesce(list_filter(words, lambda w: contains(hay, left(w, 5))), []) AS words
+  FROM links LEFT JOIN question USING (query)
+)"""
+
+
+def _asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     answers = V.responses(spark, d)
-    asked = R.sweep(answers, N).where("asked")
-    listed = asked.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("pos", "engine"))).alias("_a"))
-    told = R.sweep_results(answers, N).groupBy("query").agg(F.count(F.lit(1)).alias("results"), F.max(F.size("via")).cast("bigint").alias("most_witnesses"))
-    out = told.join(listed, "query").join(R.tiers(asked), "query")
-    return out.select("query", "results", "most_witnesses", F.array_join(F.transform("_a", lambda x: x["engine"]), ",").alias("asked"), "tiers")
+    ways = F.explode(F.array(F.lit(""), F.lit(" unheard"), F.lit(" large brushed")))
+    answers = answers.withColumn("_way", ways).withColumn("query", F.concat("query", "_way")).drop("_way")
+    refuses = ((F.col("pos") == 2) & F.col("query").contains("MEDIUM")) | ((F.col("pos") == 0) & F.col("query").endswith("unheard"))
+    silent = answers.where(refuses).select("query", "engine", F.lit("refused").alias("reason")).distinct()
+    return answers, silent
+
+
+@query(f"WITH RECURSIVE {RESPONSES}, {_ASKED} SELECT query, place, url, via, by_url, by_domain, array_to_string(words, ' ') AS words FROM found")
+def search_results(spark: SparkSession, d: str) -> DataFrame:
+    """What a search returns: links without those of engines that answered something else, corroboration, words found."""
+    answers, silent = _asked(spark, d)
+    out = A.search_results(answers, A.walked(A.engine_answers(answers, silent), N))
+    return out.select("query", "place", "url", F.array_join("via", ",").alias("via"), "by_url", "by_domain", F.array_join("words", " ").alias("words"))
+
+
+@query(f"""WITH RECURSIVE {RESPONSES}, {_ASKED}, {PROBES}, {TRUST},
+told AS (
+  SELECT query, string_agg(engine, ',' ORDER BY pos) FILTER (state <> 'not_reached') AS asked, string_agg(engine, ',' ORDER BY pos) FILTER (state = 'answered') AS answered, string_agg(engine, ',' ORDER BY pos) FILTER (state = 'irrelevant') AS irrelevant,
+    string_agg(engine, ',' ORDER BY pos) FILTER (state = 'silent') AS silent, string_agg(engine || '=' || coalesce(trust, 'not_checked'), ',' ORDER BY pos) FILTER (state <> 'not_reached') AS engines_trust,
+    coalesce(bool_and(coalesce(trust, '') = 'clean') FILTER (state = 'answered'), false) AS all_engines_clean, max(pos) FILTER (state <> 'not_reached') AS last
+  FROM ways LEFT JOIN trust USING (engine) GROUP BY query
+),
+counted AS (SELECT query, count(*) AS n, max(by_url) AS most_witnesses, list_distinct(flatten(list(words))) AS had FROM found GROUP BY query)
+SELECT query, coalesce(n, 0) AS results, most_witnesses, asked, coalesce(answered, '') AS answered, coalesce(irrelevant, '') AS irrelevant, coalesce(silent, '') AS silent, engines_trust,
+  coalesce(array_to_string(list_filter(words, lambda w: NOT list_contains(coalesce(had, []), w)), ' '), '') AS missing, all_engines_clean, CASE WHEN last < 5 THEN 'core' ELSE 'core, fallback' END AS tiers,
+  concat_ws('; ', 'silent: ' || silent, 'irrelevant: ' || irrelevant, CASE WHEN query LIKE '%LOW%' THEN 'the pool is the seed list' END,
+    'missing: ' || nullif(array_to_string(list_filter(words, lambda w: NOT list_contains(coalesce(had, []), w)), ' '), ''), CASE WHEN query LIKE '%HIGH%' THEN 'adjusted: n' END) AS trouble
+FROM told LEFT JOIN counted USING (query) LEFT JOIN question USING (query)""")
+def search_answer(spark: SparkSession, d: str) -> DataFrame:
+    """The whole answer: sweep without hijacked engines, witnesses, corroboration, words, trust from observations, trouble."""
+    answers, silent = _asked(spark, d)
+    trust = O.trust(V.probes(spark, d), spark.createDataFrame([(q,) for q in CONFIRMED], "query string"))
+    q = F.col("query")
+    adjusted = F.when(q.contains("HIGH"), F.array(F.lit("n"))).otherwise(F.array().cast("array<string>"))
+    out = A.search(answers, silent, trust, N, F.when(q.contains("LOW"), "seed").otherwise("observation"), adjusted)
+    names = {"silent": "unresponsive_engines", "irrelevant": "engines_irrelevant", "": "pool_unmeasured", "missing": "query_words_matched_nowhere", "adjusted": "arguments_adjusted"}
+    said = lambda k, f: F.col(f"trouble.{f}") if not k else F.concat(F.lit(f"{k}: "), F.array_join(f"trouble.{f}", " " if k == "missing" else ","))
+    lists = [F.array_join(c, " " if c == "missing" else ",").alias(c) for c in ("asked", "answered", "irrelevant", "silent", "engines_trust", "missing")]
+    return out.select("query", F.col("count").alias("results"), "most_witnesses", *lists, "all_engines_clean", "tiers", F.concat_ws("; ", *(said(k, f) for k, f in names.items())).alias("trouble"))
 
 
 @query(r"""SELECT part.p_partkey AS id, trim(regexp_replace(p_name || '  ' || chr(9) || p_type || chr(10) || ' ', '\s+', ' ', 'g')) AS title, 'https://x.org/' || p_partkey AS url, 'e1,e2,e3' AS engines
