@@ -158,3 +158,22 @@ def schedule(ticks: DataFrame, engines: list[str], rare: dict[str, int | None],
     lap = F.floor(F.col("_i") / n) % references
     turn = F.get(listed, (F.col("_i") % n).cast("int"))
     return rows.select("id", "ts", F.coalesce("engine", turn).alias("engine"), F.col("engine").isNotNull().alias("jumped"), lap.cast("bigint").alias("reference"))
+
+
+def sessions(rows: DataFrame, key: str, gap: int, block: int = 86_400, tie: str = "id") -> DataFrame:
+    """`rows` with `session`, a number that goes on where a row of its key comes more than `gap` seconds after the one before.
+
+    Rows are ordered within blocks of time; a block's first row looks back to the last one of the block before, and
+    sessions are numbered by the blocks' counts, so no task orders all rows of a key.
+    """
+    of = [key, "_block"]
+    rows = rows.withColumn("_block", F.floor(F.col("ts") / block))
+    within, blocks = Window.partitionBy(*of).orderBy("ts", tie), Window.partitionBy(key).orderBy("_block")
+    ends = rows.groupBy(*of).agg(F.max("ts").alias("_last")).select(*of, F.lag("_last").over(blocks).alias("_before"))
+    rows = spread_join(rows, ends, of)
+    new = F.coalesce(F.col("ts") - F.coalesce(F.lag("ts").over(within), F.col("_before")) > gap, F.lit(True)).cast("int")
+    rows = rows.withColumn("_new", new)
+    counts = rows.groupBy(*of).agg(F.sum("_new").alias("_n"))
+    counts = counts.select(*of, F.coalesce(F.sum("_n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    rows = spread_join(rows.withColumn("_in", F.sum("_new").over(within.rowsBetween(Window.unboundedPreceding, 0))), counts, of)
+    return rows.withColumn("session", F.col("_base") + F.col("_in")).drop("_block", "_before", "_new", "_base", "_in")

@@ -186,12 +186,37 @@ def wave_sources(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("question", "url", "chars", T.markers_together(F.col("text"), _markers(2)).alias("markers_hit"), U.primary_source(F.col("domain")).alias("primary_source"))
 
 
-_PLANS = ['{"queries": ["a", " b "], "markers": ["M"]}', 'Sure:\n```json\n{"queries": ["c"], "markers": []}\n```', '["d", "e"]', "no plan at all", 'Here {"queries": [], "markers": ["N"]} is it']
-
-
-@query("""SELECT event_id AS id, (['a|b', 'c', 'd|e', 'q' || event_id, 'q' || event_id])[CAST(event_id % 5 AS INTEGER) + 1] AS queries, (['M', '', '', '', 'N'])[CAST(event_id % 5 AS INTEGER) + 1] AS markers, event_id % 5 IN (2, 3) AS bad_format FROM events""")
+_PLANS = [
+    '{"queries": ["a", " b "], "markers": ["M"]}',
+    'Sure:\n```json\n{"queries": ["c"], "markers": []}\n```',
+    '["d", "e"]',
+    "no plan at all",
+    'Here {"queries": [], "markers": ["N"]} is it',
+    '{"queries": {"first": "a"}, "markers": ["K", "", 7]}',
+    '{"queries": ["f", null, 12, 1.5], "markers": "L", "more": {"x": [1]}}',
+    '{"answer": 42}',
+    '["g", ["h"], "i"',
+]
+
+
+@query(f"""SELECT event_id AS id, (['a|b', 'c', 'd|e', 'q' || event_id, 'q' || event_id, 'q' || event_id, 'f|12|1.5', 'q' || event_id, 'q' || event_id])[CAST(event_id % {len(_PLANS)} AS INTEGER) + 1] AS queries,
+ (['M', '', '', '', 'N', 'K|7', '', '', ''])[CAST(event_id % {len(_PLANS)} AS INTEGER) + 1] AS markers, event_id % {len(_PLANS)} IN (2, 3, 8) AS bad_format FROM events""")
 def parse_plan(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("event_id")
-    answer = F.get(F.array(*map(F.lit, _PLANS)), (n % 5).cast("int"))
+    answer = F.get(F.array(*map(F.lit, _PLANS)), (n % len(_PLANS)).cast("int"))
     rows = V.read(spark, d, "events").select(n.alias("id"), C.parse_plan(answer, F.concat(F.lit("q"), n.cast("string"))).alias("p"))
     return rows.select("id", F.array_join("p.queries", "|").alias("queries"), F.array_join("p.markers", "|").alias("markers"), "p.bad_format")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 5 AS deep, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey % 7 > 0)
+SELECT id, CAST(2 * deep + 1 AS INTEGER) AS depth, 'datePublished' AS name, day AS value FROM o
+UNION ALL SELECT id, CAST(2 * deep + 2 AS INTEGER), 'uploadDate', 'later ' || id FROM o WHERE id % 3 = 0
+UNION ALL SELECT id, 1, 'dateCreated', 'own' FROM o WHERE deep > 0 AND id % 2 = 0""")
+def json_dates(spark: SparkSession, d: str) -> DataFrame:
+    """Dates in linked data, within up to four objects and lists; one text in seven is cut off."""
+    n, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    inner = F.concat(F.lit('{"datePublished": "'), day, F.lit('", "dateCreated": 7, "@graph": '), F.when(n % 3 == 0, F.concat(F.lit('{"uploadDate": "later '), n.cast("string"), F.lit('"}'))).otherwise("[1, null]"), F.lit("}"))
+    own = F.when(n % 2 == 0, F.lit('"dateCreated": "own", ')).otherwise(F.lit(""))
+    wrap = F.when(n % 5 > 0, F.concat(F.lit("{"), own, F.lit('"x": ['), F.repeat(F.lit('{"x": ['), (n % 5 - 1).cast("int")), inner, F.repeat(F.lit("]}"), (n % 5).cast("int")))).otherwise(inner)
+    text = F.when(n % 7 > 0, wrap).otherwise(F.concat(F.lit("{"), wrap))
+    return C.dates_in_json(V.read(spark, d, "orders").select(n.alias("id"), text.alias("json")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import admission as A
@@ -146,6 +146,16 @@ def stream_trust(spark: SparkSession, d: str) -> DataFrame:
     return twins.trust(spark, d, _CONFIRMED)
 
 
+_PAGES = PROBES + ", pages0 AS (SELECT * REPLACE (engine || '/' || k % 40 AS engine) FROM probes)"
+
+
+@query(f"WITH RECURSIVE {_PAGES}, {_JUMPS.format(wait=7200).replace('FROM probes', 'FROM pages0')} SELECT engine AS page, id, NOT EXISTS (SELECT 1 FROM jumps j WHERE j.engine = r.engine AND j.n = r.n) AS hit FROM r")
+def stream_cache(spark: SparkSession, d: str) -> DataFrame:
+    """A cache of pages on a stream: values with a time to live, forgotten by timers."""
+    requests = twins.probe_stream(spark, d).select(F.concat_ws("/", "engine", (F.col("k") % 40).cast("string")).alias("page"), "id", "ts")
+    return twins.cache(requests, 7200)
+
+
 @query(f"""WITH {PROBES}, p AS (SELECT engine, ts // 1800 AS pane, count(*) AS probes, count(*) FILTER (verdict = 'ok') AS ok, count(*) FILTER (hit = 1) AS hits FROM probes GROUP BY ALL)
 SELECT engine, pane + i AS slide, CAST(sum(probes) AS BIGINT) AS probes, CAST(sum(ok) AS BIGINT) AS ok, CAST(sum(hits) AS BIGINT) AS hits FROM p, range(1, 49) r(i) GROUP BY ALL""")
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
@@ -190,8 +200,5 @@ def ext_tumbling(spark: SparkSession, d: str) -> DataFrame:
 n AS (SELECT *, sum(new) OVER (PARTITION BY engine ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS session FROM s)
 SELECT engine, CAST(session AS BIGINT) AS session, count(*) AS n, max(ts) - min(ts) AS seconds FROM n GROUP BY ALL""")
 def ext_session(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy("engine").orderBy("ts", "id")
-    new = F.when(F.col("ts") - F.lag("ts").over(order) <= 1800, 0).otherwise(1)
-    rows = V.probes(spark, d).withColumn("_new", new)
-    rows = rows.withColumn("session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = H.sessions(V.probes(spark, d).select("engine", "ts", "id"), "engine", 1800)
     return rows.groupBy("engine", "session").agg(F.count(F.lit(1)).alias("n"), (F.max("ts") - F.min("ts")).alias("seconds"))

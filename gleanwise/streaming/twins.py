@@ -8,15 +8,17 @@ its last ten judged probes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import IntegerType, StructType
 
 from ..operators import history
 from ..sources import views
-from ..sources.shared import fresh_path
+from ..sources.shared import drop_path, fresh_path
 
 TRUST_LAST = 10
 
@@ -51,17 +53,37 @@ def appended(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _last_of_batches(stream: DataFrame, key: str) -> DataFrame:
-    """The last state of an update stream: each batch is written with its number, and the latest row of each key stays."""
+    """The last state of an update stream: each batch is merged into the table that the batch before left.
+
+    A version is written anew if its batch comes again, from the version before it, and the one before that is dropped,
+    so what is kept does not grow with the number of batches.
+    """
     spark, out = stream.sparkSession, fresh_path(stream.sparkSession, "updates")
+    schema = StructType([*stream.schema.fields]).add("version", IntegerType())
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if number:
+            before = spark.read.schema(schema).parquet(out).where(F.col("version") == number - 1).drop("version")
+            batch = batch.unionByName(before.join(batch.select(key), key, "left_anti"))
+        batch.write.mode("overwrite").parquet(f"{out}/version={number}")
+        if number > 1:
+            drop_path(spark, f"{out}/version={number - 2}")
 
     drained(stream, "update", keep)
-    rows = spark.read.parquet(out).drop("batch")
-    columns = [c for c in rows.columns if c not in ("_batch", key)]
-    last = rows.groupBy(key).agg(F.max_by(F.struct(*columns), "_batch").alias("_x"))
-    return last.select(key, *(F.col(f"_x.{c}").alias(c) for c in columns))
+    versions = spark.read.schema(schema).parquet(out)
+    return versions.where(F.col("version") == (versions.agg(F.max("version")).first()[0] or 0)).drop("version")
+
+
+@contextmanager
+def state_in_rocks(spark: SparkSession) -> Iterator[None]:
+    """Typed state (lists, values, timers) is kept by this store only."""
+    name, store = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def health(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
@@ -72,25 +94,74 @@ def health(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
     return _last_of_batches(told, "engine")
 
 
+class LastJudged(StatefulProcessor):
+    """An engine's last judged probes as a list in state, and its trust after each batch."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getListState("last", "ts bigint, id bigint, hit bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = list(self.last.get()) if self.last.exists() else []
+        for batch in rows:
+            held = sorted(held + list(zip(batch["ts"].tolist(), batch["id"].tolist(), batch["hit"].tolist(), strict=True)))[-TRUST_LAST:]
+        self.last.put(held)
+        n, good = len(held), int(sum(r[2] for r in held))
+        label = "substitutes" if good < n else "clean" if n >= 3 else "candidate"
+        yield pd.DataFrame({"engine": [key[0]], "judged": [n], "hits": [good], "trust": [label]})
+
+    def close(self) -> None:
+        pass
+
+
 def trust(spark: SparkSession, folder: str, confirmed: tuple[str, ...], files: int = 1000) -> DataFrame:
     """engine, judged, hits, trust over the last ten judged probes of confirmed references, whatever order files arrive in."""
     judged = probe_stream(spark, folder, files).where(F.col("query").isin(*confirmed) & F.expr("hit IS NOT NULL AND results > 0 AND relevant > 0"))
+    rows = judged.select("engine", "ts", "id", "hit").groupBy("engine")
+    told = rows.transformWithStateInPandas(LastJudged(), "engine string, judged bigint, hits bigint, trust string", "Update", "None")
+    with state_in_rocks(spark):
+        return _last_of_batches(told, "engine")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ts, ids, hits = state.get if state.exists else ([], [], [])
-        rows = list(zip(ts, ids, hits, strict=True))
-        for batch in batches:
-            rows += zip(batch["ts"].tolist(), batch["id"].tolist(), batch["hit"].tolist(), strict=True)
-        rows = sorted(rows)[-TRUST_LAST:]
-        state.update(tuple(list(x) for x in zip(*rows, strict=True)))
-        n, good = len(rows), int(sum(r[2] for r in rows))
-        label = "substitutes" if good < n else "clean" if n >= 3 else "candidate"
-        yield pd.DataFrame({"engine": [key[0]], "judged": [n], "hits": [good], "trust": [label]})
 
-    told = judged.select("engine", "ts", "id", "hit").groupBy("engine").applyInPandasWithState(
-        step, "engine string, judged bigint, hits bigint, trust string", "ts array<bigint>, ids array<bigint>, hits array<bigint>", "update", GroupStateTimeout.NoTimeout
-    )
-    return _last_of_batches(told, "engine")
+class Cached(StatefulProcessor):
+    """When a page was stored: a hit is younger than `ttl`, a miss stores anew. A timer forgets the page once no row that
+    may still come can hit it."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.stored = handle, handle.getValueState("stored", "ts bigint")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        at = self.stored.get()[0] if self.stored.exists() else None
+        before, told = at, pd.concat(list(rows)).sort_values(["ts", "id"])
+        hits = []
+        for ts in told["ts"].tolist():
+            hits.append(at is not None and ts - at < self.ttl)
+            at = at if hits[-1] else ts
+        if at != before:
+            self.stored.update((at,))
+            self.handle.registerTimer((at + self.ttl) * 1000)
+        yield pd.DataFrame({"page": key[0], "id": told["id"], "hit": hits})
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.stored.exists() and (self.stored.get()[0] + self.ttl) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.stored.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def cache(requests: DataFrame, ttl: int, late: str = "1 hour") -> DataFrame:
+    """page, id, hit of each request (page, id, ts in seconds) of a stream, kept for `ttl` seconds of event time.
+
+    A batch's requests are taken in order of time; later batches may be `late`, and what comes later still is dropped.
+    """
+    timed = requests.select("page", "id", "ts", F.timestamp_seconds("ts").alias("at")).withWatermark("at", late)
+    told = timed.groupBy("page").transformWithStateInPandas(Cached(ttl), "page string, id bigint, hit boolean", "Append", "EventTime")
+    with state_in_rocks(requests.sparkSession):
+        return drained(told)
 
 
 def tumbling(spark: SparkSession, folder: str, width: str = "6 hours", late: str = "1 hour") -> DataFrame:

@@ -174,3 +174,20 @@ def test_sessions_merge_over_batches(spark, folder, tmp_path):
         events.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
     one = sorted(map(str, twins.sessions(spark, str(tmp_path), gap="3 hours", late="1 day").collect()))
     assert len(one) > 100 and one == sorted(map(str, twins.sessions(spark, str(tmp_path), gap="3 hours", late="1 day", files=1).collect()))
+
+
+def test_cache_of_a_stream(spark, folder, tmp_path):
+    """Files in order of time, each a batch of its own: state and timers give what one batch gives."""
+    events = spark.read.parquet(f"{folder}/events.parquet").withColumn("file", F.floor(F.dayofmonth("ts") / 5))
+    for k in range(7):
+        events.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    page = lambda df: df.select(F.concat_ws("/", "engine", (F.col("k") % 3).cast("string")).alias("page"), "id", "ts")
+    at, want = {}, set()
+    for r in sorted(page(V.probes(spark, str(tmp_path))).collect(), key=lambda r: (r["ts"], r["id"])):
+        if r["page"] in at and r["ts"] - at[r["page"]] < 40_000:
+            want.add(r["id"])
+        else:
+            at[r["page"]] = r["ts"]
+    for files in (1, 1000):
+        got = twins.cache(page(twins.probe_stream(spark, str(tmp_path), files)), 40_000).collect()
+        assert len(got) == events.count() and {r["id"] for r in got if r["hit"]} == want
