@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import binary as B
 from ..functions import text as T
 from ..operators import html as H
+from ..operators import tables
 from ..sources import views as V
 from .catalogue import query
 
@@ -76,6 +77,15 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return H.link_graph(_read(spark, d))
 
 
+@query(rf"""WITH links AS ({_LINKS}), placed AS (SELECT links.*, regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1) AS host, page_id // 64 AS block FROM links JOIN pages USING (page_id))
+SELECT page_id, position, target, caption, CAST(min(page_id) OVER (PARTITION BY host, block, target) < page_id AS INTEGER) AS again FROM placed""")
+def page_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links by a table function over the pages of each host, 64 page numbers together."""
+    tables.register(spark)
+    pages = _linked(spark, d).select("page_id", "url", "html", F.regexp_extract("url", "^[A-Za-z]+://([^/?#:]*)", 1).alias("host"), F.expr("page_id div 64").alias("block"))
+    return spark.sql("SELECT * FROM page_links(TABLE({pages}))", pages=pages)
+
+
 @query("SELECT item_id AS id, CASE WHEN item_id % 3 < 2 THEN 'Привет, ' || text ELSE text END AS text FROM benchmark")
 def charset_detect(spark: SparkSession, d: str) -> DataFrame:
     """Bytes in windows-1251 without a name, in UTF-8, and in a named Latin-1 come out as text."""

@@ -8,7 +8,7 @@ from helpers import told
 from gleanwise.plans import QUERIES, SQL
 
 #: Queries whose plan runs Python on purpose: parsers, codecs, ordered walks, streaming state.
-PYTHON = {"html_text", "html_markdown", "html_meta", "html_links", "charset_detect", "url_ascii", "marker_window", "wave_pick", "wave_sources", "pool_recompute", "pacing_admit", "cooldown_admit", "cache_evict", "sweep_paced", "pool_history", "rare_schedule", "cache_replay", "stream_trust"}
+PYTHON = {"html_text", "html_markdown", "html_meta", "html_links", "page_links", "charset_detect", "url_ascii", "marker_window", "wave_pick", "wave_sources", "pool_recompute", "pacing_admit", "cooldown_admit", "cache_evict", "sweep_paced", "pool_history", "rare_schedule", "cache_replay", "stream_trust"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

@@ -6,6 +6,7 @@ import gzip
 import json
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleanwise.functions import binary as B
@@ -82,3 +83,16 @@ def test_pdf_files(spark, tmp_path):
 
     got = {r["path"].rsplit("/", 1)[1]: tuple(r)[1:] for r in pdf_texts(spark, str(tmp_path), 2, parser).collect()}
     assert got == {"a.pdf": (3, 2, True, "Мir x\n\ny\ntwo", ""), "b.PDF": (None, 0, False, "", "ValueError: no such format")}
+
+
+def test_page_links_says_what_it_needs(spark):
+    from pyspark.errors import AnalysisException
+
+    from gleanwise.operators import tables
+
+    tables.register(spark)
+    spark.range(1).createOrReplaceTempView("no_pages")
+    with pytest.raises(AnalysisException, match="no column page_id, url, html, host, block"):
+        spark.sql("SELECT * FROM page_links(TABLE(no_pages))")
+    with pytest.raises(AnalysisException, match="takes a table"):
+        spark.sql("SELECT * FROM page_links(1)")
