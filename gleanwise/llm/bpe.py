@@ -1,7 +1,11 @@
 """BPE encoding and decoding by tree concatenation.
 
-White space parts a text into words whose ids are independent of each other; what does not part is a word without white
-space, however long. Such a long word is normalised once, as a whole, and cut into pre-tokens by the tokenizer's own
+A text of more than HALF_CHARS characters is halved, wherever that is, until its pieces are short. The pieces are encoded
+for themselves and joined pairwise up the tree: a join encodes some words from either side of the seam again, twice as many
+each time, until the first and the last of them have the ids that they had. Pieces are encoded word by word, as white space
+parts a text into words whose ids are independent of each other; a worker keeps a bounded table of words.
+
+What white space does not part is a word, however long. A long word is normalised once, as a whole, and cut into pre-tokens by the tokenizer's own
 splitter. A long pre-token is halved until its parts are short; the parts are encoded in parallel, those before the last as
 text that goes on, then joined pairwise up the tree. A join re-encodes some tokens from either side of the seam, twice as
 many each time, until the window's first token is the left side's and its last token the right side's. BPE encodings are
@@ -9,7 +13,8 @@ settled by neighbouring tokens: a sequence is the encoding of its text if each p
 pair's text. All pairs lie within the left side, the window or the right side, so agreement at both ends proves the result.
 
 Long texts become parts, slices of whole words or chunks of a long pre-token. Parts are rows of their own, dealt out to
-all executors; only one document's ids meet in a task. Every long word goes through the tree, in short texts too.
+all executors, and so are encoded in parallel; only one document's ids meet in a task. Every long text and every long word
+goes through its tree.
 
 Defined results: null and empty texts have no ids and decode to the empty text. Strings of special tokens in a text give
 their ids, as in the library. Rows with equal ids or texts are encoded each. Columns of the input with the names of the
@@ -24,6 +29,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,26 +39,39 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .common import table, tokenizer_path
-from .tokens import CUT, Encoder, small, words_of
+from .tokens import CUT, SPACE_RUN, Encoder, small, words_of
 
 #: Texts longer than this are cut into parts of about this length; longer words are encoded by their pre-tokens, and
 #: pre-tokens of more symbols than LONG_SYMBOLS are halved.
 LEAF_CHARS, LONG_WORD, LONG_SYMBOLS = 32_768, 1024, 512
 
+#: Texts longer than this are halved, wherever that is, until they are not.
+HALF_CHARS = 4096
+
 #: Ids of a pre-token's part, with the number of symbols of each.
 Ids = list[tuple[int, int]]
 
 
+class Half(NamedTuple):
+    """A piece of a text: its words, the ids of each, and whether it begins and ends within a word."""
+
+    words: list[str]
+    ids: list[bytes]
+    open_left: bool
+    open_right: bool
+
+
 #: Kinds of a text's parts: words; symbols of whole pre-tokens, with spaces between; a chunk of a pre-token, its last one;
 #: the id of a special token.
 WORDS, TOKENS, CHUNK, END, SPECIAL = "words", "tokens", "chunk", "end", "special"
 
 
 class TreeEncoder:
-    def __init__(self, path: str, leaf: int = LEAF_CHARS, long_word: int = LONG_WORD, long_symbols: int = LONG_SYMBOLS):
+    def __init__(self, path: str, leaf: int = LEAF_CHARS, long_word: int = LONG_WORD, long_symbols: int = LONG_SYMBOLS, half_chars: int = HALF_CHARS):
         from tokenizers.models import BPE
 
         self.base = Encoder(path)
+        self.half_chars, self.joins = half_chars, 0
         self.leaf, self.long_word, self.long_symbols = leaf, long_word, long_symbols
         self.tokenizer = self.base.tokenizer
         told = json.loads(self.tokenizer.to_str())
@@ -64,6 +83,39 @@ class TreeEncoder:
         self.base.long_word, self.base.long_ids = long_word, self.long_ids
         self.names = {i: w.encode() for w, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
 
+    # Texts with white space.
+    def text_ids(self, text: str) -> bytes:
+        """Ids of a text: it is prepared as a whole, and if it is long, encoded in halves that are joined."""
+        if len(text) <= self.half_chars:
+            return self.base.encode(text)
+        return b"".join(self.tree(self.base.prepared(text)).ids)
+
+    def tree(self, text: str) -> Half:
+        """A text's halves, each encoded for itself, joined."""
+        if len(text) > self.half_chars:
+            middle = len(text) // 2
+            return self.join(self.tree(text[:middle]), self.tree(text[middle:]))
+        words = words_of(text)
+        return Half(words, self.base.encode_words(words), not SPACE_RUN.match(text), not SPACE_RUN.match(text, len(text) - 1))
+
+    def join(self, left: Half, right: Half) -> Half:
+        """Both sides, with some words on either side of the seam encoded again, twice as many each time, until the
+        window's first and last words have the ids that the sides gave them. The seam is within the window's middle word
+        only, so what both sides agree on is settled. White space at the seam leaves nothing to encode again."""
+        self.joins += 1
+        words, ids = left.words + right.words, left.ids + right.ids
+        if left.open_right and right.open_left:
+            k, n, m = 2, len(left.words), len(right.words)
+            while True:
+                low, high = max(0, n - k), min(m, k)
+                window = [*left.words[low:-1], left.words[-1] + right.words[0], *right.words[1:high]]
+                found = self.base.encode_words(window)
+                if (low == 0 or found[0] == left.ids[low]) and (high == m or found[-1] == right.ids[high - 1]):
+                    break
+                k *= 2
+            words, ids = left.words[:low] + window + right.words[high:], left.ids[:low] + found + right.ids[high:]
+        return Half(words, ids, left.open_left, right.open_right)
+
     # Sections between special tokens.
     def sections(self, text: str) -> list[str | int]:
         """The text cut at the strings of special tokens, which are given as their ids."""
@@ -156,7 +208,7 @@ class TreeEncoder:
         if kind == SPECIAL:
             return [(int(text), 0)]
         if kind == WORDS:
-            return [(i, 0) for i in np.frombuffer(self.base.encode(text), "<u4").tolist()]
+            return [(i, 0) for i in np.frombuffer(self.text_ids(text), "<u4").tolist()]
         if kind == TOKENS:
             return [x for symbols in text.split(" ") for x in self.symbol_tree(symbols, True)]
         return self.symbol_tree(text, kind == END)
@@ -183,7 +235,7 @@ class TreeEncoder:
         return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
-        """Ids of a whole text, all in this process."""
+        """Ids of a whole text, all in this process, however long."""
         return self.whole((kind, x, self.part_ids(kind, x)) for kind, x in self.parts(text or ""))
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -226,7 +278,7 @@ def encoded(
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tree_encoder(path, leaf)
         for batch in small(batches):
-            yield seen(own, batch.column(0).to_pylist(), [own.base.encode(x.as_py()) for x in batch.column(1)])
+            yield seen(own, batch.column(0).to_pylist(), [own.text_ids(x.as_py()) for x in batch.column(1)])
 
     columns = ["row", "doc_id", "part", "kind", "text"]
 

@@ -115,14 +115,16 @@ class Encoder:
     def encode_words(self, words: list[str]) -> list[bytes]:
         return list(map(self.seen.__getitem__, words))
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def prepared(self, text: str) -> str:
+        """A text with the same ids and fewer different words, if it is plain."""
         if "<|" not in text and _SIMPLE.fullmatch(text):  # "<|" may begin a special token
             text = text.lower()
             if "'" not in text:
                 text = _SIGN_RUN.sub(r" \g<0>", text)  # fewer words: none differ by their signs alone
-        return b"".join(map(self.seen.__getitem__, words_of(text)))
+        return text
+
+    def encode(self, text: str | None) -> bytes:
+        return b"".join(map(self.seen.__getitem__, words_of(self.prepared(text)))) if text else b""
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:

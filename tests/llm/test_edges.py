@@ -315,6 +315,7 @@ def test_bpe_on_any_unicode(tokenizer):
     tricky = ["H\u0331", "T\u0308", "\u0130\u031c", "J\u030c", "\u1e9e\u0323", "\u03a3\u0345", "e\u0301\u0323", "\u1100\u1161\u11a8", "\u0344", "\u212b"]
     r = random.Random(12)
     own, small = bpe.TreeEncoder(tokenizer_path()), bpe.TreeEncoder(tokenizer_path(), leaf=7, long_word=6, long_symbols=3)
+    halved = bpe.TreeEncoder(tokenizer_path(), half_chars=3)
 
     def drawn(n):
         pick = lambda: r.choice([r.choice(tricky), chr(r.choice([r.randint(33, 126), r.randint(0xA0, 0x24F), r.randint(0x300, 0x36F), r.randint(0x370, 0x1FFF), r.randint(0x2000, 0xD7FF), r.randint(0xE000, 0x1FAFF)])), " "])
@@ -324,10 +325,21 @@ def test_bpe_on_any_unicode(tokenizer):
         want = ids_of(tokenizer, text)
         assert np.frombuffer(own.encode(text), "<u4").tolist() == want, text
         assert np.frombuffer(small.encode(text), "<u4").tolist() == want, text
+        assert np.frombuffer(halved.text_ids(text), "<u4").tolist() == want, text
     for text in (" ".join(tricky) + " " + " ".join(f"word{i}" for i in range(8000)) + " ".join(tricky), "".join(tricky) * 4000, drawn(80_000), drawn(80_000).replace(" ", ""), "\u4e00\u4e8c" * 40_000, "1a!" * 40_000, "<|endoftext|>" * 6000):
         assert len(text) > bpe.LEAF_CHARS and np.frombuffer(own.encode(text), "<u4").tolist() == ids_of(tokenizer, text)
 
 
+def test_bpe_halves_anywhere(tokenizer):
+    """Plain words, signs, apostrophes and special tokens, cut at any place."""
+    r, own = random.Random(9), bpe.TreeEncoder(tokenizer_path(), half_chars=2)
+    some = ["don't", "WE'LL", "a!", "'s", "x.y,z", "123", "4a5", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endo", "ftext|>", " ", "\n", "\x1c", "\xa0", "$$$", "Été"]
+    for _ in range(3000):
+        text = "".join(r.choice(some) + r.choice(["", "", " "]) for _ in range(r.randint(1, 12)))
+        assert np.frombuffer(own.text_ids(text), "<u4").tolist() == ids_of(tokenizer, text), text
+    assert own.joins > 10_000
+
+
 def test_bpe_long_words_meet_the_tree(tokenizer, monkeypatch):
     """A long word in a short text is encoded by the tree, too, and its halves really are joined."""
     own, joins = bpe.TreeEncoder(tokenizer_path()), []

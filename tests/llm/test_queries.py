@@ -7,13 +7,14 @@ import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from helpers import told
 from test_edges import WORDS, brute_em, brute_join, crc, edited, ids_of, normal
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gleanwise.llm import catalogue, ngram_join, quality
+from gleanwise.llm import bpe, catalogue, ngram_join, quality
 from gleanwise.llm.common import tokenizer_path
 
 
@@ -51,6 +52,17 @@ def test_bpe_by_the_library(spark, folder, encoded):
     assert sorted(tuple(r[n] for n in names) for r in catalogue.QUERIES["op4_bpe_tree"](spark, folder).collect()) == sorted(want)
 
 
+def test_bpe_tree_on_the_table(encoded, spark, folder):
+    """Every text over the leaf's length is halved and joined."""
+    own = bpe.TreeEncoder(tokenizer_path())
+    want = dict(encoded[1])
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect() if len(r["text"] or "") > bpe.HALF_CHARS]
+    for i, text in texts:
+        before = own.joins
+        assert np.frombuffer(own.text_ids(text), "<u4").tolist() == want[i] and own.joins > before
+    assert len(texts) > 20 and own.joins > len(texts)
+
+
 def test_packing_by_the_library(spark, folder, encoded):
     ids = {i: [*x, 2] for i, x in encoded[1]}
     rows = catalogue.QUERIES["op6_packing"](spark, folder).collect()
