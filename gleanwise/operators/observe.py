@@ -60,7 +60,7 @@ def health(probes: DataFrame) -> DataFrame:
 def trust(probes: DataFrame, confirmed: DataFrame, last: int = TRUST_LAST, category: str | None = None) -> DataFrame:
     """Each engine's verdict over its last `last` judged probes of confirmed references: clean, candidate or substitutes."""
     rows = probes if category is None else probes.where(F.coalesce("category", F.lit("general")) == category)
-    rows = rows.join(F.broadcast(confirmed.select("query").distinct()), "query", "left_semi")  # a written list of references
+    rows = rows.join(confirmed.select("query").distinct(), "query", "left_semi")
     rows = rows.where("hit IS NOT NULL AND results > 0 AND relevant > 0")
     order = Window.partitionBy("engine").orderBy(F.col("ts").desc(), F.col("id").desc())
     rows = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= last)

@@ -292,5 +292,5 @@ def reference_hit(spark: SparkSession, d: str) -> DataFrame:
     refs = spark.sql("SELECT * FROM VALUES ('view', array('view.org', 'v.com')), ('click', array('click.org')), ('purchase', array('buy.com', 'purchase.org')) AS t(query, expect)")
     k = F.col("k") % 4
     found = F.when(k == 0, F.concat("query", F.lit(".org"))).when(k == 1, F.concat(F.lit("www."), "query", F.lit(".org"))).when(k == 2, F.concat(F.lit("not"), "query", F.lit(".org"))).otherwise("x.v.com")
-    rows = V.probes(spark, d).join(F.broadcast(refs), "query").withColumn("domain", found)
+    rows = V.probes(spark, d).join(refs, "query").withColumn("domain", found)
     return rows.select("id", "domain", domain_matches(F.col("domain"), F.col("expect")).alias("hit"))

@@ -151,7 +151,7 @@ def all_engines_clean(spark: SparkSession, d: str) -> DataFrame:
 def search_trust_join(spark: SparkSession, d: str) -> DataFrame:
     answers = V.responses(spark, d)
     trust = answers.select("engine", F.expr(_TRUST).alias("trust")).where("trust IS NOT NULL").distinct()
-    out = R.sweep(answers, N).where("asked").join(F.broadcast(trust), "engine", "left")  # a row for each engine
+    out = R.sweep(answers, N).where("asked").join(trust, "engine", "left")
     return out.select("query", "engine", F.coalesce("trust", F.lit("not_checked")).alias("trust"))
 
 

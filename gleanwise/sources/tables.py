@@ -6,9 +6,12 @@ the files. Columns that older files lack read as null, so a table grows columns
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -50,11 +53,17 @@ def scan(spark: SparkSession, path: str, kind: str, since: int | None = None, ca
     return rows.drop("day")
 
 
-def append_ledger(calls: DataFrame, path: str) -> None:
-    """Adds calls as JSON lines."""
+def append_ledger(calls: DataFrame, path: str) -> bool:
+    """Adds calls as JSON lines; whether they were written. A ledger that can't be written loses its lines, not the calls."""
     schema = StructType.fromDDL(LEDGER)
     have = set(calls.columns)
-    calls.select(*((F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema)).write.mode("append").json(path)
+    lines = calls.select(*((F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+    try:
+        lines.write.mode("append").json(path)
+    except (PySparkException, Py4JJavaError) as e:
+        warnings.warn(f"the ledger at {path} was not written: {str(e).splitlines()[0]}", stacklevel=2)
+        return False
+    return True
 
 
 def ledger_lines(spark: SparkSession, path: str) -> DataFrame:

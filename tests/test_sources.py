@@ -32,7 +32,10 @@ def test_append_and_scan(spark, tmp_path):
 def test_ledger_file(spark, tmp_path):
     path = str(tmp_path / "ledger")
     calls = spark.createDataFrame([(1, "p", "m", 10, 5), (2, "p", "m", 1, 1)], "ts int, provider string, model string, `in` int, `out` int")
-    tables.append_ledger(calls, path)
+    assert tables.append_ledger(calls, path)
+    with pytest.warns(UserWarning, match="was not written"):  # a file stands where the ledger's folder should be
+        (tmp_path / "file").write_text("")
+        assert not tables.append_ledger(calls, str(tmp_path / "file" / "ledger"))
     (tmp_path / "ledger" / "part-broken.json").write_text("{broken\n")
     got = {r["model"]: r for r in state.ledger(tables.ledger_lines(spark, path), 1.0, 2.0).collect()}
     assert (got["m"]["calls"], got["m"]["tokens_in"], got["m"]["cost"]) == (2, 11, 0.023) and got[None]["calls"] == 1
