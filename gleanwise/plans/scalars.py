@@ -132,14 +132,18 @@ def redirect_hops(spark: SparkSession, d: str) -> DataFrame:
     return V.read(spark, d, "events").select(F.col("event_id").alias("id"), F.exists(hops, lambda h: U.url_policy(h) != "").alias("blocked"))
 
 
-_ROBOTS = ["User-agent: *\nDisallow: /en", "User-agent: other\nDisallow: /\nUser-agent: gleanwise\nDisallow: /de/ # no", "", None, "User-agent: *\r\nDisallow:\r\nDisallow: /%66r/"]
-
-
-@query(rf"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages)
-SELECT page_id, CASE page_id % 5 WHEN 3 THEN 'not_checked' WHEN 0 THEN CASE WHEN starts_with(path, '/en') THEN 'disallowed_by_site' ELSE 'allowed' END
- WHEN 1 THEN CASE WHEN starts_with(path, '/de/') THEN 'disallowed_by_site' ELSE 'allowed' END WHEN 4 THEN CASE WHEN starts_with(path, '/fr/') THEN 'disallowed_by_site' ELSE 'allowed' END ELSE 'allowed' END AS verdict FROM p""")
+@query(rf"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r AS (SELECT *, (['*', '{U.AGENT}', 'other', '{U.AGENT}x', '{U.AGENT.upper()}', '*'])[CAST(page_id % 6 AS INTEGER) + 1] AS agent, left(path, CAST(1 + page_id // 6 % 12 AS INTEGER)) AS head, page_id % 5 AS kind FROM p)
+SELECT page_id, CASE WHEN page_id % 17 = 0 THEN 'not_checked' WHEN agent IN ('*', '{U.AGENT}') AND kind IN (0, 1, 3) AND head <> '' THEN 'disallowed_by_site' ELSE 'allowed' END AS verdict FROM r""")
 def robots_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return V.read(spark, d, "pages").select("page_id", U.robots_verdict(_choice(F.col("page_id"), _ROBOTS), U.path(F.col("url"))).alias("verdict"))
+    """Rules about the beginnings of each page's own path: for this reader and others, with comments, blanks and escapes, or empty."""
+    n, path = F.col("page_id"), U.path(F.col("url"))
+    agent = _choice(n, ["*", U.AGENT, "other", U.AGENT + "x", U.AGENT.upper(), "*"])
+    head = F.substring(path, F.lit(1), (1 + F.expr("page_id div 6") % 12).cast("int"))
+    told = F.get(F.array(head, F.concat(head, F.lit("  # not here")), F.concat(head, F.lit("zz")), F.replace(head, F.lit("e"), F.lit("%65")), F.lit("")), (n % 5).cast("int"))
+    field = _choice(n, ["User-agent: ", "user-AGENT:", "User-agent:  "])
+    rules = F.concat(F.lit("# robots\r\nUser-agent: first\nDisallow: /\n"), field, agent, F.lit("\nAllow: /\nDisallow: "), told, F.lit("\n"))
+    return V.read(spark, d, "pages").select("page_id", U.robots_verdict(F.when(n % 17 > 0, rules), path).alias("verdict"))
 
 
 _FLAGS = ["true", " YES ", "0", "off", "", None, "maybe", "T"]
@@ -148,9 +152,12 @@ _FLAGS = ["true", " YES ", "0", "off", "", None, "maybe", "T"]
 @query(f"""WITH r AS (SELECT event_id AS id, {_choice_sql("event_id", _FLAGS)} AS v, event_id % 8 AS i, event_id % 3 > 0 AS given, event_id % 5 = 0 AS is_number, event_id % 4 > 0 AS n FROM events)
 SELECT id, CASE WHEN NOT given THEN true WHEN is_number THEN n ELSE i IN (0, 1, 7) END AS value, given AND NOT is_number AND i IN (4, 5, 6) AS adjusted FROM r""")
 def parse_flag(spark: SparkSession, d: str) -> DataFrame:
-    """One in five came as a number: 0.0, 0.5, 1.0 or 1.5."""
+    """Words in any case, with blanks around them; one in five came as a number: 0.0, 0.5, 1.0 or 1.5."""
     number = F.when(F.col("event_id") % 5 == 0, (F.col("event_id") % 4) / 2)
-    told = X.flag(_choice(F.col("event_id"), _FLAGS), F.col("event_id") % 3 > 0, True, number)
+    word = _choice(F.col("event_id"), _FLAGS)
+    cased = F.when(F.expr("event_id div 8") % 2 == 0, F.upper(word)).otherwise(F.lower(word))
+    padded = F.concat(F.repeat(F.lit(" "), (F.col("event_id") % 3).cast("int")), cased, F.repeat(F.lit(" "), (F.col("event_id") % 7).cast("int")))
+    told = X.flag(padded, F.col("event_id") % 3 > 0, True, number)
     return V.read(spark, d, "events").select(F.col("event_id").alias("id"), told.alias("t")).select("id", "t.value", "t.adjusted")
 
 
@@ -186,12 +193,18 @@ _ERRORS = ["query is required", "metasearch unavailable", "EMPTY QUERY", None, "
 
 @query("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 200 WHEN event_id % 5 IN (0, 2, 4) THEN 400 ELSE 502 END AS code FROM events")
 def status_for(spark: SparkSession, d: str) -> DataFrame:
-    return V.read(spark, d, "events").select(F.col("event_id").alias("id"), X.status_code(F.col("event_id") % 3 == 0, _choice(F.col("event_id"), _ERRORS)).alias("code"))
+    return V.read(spark, d, "events").select(F.col("event_id").alias("id"), X.status_code(F.col("event_id") % 3 == 0, F.concat(F.lit("call "), F.col("event_id").cast("string"), F.lit(": "), _choice(F.col("event_id"), _ERRORS), F.lit(" (tried twice)"))).alias("code"))
 
 
-@query("SELECT event_id AS id, CASE WHEN event_id % 4 IN (1, 2) THEN 'ru' ELSE 'en' END AS lang FROM events")
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'ru' ELSE 'en' END AS lang FROM documents")
 def lang_guess(spark: SparkSession, d: str) -> DataFrame:
-    return V.read(spark, d, "events").select(F.col("event_id").alias("id"), T.language(_choice(F.col("event_id"), ["plain", "Ёлка", "mixed слово", None])).alias("lang"))
+    """Whole texts, one in three with one Cyrillic letter somewhere."""
+    n = F.col("doc_id")
+    letter = F.chr(n % 32)  # of no alphabet
+    cyrillic = _choice(F.expr("doc_id div 3"), list("абвгдежзийклмнопрстуфхцчшщъыьэюяёЁЯ"))
+    at = F.expr("cast(doc_id % (length(text) + 1) as int)")
+    text = F.concat(F.substring("text", F.lit(1), at), F.when(n % 3 == 0, cyrillic).otherwise(letter), F.substring(F.col("text"), at + 1, F.length("text")))
+    return V.read(spark, d, "documents").select(n.alias("id"), T.language(text).alias("lang"))
 
 
 @query("SELECT n_regionkey AS region, left(sha256(string_agg(n_name, chr(10) ORDER BY n_name)), 8) AS generation FROM nation GROUP BY 1")
@@ -200,10 +213,16 @@ def ref_generation(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("region", F.substring(F.sha2(F.array_join("q", "\n"), 256), 1, 8).alias("generation"))
 
 
-@query("SELECT doc_id AS id, doc_id % 6 IN (0, 2, 3) AS primary_source FROM documents")
+@query(f"""WITH n AS (SELECT doc_id AS id, ({list(U.PRIMARY_DOMAINS)})[CAST(doc_id % {len(U.PRIMARY_DOMAINS)} AS INTEGER) + 1] AS base, doc_id // {len(U.PRIMARY_DOMAINS)} % 7 AS kind FROM documents),
+named AS (SELECT id, CASE kind WHEN 0 THEN base WHEN 1 THEN 'd' || id || '.' || base WHEN 2 THEN 'd' || id || base WHEN 3 THEN base || '.d' || id || '.com' WHEN 4 THEN base WHEN 5 THEN base ELSE '' END AS name FROM n)
+SELECT id, len(list_filter({list(U.PRIMARY_DOMAINS)}, lambda d: name = d OR ends_with(name, '.' || d))) > 0 AS primary_source FROM named""")
 def primary_source(spark: SparkSession, d: str) -> DataFrame:
-    name = _choice(F.col("doc_id"), ["sec.gov", "notsec.gov", "www.SEC.gov.", "x.europa.eu", "sec.gov.example.com", None])
-    return V.read(spark, d, "documents").select(F.col("doc_id").alias("id"), U.primary_source(name).alias("primary_source"))
+    """Names of disclosure domains, below them, and that only look so; with capitals and dots around them."""
+    n = F.col("doc_id")
+    base, kind, own = _choice(n, list(U.PRIMARY_DOMAINS)), F.expr(f"doc_id div {len(U.PRIMARY_DOMAINS)}"), n.cast("string")
+    forms = [base, F.concat(F.lit("d"), own, F.lit("."), base), F.concat(F.lit("d"), own, base), F.concat(base, F.lit(".d"), own, F.lit(".com")), F.upper(base), F.concat(F.lit("."), base, F.lit("."))]
+    name = F.get(F.array(*forms, F.lit(None).cast("string")), F.pmod(kind, F.lit(7)).cast("int"))
+    return V.read(spark, d, "documents").select(n.alias("id"), U.primary_source(name).alias("primary_source"))
 
 
 @query("""SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'a|u' || event_id WHEN 1 THEN NULL ELSE '' END AS urls FROM events""")
