@@ -145,7 +145,18 @@ def stub_check(spark: SparkSession, d: str) -> DataFrame:
     return _status(spark, d).select("id", "stub")
 
 
-@query()
+def _sql_list(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query(f"""WITH {_PAGES}, marked AS (
+  SELECT *, CASE stub WHEN 'no such page' THEN list_filter({_sql_list(T.NO_SUCH_PAGE)}, lambda m: contains(lower(left(text, 400)), m))[1]
+    WHEN 'shield' THEN list_filter({_sql_list(T.SHIELDS)}, lambda m: contains(left(raw, 20000), m) OR contains(lower(left(text, 400)), m))[1]
+    WHEN 'paywall' THEN list_filter({_sql_list(T.PAYWALLS)}, lambda m: contains(raw, m))[1] END AS mark
+  FROM stubs)
+SELECT id, CASE WHEN stub = 'markup' THEN length(raw) || ' bytes of markup for ' || length(text) || ' characters of text' WHEN stub = 'code' THEN 'status ' || code || ' and ' || length(text) || ' characters of text'
+  WHEN stub IS NOT NULL THEN CASE stub WHEN 'no such page' THEN 'at the start of the text: ' WHEN 'shield' THEN 'shield marker: ' ELSE 'paywall: ' END || CASE WHEN contains(mark, chr(39)) THEN '"' ELSE chr(39) END || mark || CASE WHEN contains(mark, chr(39)) THEN '"' ELSE chr(39) END END AS detail
+FROM marked""")
 def stub_detail(spark: SparkSession, d: str) -> DataFrame:
     """Why pages are stubs, in words."""
     return _pages(spark, d).select("id", T.stub_detail(F.col("text"), F.col("raw"), F.col("code")).alias("detail"))
