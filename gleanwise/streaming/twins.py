@@ -22,6 +22,15 @@ from ..sources.shared import drop_path, fresh_path
 
 TRUST_LAST = 10
 
+#: Seconds that event times are moved on by. A stream's first watermark is 1970, and what is no later is dropped as late,
+#: so seconds from 0, or up to 68 years before it, would be. Nanoseconds of pandas end in 2262.
+EARLY = 1 << 31
+
+
+def timed(rows: DataFrame, late: str) -> DataFrame:
+    """`rows` with `at`, the event time of ts (seconds, 0 and less too), and a watermark on it."""
+    return rows.withColumn("at", F.timestamp_seconds(F.col("ts") + F.lit(EARLY))).withWatermark("at", late)
+
 
 def probe_stream(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
     """The probes of `views.probes` as they arrive in the folder's events."""
@@ -141,11 +150,11 @@ class Cached(StatefulProcessor):
             at = at if hits[-1] else ts
         if at != before:
             self.stored.update((at,))
-            self.handle.registerTimer((at + self.ttl) * 1000)
+            self.handle.registerTimer((EARLY + at + self.ttl) * 1000)
         yield pd.DataFrame({"page": key[0], "id": told["id"], "hit": hits})
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.stored.exists() and (self.stored.get()[0] + self.ttl) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+        if self.stored.exists() and (EARLY + self.stored.get()[0] + self.ttl) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
             self.stored.clear()
         return iter(())
 
@@ -158,8 +167,7 @@ def cache(requests: DataFrame, ttl: int, late: str = "1 hour") -> DataFrame:
 
     A batch's requests are taken in order of time; later batches may be `late`, and what comes later still is dropped.
     """
-    timed = requests.select("page", "id", "ts", F.timestamp_seconds("ts").alias("at")).withWatermark("at", late)
-    told = timed.groupBy("page").transformWithStateInPandas(Cached(ttl), "page string, id bigint, hit boolean", "Append", "EventTime")
+    told = timed(requests.select("page", "id", "ts"), late).groupBy("page").transformWithStateInPandas(Cached(ttl), "page string, id bigint, hit boolean", "Append", "EventTime")
     with state_in_rocks(requests.sparkSession):
         return drained(told)
 
@@ -173,8 +181,7 @@ def tumbling(spark: SparkSession, folder: str, width: str = "6 hours", late: str
 
 def sessions(spark: SparkSession, folder: str, gap: str = "30 minutes", late: str = "1 hour", files: int = 1000) -> DataFrame:
     """engine, start, seconds, n of each session of probes no further apart than `gap`, when the watermark has passed its end."""
-    probes = probe_stream(spark, folder, files).withColumn("at", F.timestamp_seconds("ts"))
-    told = probes.withWatermark("at", late).groupBy("engine", F.session_window("at", gap).alias("w"))
+    told = timed(probe_stream(spark, folder, files), late).groupBy("engine", F.session_window("at", gap).alias("w"))
     told = told.agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"), F.max("ts").alias("end"))
     return drained(told.select("engine", "start", (F.col("end") - F.col("start")).alias("seconds"), "n"))
 

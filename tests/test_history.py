@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from test_admission import cached, swept
 
 from gleanwise.operators import history
+from gleanwise.operators.admission import cache_replay
 from gleanwise.plans import QUERIES, states
 from gleanwise.sources import views as V
 from gleanwise.streaming import twins
@@ -191,3 +192,13 @@ def test_cache_of_a_stream(spark, folder, tmp_path):
     for files in (1, 1000):
         got = twins.cache(page(twins.probe_stream(spark, str(tmp_path), files)), 40_000).collect()
         assert len(got) == events.count() and {r["id"] for r in got if r["hit"]} == want
+
+
+def test_cache_of_a_stream_from_its_first_second(spark, folder, tmp_path):
+    """Requests of second 0 and before it are no later than a stream's first watermark, and count as others."""
+    first = F.expr("TIMESTAMP_NTZ'2023-12-31 23:59:50.5' + make_dt_interval(0, 0, 0, event_id % 20)")
+    spark.read.parquet(f"{folder}/events.parquet").limit(200).withColumn("ts", first).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    requests = lambda df: df.select(F.concat_ws("/", "engine", (F.col("k") % 3).cast("string")).alias("page"), "id", "ts")
+    want = cache_replay(requests(V.probes(spark, str(tmp_path))), "page", 5)
+    got = twins.cache(requests(twins.probe_stream(spark, str(tmp_path))), 5)
+    assert got.count() == 200 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
