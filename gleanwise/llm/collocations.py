@@ -44,7 +44,7 @@ from .common import table, written
 MOST_WORDS, LEAST_COUNT, SUBSUMED, TOP = 4, 30, 80, 2000
 
 #: Words that a task gathers before it closes its largest shard, and bits of the filter of frequent pairs (16 MB).
-SHARD_WORDS, FILTER_BITS = 2_000_000, 1 << 27
+SHARD_WORDS, FILTER_BITS = 1_500_000, 1 << 27
 
 #: Bits of the filter that are set together, as one row.
 BLOCK_BITS = 1 << 16
@@ -133,11 +133,20 @@ class Automaton:
     def deepen(self, d: int, size: int) -> None:
         before, last = self.at[d - 1], self.ids
         n = max(0, len(last) - d + 1)
-        where = np.flatnonzero((before[:n] > 0) & (last[d - 1 : d - 1 + n] > 0))
-        keys, first, at, count = np.unique(before[where].astype(np.int64) * size + last[where + d - 1], return_index=True, return_inverse=True, return_counts=True)
-        nodes = np.zeros(len(last), np.int64)
-        nodes[where] = at + 1
-        first = np.append(0, where[first])
+        where = np.flatnonzero((before[:n] > 0) & (last[d - 1 : d - 1 + n] > 0)).astype(np.int32)
+        keys = before[where].astype(np.int64)
+        keys *= size
+        keys += last[where + d - 1]
+        order = np.argsort(keys, kind="stable").astype(np.int32)  # places and nodes are 32-bit numbers, and what is done is let go
+        keys = keys[order]
+        new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+        del keys
+        edges = np.flatnonzero(new)
+        count = np.diff(np.append(edges, len(order)))
+        first = np.append(0, where[order[edges]])
+        nodes = np.zeros(len(last), np.int32)
+        nodes[where[order]] = np.cumsum(new, dtype=np.int32)
+        del where, order, new, edges
         prefix, link = before[first], before[np.minimum(first + 1, len(last) - 1)]
         prefix[0] = link[0] = 0
         self.at.append(nodes)
@@ -261,10 +270,12 @@ def phrase_counts(shards: DataFrame, known: np.ndarray, least: int = LEAST_COUNT
             for lang, words, ids in opened(batch):
                 text = pa.array([b"", *words], pa.binary()).cast(pa.string())
                 alone = np.bincount(ids, minlength=len(words) + 1)[1:]
-                found = [(1, text[1:], alone)]
-                nodes = Automaton(cut_at_rare(ids, word_hashes(lang, words), held.value), depth)
-                found += [(d, nodes.strings(d, text), nodes.count[d][1:]) for d in range(2, depth + 1)]
-                for d, strings, n in found:
+                hashes = word_hashes(lang, words)
+                del words
+                nodes = Automaton(cut_at_rare(ids, hashes, held.value), depth)
+                nodes.at = nodes.prefix = nodes.link = None  # only ends and words are asked for
+                for d in range(1, depth + 1):  # one depth's strings at a time
+                    strings, n = (text[1:], alone) if d == 1 else (nodes.strings(d, text), nodes.count[d][1:])
                     for k in range(0, len(n), 1 << 15):
                         own = strings[k : k + (1 << 15)]
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), own, pa.array([d] * len(own), pa.int32()), pa.array(n[k : k + (1 << 15)], pa.int64())], names)

@@ -813,3 +813,18 @@ def test_one_of_each_decides_by_row(spark):
     twice = spark.createDataFrame([(None, alone, k) for k in range(3)] + [(7, clean, k) for k in range(3)], "doc_id bigint, text string, n int")
     assert sorted(str(r["doc_id"]) for r in ngram_join.one_of_each(twice).collect()) == ["7", "None"]
     assert ngram_join.one_of_each(df.where("false")).count() == 0
+
+
+def test_automata_take_few_bytes_for_a_word():
+    """Places and nodes are 32-bit numbers (145 bytes a word when they were not)."""
+    import tracemalloc
+
+    import numpy as np
+    from gleanwise.llm import collocations
+
+    ids = (np.random.default_rng(1).random(400_000) ** 3 * 8000).astype(np.int32)
+    tracemalloc.start()
+    collocations.Automaton(ids, 4)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 110 * len(ids)
