@@ -202,3 +202,20 @@ def test_cache_of_a_stream_from_its_first_second(spark, folder, tmp_path):
     want = cache_replay(requests(V.probes(spark, str(tmp_path))), "page", 5)
     got = twins.cache(requests(twins.probe_stream(spark, str(tmp_path))), 5)
     assert got.count() == 200 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rare_engines_walk_one_tick_a_second(spark, monkeypatch):
+    """Many ticks in a second are one row for a rare engine's walk, with the schedule of all ticks."""
+    seen, walk = [], history.admitted
+    monkeypatch.setattr(history, "admitted", lambda asked, *a, **k: (seen.append(asked.count()), walk(asked, *a, **k))[1])
+    ticks = spark.range(2000).select("id", F.floor(F.col("id") / 50).alias("ts"))
+    got = {r["id"] for r in history.schedule(ticks, ["a", "b"], {"r": None, "s": -3}, 2, every=7).where("jumped").collect()}
+    assert max(seen) <= 41
+    left, want = list(range(2000)), set()
+    for free in (0, 4):
+        for i in list(left):
+            if i // 50 >= free:
+                free = i // 50 + 7
+                want.add(i)
+                left.remove(i)
+    assert got == want
