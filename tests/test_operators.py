@@ -323,3 +323,18 @@ def test_wave_pick_is_the_walk(spark):
                 taken[n] = taken.get(n, 0) + 1
                 want.append((q, n, k, u))
     assert sorted((x["question"], x["query"], x["rank"], x["url"]) for x in corpus.wave_pick(df).collect()) == sorted(want)
+
+
+def test_windows_are_made_by_slices(spark):
+    """What a batch of texts needs beside itself is its windows, not an object for each text and marker."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = pa.array(["acme " + "x" * 3000] * 9_999 + [None])
+    markers = pa.array([["acme", "none"]] * 10_000)
+    tracemalloc.start()
+    got = corpus.marker_window.func(text, markers)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 10_000 and got[0].as_py().startswith("acme") and got[9_999].as_py() == "" and most < 8_000_000
