@@ -17,6 +17,9 @@ A phrase lies in a longer one if prefixes and suffix links lead from that to it.
 as the longer one at least, so if any longer phrase subsumes another, one that is longer by a single word does: only the
 prefix and the suffix link of each phrase are joined.
 
+A shard's words and numbers are a file in the shared folder that its tasks read by pyarrow; Spark's rows have its name
+alone, so neither Parquet's nor Arrow's buffers in the JVM hold shards of some megabytes, several to a batch.
+
 Hot keys: shards are dealt out as they are read, whatever their language; frequent words and phrases are counted in each
 shard before the shuffle; joins deal both sides anew (`spread_join`). A task holds the words of one shard for each
 language that it meets, SHARD_WORDS in all.
@@ -28,6 +31,7 @@ table gives an empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +41,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import spread_join
-from .common import table, written
+from ..sources.shared import place
+from .common import fresh_path, table, written
 
 #: Production parameters: words in a phrase, least frequency, share of a phrase's frequency at which a longer one
 #: subsumes it (in hundredths), phrases of a language in the result.
@@ -46,6 +51,9 @@ MOST_WORDS, LEAST_COUNT, SUBSUMED, TOP = 4, 30, 80, 2000
 #: Words that a task gathers before it closes its largest shard, and bits of the filter of frequent pairs (16 MB).
 SHARD_WORDS, FILTER_BITS = 1_500_000, 1 << 27
 
+#: Shards of a task, about, and tasks that shards are dealt to, at most.
+PER_TASK, MOST_TASKS = 4, 4096
+
 #: Bits of the filter that are set together, as one row.
 BLOCK_BITS = 1 << 16
 
@@ -80,7 +88,8 @@ class Shard:
 
 
 def shards(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = SHARD_WORDS) -> DataFrame:
-    """lang, words (bytes, one a line), ids (little-endian 32-bit numbers, 0 between pieces) and n_words of each shard."""
+    """lang, file and n_words of each shard; a file has words (bytes, one a line) and ids (little-endian 32-bit numbers, 0 between pieces)."""
+    folder = fresh_path(docs.sparkSession, "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, Shard] = {}
@@ -88,10 +97,13 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", most: int =
 
         def close(name: str) -> pa.RecordBatch:
             words, ids, n = own.pop(name).closed()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([name], pa.string()), pa.array([words], pa.binary()), pa.array([ids], pa.binary()), pa.array([n], pa.int64())],
-                ["lang", "words", "ids", "n_words"],
-            )
+            file = f"{folder}/{uuid.uuid4().hex}.arrow"
+            store, path = place(file)
+            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            held = pa.RecordBatch.from_arrays([pa.array([words], pa.binary()), pa.array([ids], pa.binary())], ["words", "ids"])
+            with store.open_output_stream(path) as out, pa.ipc.new_file(out, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as f:
+                f.write_batch(held)
+            return pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([file], pa.string()), pa.array([n], pa.int64())], ["lang", "file", "n_words"])
 
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -107,7 +119,7 @@ def shards(docs: DataFrame, text: str = "text", lang: str = "lang", most: int =
             yield close(name)
 
     rows = docs.select(F.coalesce(F.col(lang), F.lit("und")), F.col(text)).where(F.length(F.col(text)) > 0)
-    return rows.mapInArrow(run, "lang string, words binary, ids binary, n_words bigint")
+    return rows.mapInArrow(run, "lang string, file string, n_words bigint")
 
 
 class Automaton:
@@ -204,10 +216,18 @@ def pair_hashes(hashes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.n
 
 
 def opened(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """lang, words and ids of each shard of a batch."""
-    for k in range(batch.num_rows):
-        words = batch.column(1)[k].as_py()
-        yield batch.column(0)[k].as_py(), words.split(b"\n") if words else [], np.frombuffer(batch.column(2)[k].as_buffer(), "<i4")
+    """lang, words and ids of each shard of a batch, one at a time."""
+    for lang, file in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        store, path = place(file)
+        with store.open_input_file(path) as f:
+            held = pa.ipc.open_file(f).get_batch(0)
+        words = held.column(0)[0].as_py()
+        yield lang, words.split(b"\n") if words else [], np.frombuffer(held.column(1)[0].as_buffer(), "<i4")
+
+
+def dealt(shards: DataFrame) -> DataFrame:
+    """lang and file; a table of names is small, so its rows are dealt to tasks by number, a few to each."""
+    return shards.select("lang", "file").repartition(max(1, min(shards.count() // PER_TASK + 1, MOST_TASKS)), "file")
 
 
 def frequent_pairs(shards: DataFrame, least: int = LEAST_COUNT, bits: int = FILTER_BITS) -> np.ndarray:
@@ -232,12 +252,12 @@ def frequent_pairs(shards: DataFrame, least: int = LEAST_COUNT, bits: int = FILT
         for block, held in own.items():
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(held).tobytes()], pa.binary())], ["block", "bits"])
 
-    counted = shards.select("lang", "words", "ids").mapInArrow(pairs, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = dealt(shards).mapInArrow(pairs, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
     at = counted.where(F.col("n") >= least).select(F.pmod("h", F.lit(bits)).alias("at"))
     # A block's bits are dealt to one task: at most BLOCK_BITS of them differ.
-    dealt = at.distinct().repartition((F.col("at") / BLOCK_BITS).cast("bigint"))
+    of_block = at.distinct().repartition((F.col("at") / BLOCK_BITS).cast("bigint"))
     out = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
-    for r in dealt.mapInArrow(blocks, "block bigint, bits binary").toLocalIterator():  # `bits` bits in all
+    for r in of_block.mapInArrow(blocks, "block bigint, bits binary").toLocalIterator():  # `bits` bits in all
         out[r["block"]] |= np.frombuffer(r["bits"], np.uint8)
     return out.reshape(-1)
 
@@ -280,7 +300,7 @@ def phrase_counts(shards: DataFrame, known: np.ndarray, least: int = LEAST_COUNT
                         own = strings[k : k + (1 << 15)]
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), own, pa.array([d] * len(own), pa.int32()), pa.array(n[k : k + (1 << 15)], pa.int64())], names)
 
-    rows = shards.select("lang", "words", "ids").mapInArrow(run, "lang string, phrase string, size int, n bigint")
+    rows = dealt(shards).mapInArrow(run, "lang string, phrase string, size int, n bigint")
     counted = rows.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     return counted.withColumns({"prefix": F.regexp_extract("phrase", "(?s)^(.*) [^ ]*$", 1), "link": F.regexp_extract("phrase", "(?s)^[^ ]* (.*)$", 1)})
 

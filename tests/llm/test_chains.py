@@ -199,6 +199,14 @@ def test_collocations_edges(spark):
     assert collocations.collocations(docs.where("false")).count() == 0
 
 
+def test_collocations_rows_name_shards(spark, folder):
+    """No row of Spark's holds a shard: its words and numbers are in a file that only its tasks read."""
+    own = collocations.shards(spark.read.parquet(f"{folder}/documents.parquet"), most=2000)
+    assert "binary" not in dict(own.dtypes).values()
+    files = [r["file"] for r in collocations.written(own, "shards").collect()]
+    assert len(set(files)) == len(files) > 10
+
+
 def test_collocations_in_small_shards(spark, folder):
     """Many shards give what one gives; the filter of pairs may be almost full."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
